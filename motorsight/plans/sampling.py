@@ -1,0 +1 @@
+"""sampling queries."""
