@@ -11,6 +11,7 @@ from ..functions import physics as ph
 from ..functions import rules as R
 from ..functions import text as TX
 from ..sources.tables import Tables, SENSOR_ORDER
+from ..functions.numeric import round6
 from .registry import register
 from .sql_views import FLEET_PROB, RISK_FR, SENSOR, TELEMETRY, with_views
 
@@ -18,7 +19,7 @@ KEYS = ["machine_id"] + SENSOR_ORDER[1:]   # machine + unique tie-break columns
 
 
 def r6(c):
-    return F.round(c, 6)
+    return round6(c)
 
 
 def fleet_scored(t: Tables) -> DataFrame:
