@@ -77,7 +77,8 @@ def required_halo(groups, windows, lags, spans, ema_mode: str = "pandas") -> int
 
 def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[str], *,
                      groups=ALL_GROUPS, windows=None, lags=None, failure_col: str | None = None,
-                     fill_columns: list[str] = (), keep_rn: bool = False, ema_mode: str = "pandas",
+                     fill_columns: list[str] = (), ffill_columns: list[str] = (), keep_rn: bool = False,
+                     ema_mode: str = "pandas",
                      chunk_rows: int = DEFAULT_CHUNK_ROWS, splits: dict | None = None) -> DataFrame:
     """The ordered feature set for explicit base ``columns`` in one pass.
 
@@ -143,6 +144,11 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
         specs[f"{c}__last"] = (F.max_by(x, F.when(x.isNotNull(), rn)), "last_before", None)
         specs[f"{c}__first"] = (F.min_by(x, F.when(x.isNotNull(), rn)), "first_after", None)
 
+    for c in ffill_columns:
+        x = F.col(c)
+        phase_a[f"_{c}_ffill"] = F.last(x, ignorenulls=True).over(o.frame(UNB_P, 0))
+        specs[f"{c}__last"] = (F.max_by(x, F.when(x.isNotNull(), rn)), "last_before", None)
+
     if failure_col:
         f = F.col(failure_col)
         phase_a["_next_fail"] = F.min(F.when(f == 1, rn)).over(o.frame(0, UNB_F))
@@ -170,6 +176,8 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
     for c in fill_columns:
         out[f"{c}_filled"] = F.coalesce(F.col(c), F.col(f"_{c}_ffill"), F.col(f"_c_{c}__last"),
                                         F.col(f"_{c}_bfill"), F.col(f"_c_{c}__first"))
+    for c in ffill_columns:
+        out[f"{c}_ffill"] = F.coalesce(F.col(c), F.col(f"_{c}_ffill"), F.col(f"_c_{c}__last"))
     if failure_col:
         nxt = F.coalesce(F.col("_next_fail"), F.col("_c___next_fail"))
         ctf = F.coalesce(nxt - rn, F.lit(0)).cast("int")

@@ -89,6 +89,7 @@ def alarm_view(events: DataFrame) -> DataFrame:
         cls.alias("CLASS"),
         F.col("event_type").alias("TxtCame"),
         F.col("event_id"),
+        F.col("ts").alias("event_ts"),
     )
 
 
