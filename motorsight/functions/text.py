@@ -16,6 +16,10 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Characters Python's str.split() treats as whitespace (ASCII and Unicode), as one class.
+SPLIT_WS = "[" + "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + "]+"
+
+
 def ascii_digits(text) -> Column:
     """Arabic-Indic and Eastern Arabic-Indic digits -> ASCII (Java's \\d is ASCII only)."""
     return F.translate(_c(text), fv.ARABIC_INDIC_DIGITS + fv.EASTERN_ARABIC_INDIC_DIGITS,
@@ -46,10 +50,10 @@ def speech_number(text, language) -> Column:
 
     def first_word(words: dict, lowercase: bool) -> Column:
         src = F.lower(t) if lowercase else t
-        toks = F.filter(F.split(F.trim(src), r"\s+"), lambda w: w != "")
+        toks = F.filter(F.split(src, SPLIT_WS), lambda w: w != "")
         m = _number_words_map(words)
         known = F.filter(toks, lambda w: F.array_contains(F.map_keys(m), w))
-        return F.try_element_at(m, F.element_at(known, 1))
+        return F.try_element_at(m, F.try_element_at(known, F.lit(1)))
 
     words = (F.when(lang.startswith("ar"), first_word(fv.NUMBER_WORDS_AR, False))
              .when(lang.startswith("fr"), first_word(fv.NUMBER_WORDS_FR, True))
@@ -57,6 +61,17 @@ def speech_number(text, language) -> Column:
     return F.coalesce(from_digits, words)
 
 
+def best_detection(det, group: str, value: str, confidence: str, order_id: str):
+    """F24 + P12: per group, the value of the highest-confidence detection (the
+    first by ``order_id`` on ties); detections without a number or with
+    confidence 0 never win; 'Please verify' under 0.7."""
+    ok = det.filter(F.col(value).isNotNull() & (F.col(confidence) > 0))
+    g = ok.groupBy(group).agg(
+        F.max_by(F.col(value), F.struct(F.col(confidence), -F.col(order_id))).alias(value),
+        F.max(confidence).alias(confidence))
+    return g.withColumn("warning", F.when(F.col(confidence) < fv.LOW_CONFIDENCE, F.lit("Please verify")))
+
+
 def work_shift(ts) -> Column:
     """morning 6-14, afternoon 14-22, else night."""
     h = F.hour(_c(ts))
