@@ -1 +1,210 @@
-"""ml_plans queries."""
+"""Sampling and model queries.
+
+M1-M3 are exact (md5 draws are reproducible in DuckDB).  Model queries
+return one small metrics table each and are checked by tests with quality
+floors (rows-only at the driver)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixed_values as fv
+from ..functions import physics as ph
+from ..functions.numeric import round6
+from ..models import isolation as ISO
+from ..models import train as TR
+from ..operators import sampling as SP
+from ..sources.tables import Tables
+from .registry import register
+from .sql_views import SENSOR, with_views
+
+SPLIT_KEYS = ["machine_id", "l_orderkey", "l_linenumber", "l_partkey"]
+RAW = ["air_k", "proc_k", "rpm", "torque", "wear"]
+
+
+def _u_sql(keys: list[str], seed) -> str:
+    ks = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) + f" || '|{seed}'"
+    return f"(CAST(('0x' || substr(md5({ks}), 1, 8)) AS BIGINT) / 4294967296e0)"
+
+
+SPLIT_SQL = with_views(SENSOR) + f"""
+SELECT label, CASE WHEN u < 7e-1 THEN 'train' WHEN u < 8e-1 THEN 'val' ELSE 'test' END AS split, count(*) AS n
+FROM (SELECT label, {_u_sql(SPLIT_KEYS + ['label'], 42)} AS u FROM sensor) GROUP BY ALL
+"""
+
+
+def _split(spark, sf_dir) -> DataFrame:
+    s = Tables(spark, sf_dir).sensor
+    return SP.stratified_split(s, SPLIT_KEYS, "label", seed=42)
+
+
+@register("stratified_split", SPLIT_SQL, ids=("M1", "D6"))
+def stratified_split_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """70/10/20 split drawn from md5(key|label|seed) inside each class; rows per class and split."""
+    return _split(spark, sf_dir).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+OVER_SQL = with_views(SENSOR) + f"""
+, c AS (SELECT label, count(*) AS n FROM sensor GROUP BY label)
+, r AS (SELECT (SELECT max(n) FROM c) * 1e0 / (SELECT min(n) FROM c) AS ratio)
+, m AS (SELECT s.label, CASE WHEN s.label = (SELECT label FROM c ORDER BY n DESC LIMIT 1) THEN 1
+          ELSE CAST(floor(ratio) AS INTEGER) + CAST({_u_sql(SPLIT_KEYS, 7)} < ratio - floor(ratio) AS INTEGER) END AS reps
+        FROM sensor s, r)
+SELECT label, CAST(sum(reps) AS BIGINT) AS n FROM m GROUP BY label
+"""
+
+
+@register("oversample", OVER_SQL, ids=("M2",))
+def oversample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random oversampling of the minority class to about the majority size (keyed draws)."""
+    s = Tables(spark, sf_dir).sensor
+    return SP.oversample(s, SPLIT_KEYS, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+UNDER_SQL = with_views(SENSOR) + f"""
+, c AS (SELECT label, count(*) AS n FROM sensor GROUP BY label)
+, k AS (SELECT s.label FROM sensor s JOIN c ON s.label = c.label
+        WHERE c.n = (SELECT min(n) FROM c) OR {_u_sql(SPLIT_KEYS, 7)} < (SELECT min(n) FROM c) * 1e0 / c.n)
+SELECT label, count(*) AS n FROM k GROUP BY label
+"""
+
+
+@register("undersample", UNDER_SQL, ids=("M3",))
+def undersample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random undersampling of the majority class to about the minority size."""
+    s = Tables(spark, sf_dir).sensor
+    return SP.undersample(s, SPLIT_KEYS, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- models (checked by tests with quality floors) ---------------------------------------
+def training_frame(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Split sensor readings with the 36 physics features (rpm mean fitted on train)."""
+    d = _split(spark, sf_dir).withColumn("type_enc", F.when(F.col("mtype") == "L", 0)
+                                         .when(F.col("mtype") == "M", 1).otherwise(2))
+    rpm_mean = float(d.filter(F.col("split") == "train").agg(F.avg("rpm")).first()[0])
+    feats = ph.physics_features(d, rpm_mean, keep=SPLIT_KEYS + ["label", "split"])
+    return TR.with_class_weights(feats), list(ph.FEATURE_COLUMNS)
+
+
+def _metrics_row(spark, name: str, ev: dict) -> DataFrame:
+    keys = ["roc_auc", "pr_auc", "average_precision", "precision", "recall", "f1"]
+    return spark.createDataFrame([(name, *[float(ev[k]) for k in keys])],
+                                 "model string, " + ", ".join(f"{k} double" for k in keys)) \
+        .select("model", *[round6(F.col(k)).alias(k) for k in keys])
+
+
+def _fit_eval(spark, sf_dir, kind: str, params=None, features=None, validation=False):
+    df, feats = training_frame(spark, sf_dir)
+    feats = features or feats
+    if validation:
+        tr = df.filter(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
+        m = TR.train(tr, feats, kind, params, validation="is_val")
+    else:
+        m = TR.train(df.filter(F.col("split") == "train"), feats, kind, params)
+    ev = TR.evaluate(TR.score(m, df.filter(F.col("split") == "test")), threshold=0.5)
+    return m, ev, df, feats
+
+
+@register("logistic_model", None, ids=("M6",))
+def logistic_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced logistic regression on the raw sensors; test-split quality."""
+    _, ev, _, _ = _fit_eval(spark, sf_dir, "logistic", features=["Air_temperature__K", "Process_temperature__K",
+                                                                  "Rotational_speed__rpm", "Torque__Nm",
+                                                                  "Tool_wear__min"])
+    return _metrics_row(spark, "logistic", ev)
+
+
+@register("forest_model", None, ids=("M7",))
+def forest_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced random forest on the physics features; test-split quality."""
+    _, ev, _, _ = _fit_eval(spark, sf_dir, "forest", {"numTrees": 50, "maxDepth": 8, "minInstancesPerNode": 2})
+    return _metrics_row(spark, "forest", ev)
+
+
+@register("gbt_model", None, ids=("M8",))
+def gbt_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient-boosted trees, positive weight, early stop on the validation split."""
+    _, ev, _, _ = _fit_eval(spark, sf_dir, "gbt", {"maxIter": 20, "maxDepth": 5}, validation=True)
+    return _metrics_row(spark, "gbt", ev)
+
+
+@register("cv_f1", None, ids=("M9", "M11"))
+def cv_f1_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-fold F1 (mean, std) of the balanced logistic model, folds from md5 of the key."""
+    df, feats = training_frame(spark, sf_dir)
+    r = TR.kfold_f1(df, feats, "logistic", {"maxIter": 50}, k=3, keys=SPLIT_KEYS)
+    return spark.createDataFrame([(float(r["f1_mean"]), float(r["f1_std"]))], "f1_mean double, f1_std double")
+
+
+@register("random_search", None, ids=("M10",))
+def random_search_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded random search over GBT depth / step size; F1 at 0.40 on validation."""
+    df, feats = training_frame(spark, sf_dir)
+    res = TR.random_search(df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val"), feats, "gbt",
+                           {"maxDepth": (3, 6), "stepSize": (0.05, 0.3), "maxIter": [10, 20]}, n_trials=3)
+    return spark.createDataFrame([(str(r["params"]), float(r["score"]), float(r["roc_auc"])) for r in res],
+                                 "params string, f1_at_040 double, roc_auc double")
+
+
+@register("calibration", None, ids=("M12",))
+def calibration_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isotonic calibration from 3 out-of-fold maps, averaged; quality of calibrated scores."""
+    df, feats = training_frame(spark, sf_dir)
+    tr = df.filter(F.col("split") == "train")
+    base, isos = TR.isotonic_calibrate(tr, feats, "logistic", {"maxIter": 50}, k=3, keys=SPLIT_KEYS)
+    test = TR.score(base, df.filter(F.col("split") == "test"))
+    cal = TR.apply_calibration(test, isos).withColumn("score", F.col("calibrated"))
+    return _metrics_row(spark, "calibrated_logistic", TR.evaluate(cal))
+
+
+@register("feature_importance", None, ids=("M14", "L4"))
+def feature_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-15 random-forest feature importances."""
+    m, _, _, feats = _fit_eval(spark, sf_dir, "forest", {"numTrees": 30, "maxDepth": 6})
+    return TR.feature_importance(m, feats, spark).orderBy(F.desc("importance")).limit(15)
+
+
+@register("permutation_importance", None, ids=("M16",))
+def permutation_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop in test ROC-AUC when one raw sensor is permuted (keyed permutation)."""
+    feats = ["Air_temperature__K", "Process_temperature__K", "Rotational_speed__rpm", "Torque__Nm", "Tool_wear__min"]
+    m, _, df, _ = _fit_eval(spark, sf_dir, "logistic", features=feats)
+    res = TR.permutation_importance(m, df.filter(F.col("split") == "test"), feats, SPLIT_KEYS)
+    return spark.createDataFrame([(f, float(v)) for f, v in res], "feature string, auc_drop double")
+
+
+@register("isolation_forest", None, ids=("M5", "P18"))
+def isolation_forest_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolation forest (100 trees, 256 rows each) on raw sensors; flagged share at 0.05."""
+    s = Tables(spark, sf_dir).sensor
+    forest = ISO.fit(s, RAW, SPLIT_KEYS, trees=100)
+    d, offset = ISO.decision(ISO.score(s, forest, RAW), 0.05)
+    return d.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("anomaly_score") < 0).alias("outliers"),
+                 F.count_if(F.col("anomaly_score") < fv.ANOMALY_SCORE_LIMIT).alias("sensor_anomalies"),
+                 F.lit(offset).alias("offset"))
+
+
+@register("model_registry", None, ids=("M19",))
+def model_registry_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save a model with its config under the shared checkpoint folder, load it, rescore."""
+    import uuid
+    from ..session import scratch_path
+    m, ev, df, feats = _fit_eval(spark, sf_dir, "logistic", {"maxIter": 30})
+    path = scratch_path(spark, f"models/{uuid.uuid4().hex}")
+    TR.save_model(m, path, {"threshold": fv.PRODUCTION_THRESHOLD, "features": feats, "model_name": "logistic"})
+    m2, cfg = TR.load_model(path)
+    ev2 = TR.evaluate(TR.score(m2, df.filter(F.col("split") == "test")), threshold=0.5)
+    return spark.createDataFrame([(cfg["model_name"], float(ev["roc_auc"]), float(ev2["roc_auc"]))],
+                                 "model string, roc_auc_before double, roc_auc_after double")
+
+
+@register("gated_training", None, ids=("M18", "A29"))
+def gated_training_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, choose the F-beta threshold on validation, test against the gate; retry once."""
+    df, feats = training_frame(spark, sf_dir)
+    r = TR.train_with_gates(df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val"),
+                            df.filter(F.col("split") == "test"), feats)
+    return spark.createDataFrame([(a["kind"], float(a["beta"]), float(a["threshold"]), float(a["metrics"]["f1"]),
+                                   float(a["metrics"]["roc_auc"]), bool(a["passed"])) for a in r["attempts"]],
+                                 "model string, beta double, threshold double, f1 double, roc_auc double, passed boolean")
