@@ -8,8 +8,6 @@ partition pruning applies on read.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -84,12 +82,12 @@ def read_alarm_log(spark: SparkSession, path: str) -> DataFrame:
     """Alarm export; ';' or ',' detected from the header (D18), bad lines dropped,
     required columns checked."""
     sep = detect_separator(spark, path)
-    df = read_table(spark, path, schemas.ALARM, "csv", True, sep)
     header = spark.read.text(path).limit(1).collect()
-    names = header[0][0].split(sep) if header else []
-    require_columns(spark.createDataFrame([], ", ".join(f"`{n.strip()}` string" for n in names) or "x string")
-                    if names else df, fv.ALARM_REQUIRED_COLUMNS)
-    return df
+    names = [n.strip() for n in header[0][0].split(sep)] if header else []
+    missing = [c for c in fv.ALARM_REQUIRED_COLUMNS if c not in names]
+    if missing:
+        raise MissingColumns(f"missing required columns: {missing}")
+    return read_table(spark, path, schemas.ALARM, "csv", True, sep)
 
 
 def fault_labels(alarms: DataFrame) -> DataFrame:
@@ -102,9 +100,10 @@ def fault_labels(alarms: DataFrame) -> DataFrame:
         .orderBy(F.col("DateTime").asc_nulls_last())
 
 
-def read_json_readings(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-array reading files (one per day), explicit schema."""
-    return spark.read.schema(schemas.READINGS_LONG).option("multiLine", True).json(path)
+def read_json_readings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Reading files with an explicit schema: JSON arrays (one file per day, as
+    the entry app writes them; each file is one task) or JSON lines (splittable)."""
+    return spark.read.schema(schemas.READINGS_LONG).option("multiLine", multi_line).json(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] = (),
@@ -144,11 +143,3 @@ def profile(tables: dict[str, DataFrame], targets=("failure", "target", "label")
         out = out.unionByName(p)
     return out
 
-
-def local_or_shared(spark: SparkSession, name: str) -> str:
-    from ..session import scratch_path
-    return scratch_path(spark, name)
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(path)
