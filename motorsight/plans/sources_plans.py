@@ -17,7 +17,9 @@ from ..sources import readers as RD
 from ..sources.tables import Tables
 from .registry import register
 from .rowwise import KEYS
-from .sql_views import SENSOR, with_views
+from .sql_views import RISK_FR, SENSOR, with_views
+
+RISK_FR_SQL = RISK_FR.format(p='p')
 
 
 def _scratch(spark, name: str) -> str:
@@ -130,3 +132,52 @@ def bronze_cache_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     RD.cached_source(spark, raw, bronze, schemas.INPUT["orders"])          # writes the copy
     second = RD.cached_source(spark, raw + "_missing", bronze, schemas.INPUT["orders"])  # raw gone: copy serves
     return second.agg(F.count(F.lit(1)).alias("n"), round6(F.sum("o_totalprice")).alias("total"))
+
+
+SCADA_SQL = with_views(SENSOR) + f"""
+, sc AS (SELECT machine_id, (air_k - 273.15e0) + 273.15e0 AS a, (proc_k - 273.15e0) + 273.15e0 AS pk,
+                rpm, torque, (wear / 60e0) * 60e0 AS w FROM sensor)
+, p AS (SELECT 1e0/(1e0+exp(-(-7e0 + 2e-4*(torque*rpm*1.0471975511965977e-1) + 3.5e-4*(w*torque) + 1e-2*w))) AS p FROM sc)
+SELECT {RISK_FR_SQL} AS risk_level, count(*) AS n, round(avg(p), 6) AS mean_prob FROM p GROUP BY ALL
+"""
+
+
+@register("scada_export_scoring", SCADA_SQL, ids=("S7", "P3", "M20"))
+def scada_export_scoring_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCADA CSV export (degrees C, run hours) -> schema scan -> tag conversion -> scores."""
+    from ..functions import physics as ph
+    from ..functions import rules as R
+    s = Tables(spark, sf_dir).sensor
+    scada = s.select(F.col("machine_id").cast("string").alias("machine_id"),
+                     (F.col("air_k") - 273.15).alias("AmbientTemp"), (F.col("proc_k") - 273.15).alias("MotorTemp"),
+                     F.col("rpm").alias("Speed_RPM"), F.col("torque").alias("Torque_Nm"),
+                     (F.col("wear") / 60.0).alias("RunHours"), F.lit(False).alias("FaultBit"),
+                     F.col("ts").cast("timestamp").alias("timestamp"))
+    path = _scratch(spark, "scada")
+    RD.write_table(scada, path, "csv")
+    back = RD.read_table(spark, path, schemas.SCADA, "csv")
+    conv = ph.convert_tags(back)
+    wt = F.col("wear") * F.col("torque")
+    p = R.sigmoid(F.lit(R.FLEET_INTERCEPT) + F.lit(2e-4) * R.power_w("torque", "rpm") + F.lit(3.5e-4) * wt
+                  + F.lit(1e-2) * F.col("wear"))
+    sc = conv.select(p.alias("p"))
+    return sc.groupBy(R.risk_level_fr("p").alias("risk_level")).agg(F.count(F.lit(1)).alias("n"),
+                                                                    round6(F.avg("p")).alias("mean_prob"))
+
+
+SUBSET_SQL = with_views(SENSOR) + """
+, mach AS (SELECT s_suppkey AS machine_id FROM supplier JOIN nation ON s_nationkey = n_nationkey
+           WHERE n_name IN ('NATION_6', 'NATION_9', 'NATION_11'))
+SELECT machine_id, count(*) AS failure_points, min(ts) AS first_failure
+FROM sensor WHERE label = 1 AND machine_id IN (SELECT machine_id FROM mach) GROUP BY machine_id
+"""
+
+
+@register("machine_subset_failures", SUBSET_SQL, ids=("P19",))
+def machine_subset_failures_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure-point rows of a machine subset (machines located in three countries)."""
+    t = Tables(spark, sf_dir)
+    mach = t.machine.filter(F.col("location").isin("NATION_6", "NATION_9", "NATION_11")).select("machine_id")
+    fails = t.sensor.filter(F.col("label") == 1).join(mach, "machine_id", "left_semi")
+    return fails.groupBy("machine_id").agg(F.count(F.lit(1)).alias("failure_points"),
+                                           F.min("ts").alias("first_failure"))
