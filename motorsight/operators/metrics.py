@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.numeric import bucket_index
 from .prefix import running_sums
 
 
@@ -121,7 +122,7 @@ def threshold_sweep(spark: SparkSession, df: DataFrame, label="label", score="sc
 
     grid = grid or threshold_grid()
     s = F.col(score)
-    idx = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= s))
+    idx = bucket_index(s, sorted(grid), strict=False)     # thresholds reached: t <= s
     y = F.col(label)
     b = df.groupBy(idx.alias("k")).agg(F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("pos"),
                                        F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("neg"))

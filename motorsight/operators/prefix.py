@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import bucket_index
+
 DEFAULT_BUCKETS = 64
 
 
@@ -35,13 +37,14 @@ def running_sums(df: DataFrame, value: str, sums: list[str], *, group: str | Non
     v = F.col(value)
     qs = [i / buckets for i in range(1, buckets)]
     bounds = (d.groupBy(g).agg(F.percentile_approx(v, qs, 10_000).alias("_b")).collect())
-    bmap = F.create_map(*[x for r in bounds for x in (F.lit(r[0]), F.array(*[F.lit(b) for b in sorted(set(r[1]))]))])
-    b = F.try_element_at(bmap, F.col(g))
-    if descending:
-        bucket = F.size(F.filter(b, lambda x: x > v))     # larger values come first
-    else:
-        bucket = F.size(F.filter(b, lambda x: x < v))
-    d = d.withColumn("_bk", F.coalesce(bucket, F.lit(0)))
+    bucket = None
+    for r in bounds:
+        bs = sorted(set(r[1] or []))
+        # descending order: bucket = bounds above v (larger values come first)
+        idx = (F.lit(len(bs)) - bucket_index(v, bs, strict=False)) if descending else bucket_index(v, bs)
+        cond = F.col(g).eqNullSafe(F.lit(r[0]))
+        bucket = F.when(cond, idx) if bucket is None else bucket.when(cond, idx)
+    d = d.withColumn("_bk", F.coalesce(bucket, F.lit(0)) if bucket is not None else F.lit(0))
     totals = d.groupBy(g, "_bk").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     wb = Window.partitionBy(g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(g, "_bk", *[F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)).alias(f"_o_{s}")

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions.numeric import bucket_index
+
 DEFAULT_CHUNK_ROWS = 2_000_000
 DEFAULT_SAMPLE_ROWS = 200_000
 SEED = 42
@@ -108,11 +110,13 @@ def ordered(df: DataFrame, key: str, order: list[str], halo: int = 0,
         return Ordered(out, key, order, halo, False)
 
     keys_type = df.schema[key].dataType
-    bmap = F.create_map(*[x for k, b in splits.items()
-                          for x in (F.lit(k).cast(keys_type), F.array(*[F.lit(float(v)) for v in b]))])
     sv = split_value(df, order[0])
-    bounds = F.try_element_at(bmap, F.col(key))
-    sub = F.coalesce(F.size(F.filter(bounds, lambda b: b <= sv)), F.lit(0))
+    sub = None
+    for k, b in splits.items():
+        cond = F.col(key) == F.lit(k).cast(keys_type)
+        idx = bucket_index(sv, [float(v) for v in b], strict=False)
+        sub = F.when(cond, idx) if sub is None else sub.when(cond, idx)
+    sub = sub.otherwise(F.lit(0))
     d = df.withColumn("_sub", sub.cast("int"))
     wl = Window.partitionBy(key, "_sub").orderBy(*order_cols)
     d = d.withColumn("_lrn", F.row_number().over(wl))

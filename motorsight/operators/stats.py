@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import rules as R
+from ..functions.numeric import bucket_index
 from .prefix import running_sums
 from .temporal import row_index
 
@@ -299,7 +300,7 @@ def binned_mutual_information(df: DataFrame, features: list[str], label: str, bi
     for f in features:
         e = sorted(set(edges[f] or []))
         x = F.col(f).cast("double")
-        b = F.size(F.filter(F.array(*[F.lit(v) for v in e]), lambda t: t < x)) if e else F.lit(0)
+        b = bucket_index(x, e) if e else F.lit(0)
         parts.append(F.struct(F.lit(f).alias("feature"), b.alias("bin")))
     long = df.select(F.explode(F.array(*parts)).alias("p"), F.col(label).alias("y")).select("p.*", "y")
     c = long.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("n"))

@@ -99,9 +99,8 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
     d = o.df
     w = o.w
     rn = F.col("_rn")
-    if "ema" in groups and ema_mode == "pandas" and columns:
-        d = ema_by_group(d, key, list(columns), windows)
     phase_a: dict[str, Column] = {}
+    need_nn: set[str] = set()
     specs: dict[str, tuple] = {}
     finals: dict[str, Column] = {}
 
@@ -118,10 +117,14 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
             for n in windows:
                 finals[f"{c}_ema_{n}"] = ema_column(c, o, n) if ema_mode == "fold" else F.col(f"{c}_ema_{n}")
         if "lag" in groups:
+            # Back-fill of lag k at row r = first non-null x at position >= r - k,
+            # i.e. lag(nn, k) with nn = next non-null at or after a row (from the
+            # descending growing frame, O(n); a frame reaching UNBOUNDED FOLLOWING
+            # with a moving start would be O(n^2) per partition).
             specs[f"{c}__first"] = (F.min_by(x, F.when(x.isNotNull(), rn)), "first_after", None)
+            need_nn.add(c)
             for k in lags:
                 phase_a[f"_{c}_lag_{k}"] = F.lag(x, k).over(w)
-                phase_a[f"_{c}_lagfill_{k}"] = F.first(x, ignorenulls=True).over(o.frame(-k, UNB_F))
         if "trend" in groups:
             l1, l2 = F.lag(x, 1).over(w), F.lag(x, 2).over(w)
             finals[f"{c}_rate_of_change"] = F.coalesce(
@@ -140,7 +143,7 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
     for c in fill_columns:
         x = F.col(c)
         phase_a[f"_{c}_ffill"] = F.last(x, ignorenulls=True).over(o.frame(UNB_P, 0))
-        phase_a[f"_{c}_bfill"] = F.first(x, ignorenulls=True).over(o.frame(0, UNB_F))
+        need_nn.add(c)
         specs[f"{c}__last"] = (F.max_by(x, F.when(x.isNotNull(), rn)), "last_before", None)
         specs[f"{c}__first"] = (F.min_by(x, F.when(x.isNotNull(), rn)), "first_after", None)
 
@@ -151,16 +154,41 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
 
     if failure_col:
         f = F.col(failure_col)
-        phase_a["_next_fail"] = F.min(F.when(f == 1, rn)).over(o.frame(0, UNB_F))
+        rev_fail = F.min(F.when(f == 1, rn))
         specs["__next_fail"] = (F.min(F.when(f == 1, rn)), "min_after", None)
         specs["__last_fail"] = (F.max(F.when(f == 1, rn)), "key", "max")
 
-    # Phase A: window columns that later combine with carries.
-    d = d.select("*", *[v.alias(k) for k, v in phase_a.items()])
+    # Reverse pass: next non-null value / next failure at or after each row, as a
+    # growing frame over the descending order of the same partition.
+    rev = Window.partitionBy(key, "_sub").orderBy(F.col("_rn").desc()).rowsBetween(UNB_P, 0)
+    rev_cols = {f"_{c}_nn": F.last(F.col(c), ignorenulls=True).over(rev) for c in sorted(need_nn)}
+    if failure_col:
+        rev_cols["_next_fail"] = rev_fail.over(rev)
+    if rev_cols:
+        d = d.select("*", *[v.alias(k) for k, v in rev_cols.items()])
+    for c in columns:
+        if "lag" in groups:
+            for k in lags:
+                # Rows k or fewer from the machine's start look back past it: first non-null overall.
+                phase_a[f"_{c}_lagfill_{k}"] = F.when(rn > k, F.lag(F.col(f"_{c}_nn"), k).over(w)) \
+                    .otherwise(F.first(F.col(f"_{c}_nn")).over(o.frame(UNB_P, 0)))
+    for c in fill_columns:
+        phase_a[f"_{c}_bfill"] = F.col(f"_{c}_nn")
+    # EMA (Arrow-batched pandas recursion) on the same (key, _sub) partitioning.
+    if "ema" in groups and ema_mode == "pandas" and columns:
+        d = ema_by_group(d, key, list(columns), windows)
+    # ONE forward pass: every frame of spec w in a single Window operator.
+    win_finals = {k: v for k, v in finals.items()}
+    d = d.select("*", *[v.alias(k) for k, v in phase_a.items()],
+                 *[v.alias(f"__f_{k}") for k, v in win_finals.items()])
+    finals = {k: F.col(f"__f_{k}") for k in win_finals}
     if "degradation" in groups:
+        cum = {}
         for c in columns:
             specs[f"{c}__dev"] = (F.sum(F.col(f"_{c}_dev")), "sum_before", 0.0)
-            d = d.withColumn(f"_{c}_cumdev", F.sum(F.when(~F.col("_halo"), F.col(f"_{c}_dev"))).over(o.frame(UNB_P, 0)))
+            cum[f"_{c}_cumdev"] = F.sum(F.when(~F.col("_halo"), F.col(f"_{c}_dev"))).over(o.frame(UNB_P, 0))
+        # Same spec and ordering as the pass above: no new shuffle or sort.
+        d = d.select("*", *[v.alias(k) for k, v in cum.items()])
     d = carry(o, d, specs)
 
     # Phase B: final expressions (window-only finals share the same spec).
