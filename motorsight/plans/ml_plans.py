@@ -208,3 +208,19 @@ def gated_training_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a["kind"], float(a["beta"]), float(a["threshold"]), float(a["metrics"]["f1"]),
                                    float(a["metrics"]["roc_auc"]), bool(a["passed"])) for a in r["attempts"]],
                                  "model string, beta double, threshold double, f1 double, roc_auc double, passed boolean")
+
+
+@register("smote_counts", None, ids=("M4",))
+def smote_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMOTE on the training split (robust-scaled sensors): rows per class, original vs synthetic,
+    and the feature range of each group (synthetic rows stay inside the minority's range)."""
+    from ..models.smote import smote
+    from ..operators.preprocess import apply_scalers, fit_scalers
+    d = _split(spark, sf_dir).filter(F.col("split") == "train")
+    cols = ["wear", "torque", "rpm", "air_k", "proc_k"]
+    params = fit_scalers(d, cols)
+    scaled = apply_scalers(d, params, cols).select(*SPLIT_KEYS, "label", *[F.col(f"{c}_robust").alias(c) for c in cols])
+    out = smote(scaled, cols, "label", SPLIT_KEYS)
+    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"),
+                                                 *[F.min(c).alias(f"min_{c}") for c in cols[:2]],
+                                                 *[F.max(c).alias(f"max_{c}") for c in cols[:2]])

@@ -59,3 +59,35 @@ def test_isolation_forest_share(spark):
     d, _ = ISO.decision(ISO.score(s, forest, raw), 0.05)
     share = d.filter(F.col("anomaly_score") < 0).count() / d.count()
     assert 0.02 < share < 0.08
+
+
+def test_exact_knn_matches_brute_force(spark):
+    import numpy as np
+    from motorsight.models.smote import exact_knn
+    rng = np.random.default_rng(3)
+    pts = rng.normal(size=(400, 3)).round(3)
+    pts[:50, 0] *= 5          # uneven density
+    df = spark.createDataFrame([(int(i), *map(float, p)) for i, p in enumerate(pts)], "pid long, a double, b double, c double")
+    nn = exact_knn(df, ["a", "b", "c"], k=5).collect()
+    got = {}
+    for r in nn:
+        got.setdefault(r.pid, []).append((r.rank, r.nid))
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(pts)):
+        want = sorted(range(len(pts)), key=lambda j: (d[i, j], j))[:5]
+        assert [n for _, n in sorted(got[i])] == want
+
+
+def test_smote_balances_and_stays_inside(spark):
+    from motorsight.models.smote import smote
+    s = Tables(spark, SF_SMALL).sensor.select(*SPLIT_KEYS, "label", "wear", "torque", "rpm")
+    out = smote(s, ["wear", "torque", "rpm"], "label", SPLIT_KEYS)
+    c = {(r.label, r.synthetic): r["count"] for r in out.groupBy("label", "synthetic").count().collect()}
+    assert abs((c[(1, 0)] + c[(1, 1)]) / c[(0, 0)] - 1) < 0.05
+    mino = s.filter("label = 1").agg(*[F.min(x).alias(f"lo_{x}") for x in ["wear", "torque", "rpm"]],
+                                     *[F.max(x).alias(f"hi_{x}") for x in ["wear", "torque", "rpm"]]).first()
+    syn = out.filter("synthetic = 1")
+    for x in ["wear", "torque", "rpm"]:
+        r = syn.agg(F.min(x), F.max(x)).first()
+        assert r[0] >= mino[f"lo_{x}"] - 1e-9 and r[1] <= mino[f"hi_{x}"] + 1e-9
