@@ -4,19 +4,20 @@ Exact k-nearest neighbours without an all-pairs join:
 
 1. Feature vectors are deduplicated first (a vector repeated many times is one
    point), so a hot group of identical rows never meets itself.
-2. Points are placed on an equi-depth grid over two blocking features (bounds
-   from one ``percentile_approx`` job; the grid is sized for about 4k points
-   per cell).  A point's candidates are the points of the cells within ring r.
-3. Any point closer than ``delta`` - the distance from the query to the edge
-   of the searched rectangle on the blocking axes - lies inside it, so when the
-   k-th candidate distance is <= delta the answer is exact.  Unresolved points
-   repeat with a doubled ring; a ring covering the grid resolves the rest.
+2. Points are placed on an equi-depth grid over all features (bounds from one
+   ``percentile_approx`` job; about 2k points per cell).  A point's candidates
+   are the points of the 3^d cells around its own (linear in n).
+3. Any point closer than ``delta`` - the distance from the query to the edge of
+   the searched box - lies inside it, so when the k-th candidate distance is
+   <= delta the answer is exact.  Unresolved points retry on a coarser grid
+   (half the cells per axis); a single cell resolves the rest.
 4. Each minority row then yields floor(r) or floor(r)+1 synthetic rows
    (r = (majority - minority) / minority), neighbour and gap drawn from md5.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -26,60 +27,72 @@ from ..functions.numeric import bucket_index
 from ..operators.sampling import uniform
 
 
-def _bounds(df: DataFrame, col: str, cells: int) -> list[float]:
+def _bounds(df: DataFrame, cols: list[str], cells: int) -> dict[str, list[float]]:
     qs = [i / cells for i in range(1, cells)]
-    return sorted(set(df.agg(F.percentile_approx(col, qs, 10_000)).first()[0] or []))
+    if not qs:
+        return {c: [] for c in cols}
+    r = df.agg(*[F.percentile_approx(c, qs, 10_000).alias(c) for c in cols]).first()
+    return {c: sorted(set(r[c] or [])) for c in cols}
 
 
-def exact_knn(points: DataFrame, features: list[str], k: int = 5, max_rounds: int = 12) -> DataFrame:
-    """k nearest distinct points of every distinct point: (pid, nid, dist, rank)."""
+def exact_knn(points: DataFrame, features: list[str], k: int = 5) -> DataFrame:
+    """k nearest distinct points of every distinct point: (pid, nid, dist, rank).
+
+    Grid over ALL features, equi-depth per axis, sized for about 2k points per
+    cell; candidates come from the 3^d cells around a point (linear in n).  A
+    point is resolved when its k-th candidate distance is <= delta, the distance
+    to the edge of the searched box; unresolved points retry on a grid with half
+    as many cells per axis, ending with a single cell (all points)."""
+    d = len(features)
     n = points.count()
-    cells = max(1, int(math.sqrt(max(n, 1) / (4 * k))))
-    b0, b1 = _bounds(points, features[0], cells), _bounds(points, features[1], cells)
-    g0, g1 = len(b0) + 1, len(b1) + 1
-    lo0 = [float("-inf")] + b0
-    hi0 = b0 + [float("inf")]
-    lo1 = [float("-inf")] + b1
-    hi1 = b1 + [float("inf")]
-    pts = points.withColumn("c0", bucket_index(F.col(features[0]), b0, strict=False)) \
-        .withColumn("c1", bucket_index(F.col(features[1]), b1, strict=False))
-    pending = pts.select("pid", "c0", "c1", *features)
+    cells = max(1, int(round((max(n, 1) / (2 * k)) ** (1.0 / d))))
+    pending = points.select("pid", *features)
     done = None
-    r = 1
-    for _ in range(max_rounds):
-        full = r >= max(g0, g1)
-        offs = list(range(-r, r + 1))
-        # Candidates: each point is announced to the (2r+1)^2 cells around it.
-        cand = pts.select(F.col("pid").alias("nid"), *[F.col(f).alias(f"n_{f}") for f in features],
-                          F.explode(F.array(*[F.struct(F.lit(a).alias("d0"), F.lit(b).alias("d1"))
-                                              for a in offs for b in offs])).alias("o"), "c0", "c1") \
-            .select("nid", *[f"n_{f}" for f in features], (F.col("c0") + F.col("o.d0")).alias("c0"),
-                    (F.col("c1") + F.col("o.d1")).alias("c1"))
-        pairs = pending.join(cand, ["c0", "c1"]).filter(F.col("pid") != F.col("nid"))
+    while True:
+        b = _bounds(points, features, cells)
+        def cell_cols(df):
+            return df.select("*", *[bucket_index(F.col(f), b[f], strict=False).alias(f"c{i}")
+                                    for i, f in enumerate(features)])
+        offs = list(itertools.product(*[(-1, 0, 1)] * d)) if cells > 1 else [tuple([0] * d)]
+        cand = cell_cols(points.select(F.col("pid").alias("nid"), *[F.col(f).alias(f"n_{f}") for f in features],
+                                       *features))
+        cand = cand.select("nid", *[f"n_{f}" for f in features], F.explode(F.array(*[
+            F.struct(*[(F.col(f"c{i}") + F.lit(o[i])).alias(f"c{i}") for i in range(d)]) for o in offs])).alias("o")) \
+            .select("nid", *[f"n_{f}" for f in features], "o.*")
+        q = cell_cols(pending)
+        # Shuffle join on the cell: neither side has a proven size bound, so no broadcast.
+        pairs = q.join(cand.hint("merge"), [f"c{i}" for i in range(d)]).filter(F.col("pid") != F.col("nid"))
         dist = F.sqrt(sum(((F.col(f) - F.col(f"n_{f}")) ** 2 for f in features), F.lit(0.0)))
-        ranked = pairs.select("pid", "nid", "c0", "c1", *features, dist.alias("dist")) \
+        ranked = pairs.select("pid", "nid", *[f"c{i}" for i in range(d)], *features, dist.alias("dist")) \
             .withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("dist", "nid"))) \
             .filter(F.col("rank") <= k)
-        # delta: distance to the edge of the searched rectangle (infinite at the grid's edge).
-        def edge(lo, hi, c, x, g):
-            lo_arr = F.array(*[F.lit(v) for v in lo])
-            hi_arr = F.array(*[F.lit(v) for v in hi])
-            left = F.when(F.col(c) - r <= 0, F.lit(float("inf"))) \
-                .otherwise(F.col(x) - F.element_at(lo_arr, F.col(c) - r + 1))
-            right = F.when(F.col(c) + r >= g - 1, F.lit(float("inf"))) \
-                .otherwise(F.element_at(hi_arr, F.col(c) + r + 1) - F.col(x))
-            return F.least(left, right)
-        delta = F.least(edge(lo0, hi0, "c0", features[0], g0), edge(lo1, hi1, "c1", features[1], g1))
+        edges = []
+        for i, f in enumerate(features):
+            lo = [float("-inf")] + b[f]
+            hi = b[f] + [float("inf")]
+            g = len(lo)
+            lo_arr, hi_arr = F.array(*[F.lit(v) for v in lo]), F.array(*[F.lit(v) for v in hi])
+            c = F.col(f"c{i}")
+            left = F.when(c - 1 <= 0, F.lit(float("inf"))).otherwise(F.col(f) - F.element_at(lo_arr, c))
+            right = F.when(c + 1 >= g - 1, F.lit(float("inf"))).otherwise(F.element_at(hi_arr, c + 2) - F.col(f))
+            edges += [left, right]
+        delta = F.least(*edges) if len(edges) > 1 else edges[0]
         kth = ranked.groupBy("pid").agg(F.max("dist").alias("kth"), F.count(F.lit(1)).alias("got"),
                                         F.first(delta).alias("delta"))
-        ok = kth.filter(((F.col("got") >= k) & (F.col("kth") <= F.col("delta"))) | F.lit(full)) \
-            .select("pid")
+        final = cells == 1
+        ok = kth.filter(((F.col("got") >= k) & (F.col("kth") <= F.col("delta"))) | F.lit(final)).select("pid")
+        if final:
+            ok = pending.select("pid")
         res = ranked.join(ok, "pid", "left_semi").select("pid", "nid", "dist", "rank")
+        # Written round by round so the next round does not recompute this one.
+        res = res.checkpoint(eager=True)
         done = res if done is None else done.unionByName(res)
-        pending = pending.join(ok, "pid", "left_anti")
-        if full or pending.limit(1).count() == 0:
+        if final:
+            break
+        pending = pending.join(ok, "pid", "left_anti").checkpoint(eager=True)
+        if pending.limit(1).count() == 0:
             break
-        r *= 2
+        cells = max(1, cells // 2)
     return done
 
 
