@@ -60,12 +60,12 @@ def ema_by_group(d: DataFrame, key: str, columns: list[str], spans: list[int]) -
     return d.groupBy(key, "_sub").applyInPandas(run, schema)
 
 
-def required_halo(groups, windows, lags, spans, ema_mode: str = "pandas") -> int:
+def required_halo(groups, windows, lags, spans) -> int:
     h = 0
     if "rolling" in groups:
         h = max(h, max(windows) - 1)
     if "ema" in groups:
-        h = max(h, ema_frame(max(spans)) if ema_mode == "fold" else ema_frame(max(spans)))
+        h = max(h, ema_frame(max(spans)))
     if "lag" in groups:
         h = max(h, max(lags))
     if "trend" in groups:
