@@ -267,7 +267,7 @@ def motor_class_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TIME_SQL = """
-SELECT event_id, hour(ts) AS hour,
+SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour,
   CASE WHEN hour(ts) >= 6 AND hour(ts) < 14 THEN 'morning'
        WHEN hour(ts) >= 14 AND hour(ts) < 22 THEN 'afternoon' ELSE 'night' END AS shift,
   CAST(hour(ts) BETWEEN 8 AND 18 AS INTEGER) AS is_working_hours,

@@ -317,7 +317,7 @@ def roc_auc_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CURVE_SQL = with_views(SENSOR, FLEET) + CURVE_CTES + """
-SELECT round(threshold, 6) AS threshold, tp, fp, round(tp / P, 6) AS tpr, round(fp / N, 6) AS fpr,
+SELECT round(threshold, 6) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / P, 6) AS tpr, round(fp / N, 6) AS fpr,
        round(tp / (tp + fp), 6) AS precision, round(tp / P, 6) AS recall
 FROM pts
 """
@@ -601,7 +601,7 @@ ATTR_SQL = with_views(SENSOR) + """
 , a AS (SELECT 'Power_W' AS feature, avg(abs(2e-4 * (Power_W - m1))) AS v FROM b, mu
         UNION ALL SELECT 'Wear_Torque', avg(abs(3.5e-4 * (Wear_Torque - m2))) FROM b, mu
         UNION ALL SELECT 'wear', avg(abs(1e-2 * (wear - m3))) FROM b, mu)
-SELECT feature, round(v, 6) AS mean_abs_attribution, row_number() OVER (ORDER BY v DESC) AS rank FROM a
+SELECT feature, round(v, 6) AS mean_abs_attribution, CAST(row_number() OVER (ORDER BY v DESC) AS INTEGER) AS rank FROM a
 """
 
 

@@ -382,7 +382,7 @@ def _profile_sql() -> str:
     parts = []
     for t in TABLES:
         parts.append(f"SELECT '{t}' AS \"table\", count(*) AS rows, "
-                     f"(SELECT count(*) FROM (DESCRIBE {t})) AS columns, "
+                     f"CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INTEGER) AS columns, "
                      f"(SELECT count(*) > 0 FROM (DESCRIBE {t}) WHERE lower(column_name) IN ('failure', 'target', 'label')) AS has_target FROM {t}")
     return " UNION ALL ".join(parts)
 
