@@ -17,7 +17,7 @@ from motorsight.plans.registry import load_all  # noqa: E402
 from motorsight.session import get_spark  # noqa: E402
 
 HEADLINE = [
-    "fleet_risk", "physics_features", "risk_scales", "feature_pipeline", "rolling_stats",
+    "fleet_risk", "physics_features", "risk_scales", "ordered_feature_set", "rolling_stats",
     "ema_spans", "time_to_failure", "seven_day_window", "roc_auc", "ks_drift",
     "threshold_sweep", "alarm_labels", "plant_assembly", "diagnostic_report",
 ]
