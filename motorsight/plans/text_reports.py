@@ -21,7 +21,9 @@ from ..sources.tables import TABLES, Tables
 from .joins_sets import model_scores
 from .registry import register
 from .rowwise import KEYS, fleet_scored
-from .sql_views import FLEET_PROB, SENSOR, with_views
+from .sql_views import FLEET_PROB, RISK_FR, SENSOR, with_views
+
+RISK_FR_SQL = RISK_FR.format(p='p')
 
 def _q(s: str) -> str:
     return s.replace("'", "''")
@@ -392,3 +394,34 @@ def dataset_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, columns and has-target for every input table, as one union."""
     t = Tables(spark, sf_dir)
     return RD.profile({name: getattr(t, name) for name in TABLES})
+
+
+API_SQL = with_views(SENSOR) + f"""
+, f AS (SELECT *, {FLEET_PROB} AS p FROM sensor)
+SELECT {RISK_FR_SQL} AS risk_level, count(*) AS n, round(avg(round(p * 100, 2) / 100), 6) AS mean_prob,
+       CAST(sum(CASE WHEN p >= 4.2e-1 THEN 1 ELSE 0 END) AS BIGINT) AS positives FROM f GROUP BY ALL
+"""
+
+
+@register("api_records", API_SQL, ids=("F28", "P5", "M20"))
+def api_records_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API-style records (open sensor map as JSON) -> canonical sensors -> aligned features ->
+    nested prediction records as JSON -> parsed back and counted per risk level."""
+    from pyspark.sql.types import MapType, StringType, DoubleType as D
+    s = Tables(spark, sf_dir).sensor
+    as_map = s.select("machine_id", "ts", F.to_json(F.create_map(
+        F.lit("AmbientTemp"), F.col("air_k") - 273.15, F.lit("MotorTemp"), F.col("proc_k") - 273.15,
+        F.lit("Speed_RPM"), F.col("rpm"), F.lit("Torque_Nm"), F.col("torque"),
+        F.lit("Tool wear [min]"), F.col("wear"))).alias("sensors_json"))
+    parsed = as_map.withColumn("sensors", F.from_json("sensors_json", MapType(StringType(), D())))
+    canon = ph.sensors_from_map(parsed, "sensors", keep=["machine_id", "ts"])
+    canon = ph.apply_defaults(canon, fv.PRODUCTION_RPM_MEAN)
+    feats = ph.align_features(ph.physics_features(canon, fv.PRODUCTION_RPM_MEAN, keep=["machine_id", "ts"] + ph.SENSORS),
+                              ph.FEATURE_COLUMNS, keep=["machine_id", "ts"] + ph.SENSORS)
+    p = R.sigmoid(R.linear_logit({"Power_W": 2e-4, "Wear_Torque": 3.5e-4, "Tool_wear__min": 1e-2}, R.FLEET_INTERCEPT))
+    rec = SC.records_to_json(SC.prediction_records(feats, p))
+    back = rec.select(F.from_json("json", "risk_level string, failure_probability_pct double, "
+                                          "binary_prediction int").alias("r")).select("r.*")
+    return back.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"),
+                                          round6(F.avg(F.col("failure_probability_pct") / 100)).alias("mean_prob"),
+                                          F.sum("binary_prediction").cast("long").alias("positives"))
