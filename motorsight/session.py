@@ -20,7 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # 128 MB input splits keep one task's scan well inside executor memory.
+    # 128 MB input splits keep one task's scan well inside executor memory; AQE
+    # coalesces or splits shuffle partitions toward the same size, so the static
+    # shuffle.partitions only needs to be an upper bound.
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
 
@@ -30,6 +32,11 @@ RUNTIME_SQL_CONF = {
     # projections (36-160 columns) would then run interpreted (measured 18x
     # slower).  Above this size Spark falls back to split, JIT-able functions.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    # Streaming state (windows, dedup, stream-stream join, EMA state) in RocksDB:
+    # off the JVM heap, checkpointed incrementally.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
