@@ -28,7 +28,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [a for a in sys.argv[1:]]
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "6g")})
+                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "4g")})
     spark.sparkContext.setLogLevel("ERROR")
     reg = load_all()
     names = only or [n for n in HEADLINE if n in reg]
