@@ -176,13 +176,18 @@ def permutation_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("isolation_forest", None, ids=("M5", "P18"))
 def isolation_forest_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isolation forest (100 trees, 256 rows each) on raw sensors; flagged share at 0.05."""
-    s = Tables(spark, sf_dir).sensor
+    """Isolation forest (100 trees, 256 rows each) on raw sensors, offset at contamination 0.05,
+    and every reading routed by status (validation error / sensor anomaly / scored)."""
+    from ..operators.scoring import prediction_records
+    from .rowwise import fleet_scored
+    s = fleet_scored(Tables(spark, sf_dir))
     forest = ISO.fit(s, RAW, SPLIT_KEYS, trees=100)
     d, offset = ISO.decision(ISO.score(s, forest, RAW), 0.05)
-    return d.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("anomaly_score") < 0).alias("outliers"),
-                 F.count_if(F.col("anomaly_score") < fv.ANOMALY_SCORE_LIMIT).alias("sensor_anomalies"),
-                 F.lit(offset).alias("offset"))
+    # P18 routing with the anomaly guard: validation error, sensor anomaly, or scored.
+    rec = prediction_records(d, F.col("p"), anomaly_score=F.col("anomaly_score"), keep=["anomaly_score"])
+    return rec.groupBy("status").agg(F.count(F.lit(1)).alias("rows"),
+                                     F.count_if(F.col("anomaly_score") < 0).alias("outliers"),
+                                     F.lit(offset).alias("offset"))
 
 
 @register("model_registry", None, ids=("M19",))
