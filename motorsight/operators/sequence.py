@@ -8,8 +8,9 @@ plan here splits such hot keys into contiguous sub-ranges of the order column:
    two columns) finds keys with an estimated count above ``chunk_rows`` and
    picks sub-range boundaries from the sample's quantiles of the first order
    column.  Keys that are not hot keep a single sub-range (0).
-2. ``_sub`` comes from a literal map of those boundaries (its size is bounded by
-   the sample), so the assignment is deterministic and survives task retries.
+2. ``_sub`` comes from a literal CASE over the hot keys, each with a balanced
+   comparison tree over its boundaries (size bounded by the sample), so the
+   assignment is deterministic and survives task retries.
 3. ``row_number`` inside (key, _sub) plus an exclusive prefix sum of the
    sub-range counts (a small table: one row per key and sub-range) gives the
    exact position ``_rn`` inside the key.
