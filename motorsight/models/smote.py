@@ -106,8 +106,9 @@ def smote(df: DataFrame, features: list[str], label: str = "label", keys: list[s
         return df.withColumn("synthetic", F.lit(0))
     ratio = (counts[maj] - counts[mino]) / counts[mino]
     minority = df.filter(F.col(label) == mino)
+    # Written once: every kNN round reads the same deduplicated points.
     distinct = minority.select(*features).distinct() \
-        .withColumn("pid", F.xxhash64(*features))
+        .withColumn("pid", F.xxhash64(*features)).checkpoint(eager=True)
     nn = exact_knn(distinct, features, k)
     nvec = distinct.select(F.col("pid").alias("nid"), *[F.col(f).alias(f"n_{f}") for f in features])
     nb = nn.join(nvec, "nid").groupBy("pid").agg(
