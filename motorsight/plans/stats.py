@@ -454,7 +454,7 @@ FROM m r, m l, v WHERE r.is_ref AND NOT l.is_ref
 """
 
 
-@register("retrain_decision", RETRAIN_SQL.replace("WITH sensor AS", "WITH sensor AS", 1), ids=("A31",))
+@register("retrain_decision", RETRAIN_SQL, ids=("A31",))
 def retrain_decision_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrain when >= 100 new labelled rows lost >= 0.05 F1, or drift is CRITICAL."""
     f = _fleet(spark, sf_dir).withColumn("is_ref", F.col("l_linestatus") == "F")

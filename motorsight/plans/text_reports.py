@@ -169,7 +169,7 @@ FROM d
 """
 
 
-@register("daily_summary", SUMMARY_SQL.replace("Résumé", "Résumé"), ids=("R4", "A26"))
+@register("daily_summary", SUMMARY_SQL, ids=("R4", "A26"))
 def daily_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily summary message: critical alerts and machines at risk per day."""
     d = ST.fleet_by_day(fleet_scored(Tables(spark, sf_dir)), "machine_id", "ts")
