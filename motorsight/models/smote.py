@@ -18,7 +18,6 @@ Exact k-nearest neighbours without an all-pairs join:
 from __future__ import annotations
 
 import itertools
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -12,7 +12,7 @@ from ..functions import rules as R
 from ..functions.numeric import round6, round_half_away
 from ..operators import metrics as MT
 from ..operators import stats as ST
-from ..sources.tables import SENSOR_ORDER, TELEMETRY_ORDER, Tables
+from ..sources.tables import SENSOR_ORDER, Tables
 from .registry import register
 from .rowwise import fleet_scored
 from .sql_views import FLEET_PROB, RISK_FR, SENSOR, TELEMETRY, with_views

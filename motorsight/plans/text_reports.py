@@ -18,7 +18,6 @@ from ..operators import scoring as SC
 from ..operators import stats as ST
 from ..sources import readers as RD
 from ..sources.tables import TABLES, Tables
-from .joins_sets import model_scores
 from .registry import register
 from .rowwise import KEYS, fleet_scored
 from .sql_views import FLEET_PROB, RISK_FR, SENSOR, with_views
@@ -380,7 +379,6 @@ def reading_admissibility_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _profile_sql() -> str:
-    import pyarrow.parquet as pq  # schema facts only (column names), no data
     parts = []
     for t in TABLES:
         parts.append(f"SELECT '{t}' AS \"table\", count(*) AS rows, "

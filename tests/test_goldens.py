@@ -1,9 +1,7 @@
 """Golden rows (rule fields) and edge rows from FIXTURES.md sections C and D."""
 
-import math
 import os
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 

@@ -1,7 +1,6 @@
 """File sources: JSON arrays, run-to-failure text with trailing blanks, alarm logs with either separator."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
