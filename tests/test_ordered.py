@@ -85,3 +85,21 @@ def test_row_index_split(spark):
     a = T.row_index(tel, "machine_id", TELEMETRY_ORDER, splits=splits, with_count=True)
     b = T.row_index(tel, "machine_id", TELEMETRY_ORDER, splits={}, with_count=True)
     assert rows(a, "event_id", "rn", "n") == rows(b, "event_id", "rn", "n")
+
+
+def test_machine_with_a_third_of_all_rows(spark):
+    """A third of the readings moved to one machine: split plan == plain window."""
+    from conftest import SF_MID
+    s = Tables(spark, SF_MID).sensor.select("machine_id", *SENSOR_ORDER, "torque", "wear", "label")
+    hot = s.withColumn("machine_id", F.when(F.col("machine_id") % 3 == 0, F.lit(0)).otherwise(F.col("machine_id")))
+    n_hot = hot.filter("machine_id = 0").count()
+    assert n_hot > hot.count() / 4
+    splits = S.plan_splits(hot, "machine_id", "ts", chunk_rows=5_000, sample_rows=20_000)
+    assert list(splits) == [0] and len(splits[0]) >= 3          # only the hot machine is split
+    kw = dict(groups=("rolling", "lag", "degradation"), failure_col="label", fill_columns=["wear"])
+    a = T.ordered_features(hot, "machine_id", SENSOR_ORDER, ["torque"], splits=splits, **kw)
+    b = T.ordered_features(hot, "machine_id", SENSOR_ORDER, ["torque"], splits={}, **kw)
+    feats = [c for c in a.columns if c not in hot.columns]
+    def rounded(df):
+        return rows(df.select("machine_id", *SENSOR_ORDER, *[F.round(F.col(c), 6).alias(c) for c in feats]))
+    assert rounded(a) == rounded(b)
