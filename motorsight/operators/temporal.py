@@ -101,6 +101,7 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
     rn = F.col("_rn")
     phase_a: dict[str, Column] = {}
     need_nn: set[str] = set()
+    need_pos: set[str] = set()
     specs: dict[str, tuple] = {}
     finals: dict[str, Column] = {}
 
@@ -122,7 +123,10 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
             # descending growing frame, O(n); a frame reaching UNBOUNDED FOLLOWING
             # with a moving start would be O(n^2) per partition).
             specs[f"{c}__first"] = (F.min_by(x, F.when(x.isNotNull(), rn)), "first_after", None)
+            specs[f"{c}__firstpos"] = (F.min(F.when(x.isNotNull(), rn)), "min_after", None)
+            specs["__len"] = (F.max(rn), "key", "max")
             need_nn.add(c)
+            need_pos.add(c)
             for k in lags:
                 phase_a[f"_{c}_lag_{k}"] = F.lag(x, k).over(w)
         if "trend" in groups:
@@ -162,6 +166,8 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
     # growing frame over the descending order of the same partition.
     rev = Window.partitionBy(key, "_sub").orderBy(F.col("_rn").desc()).rowsBetween(UNB_P, 0)
     rev_cols = {f"_{c}_nn": F.last(F.col(c), ignorenulls=True).over(rev) for c in sorted(need_nn)}
+    rev_cols.update({f"_{c}_nnpos": F.last(F.when(F.col(c).isNotNull(), F.col("_rn")), ignorenulls=True).over(rev)
+                     for c in sorted(need_pos)})
     if failure_col:
         rev_cols["_next_fail"] = rev_fail.over(rev)
     if rev_cols:
@@ -172,6 +178,8 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
                 # Rows k or fewer from the machine's start look back past it: first non-null overall.
                 phase_a[f"_{c}_lagfill_{k}"] = F.when(rn > k, F.lag(F.col(f"_{c}_nn"), k).over(w)) \
                     .otherwise(F.first(F.col(f"_{c}_nn")).over(o.frame(UNB_P, 0)))
+                phase_a[f"_{c}_lagpos_{k}"] = F.when(rn > k, F.lag(F.col(f"_{c}_nnpos"), k).over(w)) \
+                    .otherwise(F.first(F.col(f"_{c}_nnpos")).over(o.frame(UNB_P, 0)))
     for c in fill_columns:
         phase_a[f"_{c}_bfill"] = F.col(f"_{c}_nn")
     # EMA (Arrow-batched pandas recursion) on the same (key, _sub) partitioning.
@@ -196,8 +204,14 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
     for c in columns:
         if "lag" in groups:
             for k in lags:
-                out[f"{c}_lag_{k}"] = F.coalesce(F.col(f"_{c}_lag_{k}"), F.col(f"_{c}_lagfill_{k}"),
-                                                  F.col(f"_c_{c}__first"), F.lit(0.0))
+                # Back-fill takes the next non-null value of the lag column itself: the
+                # next non-null reading at p >= r - k, which lag k carries only if
+                # p <= L - k (L = rows of the machine); otherwise the gap stays 0.
+                last_src = F.col("_c___len") - k
+                pos, carried_pos = F.col(f"_{c}_lagpos_{k}"), F.col(f"_c_{c}__firstpos")
+                fill = F.when(pos.isNotNull(), F.when(pos <= last_src, F.col(f"_{c}_lagfill_{k}"))) \
+                    .otherwise(F.when(carried_pos <= last_src, F.col(f"_c_{c}__first")))
+                out[f"{c}_lag_{k}"] = F.coalesce(F.col(f"_{c}_lag_{k}"), fill, F.lit(0.0))
         if "degradation" in groups:
             out[f"{c}_deviation_from_baseline"] = F.col(f"_{c}_dev")
             out[f"{c}_cumulative_deviation"] = F.col(f"_{c}_cumdev") + F.col(f"_c_{c}__dev")
