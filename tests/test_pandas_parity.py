@@ -64,3 +64,75 @@ def test_lags_and_fill_with_gaps_match_pandas(spark, xs):
         a = got[name].to_numpy(dtype="float64")
         b = series.to_numpy(dtype="float64")
         assert ((np.isnan(a) & np.isnan(b)) | np.isclose(a, b, rtol=1e-12, atol=0)).all(), (name, xs, list(a))
+
+
+import re  # noqa: E402
+
+from motorsight.functions import text as TX  # noqa: E402
+from motorsight.operators import stats as ST  # noqa: E402
+
+
+def _ocr_python(text):
+    cleaned = text.strip().replace(" ", "").replace(",", ".")
+    m = re.findall(r"[-+]?\d*\.?\d+", cleaned)
+    return float(m[0]) if m else None
+
+
+ocr_text = st.text(alphabet=list("0123456789٠١٢٣٤٥٦٧٨٩ ,.-+abcK°:\t"), min_size=0, max_size=25)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(ocr_text, min_size=1, max_size=20))
+def test_ocr_number_matches_python_rule(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(TX.ocr_number("t")).collect()]
+    assert got == [_ocr_python(t) for t in texts]
+
+
+def test_describe_and_sequential_iqr_match_pandas(spark):
+    rng = np.random.default_rng(7)
+    data = pd.DataFrame({"a": rng.normal(50, 10, 400).round(2), "b": rng.exponential(5, 400).round(2)})
+    df = spark.createDataFrame(data)
+    d = {r["column"]: r for r in ST.describe(df, ["a", "b"]).collect()}
+    want = data.describe()
+    for c in ["a", "b"]:
+        for ours, theirs in [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+                             ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")]:
+            assert np.isclose(float(d[c][ours]), want.loc[theirs, c], rtol=1e-12)
+    kept = data.copy()
+    for c in ["a", "b"]:                      # the reference's loop: columns in sequence
+        q1, q3 = kept[c].quantile(0.25), kept[c].quantile(0.75)
+        kept = kept[(kept[c] >= q1 - 1.5 * (q3 - q1)) & (kept[c] <= q3 + 1.5 * (q3 - q1))]
+    got = ST.iqr_filter(df, ["a", "b"], sequential=True).toPandas()
+    assert sorted(map(tuple, got[["a", "b"]].to_numpy())) == sorted(map(tuple, kept[["a", "b"]].to_numpy()))
+
+
+from motorsight import fixed_values as fv  # noqa: E402
+
+
+def _speech_python(text, lang):
+    if lang.startswith("ar"):
+        words, src = fv.NUMBER_WORDS_AR, text
+    elif lang.startswith("fr"):
+        words, src = fv.NUMBER_WORDS_FR, text.lower()
+    else:
+        words, src = fv.NUMBER_WORDS_EN, text.lower()
+    d = re.findall(r"\d+\.?\d*", src)
+    if d:
+        return float(d[0])
+    for w in src.split():
+        if w in words:
+            return float(words[w])
+    return None
+
+
+vocab = ["Twenty", "five", "cent", "quatre-vingt", "خمسة", "وسبعين", "mille", "1.5", "٧٥", "12", "x", "Zéro", "ZERO"]
+utter = st.lists(st.sampled_from(vocab), min_size=0, max_size=5).map(" ".join)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(utter, st.sampled_from(["ar", "fr", "en", "de"])), min_size=1, max_size=15))
+def test_speech_number_matches_python_rule(spark, items):
+    df = spark.createDataFrame(items, "t string, lang string")
+    got = [r[0] for r in df.select(TX.speech_number("t", "lang")).collect()]
+    assert got == [_speech_python(t, lang) for t, lang in items]
