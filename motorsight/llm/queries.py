@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, records
+from . import linededup, packing, quality, records, simhash
 from .common import new_folder, table
 
 WORD_END_ID = 1
 BYTE_END_ID = 0
 SEQUENCE_TOKENS = 2048
+SIMHASH_SHINGLE = 3
+SIMHASH_RADIUS = 3
 
 
 def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,22 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every document and link fingerprints of at most 3 differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_RADIUS)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every whole document by the base rules and the compression bands."""
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove later occurrences of three-line windows from every document."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), removed_col="n_removed_lines")
+    return out.select("doc_id", "text", "n_removed_lines")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into as few sequences of 2048 tokens as the matching finds."""
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
@@ -32,7 +50,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_records": op4_records,
+    "op5_simhash": op5_simhash,
+    "op7_quality": op7_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_line_dedup": """
+WITH lines AS (
+  SELECT d.doc_id, u.at - 1 AS at, u.line, trim(u.line, ' ' || chr(9) || chr(13)) AS word
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) d,
+       LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line,
+                       generate_subscripts(string_split(d.text, chr(10)), 1) AS at) u),
+windows AS (
+  SELECT * FROM (
+    SELECT doc_id, at AS a, lead(at, 2) OVER w AS b, word AS x, lead(word) OVER w AS y, lead(word, 2) OVER w AS z
+    FROM lines WHERE word <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY at))
+  WHERE b IS NOT NULL),
+later AS (
+  SELECT * FROM (SELECT doc_id, a, b, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, a) AS n FROM windows)
+  WHERE n > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.at FROM lines l JOIN later r ON l.doc_id = r.doc_id AND l.at BETWEEN r.a AND r.b),
+kept AS (
+  SELECT l.doc_id, string_agg(CASE WHEN g.at IS NULL THEN l.line END, chr(10) ORDER BY l.at) AS text, count(g.at) AS gone
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.at = g.at GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(k.gone, 0)::BIGINT AS n_removed_lines
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+}
