@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
+from .tokens import WordEncoder, slices
 
-ROWS_AT_ONCE = 1000
 #: Rows of one length and chunk that one window group holds, at most.
 CHUNK_ROWS = 1 << 16
 
@@ -45,17 +45,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import TokenMemo
-
-        memo, end = TokenMemo(tokenizer, mode, 4), end_id.to_bytes(4, "little")
+        encoder, end = WordEncoder(tokenizer, mode), end_id.to_bytes(4, "little")
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(k, ROWS_AT_ONCE)
-                ids = memo.encode([t or "" for t in part.column(1).to_pylist()])
+            for part in slices(batch, 1):
+                ids = encoder.encode(part.column(1))
+                blob, stop = ids.flat.astype("<u4").tobytes(), (4 * np.cumsum(ids.size)).tolist()
                 doc, piece, start, length, blobs = [], [], [], [], []
-                for key, x in zip(part.column(0).to_pylist(), ids, strict=True):
-                    n = len(x) // 4 + 1
-                    x += end
+                for key, first, last in zip(part.column(0).to_pylist(), [0, *stop], stop):
+                    x = blob[first:last] + end
+                    n = len(x) // 4
                     a, b, i = 0, n % capacity or min(n, capacity), 0
                     while a < n:
                         doc.append(key), piece.append(i), start.append(a), length.append(b - a)

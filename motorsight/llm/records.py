@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_folder, stage
+from .tokens import WordEncoder, slices
 
 INDEX_SCHEMA = "part long, file string, seq long, offset long, length long, doc_id long, local_start long, n_tokens long"
-ROWS_AT_ONCE = 1000
 READ_AT_ONCE = 4 << 20
 _BLOCK = 512
 _MASK_DELTA = 0xA282EAD8
@@ -132,27 +132,26 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, mode: str, end_i
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import TokenMemo
-
-        memo, out, at, start, seq = TokenMemo(tokenizer, mode, width), None, 0, 0, 0
+        encoder, out, at, start, seq = WordEncoder(tokenizer, mode), None, 0, 0, 0
         end = end_id.to_bytes(width, "little")
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tfrecord"
         try:
             for batch in batches:
-                for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    piece = batch.slice(k, ROWS_AT_ONCE)
+                for piece in slices(batch, 1):
                     keys = piece.column(0).to_pylist()
-                    ids = memo.encode(piece.column(1).to_pylist())
+                    ids = encoder.encode(piece.column(1))
+                    blob = memoryview(ids.flat.astype(f"<u{width}").tobytes())
+                    stop = (np.cumsum(ids.size) * width).tolist()
                     heads = [bytes((width, key is None)) + (key or 0).to_bytes(8, "little", signed=True) for key in keys]
-                    found = frames([h + x + end for h, x in zip(heads, ids, strict=True)])
+                    found = frames([b"".join((h, blob[a:b], end)) for h, a, b in zip(heads, [0, *stop], stop)])
                     if out is None:
                         store, base = fs.FileSystem.from_uri(folder)
                         store.create_dir(f"{base}/data", recursive=True)
                         out = store.open_output_stream(f"{base}/data/{name}")
                     out.write(b"".join(found))
                     size = np.array([len(f) for f in found], np.int64)
-                    count = np.array([len(x) // width + 1 for x in ids], np.int64)
+                    count = ids.size + 1
                     rows = len(keys)
                     yield pa.RecordBatch.from_pydict({
                         "part": pa.array([part] * rows, pa.int64()), "file": pa.array([name] * rows),

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,24 +15,38 @@ from tokenizers import Tokenizer
 
 from motorsight.llm import packing, queries, records
 from motorsight.llm.common import new_folder
-from motorsight.llm.tokens import TokenMemo
+from motorsight.llm.tokens import WordEncoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
 ODD = "ab Zz\n\t\r\x0b\x1c\x1f é İΣσ's'LL.,!$%#<|>019_中\U0001f600  ́"
-MEMOS = {}
+ENCODERS = {}
 
 
-def memo(mode):
-    return MEMOS.setdefault(mode, TokenMemo({"word": WORD, "byte": BYTE}[mode], mode, 4, 500))
+def encoder(mode):
+    if mode not in ENCODERS:
+        ENCODERS[mode] = WordEncoder({"word": WORD, "byte": BYTE}[mode], mode)
+    return ENCODERS[mode]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=ODD, max_size=40) | st.text(max_size=30), max_size=5), st.sampled_from(["word", "byte"]))
-def test_memo_gives_the_librarys_ids(texts, mode):
-    own = memo(mode)
-    expected = [e.ids for e in own.tok.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == expected
+@given(st.lists(st.none() | st.text(alphabet=ODD, max_size=40) | st.text(max_size=30), max_size=5), st.sampled_from(["word", "byte"]))
+def test_word_encoder_gives_the_librarys_ids(texts, mode):
+    own = encoder(mode)
+    expected = [e.ids for e in own.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    got = own.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(got.size)
+    assert [got.flat[b - n: b].tolist() for b, n in zip(ends, got.size)] == expected
+
+
+def test_word_encoder_on_the_fixture_texts(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for mode in ("word", "byte"):
+        own = encoder(mode)
+        got = own.encode(pa.array(texts, pa.string()))
+        expected = [e.ids for e in own.tok.encode_batch(texts, add_special_tokens=False)]
+        assert got.flat.tolist() == [x for ids in expected for x in ids]
+        assert got.size.tolist() == [len(ids) for ids in expected]
 
 
 def test_crc32c_known_values_and_lengths():
