@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, quality, records, simhash
+from . import linededup, packing, quality, records, simhash, toxicity
 from .common import new_folder, table
 
 WORD_END_ID = 1
@@ -16,6 +16,11 @@ SIMHASH_SHINGLE = 3
 SIMHASH_RADIUS = 3
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole document by two character models learned from the labels."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids as framed binary records and read them back through the index."""
     folder = new_folder(spark, "op4")
@@ -49,6 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_records": op4_records,
     "op5_simhash": op5_simhash,
     "op7_quality": op7_quality,
