@@ -18,7 +18,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
 
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table.
 
     Cuts lineage: a later loss of an executor re-reads the files instead of
@@ -26,7 +26,7 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
