@@ -20,7 +20,7 @@ Scale: the texts of labelled rows are shuffled once, to meet their labels; grams
 in each task before the shuffle.  Characters are folded to 12 bits, so a gram of five is a
 60-bit number and its context and suffix are shifts of it.  For scoring, the grams of an order
 go to 2**SLOT_BITS slots; of several grams in one slot the most frequent stays, and the others are
-scored by their next lower order, as unseen ones are.  This bounds the broadcast at 86 MB at
+scored by their next lower order, as unseen ones are.  This bounds the broadcast at 59 MB at
 any input size.  Scoring needs no shuffle.
 
 Defined results: null and empty texts have x = 0; documents with a null id train nothing and
@@ -47,7 +47,7 @@ ORDER = 5
 SHARED = 2
 CHAR_BITS = 12
 #: log2 of the slots of each order's table, from order 1; order 1 is exact.
-SLOT_BITS = (12, 16, 18, 20, 22)
+SLOT_BITS = (12, 16, 18, 20, 21)
 PRIOR_CHARS = 300
 CALIBRATION_ROWS = 20_000
 #: Slope and middle of the logistic function when there is nothing to fit it on.
@@ -290,9 +290,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     aside = F.floor(F.crc32(F.col("id").cast("string")) / 3) % 8 == 0
     known = known.filter(~held_out("id"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(~held_out("id"))
+    known = known.hint("merge")  # neither side is bounded, so neither is broadcast at any size
     counted = stage(count_grams(known.filter(~aside).join(texts.filter(~aside), "id").select("label", "text")), "grams")
     model = Model(spark.sparkContext.broadcast(load(model_rows(counted))), *DEFAULT_FIT)
-    sample = known.filter(aside).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS)
+    sample = known.filter(aside).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).hint("merge")
     rows = sample.join(texts.filter(aside), "id").select("label", model.value("text").alias("x")).collect()
     if rows:
         model.slope, model.middle = fit(np.array([r.x for r in rows]), np.array([r.label for r in rows], float))
