@@ -4,13 +4,13 @@ A ``Window.partitionBy(machine)`` keeps each machine in one task, so a machine
 holding a third of all rows would become a third of the job in one task.  The
 plan here splits such hot keys into contiguous sub-ranges of the order column:
 
-1. A seeded, bounded sample (driver receives at most ``sample_rows`` rows of
-   two columns) finds keys with an estimated count above ``chunk_rows`` and
-   picks sub-range boundaries from the sample's quantiles of the first order
-   column.  Keys that are not hot keep a single sub-range (0).
-2. ``_sub`` comes from a literal CASE over the hot keys, each with a balanced
-   comparison tree over its boundaries (size bounded by the sample), so the
-   assignment is deterministic and survives task retries.
+1. An exact count per key finds the keys above ``chunk_rows``; approximate quantiles of
+   the first order column give the boundaries of their sub-ranges.  Both are
+   aggregations with map-side combine.  Keys that are not hot keep a single
+   sub-range (0).
+2. Keys and boundaries are a written table that is joined (null-safe: rows without a key
+   are a key of their own), so the assignment is the same in every retry and no key
+   becomes a literal of the plan.
 3. ``row_number`` inside (key, _sub) plus an exclusive prefix sum of the
    sub-range counts (a small table: one row per key and sub-range) gives the
    exact position ``_rn`` inside the key.
@@ -26,17 +26,28 @@ plain window would be.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.numeric import bucket_index
+from ..session import scratch_path
 
 DEFAULT_CHUNK_ROWS = 2_000_000
-DEFAULT_SAMPLE_ROWS = 200_000
-SEED = 42
+#: A split table up to this many boundaries is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BOUNDS = 1_000_000
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the right side's keys are dropped."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def split_value(df: DataFrame, col: str) -> Column:
@@ -47,38 +58,28 @@ def split_value(df: DataFrame, col: str) -> Column:
     return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
 
 
-def plan_splits(df: DataFrame, key: str, first_order: str, chunk_rows: int,
-                sample_rows: int = DEFAULT_SAMPLE_ROWS) -> dict:
-    """Find hot keys and their sub-range boundaries from a bounded seeded sample.
-
-    Returns {key value: [boundary, ...]} (ascending).  Empty when no key is hot.
-    """
-    total = df.count()
-    if total <= chunk_rows:
-        return {}
-    fraction = min(1.0, sample_rows / total)
-    sv = split_value(df, first_order)
-    sample = df.select(F.col(key).alias("k"), sv.alias("v")).sample(False, fraction, SEED)
-    # Hot keys first (a grouped count over the sample), then only their values.
-    min_hits = max(1, int(chunk_rows * fraction))
-    hot = sample.groupBy("k").count().filter(F.col("count") > min_hits)
-    rows = (sample.join(F.broadcast(hot), "k")
-            .groupBy("k").agg(F.first("count").alias("n"), F.sort_array(F.collect_list("v")).alias("vs"))
-            .collect())
-    plan = {}
-    for r in rows:
-        est = r["n"] / fraction
-        parts = int(math.ceil(est / chunk_rows))
-        vs = r["vs"]
-        bounds = sorted({vs[int(len(vs) * i / parts)] for i in range(1, parts)})
-        if bounds:
-            plan[r["k"]] = bounds
-    return plan
+def plan_splits(df: DataFrame, key: str, first_order: str, chunk_rows: int) -> DataFrame | None:
+    """The split table (key, _bounds) of the keys above ``chunk_rows``: ascending
+    sub-range boundaries of the first order column.  None when no key is hot."""
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows)
+    top = hot.agg(F.max("_n").alias("most"), F.count(F.lit(1)).alias("keys")).first()
+    if not top["keys"]:
+        return None
+    parts = int(math.ceil(top["most"] / chunk_rows))
+    values = null_safe_join(df.select(key, split_value(df, first_order).alias("_v")), hot.select(key), [key], "left_semi")
+    # One grid of quantiles for all hot keys, fine enough for the largest of them.
+    grid = [i / parts for i in range(1, parts)]
+    bounds = values.groupBy(key).agg(F.percentile_approx("_v", grid, max(10_000, 10 * parts)).alias("_bounds"))
+    bounds = bounds.select(key, F.array_sort(F.array_distinct("_bounds")).alias("_bounds")).filter(F.size("_bounds") > 0)
+    path = scratch_path(df.sparkSession, f"splits/{uuid.uuid4().hex}")
+    bounds.write.parquet(path)
+    table = df.sparkSession.read.schema(bounds.schema).parquet(path)
+    return F.broadcast(table) if top["keys"] * parts <= BROADCAST_BOUNDS else table
 
 
 @dataclass
 class Ordered:
-    """A DataFrame with ``_sub``, ``_rn`` and ``_halo`` plus its window spec."""
+    """A DataFrame with ``_sub``, ``_rn`` and ``_halo`` (split: ``_hot`` too) plus its window spec."""
     df: DataFrame
     key: str
     order: list[str]
@@ -99,26 +100,21 @@ class Ordered:
 
 
 def ordered(df: DataFrame, key: str, order: list[str], halo: int = 0,
-            chunk_rows: int = DEFAULT_CHUNK_ROWS, splits: dict | None = None) -> Ordered:
+            chunk_rows: int = DEFAULT_CHUNK_ROWS) -> Ordered:
     """Attach exact positions inside ``key`` (1-based ``_rn``) and halo copies."""
-    if splits is None:
-        splits = plan_splits(df, key, order[0], chunk_rows)
+    splits = plan_splits(df, key, order[0], chunk_rows)
     order_cols = [F.col(c).asc_nulls_first() for c in order]
-    if not splits:
+    if splits is None:
         w = Window.partitionBy(key).orderBy(*order_cols)
         out = df.withColumn("_sub", F.lit(0)).withColumn("_rn", F.row_number().over(w)) \
             .withColumn("_halo", F.lit(False))
         return Ordered(out, key, order, halo, False)
 
-    keys_type = df.schema[key].dataType
     sv = split_value(df, order[0])
-    sub = None
-    for k, b in splits.items():
-        cond = F.col(key) == F.lit(k).cast(keys_type)
-        idx = bucket_index(sv, [float(v) for v in b], strict=False)
-        sub = F.when(cond, idx) if sub is None else sub.when(cond, idx)
-    sub = sub.otherwise(F.lit(0))
-    d = df.withColumn("_sub", sub.cast("int"))
+    reached = F.size(F.filter("_bounds", lambda b: b <= sv))
+    d = null_safe_join(df, splits, [key], "left")
+    d = d.withColumn("_sub", F.when(F.col("_bounds").isNull(), 0).otherwise(reached).cast("int"))
+    d = d.withColumn("_hot", F.col("_bounds").isNotNull()).drop("_bounds")
     wl = Window.partitionBy(key, "_sub").orderBy(*order_cols)
     d = d.withColumn("_lrn", F.row_number().over(wl))
     counts = d.groupBy(key, "_sub").agg(F.count(F.lit(1)).alias("_n"))
@@ -127,8 +123,8 @@ def ordered(df: DataFrame, key: str, order: list[str], halo: int = 0,
     # Starts of all sub-ranges of the key (bounded: one entry per sub-range).
     starts = offs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
         (F.col("_off") + 1).alias("s"), F.col("_sub").alias("j")))).alias("_starts"))
-    offs = offs.join(starts, key)
-    d = d.join(offs.select(key, "_sub", "_off", "_starts"), [key, "_sub"])
+    offs = null_safe_join(offs, starts, [key])
+    d = null_safe_join(d, offs.select(key, "_sub", "_off", "_starts"), [key, "_sub"])
     d = d.withColumn("_rn", F.col("_off") + F.col("_lrn"))
     rn = F.col("_rn")
     targets = F.transform(F.filter("_starts", lambda s: (s["s"] > rn) & (s["s"] <= rn + halo)),
@@ -189,4 +185,4 @@ def carry(o: Ordered, df: DataFrame, specs: dict) -> DataFrame:
             raise ValueError(kind)
         cols.append(c.alias(f"_c_{n}"))
     summ = summ.select(o.key, "_sub", *cols)
-    return df.join(summ, [o.key, "_sub"], "left")
+    return null_safe_join(df, summ, [o.key, "_sub"], "left")

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from .. import fixed_values as fv
-from .sequence import DEFAULT_CHUNK_ROWS, Ordered, carry, ordered
+from .sequence import DEFAULT_CHUNK_ROWS, Ordered, carry, null_safe_join, ordered
 
 ALL_GROUPS = ("rolling", "ema", "lag", "trend", "degradation")
 UNB_P, UNB_F = Window.unboundedPreceding, Window.unboundedFollowing
@@ -26,46 +29,173 @@ def ema_frame(span: int, tol: float = 1e-16) -> int:
     return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
 
 
-def ema_column(x: str, o: Ordered, span: int) -> Column:
-    """Unadjusted EMA y0 = x0, y = (1-a) y + a x, as a fold over a bounded frame."""
-    alpha = 2.0 / (span + 1)
-    k = ema_frame(span)
-    hist = F.collect_list(F.col(x)).over(o.frame(-k, 0))
-    return F.aggregate(hist, F.lit(None).cast("double"),
-                       lambda y, v: F.coalesce(y * F.lit(1.0 - alpha) + v * F.lit(alpha), v))
+def _ewm(x, span: int):
+    return x.ewm(span=span, adjust=False).mean()
+
+
+def _from_state(x, rn, span: int, y0, p0):
+    """pandas ``ewm(adjust=False)`` of ``x`` at positions ``rn``, carried on from value ``y0`` last
+    reached at position ``p0`` (None: nothing before).  A gap lets the old value's weight decay."""
+    if y0 is None or np.isnan(y0):
+        return _ewm(x, span)
+    valid = np.flatnonzero(x.notna().to_numpy())
+    if not len(valid):
+        return x.where(x.notna(), y0)
+    alpha, first = 2.0 / (span + 1), valid[0]
+    old = (1 - alpha) ** (rn.iloc[first] - p0)
+    x = x.copy()
+    x.iloc[first] = (old * y0 + alpha * x.iloc[first]) / (old + alpha)
+    out = _ewm(x, span)
+    out.iloc[:first] = y0
+    return out
+
+
+def _ema_summary(d: DataFrame, key: str, columns: list[str], spans: list[int]) -> DataFrame:
+    """Per (key, _sub) and column: the first and last valid positions, the first value, and per
+    span the map y_last = a * y_first + b that the recursion makes between them."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn", kind="stable")
+        rows = []
+        for i, c in enumerate(columns):
+            x = pdf[c].astype("float64")
+            ok = x.notna()
+            if not ok.any():  # what came before goes on to the next sub-range
+                rows += [(pdf[key].iloc[0], pdf["_sub"].iloc[0], i, n, None, None, None, None, None) for n in spans]
+                continue
+            rn, v = pdf["_rn"][ok].to_numpy(), x[ok].to_numpy()
+            gaps = np.diff(rn)
+            for n in spans:
+                alpha = 2.0 / (n + 1)
+                old = (1 - alpha) ** gaps
+                a = float(np.prod(old / (old + alpha)))
+                y = float(_ewm(x, n)[ok].iloc[-1])
+                rows.append((pdf[key].iloc[0], pdf["_sub"].iloc[0], i, n, rn[0], rn[-1], v[0], a, y - a * v[0]))
+        names = [key, "_sub", "col", "span", "p1", "p2", "x1", "a", "b"]
+        return pd.DataFrame(rows, columns=names).astype({key: pdf[key].dtype, "p1": "Int64", "p2": "Int64"})
+
+    kind = d.schema[key].dataType
+    schema = StructType([StructField(key, kind), StructField("_sub", IntegerType()), StructField("col", IntegerType()),
+                         StructField("span", IntegerType()), StructField("p1", LongType()), StructField("p2", LongType()),
+                         StructField("x1", DoubleType()), StructField("a", DoubleType()), StructField("b", DoubleType())])
+    return d.filter(~F.col("_halo") & F.col("_hot")).select(key, "_sub", "_rn", *columns).groupBy(key, "_sub").applyInPandas(run, schema)
+
+
+def _ema_states(summary: DataFrame, key: str) -> DataFrame:
+    """Per (key, _sub), as an array over columns and spans: the value that earlier sub-ranges hand on,
+    and its position.  One row per sub-range goes through the fold, in order."""
+    each = F.struct("_sub", "p1", "p2", "x1", "a", "b")
+    subs = summary.groupBy(key, "col", "span").agg(F.array_sort(F.collect_list(each)).alias("s"))
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(None).cast("long").alias("p"),
+                     F.array().cast("array<struct<_sub:int,y:double,p:bigint>>").alias("out"))
+    alpha = 2.0 / (F.col("span") + 1)
+
+    def step(t, x):
+        old = F.pow(1 - alpha, (x["p1"] - t["p"]).cast("double"))
+        y1 = F.when(t["y"].isNull(), x["x1"]).otherwise((old * t["y"] + alpha * x["x1"]) / (old + alpha))
+        before = F.struct(x["_sub"].alias("_sub"), t["y"].alias("y"), t["p"].alias("p"))
+        return F.struct(F.when(x["p1"].isNull(), t["y"]).otherwise(x["a"] * y1 + x["b"]).alias("y"),
+                        F.when(x["p1"].isNull(), t["p"]).otherwise(x["p2"]).alias("p"),
+                        F.concat(t["out"], F.array(before)).alias("out"))
+
+    folded = subs.select(key, "col", "span", F.explode(F.aggregate("s", start, step)["out"]).alias("o"))
+    return folded.groupBy(key, F.col("o._sub").alias("_sub")).agg(
+        F.collect_list(F.struct("col", "span", "o.y", "o.p")).alias("_ema_states"))
 
 
-def ema_by_group(d: DataFrame, key: str, columns: list[str], spans: list[int]) -> DataFrame:
+def ema_by_group(o: Ordered, d: DataFrame, columns: list[str], spans: list[int]) -> DataFrame:
     """W5 in linear time: pandas ``ewm(span, adjust=False)`` inside each (key, _sub).
 
-    The recursion has no built-in Spark form cheaper than an O(n*frame) fold, so
-    this is the one Arrow-batched Python step of the ordered features.  Groups
-    are bounded by the sub-range size plus the halo (hot keys are split); the
-    recursion starts at the first halo row, where the truncated weight is below
-    1e-16 of the result.  Input partitioning (key, _sub) is reused, no shuffle.
+    The recursion has no built-in Spark form cheaper than an O(n*frame) fold, so this is the
+    one Arrow-batched Python step of the ordered features.  It is affine in its
+    starting value, so a sub-range of a split key starts from the exact state of the rows
+    before it, however long a gap is: one summary row per sub-range is folded in order.
     """
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
+    key = o.key
     names = [f"{c}_ema_{n}" for c in columns for n in spans]
-    schema = StructType(d.schema.fields + [StructField(n, DoubleType(), True) for n in names])
+    states = "_ema_states"
+    if o.split:
+        d = null_safe_join(d, _ema_states(_ema_summary(d, key, columns, spans), key), [key, "_sub"], "left")
+    else:
+        d = d.withColumn(states, F.lit(None).cast("array<struct<col:int,span:int,y:double,p:bigint>>"))
+    fields = [f for f in d.schema.fields if f.name != states]
+    schema = StructType(fields + [StructField(n, DoubleType(), True) for n in names])
 
-    def run(pdf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn", kind="stable")
-        for c in columns:
-            x = pdf[c].astype("float64")
+        given = pdf[states].iloc[0]
+        state = {(s["col"], s["span"]): (s["y"], s["p"]) for s in (given if given is not None else [])}
+        own = ~pdf["_halo"].astype(bool)
+        for i, c in enumerate(columns):
+            x, rn = pdf.loc[own, c].astype("float64"), pdf.loc[own, "_rn"]
             for n in spans:
-                pdf[f"{c}_ema_{n}"] = x.ewm(span=n, adjust=False).mean()
-        return pdf
+                y0, p0 = state.get((i, n), (None, None))
+                pdf[f"{c}_ema_{n}"] = _from_state(x, rn, n, y0, p0)  # copies of other sub-ranges stay empty
+        return pdf.drop(columns=states)
 
     return d.groupBy(key, "_sub").applyInPandas(run, schema)
 
 
-def required_halo(groups, windows, lags, spans) -> int:
+def _merge(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Count, mean, sum of squared deviations, min and max of two runs of rows (either may be empty)."""
+    na, nb = a["n"], b["n"]
+    n, step = na + nb, b["mean"] - a["mean"]
+
+    def pick(both: Column, name: str) -> Column:
+        return F.when(nb == 0, a[name]).when(na == 0, b[name]).otherwise(both)
+
+    return {"n": n, "mean": pick(a["mean"] + step * nb / n, "mean"), "m2": pick(a["m2"] + b["m2"] + step * step * na * nb / n, "m2"),
+            "min": F.least(a["min"], b["min"]), "max": F.greatest(a["max"], b["max"])}
+
+
+def rolling_moments(d: DataFrame, w, columns: list[str], windows: list[int]) -> DataFrame:
+    """Add moments of the last n rows for every n of ``windows``, each composed from shorter windows
+    through ``lag`` (30 rows = 14 + 14 + 1 + 1): a sliding frame would be aggregated anew for
+    every row.  They are columns ``_m_<column>_<n>_<moment>``."""
+    def one(c: str, back: int) -> dict[str, Column]:
+        x = (F.lag(c, back).over(w) if back else F.col(c)).cast("double")
+        return {"n": F.when(x.isNull(), 0.0).otherwise(1.0), "mean": x, "m2": F.when(x.isNotNull(), 0.0), "min": x, "max": x}
+
+    def block(names: dict[str, str], back: int) -> dict[str, Column]:
+        if not back:
+            return {k: F.col(v) for k, v in names.items()}
+        return {k: F.lag(v, back, 0.0 if k == "n" else None).over(w) for k, v in names.items()}
+
+    made: dict[tuple[str, int], dict[str, str]] = {}
+    for size in sorted(set(windows)):
+        shorter = [n for n in sorted(set(windows), reverse=True) if n < size]
+        # The lagged values first: one window step per size, over the one sort there is.
+        lags, recipe = {}, {}
+        for c in columns:
+            back, parts = 0, []
+            for n in [*shorter, 1]:
+                while size - back >= n:
+                    got = one(c, back) if n == 1 else block(made[c, n], back)
+                    names = {k: f"_b_{c}_{size}_{back}_{k}" for k in got}
+                    lags |= {names[k]: v for k, v in got.items()}
+                    parts.append(names)
+                    back += n
+            recipe[c] = parts
+        d = d.select("*", *[v.alias(k) for k, v in lags.items()])
+        out = {}
+        for c, parts in recipe.items():
+            total = {k: F.col(v) for k, v in parts[0].items()}
+            for i, names in enumerate(parts[1:]):
+                total = _merge(total, {k: F.col(v) for k, v in names.items()})
+                # Each partial result gets columns of its own, so that expressions stay small.
+                if i < len(parts) - 2:
+                    step = {k: f"_p_{c}_{size}_{i}_{k}" for k in total}
+                    d = d.select("*", *[v.alias(step[k]) for k, v in total.items()])
+                    total = {k: F.col(v) for k, v in step.items()}
+            made[c, size] = {k: f"_m_{c}_{size}_{k}" for k in total}
+            out |= {made[c, size][k]: v for k, v in total.items()}
+        d = d.select("*", *[v.alias(k) for k, v in out.items()]).drop(*lags)
+    return d
+
+
+def required_halo(groups, windows, lags) -> int:
     h = 0
     if "rolling" in groups:
         h = max(h, max(windows) - 1)
-    if "ema" in groups:
-        h = max(h, ema_frame(max(spans)))
     if "lag" in groups:
         h = max(h, max(lags))
     if "trend" in groups:
@@ -78,8 +208,7 @@ def required_halo(groups, windows, lags, spans) -> int:
 def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[str], *,
                      groups=ALL_GROUPS, windows=None, lags=None, failure_col: str | None = None,
                      fill_columns: list[str] = (), ffill_columns: list[str] = (), keep_rn: bool = False,
-                     ema_mode: str = "pandas",
-                     chunk_rows: int = DEFAULT_CHUNK_ROWS, splits: dict | None = None) -> DataFrame:
+                     chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """The ordered feature set for explicit base ``columns`` in one pass.
 
     Per column: rolling mean/std/min/max and EMA for each window (W1-W5), lags
@@ -94,8 +223,8 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
     windows = list(windows or fv.ROLLING_WINDOWS)
     lags = list(lags or fv.LAGS)
     groups = set(groups)
-    halo = required_halo(groups, windows, lags, windows)
-    o = ordered(df, key, order, halo, chunk_rows, splits)
+    halo = required_halo(groups, windows, lags)
+    o = ordered(df, key, order, halo, chunk_rows)
     d = o.df
     w = o.w
     rn = F.col("_rn")
@@ -109,14 +238,13 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
         x = F.col(c)
         if "rolling" in groups:
             for n in windows:
-                fr = o.frame(-(n - 1), 0)
-                finals[f"{c}_rolling_mean_{n}"] = F.avg(x).over(fr)
-                finals[f"{c}_rolling_std_{n}"] = F.stddev_samp(x).over(fr)
-                finals[f"{c}_rolling_min_{n}"] = F.min(x).over(fr)
-                finals[f"{c}_rolling_max_{n}"] = F.max(x).over(fr)
+                m = {k: F.col(f"_m_{c}_{n}_{k}") for k in ("n", "mean", "m2", "min", "max")}
+                finals[f"{c}_rolling_mean_{n}"] = m["mean"]
+                finals[f"{c}_rolling_std_{n}"] = F.when(m["n"] > 1, F.sqrt(m["m2"] / (m["n"] - 1)))
+                finals[f"{c}_rolling_min_{n}"], finals[f"{c}_rolling_max_{n}"] = m["min"], m["max"]
         if "ema" in groups:
             for n in windows:
-                finals[f"{c}_ema_{n}"] = ema_column(c, o, n) if ema_mode == "fold" else F.col(f"{c}_ema_{n}")
+                finals[f"{c}_ema_{n}"] = F.col(f"{c}_ema_{n}")
         if "lag" in groups:
             # Back-fill of lag k at row r = first non-null x at position >= r - k,
             # i.e. lag(nn, k) with nn = next non-null at or after a row (from the
@@ -140,7 +268,10 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
                 F.when(F.count(x).over(fr7) > 1, F.regr_slope(x, rn.cast("double")).over(fr7)),
                 F.lit(0.0))
         if "degradation" in groups:
-            dev = x - F.avg(x).over(o.frame(-(fv.BASELINE_WINDOW - 1), 0))
+            if "rolling" in groups and fv.BASELINE_WINDOW in windows:
+                dev = x - F.col(f"_m_{c}_{fv.BASELINE_WINDOW}_mean")
+            else:
+                dev = x - F.avg(x).over(o.frame(-(fv.BASELINE_WINDOW - 1), 0))
             phase_a[f"_{c}_dev"] = dev
             finals[f"{c}_abs_deviation"] = F.abs(x)
 
@@ -183,8 +314,10 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
     for c in fill_columns:
         phase_a[f"_{c}_bfill"] = F.col(f"_{c}_nn")
     # EMA (Arrow-batched pandas recursion) on the same (key, _sub) partitioning.
-    if "ema" in groups and ema_mode == "pandas" and columns:
-        d = ema_by_group(d, key, list(columns), windows)
+    if "ema" in groups and columns:
+        d = ema_by_group(o, d, list(columns), windows)
+    if "rolling" in groups:
+        d = rolling_moments(d, w, list(columns), windows)
     # ONE forward pass: every frame of spec w in a single Window operator.
     win_finals = {k: v for k, v in finals.items()}
     d = d.select("*", *[v.alias(k) for k, v in phase_a.items()],
@@ -193,7 +326,7 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
     if "degradation" in groups:
         cum = {}
         for c in columns:
-            specs[f"{c}__dev"] = (F.sum(F.col(f"_{c}_dev")), "sum_before", 0.0)
+            specs[f"{c}__dev"] = (F.sum(F.col(f"_{c}_dev")), "sum_before", None)
             cum[f"_{c}_cumdev"] = F.sum(F.when(~F.col("_halo"), F.col(f"_{c}_dev"))).over(o.frame(UNB_P, 0))
         # Same spec and ordering as the pass above: no new shuffle or sort.
         d = d.select("*", *[v.alias(k) for k, v in cum.items()])
@@ -214,7 +347,9 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
                 out[f"{c}_lag_{k}"] = F.coalesce(F.col(f"_{c}_lag_{k}"), fill, F.lit(0.0))
         if "degradation" in groups:
             out[f"{c}_deviation_from_baseline"] = F.col(f"_{c}_dev")
-            out[f"{c}_cumulative_deviation"] = F.col(f"_{c}_cumdev") + F.col(f"_c_{c}__dev")
+            here, before = F.col(f"_{c}_cumdev"), F.col(f"_c_{c}__dev")
+            out[f"{c}_cumulative_deviation"] = F.when(
+                here.isNotNull() | before.isNotNull(), F.coalesce(here, F.lit(0.0)) + F.coalesce(before, F.lit(0.0)))
     for c in fill_columns:
         out[f"{c}_filled"] = F.coalesce(F.col(c), F.col(f"_{c}_ffill"), F.col(f"_c_{c}__last"),
                                         F.col(f"_{c}_bfill"), F.col(f"_c_{c}__first"))
@@ -238,14 +373,14 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
 
 
 def row_index(df: DataFrame, key: str, order: list[str], *, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-              splits: dict | None = None, with_count: bool = False) -> DataFrame:
+              with_count: bool = False) -> DataFrame:
     """1-based position ``rn`` inside the key (and ``n`` rows of the key)."""
-    o = ordered(df, key, order, 0, chunk_rows, splits)
+    o = ordered(df, key, order, 0, chunk_rows)
     d = o.body().withColumnRenamed("_rn", "rn").drop("_halo")
     if with_count:
         if o.split:
             cnt = d.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-            d = d.join(cnt, key)
+            d = null_safe_join(d, cnt, [key])
         else:
             d = d.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key, "_sub")))
-    return d.drop("_sub")
+    return d.drop("_sub", "_hot")

@@ -59,31 +59,56 @@ def test_ema_matches_recursion_on_long_machine(spark):
         for i, v in enumerate(vals):
             y = v if y is None else y * (1 - a) + v * a
             assert abs(out[i][f"x_ema_{span}"] - y) < 1e-9
-    fold = T.ordered_features(df, "m", ["t"], ["x"], groups=("ema",), ema_mode="fold").orderBy("t").collect()
-    assert all(abs(p.x_ema_30 - q.x_ema_30) < 1e-9 for p, q in zip(out, fold))
+
+
+def rounded(df, feats, *keys):
+    return rows(df.select(*keys, *[F.round(F.col(c), 6).alias(c) for c in feats]))
 
 
 def test_hot_key_split_equals_plain(spark):
     """Forcing sub-ranges (tiny chunk) must give exactly the unsplit result."""
     s = Tables(spark, SF_SMALL).sensor.select("machine_id", *SENSOR_ORDER, "torque", "wear", "label")
-    plain = T.ordered_features(s, "machine_id", SENSOR_ORDER, ["torque"], failure_col="label",
-                               fill_columns=["wear"], splits={})
-    splits = S.plan_splits(s, "machine_id", "ts", chunk_rows=150, sample_rows=10_000)
-    assert splits, "tiny chunks must split machines"
-    split = T.ordered_features(s, "machine_id", SENSOR_ORDER, ["torque"], failure_col="label",
-                               fill_columns=["wear"], splits=splits)
+    kw = dict(failure_col="label", fill_columns=["wear"])
+    plain = T.ordered_features(s, "machine_id", SENSOR_ORDER, ["torque"], **kw)
+    assert S.plan_splits(s, "machine_id", "ts", 150) is not None, "tiny chunks must split machines"
+    assert S.plan_splits(s, "machine_id", "ts", 10**6) is None
+    split = T.ordered_features(s, "machine_id", SENSOR_ORDER, ["torque"], chunk_rows=150, **kw)
     feats = [c for c in plain.columns if c not in s.columns]
-    def rounded(df):
-        return rows(df.select(*SENSOR_ORDER, "machine_id",
-                              *[F.round(F.col(c), 6).alias(c) for c in feats]))
-    assert rounded(plain) == rounded(split)
+    assert rounded(plain, feats, *SENSOR_ORDER, "machine_id") == rounded(split, feats, *SENSOR_ORDER, "machine_id")
+
+
+def test_split_keeps_null_keys_null_times_and_long_gaps(spark):
+    """NULL machines and times, and gaps longer than any frame, on both plans."""
+    values = []
+    for m, n in ((1, 700), (None, 500), (2, 5), (None, 4)):
+        for i in range(n):
+            x = None if 160 < i < 460 or i % 9 == 0 else float((i * 37) % 101)
+            values.append((m, None if i < 3 else i, len(values), x, int(i % 97 == 0)))
+    df = spark.createDataFrame(values, "m long, t long, id long, x double, f int")
+    kw = dict(failure_col="f", fill_columns=["x"], ffill_columns=["f"])
+    plain = T.ordered_features(df, "m", ["t", "id"], ["x"], **kw)
+    split = T.ordered_features(df, "m", ["t", "id"], ["x"], chunk_rows=60, **kw)
+    feats = [c for c in plain.columns if c not in df.columns]
+    key = F.coalesce("m", F.lit(-1)).alias("m")
+    a, b = rounded(plain, feats, key, "id"), rounded(split, feats, key, "id")
+    as_text = lambda r: [str(x) for x in r]  # noqa: E731  rows with None sort by their text
+    assert len(a) == len(values) and a == b
+    assert sum(r[2 + feats.index("x_ema_3")] is not None for r in a) > 900
+    n1 = T.row_index(df, "m", ["t", "id"], with_count=True)
+    n2 = T.row_index(df, "m", ["t", "id"], chunk_rows=60, with_count=True)
+    assert sorted(map(as_text, rows(n1.select("id", "rn", "n")))) == sorted(map(as_text, rows(n2.select("id", "rn", "n"))))
+
+
+def test_split_plan_holds_no_key(spark):
+    df = spark.range(4000).selectExpr("pmod(id, 40) + 987650 as m", "id as t", "cast(id as double) as x")
+    out = T.ordered_features(df, "m", ["t"], ["x"], groups=("rolling", "ema"), chunk_rows=30)
+    assert "9876" not in out._jdf.queryExecution().optimizedPlan().toString().replace("987650", "")
 
 
 def test_row_index_split(spark):
     tel = Tables(spark, SF_SMALL).telemetry
-    splits = S.plan_splits(tel, "machine_id", "ts", chunk_rows=20, sample_rows=10_000)
-    a = T.row_index(tel, "machine_id", TELEMETRY_ORDER, splits=splits, with_count=True)
-    b = T.row_index(tel, "machine_id", TELEMETRY_ORDER, splits={}, with_count=True)
+    a = T.row_index(tel, "machine_id", TELEMETRY_ORDER, chunk_rows=20, with_count=True)
+    b = T.row_index(tel, "machine_id", TELEMETRY_ORDER, with_count=True)
     assert rows(a, "event_id", "rn", "n") == rows(b, "event_id", "rn", "n")
 
 
@@ -92,14 +117,11 @@ def test_machine_with_a_third_of_all_rows(spark):
     from conftest import SF_MID
     s = Tables(spark, SF_MID).sensor.select("machine_id", *SENSOR_ORDER, "torque", "wear", "label")
     hot = s.withColumn("machine_id", F.when(F.col("machine_id") % 3 == 0, F.lit(0)).otherwise(F.col("machine_id")))
-    n_hot = hot.filter("machine_id = 0").count()
-    assert n_hot > hot.count() / 4
-    splits = S.plan_splits(hot, "machine_id", "ts", chunk_rows=5_000, sample_rows=20_000)
-    assert list(splits) == [0] and len(splits[0]) >= 3          # only the hot machine is split
-    kw = dict(groups=("rolling", "lag", "degradation"), failure_col="label", fill_columns=["wear"])
-    a = T.ordered_features(hot, "machine_id", SENSOR_ORDER, ["torque"], splits=splits, **kw)
-    b = T.ordered_features(hot, "machine_id", SENSOR_ORDER, ["torque"], splits={}, **kw)
+    assert hot.filter("machine_id = 0").count() > hot.count() / 4
+    table = S.plan_splits(hot, "machine_id", "ts", 5_000).collect()
+    assert [r.machine_id for r in table] == [0] and len(table[0]["_bounds"]) >= 3  # only the hot machine is split
+    kw = dict(groups=("rolling", "lag", "degradation", "ema"), failure_col="label", fill_columns=["wear"])
+    a = T.ordered_features(hot, "machine_id", SENSOR_ORDER, ["torque"], chunk_rows=5_000, **kw)
+    b = T.ordered_features(hot, "machine_id", SENSOR_ORDER, ["torque"], **kw)
     feats = [c for c in a.columns if c not in hot.columns]
-    def rounded(df):
-        return rows(df.select("machine_id", *SENSOR_ORDER, *[F.round(F.col(c), 6).alias(c) for c in feats]))
-    assert rounded(a) == rounded(b)
+    assert rounded(a, feats, "machine_id", *SENSOR_ORDER) == rounded(b, feats, "machine_id", *SENSOR_ORDER)

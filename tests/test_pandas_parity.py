@@ -38,7 +38,7 @@ def _pandas_features(x: pd.Series) -> dict:
 @given(values)
 def test_ordered_features_match_pandas(spark, xs):
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(xs)], "m long, t long, x double")
-    got = T.ordered_features(df, "m", ["t"], ["x"], splits={}).orderBy("t").toPandas()
+    got = T.ordered_features(df, "m", ["t"], ["x"]).orderBy("t").toPandas()
     want = _pandas_features(pd.Series(xs, dtype="float64"))
     for name, series in want.items():
         a = got[name].to_numpy(dtype="float64")
@@ -55,7 +55,7 @@ gappy = st.lists(st.one_of(st.none(), st.integers(-5000, 5000).map(lambda v: v /
 @given(gappy)
 def test_lags_and_fill_with_gaps_match_pandas(spark, xs):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(xs)], "m long, t long, x double")
-    got = T.ordered_features(df, "m", ["t"], ["x"], groups=("lag",), fill_columns=["x"], splits={}) \
+    got = T.ordered_features(df, "m", ["t"], ["x"], groups=("lag",), fill_columns=["x"]) \
         .orderBy("t").toPandas()
     x = pd.Series([np.nan if v is None else v for v in xs], dtype="float64")
     want = {f"x_lag_{k}": x.shift(k).bfill().fillna(0.0) for k in (1, 2, 3, 5, 7)}
@@ -162,7 +162,7 @@ def _ttf_next(fail):
 @given(st.lists(st.sampled_from([0, 0, 0, 1]), min_size=1, max_size=40))
 def test_time_to_failure_matches_loops(spark, fail):
     df = spark.createDataFrame([(1, i, f) for i, f in enumerate(fail)], "m long, t long, f int")
-    got = T.ordered_features(df, "m", ["t"], [], groups=(), failure_col="f", splits={}).orderBy("t").collect()
+    got = T.ordered_features(df, "m", ["t"], [], groups=(), failure_col="f").orderBy("t").collect()
     assert [r.cycles_to_last_failure for r in got] == _ttf_loop(fail)
     assert [r.cycles_to_failure for r in got] == _ttf_next(fail)
 

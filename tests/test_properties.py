@@ -25,7 +25,7 @@ def test_shuffle_invariance(spark):
     s = t.sensor.select("machine_id", *SENSOR_ORDER, "torque", "label")
     def feats(df):
         o = T.ordered_features(df, "machine_id", SENSOR_ORDER, ["torque"], groups=("rolling", "lag"),
-                               failure_col="label", splits={})
+                               failure_col="label")
         return rows(o.select(*SENSOR_ORDER, F.round("torque_rolling_mean_7", 9), "torque_lag_3",
                              "cycles_to_failure"))
     assert feats(s.repartition(1)) == feats(s.repartition(13))
