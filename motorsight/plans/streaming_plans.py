@@ -1,7 +1,6 @@
 """Streaming queries (T1-T8): each drains a file stream over the given table with
 ``availableNow`` into a Parquet sink and returns the sink as a batch table.
-The oracle SQL computes the batch result on windows closed by the final
-watermark (max event time - delay)."""
+Windowed queries end with a flush row, so the oracle SQL is the batch result over all windows."""
 
 from __future__ import annotations
 
@@ -17,14 +16,19 @@ from .sql_views import FLEET_PROB, RISK_FR
 
 RANK_SQL = """CASE WHEN p >= 8e-1 THEN 4 WHEN p >= 6e-1 THEN 3 WHEN p >= 4e-1 THEN 2 WHEN p >= 2e-1 THEN 1 ELSE 0 END"""
 SCORED_SQL = f"""s AS (SELECT user_id AS machine_id, ts, event_id, event_type, value AS x, p, {RANK_SQL} AS rank
-  FROM (SELECT *, least(value / 100e0, 1e0) AS p FROM events)),
-wm AS (SELECT max(ts) AS mx FROM events)"""
+  FROM (SELECT *, least(value / 100e0, 1e0) AS p FROM events))"""
 
 
 def _events(spark, sf_dir):
     return ST.telemetry_scores(ST.events_stream(spark, sf_dir.rstrip('/')))
 
 
+def _flushed(spark, sf_dir) -> tuple[DataFrame, ST.Flush]:
+    """Scored events together with the flush row's stream."""
+    flush = ST.Flush(spark, sf_dir)
+    return ST.telemetry_scores(ST.events_stream(spark, sf_dir).union(flush.stream())), flush
+
+
 def _read(spark, path) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -55,14 +59,15 @@ def stream_scoring_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAILY_SQL = f"""WITH {SCORED_SQL}
 SELECT machine_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
        max(rank) AS max_rank, round(avg(p), 6) AS mean_p, count(*) AS n
-FROM s GROUP BY machine_id, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT mx FROM wm) - INTERVAL 1 HOUR
+FROM s GROUP BY machine_id, date_trunc('day', ts)
 """
 
 
 @register("stream_daily_risk", DAILY_SQL, ids=("T2",))
 def stream_daily_risk_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily tumbling window per machine: max risk rank, mean probability (watermark 1 h)."""
-    out = _read(spark, ST.run_available_now(ST.daily_risk(_events(spark, sf_dir)), "daily"))
+    events, flush = _flushed(spark, sf_dir)
+    out = _read(spark, ST.run_available_now(ST.daily_risk(events), "daily", flush=flush))
     return out.select("machine_id", _ntz("window_start"), _ntz("window_end"), "max_rank",
                       round6(F.col("mean_p")).alias("mean_p"), "n")
 
@@ -72,14 +77,15 @@ w AS (SELECT machine_id, x, date_trunc('day', ts) - to_days(CAST(k AS INTEGER))
       FROM s, (SELECT unnest(range(0, 7)) AS k))
 SELECT machine_id, window_start, window_start + INTERVAL 7 DAY AS window_end,
        round(avg(x), 6) AS mean_x, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x
-FROM w GROUP BY machine_id, window_start HAVING window_start + INTERVAL 7 DAY <= (SELECT mx FROM wm) - INTERVAL 1 HOUR
+FROM w GROUP BY machine_id, window_start
 """
 
 
 @register("stream_sliding_stats", SLIDING_SQL, ids=("T3",))
 def stream_sliding_stats_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """7-day windows sliding by 1 day per machine: mean / min / max."""
-    out = _read(spark, ST.run_available_now(ST.sliding_stats(_events(spark, sf_dir)), "sliding"))
+    events, flush = _flushed(spark, sf_dir)
+    out = _read(spark, ST.run_available_now(ST.sliding_stats(events), "sliding", flush=flush))
     return out.select("machine_id", _ntz("window_start"), _ntz("window_end"),
                       *[round6(F.col(c)).alias(c) for c in ["mean_x", "min_x", "max_x"]])
 
@@ -92,14 +98,14 @@ g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY machine_id ORDER BY ts) IS
 h AS (SELECT *, sum(new) OVER (PARTITION BY machine_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT machine_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS faults
 FROM h GROUP BY machine_id, sid
-HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 1 HOUR
 """
 
 
 @register("stream_fault_sessions", SESSION_SQL, ids=("T4",))
 def stream_fault_sessions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of fault events per machine (gap 6 h), closed by the watermark."""
-    out = _read(spark, ST.run_available_now(ST.fault_sessions(_events(spark, sf_dir)), "sessions"))
+    events, flush = _flushed(spark, sf_dir)
+    out = _read(spark, ST.run_available_now(ST.fault_sessions(events), "sessions", flush=flush))
     return out.select("machine_id", _ntz("session_start"), _ntz("session_end"), "faults")
 
 

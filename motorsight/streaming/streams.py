@@ -22,23 +22,46 @@ from ..functions import rules as R
 from ..session import scratch_path
 
 
-def table_stream(spark: SparkSession, folder: str, file_glob: str, schema, max_files: int | None = None) -> DataFrame:
-    """File stream over the files of ``folder`` matching ``file_glob`` (read in place)."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+def table_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """File stream over the table at ``path``: one Parquet file, or a folder of part files.
+
+    The path goes in as a pattern that only it matches, since a file stream takes a plain
+    path for a folder."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(folder)
+    return r.parquet(f"{folder}/{{{name}}}")
 
 
-def events_stream(spark: SparkSession, folder: str, file_glob: str = "events*.parquet",
-                  max_files: int | None = None) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """File stream of event rows, ts as TIMESTAMP (watermarks refuse TIMESTAMP_NTZ)."""
-    return table_stream(spark, folder, file_glob, schemas.INPUT["events"], max_files) \
+    return table_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", schemas.INPUT["events"], max_files) \
         .withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def lineitem_stream(spark: SparkSession, folder: str, file_glob: str = "lineitem*.parquet") -> DataFrame:
-    return table_stream(spark, folder, file_glob, schemas.INPUT["lineitem"])
+def lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_stream(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", schemas.INPUT["lineitem"])
+
+
+class Flush:
+    """A row far after the last event, streamed once the source is drained, so that the watermark
+    passes the last windows and they are emitted.  Its own window never closes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, after_days: int = 30):
+        self.spark, self.path = spark, f"{sf_dir.rstrip('/')}/events.parquet"
+        self.after, self.folder = after_days, scratch_path(spark, f"streams/flush-{uuid.uuid4().hex}")
+        spark.createDataFrame([], schemas.INPUT["events"]).write.parquet(self.folder)
+
+    def stream(self) -> DataFrame:
+        return table_stream(self.spark, self.folder, schemas.INPUT["events"]).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def send(self) -> None:
+        last = self.spark.read.schema(schemas.INPUT["events"]).parquet(self.path).agg(F.max("ts").alias("ts"))
+        values = {"ts": (F.col("ts").cast("timestamp") + F.expr(f"INTERVAL {self.after} DAYS")), "event_type": F.lit("error")}
+        last.filter("ts is not null").select(*[
+            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.INPUT["events"].fields]) \
+            .write.mode("append").parquet(self.folder)
 
 
 def telemetry_scores(ev: DataFrame) -> DataFrame:
@@ -80,26 +103,33 @@ def fault_sessions(scored: DataFrame, gap: str = "6 hours", delay: str = "1 hour
 # --- T5: stateful EMA ---------------------------------------------------------------------
 EMA_OUT = StructType([StructField("machine_id", LongType()), StructField("event_id", LongType()),
                       StructField("ts", TimestampType()), StructField("ema", DoubleType())])
-EMA_STATE = StructType([StructField("y", DoubleType())])
+EMA_STATE = StructType([StructField("y", DoubleType()), StructField("weight", DoubleType())])
 
 
 def stateful_ema(scored: DataFrame, span: int = 3) -> DataFrame:
-    """T5: EMA per machine across micro-batches; state = last y (one double per machine).
+    """T5: EMA per machine across micro-batches; state = last value and its weight.
 
-    Each micro-batch's rows of a machine are sorted by (ts, event_id) before the
-    recursion, so within-batch order matches the batch operator."""
+    A missing reading repeats the last value and lets its weight decay, as pandas
+    ``ewm(adjust=False)`` does.  A machine's rows of a micro-batch come as Arrow chunks, one
+    in memory at a time, each put in (ts, event_id) order."""
     alpha = 2.0 / (span + 1)
 
     def step(key, pdfs, state):
-        y = state.get[0] if state.exists else None
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for x in pdf["x"].to_numpy():
-            y = x if y is None else y * (1.0 - alpha) + x * alpha
-            out.append(y)
-        state.update((float(y),))
-        yield pd.DataFrame({"machine_id": pdf["machine_id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
-                            "ts": pdf["ts"].to_numpy(), "ema": out})
+        y, weight = state.get if state.exists else (None, None)
+        for pdf in pdfs:
+            pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+            out = []
+            for x in pdf["x"].to_numpy(dtype="float64"):
+                if y is not None:
+                    weight *= 1.0 - alpha
+                if x == x:
+                    y = x if y is None else (weight * y + alpha * x) / (weight + alpha)
+                    weight = 1.0
+                out.append(y)
+            yield pd.DataFrame({"machine_id": pdf["machine_id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
+                                "ts": pdf["ts"].to_numpy(), "ema": pd.Series(out, dtype="float64")})
+        if y is not None:
+            state.update((float(y), float(weight)))
 
     return scored.select("machine_id", "event_id", "ts", "x").groupBy("machine_id").applyInPandasWithState(
         step, EMA_OUT, EMA_STATE, "append", GroupStateTimeout.NoTimeout)
@@ -129,21 +159,20 @@ def alarm_context(readings: DataFrame, alarms: DataFrame, before: str = "1 hour"
 
 # --- running ------------------------------------------------------------------------------------------
 def run_available_now(df: DataFrame, name: str, mode: str = "append", partition_by: list[str] = (),
-                      timeout_s: int = 600) -> str:
-    """Run a streaming plan until its source is drained into a Parquet sink; return the sink path."""
-    spark = df.sparkSession
-    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
+                      flush: Flush | None = None) -> str:
+    """Run a streaming plan until its source is drained into a Parquet sink; return the sink path.
+
+    With ``flush`` (whose stream is part of ``df``) the same query then runs once more
+    over the flush row."""
+    base = scratch_path(df.sparkSession, f"streams/{name}-{uuid.uuid4().hex}")
     w = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/_checkpoint") \
         .option("path", f"{base}/out").trigger(availableNow=True)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception():
-        raise q.exception()
+    w.start().awaitTermination()
+    if flush is not None:
+        flush.send()
+        w.start().awaitTermination()
     return f"{base}/out"
 
 

@@ -51,3 +51,37 @@ def test_stateful_ema_across_batches(spark):
     assert out.count() == ev3.count() + 1
     # Within each micro-batch rows are in time order; machines' last state carries across files.
     assert out.filter(F.col("ema").isNull()).count() == 0
+
+
+def test_a_folder_of_part_files_streams_whole(spark):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    folder = scratch_path(spark, f"test-stream-{uuid.uuid4().hex}")
+    ev.repartition(5).write.parquet(f"{folder}/events.parquet")
+    for path in (folder, SF_SMALL):
+        out = spark.read.parquet(ST.append_readings(ST.events_stream(spark, path, max_files=2)))
+        assert out.count() == ev.count()
+
+
+def test_flush_closes_every_window(spark):
+    flush = ST.Flush(spark, SF_SMALL)
+    scored = ST.telemetry_scores(ST.events_stream(spark, SF_SMALL).union(flush.stream()))
+    out = spark.read.parquet(ST.run_available_now(ST.daily_risk(scored), "t_flush", flush=flush))
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    assert out.count() == ev.select("user_id", F.to_date("ts")).distinct().count()
+    assert out.agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_ema_passes_over_missing_readings(spark):
+    import pandas as pd
+
+    xs = [None, 4.0, None, None, 1.0, 3.0, None]
+    folder = scratch_path(spark, f"test-stream-{uuid.uuid4().hex}")
+    for part in range(2):  # the state goes on from file to file
+        rows = [(1, i, x) for i, x in enumerate(xs) if (i >= 4) == bool(part)]
+        spark.createDataFrame(rows, "machine_id long, event_id long, x double").withColumn(
+            "ts", F.timestamp_seconds("event_id")).coalesce(1).write.mode("append").parquet(f"{folder}/t.parquet")
+    schema = spark.read.parquet(f"{folder}/t.parquet").schema
+    stream = ST.table_stream(spark, f"{folder}/t.parquet", schema, max_files=1)
+    out = spark.read.parquet(ST.run_available_now(ST.stateful_ema(stream, 3), "t_gaps")).orderBy("event_id").collect()
+    want = pd.Series(xs).ewm(span=3, adjust=False).mean()
+    assert [None if r.ema is None else round(r.ema, 12) for r in out] == [None if w != w else round(w, 12) for w in want]
