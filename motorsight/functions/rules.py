@@ -204,6 +204,13 @@ def motor_class(motor_type) -> Column:
     return expr
 
 
+def motor_code(given, motor_type, given_wins: bool = True) -> Column:
+    """D3: the class code of a reading: a given code wins and the machine type is the
+    fallback; with ``given_wins=False`` the machine type overwrites it (parity)."""
+    by_type = motor_class(motor_type)
+    return F.coalesce(_c(given).cast("int"), by_type) if given_wins else by_type
+
+
 # --- scoring -------------------------------------------------------------------
 def linear_logit(coefs: dict, intercept: float) -> Column:
     z = F.lit(float(intercept))

@@ -73,28 +73,27 @@ def score_counts(df: DataFrame, label="label", score="score", by: list[str] = ()
                                       F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("neg"))
 
 
-def curve_points(df: DataFrame, label="label", score="score", buckets: int = 64) -> DataFrame:
+def curve_points(df: DataFrame, label="label", score="score") -> DataFrame:
     """A16/A17 points per distinct threshold (descending): cumulative TP/FP,
     TPR, FPR, precision, recall, and the previous point's precision/recall."""
     sc = score_counts(df, label, score)
-    cum = running_sums(sc, score, ["pos", "neg"], descending=True, buckets=buckets)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    P, N = float(tot["P"] or 0), float(tot["N"] or 0)
+    cum = running_sums(sc, score, ["pos", "neg"], descending=True, totals=True)
+    P, N = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
     tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
     return cum.select(
         F.col(score).alias("threshold"), "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-        _div(tp, F.lit(P)).alias("tpr"), _div(fp, F.lit(N)).alias("fpr"),
-        _div(tp, tp + fp).alias("precision"), _div(tp, F.lit(P)).alias("recall"),
+        _div(tp, P).alias("tpr"), _div(fp, N).alias("fpr"),
+        _div(tp, tp + fp).alias("precision"), _div(tp, P).alias("recall"),
         F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0)).alias("prev_precision"),
-        _div(tp0, F.lit(P)).alias("prev_recall"),
-        F.lit(P).alias("P"), F.lit(N).alias("N"))
+        _div(tp0, P).alias("prev_recall"),
+        P.alias("P"), N.alias("N"))
 
 
-def auc_summary(df: DataFrame, label="label", score="score", buckets: int = 64) -> DataFrame:
+def auc_summary(df: DataFrame, label="label", score="score") -> DataFrame:
     """A15, A17, A18 in one row: ROC-AUC with ties (rank sum), trapezoid PR-AUC,
     average precision (step sum).  All scores equal -> ROC-AUC 0.5."""
-    pts = curve_points(df, label, score, buckets)
+    pts = curve_points(df, label, score)
     tp0 = F.col("tp") - F.col("pos")          # positives strictly above this score
     return pts.agg(
         _div(F.sum(F.col("neg") * (tp0 + F.col("pos") / 2.0)), F.first("P") * F.first("N")).alias("roc_auc"),

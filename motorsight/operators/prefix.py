@@ -1,58 +1,49 @@
 """Running sums over a global (or per-group) value order without an
 unpartitioned window (SURVEY 4.3 primitive 2).
 
-1. The input is already reduced to one row per distinct (group, value).
-2. ``percentile_approx`` per group (one aggregate job, partial-merge, no
-   skew) gives B-1 literal bucket boundaries per group; the driver receives
-   groups x B numbers.
-3. Bucket totals (groups x B rows) get their exclusive running offset with a
-   window partitioned by group - a table of bounded size.
-4. A window partitioned by (group, bucket), ordered by value, adds the local
-   running sum; offset + local = global running sum.
-
-Each bucket holds about 1/B of the distinct values of a group, so no task holds
-a whole group.
+1. The input is already reduced to one row per distinct (group, value).  It is dealt by
+   range of (group, value) and written with its partition number, so what follows reads the
+   written table and the input is computed once.
+2. Totals per (group, partition) - a table of at most one row per partition and
+   group - get their exclusive running offset.
+3. A window partitioned by (group, partition), ordered by value, adds the local running
+   sum; offset + local = global running sum.
+
+Spark sizes the range partitions, so no task holds a whole group at any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import uuid
 
-from ..functions.numeric import bucket_index
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+from ..session import scratch_path
+from .sequence import null_safe_join
 
 
 def running_sums(df: DataFrame, value: str, sums: list[str], *, group: str | None = None,
-                 descending: bool = False, buckets: int = DEFAULT_BUCKETS,
-                 inclusive: bool = True) -> DataFrame:
+                 descending: bool = False, inclusive: bool = True, totals: bool = False) -> DataFrame:
     """Add ``cum_<s>`` for every column in ``sums``: the sum over rows whose value
-    comes before (and, if ``inclusive``, equal to) this row's value in the order.
+    comes before (and, if ``inclusive``, equal to) this row's value in the order; with
+    ``totals`` also ``total_<s>``, the sum over the group.
 
     ``df`` must hold one row per distinct (group, value).
     """
+    spark = df.sparkSession
     g = group or "_g"
     d = df if group else df.withColumn("_g", F.lit(0))
-    v = F.col(value)
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = (d.groupBy(g).agg(F.percentile_approx(v, qs, 10_000).alias("_b")).collect())
-    bucket = None
-    for r in bounds:
-        bs = sorted(set(r[1] or []))
-        # descending order: bucket = bounds above v (larger values come first)
-        idx = (F.lit(len(bs)) - bucket_index(v, bs, strict=False)) if descending else bucket_index(v, bs)
-        cond = F.col(g).eqNullSafe(F.lit(r[0]))
-        bucket = F.when(cond, idx) if bucket is None else bucket.when(cond, idx)
-    d = d.withColumn("_bk", F.coalesce(bucket, F.lit(0)) if bucket is not None else F.lit(0))
-    totals = d.groupBy(g, "_bk").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    wb = Window.partitionBy(g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(g, "_bk", *[F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)).alias(f"_o_{s}")
-                                       for s in sums])
-    ordv = v.desc() if descending else v.asc()
-    frame = Window.partitionBy(g, "_bk").orderBy(ordv)
-    frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    d = d.join(totals, [g, "_bk"])
-    out = d.select(*df.columns, *[(F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(frame), F.lit(0))).alias(f"cum_{s}")
-                                  for s in sums])
-    return out
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    path = scratch_path(spark, f"running-sums/{uuid.uuid4().hex}")
+    d = d.repartitionByRange(F.col(g).asc(), order).withColumn("_part", F.spark_partition_id())
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
+    per = d.groupBy(g, "_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    before = Window.partitionBy(g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum(f"_t_{s}").over(Window.partitionBy(g)).alias(f"total_{s}") for s in sums] if totals else []
+    per = per.select(g, "_part", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums], *whole)
+    frame = Window.partitionBy(g, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    d = null_safe_join(d, per, [g, "_part"])
+    return d.select(*df.columns, *([f"total_{s}" for s in sums] if totals else []),
+                    *[(F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(frame), F.lit(0))).alias(f"cum_{s}") for s in sums])

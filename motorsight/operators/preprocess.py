@@ -12,6 +12,10 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from .prefix import running_sums
+from .quantiles import profile
 
 
 def interactions(df: DataFrame, columns: list[str], limit: int = 10) -> DataFrame:
@@ -20,21 +24,12 @@ def interactions(df: DataFrame, columns: list[str], limit: int = 10) -> DataFram
     return df.select("*", *[(F.col(a) * F.col(b)).alias(f"{a}_x_{b}") for a, b in combinations(base, 2)])
 
 
-def fit_scalers(df: DataFrame, columns: list[str], approx: bool = False) -> dict:
-    """Fit standard, min-max and robust parameters in one aggregate."""
-    pct = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)) if approx else \
-        (lambda c: F.percentile(c, [0.25, 0.5, 0.75]))
-    aggs = []
-    for c in columns:
-        x = F.col(c)
-        aggs += [F.avg(x).alias(f"{c}|mu"), F.stddev_pop(x).alias(f"{c}|sd"), F.min(x).alias(f"{c}|lo"),
-                 F.max(x).alias(f"{c}|hi"), pct(x).alias(f"{c}|q")]
-    r = df.agg(*aggs).first().asDict()
+def fit_scalers(df: DataFrame, columns: list[str]) -> dict:
+    """Fit standard, min-max and robust parameters in one profile."""
     out = {}
-    for c in columns:
-        q1, med, q3 = r[f"{c}|q"]
-        out[c] = {"mu": r[f"{c}|mu"], "sd": r[f"{c}|sd"], "lo": r[f"{c}|lo"], "hi": r[f"{c}|hi"],
-                  "med": med, "iqr": q3 - q1}
+    for r in profile(df, columns).collect():
+        q1, med, q3 = r["q"]
+        out[r["column"]] = {"mu": r["mean"], "sd": r["std_pop"], "lo": r["min"], "hi": r["max"], "med": med, "iqr": q3 - q1}
     return out
 
 
@@ -54,24 +49,27 @@ def apply_scalers(df: DataFrame, params: dict, columns: list[str]) -> DataFrame:
     return df.select("*", *exprs)
 
 
-def category_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
-    """Distinct levels, sorted; refuses more than ``max_levels`` (one-hot width guard)."""
-    levels = [r[0] for r in df.select(col).distinct().limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise ValueError(f"{col}: more than {max_levels} levels")
-    return sorted(v for v in levels if v is not None)
+def numeric_columns(df: DataFrame, drop: list[str] = ()) -> list[str]:
+    """The columns of a numeric type, in order, without those of ``drop``."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in drop]
 
 
 def alphabetical_codes(df: DataFrame, col: str, out: str) -> DataFrame:
-    """code = position of the level in alphabetical order (literal map of the levels)."""
-    levels = category_levels(df, col)
-    m = F.create_map(*[x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(i))])
-    return df.withColumn(out, F.element_at(m, F.col(col)))
+    """code = position of the level in alphabetical order, for any number of levels.
+
+    Ranks come from running sums over the distinct levels, joined back on the level."""
+    levels = df.select(F.col(col).alias("_level")).filter("_level is not null").distinct().withColumn("_one", F.lit(1))
+    codes = running_sums(levels, "_level", ["_one"], inclusive=False).select("_level", F.col("cum__one").cast("int").alias(out))
+    return df.join(codes, F.col(col) == F.col("_level"), "left").drop("_level")
 
 
-def one_hot_drop_first(df: DataFrame, col: str, prefix: str) -> DataFrame:
-    """One 0/1 column per level except the first alphabetical one."""
-    levels = category_levels(df, col)
+def one_hot_drop_first(df: DataFrame, col: str, prefix: str, max_levels: int = 1000) -> DataFrame:
+    """One 0/1 column per level except the first alphabetical one; refuses to make more
+    than ``max_levels`` columns."""
+    levels = [r[0] for r in df.select(col).distinct().limit(max_levels + 1).collect()]
+    if len(levels) > max_levels:
+        raise ValueError(f"{col}: more than {max_levels} levels")
+    levels = sorted(v for v in levels if v is not None)
     return df.select("*", *[(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}_{v}") for v in levels[1:]])
 
 

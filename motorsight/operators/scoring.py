@@ -63,6 +63,14 @@ def prediction_records(df: DataFrame, p: Column, *, machine="machine_id", stamp=
         snapshot.alias("sensor_snapshot"))
 
 
+def invalid_as_normal(df: DataFrame, pct: str = "pct", risk: str = "risk_level", skip_invalid: bool = False) -> DataFrame:
+    """Readings that fail validation (P6) count as 0 % and NORMAL, or are left out."""
+    valid = F.size(R.validation_warnings()) == 0
+    if skip_invalid:
+        return df.filter(valid)
+    return df.withColumns({pct: F.when(valid, F.col(pct)).otherwise(0.0), risk: F.when(valid, F.col(risk)).otherwise("NORMAL")})
+
+
 def records_to_json(pred: DataFrame, keep: list[str] = ()) -> DataFrame:
     """the nested record as JSON text (arrays and structs kept)."""
     cols = [c for c in pred.columns if c not in keep]

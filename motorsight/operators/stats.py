@@ -2,10 +2,8 @@
 A20-A21 (KS drift), A22-A26 and M21 (per-machine trend window, fleet days).
 
 Fit steps are single aggregates whose one-row result becomes literals of
-the apply step (a projection or filter); they never cross-join.  Exact
-percentiles keep a map of distinct values per group: every function takes
-``approx=True`` to switch to ``percentile_approx`` for continuous columns at
-scale.
+the apply step (a projection or filter); they never cross-join.  Quantiles are exact
+and come from counts per distinct value (:mod:`quantiles`).
 """
 
 from __future__ import annotations
@@ -19,13 +17,11 @@ from .. import fixed_values as fv
 from ..functions import rules as R
 from ..functions.numeric import bucket_index
 from .prefix import running_sums
+from .quantiles import QUARTILES, profile, profile_of, value_table
+from .sequence import null_safe_join
 from .temporal import row_index
 
 
-def _pct(c: Column, q, approx: bool) -> Column:
-    return F.percentile_approx(c, q, 10_000) if approx else F.percentile(c, q)
-
-
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """A3: NULL or NaN count per column, one pass, long form."""
     def miss(c):
@@ -37,52 +33,37 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.unpivot([], columns, "column", "missing")
 
 
-def describe(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """A4: count, mean, sample std, min, quartiles (linear), max; long form."""
-    aggs = []
-    for c in columns:
-        x = F.col(c)
-        aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).cast("double").alias(f"{c}|min"),
-                 _pct(x, [0.25, 0.5, 0.75], approx).alias(f"{c}|q"), F.max(x).cast("double").alias(f"{c}|max")]
-    wide = df.agg(*aggs)
-    parts = [wide.select(F.lit(c).alias("column"), F.col(f"`{c}|count`").alias("count"),
-                         F.col(f"`{c}|mean`").alias("mean"), F.col(f"`{c}|std`").alias("std"),
-                         F.col(f"`{c}|min`").alias("min"),
-                         F.col(f"`{c}|q`")[0].alias("p25"), F.col(f"`{c}|q`")[1].alias("p50"),
-                         F.col(f"`{c}|q`")[2].alias("p75"), F.col(f"`{c}|max`").alias("max"))
-             for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return profile(df, columns).select(
+        "column", F.col("n").alias("count"), "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
+        F.col("q")[2].alias("p75"), "max")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """A5: Pearson correlation of every ordered pair, one aggregate, long form."""
-    pairs = [(a, b) for a in columns for b in columns]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}")
-                    for a, b in pairs])
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    both = [(a, b, f"{a}|{b}") for a, b in pairs] + [(b, a, f"{a}|{b}") for a, b in pairs if a != b]
     return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr"))
-        for a, b in pairs])).alias("p")).select("p.*")
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{c}`").alias("corr")) for a, b, c in both])).alias("p")).select("p.*")
 
 
-def box_stats(df: DataFrame, value: str, by: str, approx: bool = False) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, IQR and whiskers (furthest points within 1.5 IQR) per class."""
-    x = F.col(value)
-    q = df.groupBy(by).agg(_pct(x, [0.25, 0.5, 0.75], approx).alias("_q"), F.count(x).alias("n"))
-    q = q.select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    table = value_table(df, [value], by)
+    q = profile_of(table, QUARTILES).select(
+        "by", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - F.lit(1.5) * F.col("iqr")
     hi = F.col("q3") + F.lit(1.5) * F.col("iqr")
-    # One row per class: broadcast is bounded by the number of classes.
-    j = df.select(by, x.alias("_x")).join(F.broadcast(q.select(by, lo.alias("_lo"), hi.alias("_hi"))), by)
-    wh = j.groupBy(by).agg(F.min(F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))).alias("whisker_low"),
-                           F.max(F.when(F.col("_x") <= F.col("_hi"), F.col("_x"))).alias("whisker_high"),
-                           F.count_if((F.col("_x") < F.col("_lo")) | (F.col("_x") > F.col("_hi"))).alias("outliers"))
-    return q.join(wh, by)
+    x, n = F.col("value"), F.col("n")
+    rows = null_safe_join(table.select(F.col("g.by").alias("by"), "value", "n"),
+                          q.select("by", lo.alias("lo"), hi.alias("hi")), ["by"])
+    wh = rows.groupBy("by").agg(F.min(F.when(x >= F.col("lo"), x)).alias("whisker_low"),
+                                F.max(F.when(x <= F.col("hi"), x)).alias("whisker_high"),
+                                F.sum(F.when((x < F.col("lo")) | (x > F.col("hi")), n).otherwise(0)).alias("outliers"))
+    return null_safe_join(q, wh, ["by"]).withColumnRenamed("by", by)
 
 
 def histogram(df: DataFrame, value: str, by: str, width: float, origin: float | None = None) -> DataFrame:
@@ -95,38 +76,20 @@ def histogram(df: DataFrame, value: str, by: str, width: float, origin: float |
         .withColumn("bin_start", F.lit(origin) + F.col("bin") * F.lit(float(width)))
 
 
-def fit_params_table(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
-    """A9 as a lazy long-form table: one row per column of fitted statistics."""
-    parts = []
-    for c in columns:
-        x = F.col(c)
-        parts.append(df.agg(F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std_pop"),
-                            F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"),
-                            _pct(x, [0.25, 0.5, 0.75], approx).alias("_q"))
-                     .select("column", "mean", "std_pop", "min", "max", F.col("_q")[0].alias("q1"),
-                             F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def fit_params_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A9 as a long-form table: one row per column of fitted statistics."""
+    return profile(df, columns).select("column", "mean", "std_pop", "min", "max", F.col("q")[0].alias("q1"),
+                                       F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
-def fit_params(df: DataFrame, columns: list[str], approx: bool = False) -> dict:
+def fit_params(df: DataFrame, columns: list[str]) -> dict:
     """Mean, sample and population std, min, max, median, q1, q3 per column.
 
-    One aggregate; returns {column: {stat: value}} (a one-row parameter table)."""
-    aggs = []
-    for c in columns:
-        x = F.col(c)
-        aggs += [F.avg(x).alias(f"{c}|mean"), F.stddev_samp(x).alias(f"{c}|std"),
-                 F.stddev_pop(x).alias(f"{c}|std_pop"), F.min(x).alias(f"{c}|min"),
-                 F.max(x).alias(f"{c}|max"), _pct(x, [0.25, 0.5, 0.75], approx).alias(f"{c}|q")]
-    r = df.agg(*aggs).first().asDict()
+    Returns {column: {stat: value}} (one row per column reaches the driver)."""
     out = {}
-    for c in columns:
-        q = r[f"{c}|q"] or [None] * 3
-        out[c] = {"mean": r[f"{c}|mean"], "std": r[f"{c}|std"], "std_pop": r[f"{c}|std_pop"],
-                  "min": r[f"{c}|min"], "max": r[f"{c}|max"], "q1": q[0], "median": q[1], "q3": q[2]}
+    for r in profile(df, columns).collect():
+        q = r["q"] or [None] * 3
+        out[r["column"]] = {k: r[k] for k in ("mean", "std", "std_pop", "min", "max")} | {"q1": q[0], "median": q[1], "q3": q[2]}
     return out
 
 
@@ -143,32 +106,29 @@ def impute(df: DataFrame, params: dict, strategy: str = "mean") -> DataFrame:
     return df.select(*exprs)
 
 
-def iqr_bounds(df: DataFrame, columns: list[str], k: float = 1.5, approx: bool = False) -> dict:
-    r = df.agg(*[_pct(F.col(c), [0.25, 0.75], approx).alias(c) for c in columns]).first()
+def iqr_bounds(df: DataFrame, columns: list[str], k: float = 1.5) -> dict:
     out = {}
-    for c in columns:
-        q1, q3 = r[c]
-        out[c] = (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+    for r in profile(df, columns, [0.25, 0.75]).collect():
+        q1, q3 = r["q"] or (math.nan, math.nan)
+        out[r["column"]] = (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return out
 
 
-def iqr_filter(df: DataFrame, columns: list[str], k: float = 1.5, sequential: bool = False,
-               approx: bool = False) -> DataFrame:
+def iqr_filter(df: DataFrame, columns: list[str], k: float = 1.5, sequential: bool = False) -> DataFrame:
     """Keep rows inside [q1 - k IQR, q3 + k IQR] (NULL rows drop).
 
-    Default: all bounds from one aggregate, one filter.  ``sequential``: the
+    Default: all bounds from one scan, one filter.  ``sequential``: the
     pandas behaviour, one column at a time on the already-shrunk set (one
-    small aggregate job per column)."""
+    small profile per column)."""
     cur = df
     if not sequential:
-        b = iqr_bounds(df, columns, k, approx)
+        bounds = iqr_bounds(df, columns, k)
         cond = F.lit(True)
-        for c, (lo, hi) in b.items():
-            cond = cond & F.col(c).between(lo, hi)
+        for c in columns:
+            cond = cond & F.col(c).between(*bounds[c])
         return df.filter(cond)
     for c in columns:
-        (lo, hi), = iqr_bounds(cur, [c], k, approx).values()
-        cur = cur.filter(F.col(c).between(lo, hi))
+        cur = cur.filter(F.col(c).between(*iqr_bounds(cur, [c], k)[c]))
     return cur
 
 
@@ -204,11 +164,11 @@ def ks_pvalue(lam: Column, terms: int = 10) -> Column:
     return F.when(lam <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_drift(ref: DataFrame, live: DataFrame, features: list[str], buckets: int = 64) -> DataFrame:
+def ks_drift(ref: DataFrame, live: DataFrame, features: list[str]) -> DataFrame:
     """A20/A21 per feature: KS statistic D, asymptotic p-value, drift flag.
 
     Values are reduced to counts per distinct (feature, value, side); running
-    sums per feature come from the bucketed primitive (no feature sits whole in
+    sums per feature come from the range-dealt primitive (no feature sits whole in
     one task).  Under 30 live rows -> status 'insufficient_data'."""
     def long(d, side):
         return d.select(F.explode(F.array(*[
@@ -217,10 +177,8 @@ def ks_drift(ref: DataFrame, live: DataFrame, features: list[str], buckets: int
     both = long(ref, 0).unionByName(long(live, 1))
     counts = both.groupBy("feature", "value").agg(
         F.count_if(F.col("side") == 0).alias("c0"), F.count_if(F.col("side") == 1).alias("c1"))
-    n = counts.groupBy("feature").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
-    cum = running_sums(counts, "value", ["c0", "c1"], group="feature", buckets=buckets)
-    # Feature totals: one row per feature (bounded by the feature list).
-    cum = cum.join(F.broadcast(n), "feature")
+    cum = running_sums(counts, "value", ["c0", "c1"], group="feature", totals=True) \
+        .withColumnsRenamed({"total_c0": "n0", "total_c1": "n1"})
     gap = F.abs(F.col("cum_c0") / F.col("n0") - F.col("cum_c1") / F.col("n1"))
     d = cum.groupBy("feature").agg(F.max(gap).alias("ks_stat"), F.first("n0").alias("n_ref"),
                                    F.first("n1").alias("n_live"))
@@ -288,14 +246,15 @@ def fleet_by_day(scored: DataFrame, key: str, ts: str, p: str = "p", label: str
 
 
 def binned_mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 10,
-                              approx: bool = True) -> DataFrame:
+                              top: int | None = None) -> DataFrame:
     """Mutual information of each feature (quantile bins) with the label, in nats.
 
-    Quantile edges come from one aggregate; counts per (feature, bin, label)
-    from one more.  The reference's nearest-neighbour estimator is not
+    ``top`` keeps the best features (50 in the reference's selection; ties by name).
+    Quantile edges come from one profile; counts per (feature, bin, label)
+    from one aggregate.  The reference's nearest-neighbour estimator is not
     reproduced; this is a plug-in estimate on equal-frequency bins."""
     qs = [i / bins for i in range(1, bins)]
-    edges = df.agg(*[_pct(F.col(f).cast("double"), qs, approx).alias(f) for f in features]).first()
+    edges = {r["column"]: r["q"] for r in profile(df, features, qs).collect()}
     parts = []
     for f in features:
         e = sorted(set(edges[f] or []))
@@ -309,5 +268,6 @@ def binned_mutual_information(df: DataFrame, features: list[str], label: str, bi
         .withColumn("nb", F.sum("n").over(Window.partitionBy("feature", "bin"))) \
         .withColumn("ny", F.sum("n").over(Window.partitionBy("feature", "y")))
     term = (F.col("n") / F.col("n_all")) * F.log((F.col("n") * F.col("n_all")) / (F.col("nb") * F.col("ny")))
-    return c.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
+    out = c.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
+    return out if top is None else out.orderBy(F.desc("mutual_info"), "feature").limit(top)
 

@@ -13,6 +13,7 @@ from ..functions.numeric import round6, round_half_away
 from ..operators import metrics as MT
 from ..operators import stats as ST
 from ..sources.tables import SENSOR_ORDER, Tables
+from ..operators.preprocess import numeric_columns
 from .registry import register
 from .rowwise import fleet_scored
 from .sql_views import FLEET_PROB, RISK_FR, SENSOR, TELEMETRY, with_views
@@ -191,11 +192,12 @@ SELECT event_id, round(coalesce(x, mu), 6) AS x_mean, round(coalesce(x, med), 6)
 def impute_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and median imputation of a gappy reading (fit, then apply)."""
     g = _gappy(Tables(spark, sf_dir))
-    params = ST.fit_params(g, ["x"])
-    a = ST.impute(g, params, "mean").select("event_id", F.col("x").alias("x_mean"))
-    b = ST.impute(g, params, "median").select("event_id", F.col("x").alias("x_median"))
-    return a.join(b, "event_id").select("event_id", r6(F.col("x_mean")).alias("x_mean"),
-                                        r6(F.col("x_median")).alias("x_median"))
+    columns = numeric_columns(g.select("event_id", "x"), drop=["event_id"])
+    params = ST.fit_params(g, columns)
+    both = g.select("event_id", *[F.col(c).alias(f"{c}_{k}") for c in columns for k in ("mean", "median")])
+    for k in ("mean", "median"):
+        both = ST.impute(both, {f"{c}_{k}": params[c] for c in columns}, k)
+    return both.select("event_id", *[r6(F.col(c)).alias(c) for c in both.columns[1:]])
 
 
 IQR_COLS = ["torque", "wear", "rpm"]
@@ -479,13 +481,20 @@ def retrain_decision_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- A22-A26, M21 -------------------------------------------------------------------------------
 def _scored_pct(spark, sf_dir) -> DataFrame:
-    f = fleet_scored(Tables(spark, sf_dir))
-    return f.withColumn("pct", round_half_away(F.col("p") * 100, 2))
+    """Scored readings, those of every 40th part with a broken torque sensor (invalid)."""
+    from ..operators.scoring import invalid_as_normal
+
+    class _T:
+        sensor = Tables(spark, sf_dir).sensor.withColumn(
+            "torque", F.when(F.col("l_partkey") % 40 == 0, 500.0).otherwise(F.col("torque")))
+    f = fleet_scored(_T())
+    return invalid_as_normal(f.withColumn("pct", round_half_away(F.col("p") * 100, 2)))
 
 
 SEVEN_SQL = with_views(SENSOR, FLEET) + f"""
 , sc AS (SELECT machine_id, ts, l_orderkey, l_linenumber, l_partkey, l_extendedprice,
-           round(p * 100, 2) AS pct, {RISK_FR.format(p='p')} AS risk FROM fleet)
+           CASE WHEN l_partkey % 40 = 0 THEN 0e0 ELSE round(p * 100, 2) END AS pct,
+           CASE WHEN l_partkey % 40 = 0 THEN 'NORMAL' ELSE {RISK_FR.format(p='p')} END AS risk FROM fleet)
 , ix AS (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn,
                 count(*) OVER (PARTITION BY machine_id) AS n FROM sc)
 , rk AS (SELECT *, CASE risk WHEN 'NORMAL' THEN 0 WHEN 'SURVEILLER' THEN 1 WHEN 'ATTENTION' THEN 2
@@ -634,5 +643,5 @@ SELECT feature, round(sum((n / NN) * ln((n * NN) / (nb * ny))), 6) AS mutual_inf
 @register("mutual_information", _mi_sql(), ids=("M13",))
 def mutual_information_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binned mutual information of each sensor with the failure label (10 quantile bins)."""
-    m = ST.binned_mutual_information(Tables(spark, sf_dir).sensor, MI_FEATURES, "label", bins=10, approx=False)
+    m = ST.binned_mutual_information(Tables(spark, sf_dir).sensor, MI_FEATURES, "label", bins=10)
     return m.select("feature", r6(F.col("mutual_info")).alias("mutual_info"))
