@@ -73,13 +73,11 @@ def fit(df: DataFrame, features: list[str], keys: list[str], trees: int = 200, p
     dealt = df.select(*features, ks.alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
     dealt = dealt.withColumn("tree", F.pmod(F.xxhash64("_k", "_j"), F.lit(trees)).cast("int")) \
         .withColumn("_o", F.md5(F.concat_ws("|", "_k", "_j")))
-    # Keep about 3*psi rows per tree before ranking, so no tree's group grows with n
+    # A row stays with probability 3 psi / (rows per tree), so that no tree's group grows with n
     # (the chance that fewer than psi survive is negligible for psi = 256).
-    per_tree = n * k / trees
-    rate = min(1.0, 3.0 * psi / max(per_tree, 1.0))
-    if rate < 1.0:
-        u = F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-        dealt = dealt.filter(u < F.lit(rate))
+    rate = 3.0 * psi / max(n * k / trees, 1.0)
+    u = F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    dealt = dealt.filter(u < F.lit(rate))
     w = Window.partitionBy("tree").orderBy("_o")
     sample = dealt.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi)
     depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -137,7 +135,7 @@ def decision(scored: DataFrame, contamination: float = 0.05) -> tuple[DataFrame,
 
 
 def outlier_filter(df: DataFrame, features: list[str], keys: list[str], contamination: float = 0.1,
-                   trees: int = 100) -> DataFrame:
+                   trees: int = 200) -> DataFrame:
     """M5 as a preprocessing filter: keep rows with a decision value >= 0."""
     forest = fit(df, features, keys, trees=trees)
     d, _ = decision(score(df, forest, features), contamination)

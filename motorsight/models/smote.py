@@ -1,127 +1,137 @@
-"""SMOTE (M4): synthetic minority rows on segments to exact nearest neighbours.
+"""SMOTE (M4): synthetic minority rows on segments to nearest minority neighbours.
 
-Exact k-nearest neighbours without an all-pairs join:
+Neighbours without an all-pairs join, for any number of features:
 
 1. Feature vectors are deduplicated first (a vector repeated many times is one
    point), so a hot group of identical rows never meets itself.
-2. Points are placed on an equi-depth grid over all features (bounds from one
-   ``percentile_approx`` job; about 2k points per cell).  A point's candidates
-   are the points of the 3^d cells around its own (linear in n).
-3. Any point closer than ``delta`` - the distance from the query to the edge of
-   the searched box - lies inside it, so when the k-th candidate distance is
-   <= delta the answer is exact.  Unresolved points retry on a coarser grid
-   (half the cells per axis); a single cell resolves the rest.
-4. Each minority row then yields floor(r) or floor(r)+1 synthetic rows
+2. ``TREES`` median-split trees with random directions are grown on a bounded sample (in
+   hash order).  Each cuts the points into leaves of about ``LEAF_ROWS``; a leaf's
+   points are compared in blocks inside one task, and the best of all trees stay.
+   One leaf is the exact answer; over many, a neighbour cut off by one tree is found by another.
+3. Each minority row then yields floor(r) or floor(r)+1 synthetic rows
    (r = (majority - minority) / minority), neighbour and gap drawn from md5.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
+import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bucket_index
 from ..operators.sampling import uniform
+from ..session import scratch_path
 
+TREES = 4
+LEAF_ROWS = 1024
+SAMPLE_ROWS = 65_536
+_BLOCK = 256
 
-def _bounds(df: DataFrame, cols: list[str], cells: int) -> dict[str, list[float]]:
-    qs = [i / cells for i in range(1, cells)]
-    if not qs:
-        return {c: [] for c in cols}
-    r = df.agg(*[F.percentile_approx(c, qs, 10_000).alias(c) for c in cols]).first()
-    return {c: sorted(set(r[c] or [])) for c in cols}
 
+def grow_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and medians of a full median-split tree, nodes in heap order."""
+    nodes = (1 << depth) - 1
+    directions = rng.normal(size=(nodes, sample.shape[1]))
+    cuts, members = np.zeros(nodes), {0: np.arange(len(sample))}
+    for i in range(nodes):
+        own = members.pop(i)
+        v = sample[own] @ directions[i]
+        cuts[i] = np.median(v) if len(v) else 0.0
+        members[2 * i + 1], members[2 * i + 2] = own[v <= cuts[i]], own[v > cuts[i]]
+    return directions, cuts
 
-def exact_knn(points: DataFrame, features: list[str], k: int = 5) -> DataFrame:
-    """k nearest distinct points of every distinct point: (pid, nid, dist, rank).
 
-    Grid over ALL features, equi-depth per axis, sized for about 2k points per
-    cell; candidates come from the 3^d cells around a point (linear in n).  A
-    point is resolved when its k-th candidate distance is <= delta, the distance
-    to the edge of the searched box; unresolved points retry on a grid with half
-    as many cells per axis, ending with a single cell (all points)."""
-    d = len(features)
+def leaf_of(tree: tuple[np.ndarray, np.ndarray], x: np.ndarray, depth: int) -> np.ndarray:
+    directions, cuts = tree
+    at = np.zeros(len(x), np.int64)
+    for _ in range(depth):
+        at = 2 * at + 1 + ((x * directions[at]).sum(axis=1) > cuts[at])
+    return at
+
+
+def nearest_points(points: DataFrame, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """k nearest other points of every point of ``points`` (pid, features): (pid, nid, dist, rank)."""
     n = points.count()
-    cells = max(1, int(round((max(n, 1) / (2 * k)) ** (1.0 / d))))
-    pending = points.select("pid", *features)
-    done = None
-    while True:
-        b = _bounds(points, features, cells)
-        def cell_cols(df):
-            return df.select("*", *[bucket_index(F.col(f), b[f], strict=False).alias(f"c{i}")
-                                    for i, f in enumerate(features)])
-        offs = list(itertools.product(*[(-1, 0, 1)] * d)) if cells > 1 else [tuple([0] * d)]
-        cand = cell_cols(points.select(F.col("pid").alias("nid"), *[F.col(f).alias(f"n_{f}") for f in features],
-                                       *features))
-        cand = cand.select("nid", *[f"n_{f}" for f in features], F.explode(F.array(*[
-            F.struct(*[(F.col(f"c{i}") + F.lit(o[i])).alias(f"c{i}") for i in range(d)]) for o in offs])).alias("o")) \
-            .select("nid", *[f"n_{f}" for f in features], "o.*")
-        q = cell_cols(pending)
-        # Shuffle join on the cell: neither side has a proven size bound, so no broadcast.
-        pairs = q.join(cand.hint("merge"), [f"c{i}" for i in range(d)]).filter(F.col("pid") != F.col("nid"))
-        dist = F.sqrt(sum(((F.col(f) - F.col(f"n_{f}")) ** 2 for f in features), F.lit(0.0)))
-        ranked = pairs.select("pid", "nid", *[f"c{i}" for i in range(d)], *features, dist.alias("dist")) \
-            .withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("dist", "nid"))) \
-            .filter(F.col("rank") <= k)
-        edges = []
-        for i, f in enumerate(features):
-            lo = [float("-inf")] + b[f]
-            hi = b[f] + [float("inf")]
-            g = len(lo)
-            lo_arr, hi_arr = F.array(*[F.lit(v) for v in lo]), F.array(*[F.lit(v) for v in hi])
-            c = F.col(f"c{i}")
-            left = F.when(c - 1 <= 0, F.lit(float("inf"))).otherwise(F.col(f) - F.element_at(lo_arr, c))
-            right = F.when(c + 1 >= g - 1, F.lit(float("inf"))).otherwise(F.element_at(hi_arr, c + 2) - F.col(f))
-            edges += [left, right]
-        delta = F.least(*edges) if len(edges) > 1 else edges[0]
-        kth = ranked.groupBy("pid").agg(F.max("dist").alias("kth"), F.count(F.lit(1)).alias("got"),
-                                        F.first(delta).alias("delta"))
-        final = cells == 1
-        ok = kth.filter(((F.col("got") >= k) & (F.col("kth") <= F.col("delta"))) | F.lit(final)).select("pid")
-        if final:
-            ok = pending.select("pid")
-        res = ranked.join(ok, "pid", "left_semi").select("pid", "nid", "dist", "rank")
-        # Written round by round so the next round does not recompute this one.
-        res = res.checkpoint(eager=True)
-        done = res if done is None else done.unionByName(res)
-        if final:
-            break
-        pending = pending.join(ok, "pid", "left_anti").checkpoint(eager=True)
-        if pending.limit(1).count() == 0:
-            break
-        cells = max(1, cells // 2)
-    return done
+    sample = points.orderBy(F.xxhash64("pid"), "pid").limit(SAMPLE_ROWS).select(*features).toArrow()
+    x = np.array([np.asarray(sample.column(f), float) for f in features]).T.reshape(-1, len(features))
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0) if len(x) else np.ones(len(features))
+    # Leaves of LEAF_ROWS, as long as the sample has a few rows to place each cut.
+    depth = max(0, min(math.ceil(math.log2(max(n, 1) / LEAF_ROWS)), int(math.log2(max(len(x) / 16, 1)))))
+    rng = np.random.default_rng(seed)
+    trees = [grow_tree(x / scale, depth, rng) for _ in range(TREES if depth else 1)]
+    shared = points.sparkSession.sparkContext.broadcast(trees)
+
+    @F.pandas_udf("array<long>")
+    def leaves(*cols: pd.Series) -> pd.Series:
+        v = np.stack([c.to_numpy(float) for c in cols], axis=1) / scale
+        return pd.Series(list(np.stack([leaf_of(t, v, depth) for t in shared.value], axis=1)))
+
+    placed = points.select("pid", *features, F.posexplode(leaves(*features)).alias("tree", "leaf"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, pid = pdf[features].to_numpy(float), pdf["pid"].to_numpy()
+        m, found = min(k, len(v) - 1), []
+        for a in range(0, len(v) if m > 0 else 0, _BLOCK):
+            near = np.zeros((len(v[a: a + _BLOCK]), len(v)))
+            for j in range(v.shape[1]):
+                near += (v[a: a + _BLOCK, j, None] - v[None, :, j]) ** 2
+            own = np.arange(len(near))
+            near[own, a + own] = np.inf
+            edge = np.partition(near, m - 1, axis=1)[:, m - 1, None]
+            row, col = np.nonzero(near <= edge)  # ties at the edge are settled by id below
+            order = np.lexsort((pid[col], near[row, col], row))
+            row, col = row[order], col[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = rank < m
+            found.append(pd.DataFrame({"pid": pid[a + row[keep]], "nid": pid[col[keep]], "dist": np.sqrt(near[row[keep], col[keep]])}))
+        return pd.concat(found) if found else pd.DataFrame({"pid": [], "nid": [], "dist": []}).astype({"pid": "int64", "nid": "int64", "dist": "float64"})
+
+    pairs = placed.groupBy("tree", "leaf").applyInPandas(search, "pid long, nid long, dist double").dropDuplicates(["pid", "nid"])
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy("dist", "nid"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"smote/{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def smote(df: DataFrame, features: list[str], label: str = "label", keys: list[str] = ("row_id",),
           k: int = 5, seed: int = 42) -> DataFrame:
-    """Original rows plus synthetic minority rows (``synthetic`` = 1), balancing the classes."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    maj = max(counts, key=counts.get)
-    mino = min(counts, key=counts.get)
-    if counts[mino] == 0 or maj == mino:
-        return df.withColumn("synthetic", F.lit(0))
-    ratio = (counts[maj] - counts[mino]) / counts[mino]
-    minority = df.filter(F.col(label) == mino)
-    # Written once: every kNN round reads the same deduplicated points.
-    distinct = minority.select(*features).distinct() \
-        .withColumn("pid", F.xxhash64(*features)).checkpoint(eager=True)
-    nn = exact_knn(distinct, features, k)
+    """Original rows plus synthetic rows of every smaller class (``synthetic`` = 1), so that all
+    classes have about the size of the largest."""
+    # Written once: classes, neighbours and synthetic rows all read the same features.
+    df = _written(df.select(*dict.fromkeys([*keys, *features, label])))
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # a row per class
+    most = max(counts.values(), default=0)
+    out = df.select(*features, label).withColumn("synthetic", F.lit(0))
+    for cls in sorted((c for c, n in counts.items() if n < most and c is not None), key=str):
+        out = out.unionByName(_synthetic(df.filter(F.col(label) == cls), features, label, cls, keys, k, seed,
+                                         (most - counts[cls]) / counts[cls]))
+    return out
+
+
+def _synthetic(minority: DataFrame, features: list[str], label: str, cls, keys: list[str], k: int, seed: int,
+               ratio: float) -> DataFrame:
+    # A written table, not a checkpoint: that would keep pid = hash(features) as a constraint, which the
+    # optimizer multiplies for every feature renamed below.
+    distinct = _written(minority.select(*features).distinct().withColumn("pid", F.xxhash64(*features)))
+    nn = nearest_points(distinct, features, k, seed)
     nvec = distinct.select(F.col("pid").alias("nid"), *[F.col(f).alias(f"n_{f}") for f in features])
     nb = nn.join(nvec, "nid").groupBy("pid").agg(
         F.array_sort(F.collect_list(F.struct("rank", *[f"n_{f}" for f in features]))).alias("nbrs"))
     rows = minority.withColumn("pid", F.xxhash64(*features)).join(nb, "pid", "left")
     whole, frac = int(ratio), ratio - int(ratio)
     reps = F.lit(whole) + (uniform(list(keys), seed) < F.lit(frac)).cast("int")
-    syn = rows.filter(F.size("nbrs") > 0).withColumn("_j", F.explode(F.sequence(F.lit(1), reps))) \
-        .filter(F.col("_j") <= reps)
+    syn = rows.filter(F.size("nbrs") > 0).withColumn("_reps", reps).filter(F.col("_reps") > 0) \
+        .withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_reps"))))
     kj = F.concat_ws("|", *[F.col(c).cast("string") for c in keys], F.col("_j").cast("string"))
     u_pick = F.conv(F.substring(F.md5(F.concat(kj, F.lit("|pick"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     u_gap = F.conv(F.substring(F.md5(F.concat(kj, F.lit("|gap"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     nbr = F.element_at("nbrs", (F.floor(u_pick * F.size("nbrs")) + 1).cast("int"))
-    syn = syn.select(*[(F.col(f) + u_gap * (nbr[f"n_{f}"] - F.col(f))).alias(f) for f in features],
-                     F.lit(mino).cast(df.schema[label].dataType).alias(label), F.lit(1).alias("synthetic"))
-    base = df.select(*features, label).withColumn("synthetic", F.lit(0))
-    return base.unionByName(syn)
+    return syn.select(*[(F.col(f) + u_gap * (nbr[f"n_{f}"] - F.col(f))).alias(f) for f in features],
+                      F.lit(cls).cast(minority.schema[label].dataType).alias(label), F.lit(1).alias("synthetic"))

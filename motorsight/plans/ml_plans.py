@@ -108,17 +108,15 @@ def _fit_eval(spark, sf_dir, kind: str, params=None, features=None, validation=F
 
 @register("logistic_model", None, ids=("M6",))
 def logistic_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced logistic regression on the raw sensors; test-split quality."""
-    _, ev, _, _ = _fit_eval(spark, sf_dir, "logistic", features=["Air_temperature__K", "Process_temperature__K",
-                                                                  "Rotational_speed__rpm", "Torque__Nm",
-                                                                  "Tool_wear__min"])
+    """Balanced logistic regression on the 36 features; test-split quality."""
+    _, ev, _, _ = _fit_eval(spark, sf_dir, "logistic")
     return _metrics_row(spark, "logistic", ev)
 
 
 @register("forest_model", None, ids=("M7",))
 def forest_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced random forest on the physics features; test-split quality."""
-    _, ev, _, _ = _fit_eval(spark, sf_dir, "forest", {"numTrees": 50, "maxDepth": 8, "minInstancesPerNode": 2})
+    _, ev, _, _ = _fit_eval(spark, sf_dir, "forest", {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 2})
     return _metrics_row(spark, "forest", ev)
 
 
@@ -129,30 +127,43 @@ def gbt_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics_row(spark, "gbt", ev)
 
 
-@register("cv_f1", None, ids=("M9", "M11"))
+@register("grid_search", None, ids=("M9",))
+def grid_search_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5-fold F1 of a grid of balanced logistic models, best first."""
+    df, feats = training_frame(spark, sf_dir)
+    res = TR.grid_search(df, feats, "logistic", {"regParam": [0.0, 0.01], "elasticNetParam": [0.0, 1.0], "maxIter": [30]}, keys=SPLIT_KEYS)
+    return spark.createDataFrame([(str(r["params"]), float(r["f1_mean"]), float(r["f1_std"])) for r in res],
+                                 "params string, f1_mean double, f1_std double")
+
+
+@register("cv_f1", None, ids=("M11",))
 def cv_f1_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3-fold F1 (mean, std) of the balanced logistic model, folds from md5 of the key."""
+    """5-fold F1 (mean, std) of the balanced logistic model, folds from md5 of the key."""
     df, feats = training_frame(spark, sf_dir)
-    r = TR.kfold_f1(df, feats, "logistic", {"maxIter": 50}, k=3, keys=SPLIT_KEYS)
+    r = TR.kfold_f1(df, feats, "logistic", {"maxIter": 50}, k=5, keys=SPLIT_KEYS)
     return spark.createDataFrame([(float(r["f1_mean"]), float(r["f1_std"]))], "f1_mean double, f1_std double")
 
 
 @register("random_search", None, ids=("M10",))
 def random_search_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded random search over GBT depth / step size; F1 at 0.40 on validation."""
+    """Seeded random search over boosted trees and forests; F1 at 0.40 on validation.
+
+    Three trials a learner here; the function's default is 200."""
     df, feats = training_frame(spark, sf_dir)
-    res = TR.random_search(df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val"), feats, "gbt",
-                           {"maxDepth": (3, 6), "stepSize": (0.05, 0.3), "maxIter": [10, 20]}, n_trials=3)
-    return spark.createDataFrame([(str(r["params"]), float(r["score"]), float(r["roc_auc"])) for r in res],
-                                 "params string, f1_at_040 double, roc_auc double")
+    tr, val = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val")
+    spaces = {"gbt": {"maxDepth": (3, 6), "stepSize": (0.05, 0.3), "maxIter": [10, 20]},
+              "forest": {"maxDepth": (4, 9), "numTrees": [50, 100], "minInstancesPerNode": (1, 4)}}
+    rows = [(kind, str(r["params"]), float(r["score"]), float(r["roc_auc"]))
+            for kind, space in spaces.items() for r in TR.random_search(tr, val, feats, kind, space, n_trials=3)]
+    return spark.createDataFrame(rows, "learner string, params string, f1_at_040 double, roc_auc double")
 
 
 @register("calibration", None, ids=("M12",))
 def calibration_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isotonic calibration from 3 out-of-fold maps, averaged; quality of calibrated scores."""
+    """Isotonic calibration from 5 out-of-fold maps, averaged; quality of calibrated scores."""
     df, feats = training_frame(spark, sf_dir)
     tr = df.filter(F.col("split") == "train")
-    base, isos = TR.isotonic_calibrate(tr, feats, "logistic", {"maxIter": 50}, k=3, keys=SPLIT_KEYS)
+    base, isos = TR.isotonic_calibrate(tr, feats, "logistic", {"maxIter": 50}, k=5, keys=SPLIT_KEYS)
     test = TR.score(base, df.filter(F.col("split") == "test"))
     cal = TR.apply_calibration(test, isos).withColumn("score", F.col("calibrated"))
     return _metrics_row(spark, "calibrated_logistic", TR.evaluate(cal))
@@ -161,7 +172,7 @@ def calibration_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("feature_importance", None, ids=("M14", "L4"))
 def feature_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-15 random-forest feature importances."""
-    m, _, _, feats = _fit_eval(spark, sf_dir, "forest", {"numTrees": 30, "maxDepth": 6})
+    m, _, _, feats = _fit_eval(spark, sf_dir, "forest", {"numTrees": 100, "maxDepth": 6})
     return TR.feature_importance(m, feats, spark).orderBy(F.desc("importance")).limit(15)
 
 
@@ -169,19 +180,19 @@ def feature_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def permutation_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drop in test ROC-AUC when one raw sensor is permuted (keyed permutation)."""
     feats = ["Air_temperature__K", "Process_temperature__K", "Rotational_speed__rpm", "Torque__Nm", "Tool_wear__min"]
-    m, _, df, _ = _fit_eval(spark, sf_dir, "logistic", features=feats)
+    m, _, df, _ = _fit_eval(spark, sf_dir, "logistic")
     res = TR.permutation_importance(m, df.filter(F.col("split") == "test"), feats, SPLIT_KEYS)
     return spark.createDataFrame([(f, float(v)) for f, v in res], "feature string, auc_drop double")
 
 
 @register("isolation_forest", None, ids=("M5", "P18"))
 def isolation_forest_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isolation forest (100 trees, 256 rows each) on raw sensors, offset at contamination 0.05,
+    """Isolation forest (200 trees, 256 rows each) on raw sensors, offset at contamination 0.05,
     and every reading routed by status (validation error / sensor anomaly / scored)."""
     from ..operators.scoring import prediction_records
     from .rowwise import fleet_scored
     s = fleet_scored(Tables(spark, sf_dir))
-    forest = ISO.fit(s, RAW, SPLIT_KEYS, trees=100)
+    forest = ISO.fit(s, RAW, SPLIT_KEYS)
     d, offset = ISO.decision(ISO.score(s, forest, RAW), 0.05)
     # P18 routing with the anomaly guard: validation error, sensor anomaly, or scored.
     rec = prediction_records(d, F.col("p"), anomaly_score=F.col("anomaly_score"), keep=["anomaly_score"])
@@ -190,6 +201,14 @@ def isolation_forest_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.lit(offset).alias("offset"))
 
 
+@register("outlier_filter", None, ids=("M5",))
+def outlier_filter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolation forest as a preprocessing filter (contamination 0.1): rows kept per class."""
+    s = Tables(spark, sf_dir).sensor
+    kept = ISO.outlier_filter(s, RAW, SPLIT_KEYS).groupBy("label").agg(F.count(F.lit(1)).alias("kept"))
+    return s.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).join(kept, "label", "left").fillna(0, ["kept"])
+
+
 @register("model_registry", None, ids=("M19",))
 def model_registry_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save a model with its config under the shared checkpoint folder, load it, rescore."""
@@ -197,35 +216,44 @@ def model_registry_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import scratch_path
     m, ev, df, feats = _fit_eval(spark, sf_dir, "logistic", {"maxIter": 30})
     path = scratch_path(spark, f"models/{uuid.uuid4().hex}")
-    TR.save_model(m, path, {"threshold": fv.PRODUCTION_THRESHOLD, "features": feats, "model_name": "logistic"})
+    rpm = df.filter(F.col("split") == "train").agg(F.avg("Rotational_speed__rpm")).first()[0]
+    config = {"threshold": fv.PRODUCTION_THRESHOLD, "features": feats, "model_name": "logistic", "rpm_mean": float(rpm)}
+    for _ in range(2):
+        TR.save_model(m, path, config)
     m2, cfg = TR.load_model(path)
     ev2 = TR.evaluate(TR.score(m2, df.filter(F.col("split") == "test")), threshold=0.5)
-    return spark.createDataFrame([(cfg["model_name"], float(ev["roc_auc"]), float(ev2["roc_auc"]))],
-                                 "model string, roc_auc_before double, roc_auc_after double")
+    return spark.createDataFrame([(cfg["model_name"], int(cfg["version"]), float(cfg["rpm_mean"]), float(ev["roc_auc"]), float(ev2["roc_auc"]))],
+                                 "model string, version int, rpm_mean double, roc_auc_before double, roc_auc_after double")
 
 
 @register("gated_training", None, ids=("M18", "A29"))
 def gated_training_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train, choose the F-beta threshold on validation, test against the gate; retry once."""
+    """Train the ensemble, choose the F-beta threshold on validation, test against the gate; retry once.
+
+    10 rounds and 2 trials here; the function's defaults are 200 and 300."""
     df, feats = training_frame(spark, sf_dir)
     r = TR.train_with_gates(df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val"),
-                            df.filter(F.col("split") == "test"), feats)
+                            df.filter(F.col("split") == "test"), feats, rounds=10, trials=2)
     return spark.createDataFrame([(a["kind"], float(a["beta"]), float(a["threshold"]), float(a["metrics"]["f1"]),
                                    float(a["metrics"]["roc_auc"]), bool(a["passed"])) for a in r["attempts"]],
                                  "model string, beta double, threshold double, f1 double, roc_auc double, passed boolean")
 
 
-@register("smote_counts", None, ids=("M4",))
+SMOTE_SQL = with_views(SENSOR) + f"""
+, t AS (SELECT * FROM (SELECT *, {_u_sql(SPLIT_KEYS + ['label'], 42)} AS u FROM sensor) WHERE u < 7e-1)
+, c AS (SELECT label, count(*) AS n FROM t GROUP BY label)
+, r AS (SELECT label, ((SELECT max(n) FROM c) - n) * 1e0 / n AS ratio FROM c WHERE n < (SELECT max(n) FROM c))
+SELECT label, 0 AS synthetic, n FROM c
+UNION ALL
+SELECT t.label, 1, CAST(sum(floor(ratio) + CAST({_u_sql(SPLIT_KEYS, 42)} < ratio - floor(ratio) AS INTEGER)) AS BIGINT)
+FROM t JOIN r ON t.label = r.label GROUP BY t.label HAVING sum(floor(ratio) + CAST({_u_sql(SPLIT_KEYS, 42)} < ratio - floor(ratio) AS INTEGER)) > 0
+"""
+
+
+@register("smote_counts", SMOTE_SQL, ids=("M4",))
 def smote_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SMOTE on the training split (robust-scaled sensors): rows per class, original vs synthetic,
-    and the feature range of each group (synthetic rows stay inside the minority's range)."""
+    """SMOTE on the training split over all 36 features: rows per class, original and synthetic."""
     from ..models.smote import smote
-    from ..operators.preprocess import apply_scalers, fit_scalers
-    d = _split(spark, sf_dir).filter(F.col("split") == "train")
-    cols = ["wear", "torque", "rpm", "air_k", "proc_k"]
-    params = fit_scalers(d, cols)
-    scaled = apply_scalers(d, params, cols).select(*SPLIT_KEYS, "label", *[F.col(f"{c}_robust").alias(c) for c in cols])
-    out = smote(scaled, cols, "label", SPLIT_KEYS)
-    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"),
-                                                 *[F.min(c).alias(f"min_{c}") for c in cols[:2]],
-                                                 *[F.max(c).alias(f"max_{c}") for c in cols[:2]])
+    df, feats = training_frame(spark, sf_dir)
+    out = smote(df.filter(F.col("split") == "train"), feats, "label", SPLIT_KEYS)
+    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))

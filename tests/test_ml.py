@@ -35,9 +35,11 @@ def test_gbt_quality_floor_and_registry(spark, tmp_path):
                  validation="is_val")
     ev = TR.evaluate(TR.score(m, te))
     assert ev["roc_auc"] >= 0.95
-    TR.save_model(m, str(tmp_path / "m"), {"threshold": 0.42})
-    m2, cfg = TR.load_model(str(tmp_path / "m"))
-    assert cfg["threshold"] == 0.42
+    base = str(tmp_path / "m")
+    assert TR.versions(spark, base) == []
+    assert [TR.save_model(m, base, {"threshold": t, "rpm_mean": 1.5}) for t in (0.5, 0.42)] == [1, 2]
+    m2, cfg = TR.load_model(base)
+    assert cfg == {"threshold": 0.42, "rpm_mean": 1.5, "version": 2} and TR.load_model(base, 1)[1]["threshold"] == 0.5
     assert TR.evaluate(TR.score(m2, te))["roc_auc"] == ev["roc_auc"]
 
 
@@ -61,22 +63,49 @@ def test_isolation_forest_share(spark):
     assert 0.02 < share < 0.08
 
 
-def test_exact_knn_matches_brute_force(spark):
+def _brute(pts, k=5):
     import numpy as np
-    from motorsight.models.smote import exact_knn
-    rng = np.random.default_rng(3)
-    pts = rng.normal(size=(400, 3)).round(3)
-    pts[:50, 0] *= 5          # uneven density
-    df = spark.createDataFrame([(int(i), *map(float, p)) for i, p in enumerate(pts)], "pid long, a double, b double, c double")
-    nn = exact_knn(df, ["a", "b", "c"], k=5).collect()
-    got = {}
-    for r in nn:
-        got.setdefault(r.pid, []).append((r.rank, r.nid))
     d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
-    for i in range(len(pts)):
-        want = sorted(range(len(pts)), key=lambda j: (d[i, j], j))[:5]
-        assert [n for _, n in sorted(got[i])] == want
+    return [sorted(range(len(pts)), key=lambda j: (d[i, j], j))[:k] for i in range(len(pts))]
+
+
+def _neighbours(spark, pts):
+    from motorsight.models.smote import nearest_points
+    names = [f"f{i}" for i in range(pts.shape[1])]
+    df = spark.createDataFrame([(int(i), *map(float, p)) for i, p in enumerate(pts)], "pid long, " + ", ".join(f"{c} double" for c in names))
+    got = {}
+    for r in nearest_points(df, names, k=5).collect():
+        got.setdefault(r.pid, []).append((r["rank"], r.nid))
+    return [[n for _, n in sorted(got[i])] for i in range(len(pts))]
+
+
+def test_neighbours_in_one_leaf_are_exact(spark):
+    import numpy as np
+    pts = np.random.default_rng(3).normal(size=(400, 3)).round(3)
+    pts[:50, 0] *= 5          # uneven density
+    assert _neighbours(spark, pts) == _brute(pts)
+
+
+def test_neighbours_over_many_leaves_and_36_features(spark, monkeypatch):
+    import numpy as np
+    from motorsight.models import smote
+    monkeypatch.setattr(smote, "LEAF_ROWS", 128)
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(900, 4)) @ rng.normal(size=(4, 36)) + 0.05 * rng.normal(size=(900, 36))
+    got, want = _neighbours(spark, pts), _brute(pts)
+    assert all(len(g) == 5 for g in got)
+    assert sum(len(set(g) & set(w)) for g, w in zip(got, want)) > 0.6 * 5 * 900
+
+
+def test_smote_counts_at_every_ratio(spark):
+    from motorsight.models.smote import smote
+    rows = [(i, float(i % 50), float(i % 7), 0 if i < 600 else 1 if i < 1000 else 2) for i in range(1100)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, label int")
+    c = {(r.label, r.synthetic): r["count"] for r in smote(df, ["a", "b"]).groupBy("label", "synthetic").count().collect()}
+    assert c[(0, 0)] == 600 and (0, 1) not in c
+    assert c[(1, 0)] == 400 and abs(c[(1, 1)] - 200) < 40     # ratio 0.5
+    assert c[(2, 0)] == 100 and c[(2, 1)] == 500              # ratio 5
 
 
 def test_smote_balances_and_stays_inside(spark):
@@ -91,3 +120,19 @@ def test_smote_balances_and_stays_inside(spark):
     for x in ["wear", "torque", "rpm"]:
         r = syn.agg(F.min(x), F.max(x)).first()
         assert r[0] >= mino[f"lo_{x}"] - 1e-9 and r[1] <= mino[f"hi_{x}"] + 1e-9
+
+
+def test_permuted_moves_every_value_once(spark):
+    df = spark.range(500).selectExpr("id as row_id", "id * 2 as a", "pmod(id, 3) as b")
+    d = TR.permuted(df, ["a", "b"], ["row_id"], bucket_rows=40)
+    rows = d.collect()
+    assert sorted(r._p_a for r in rows) == sorted(r.a for r in rows) and sum(r._p_a == r.a for r in rows) < 20
+
+
+def test_outlier_filter_and_grid(spark):
+    s = Tables(spark, SF_SMALL).sensor
+    kept = ISO.outlier_filter(s, ["rpm", "torque"], SPLIT_KEYS, trees=40)
+    assert kept.columns == s.columns and 0.85 < kept.count() / s.count() < 0.95
+    df, feats = training_frame(spark, SF_SMALL)
+    res = TR.grid_search(df, feats[:5], "logistic", {"regParam": [0.0, 0.5], "maxIter": [10]}, k=2, keys=SPLIT_KEYS)
+    assert len(res) == 2 and res[0]["f1_mean"] >= res[1]["f1_mean"] and {r["params"]["regParam"] for r in res} == {0.0, 0.5}
