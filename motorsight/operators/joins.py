@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .sequence import ordered
 from .temporal import ordered_features
 
 
@@ -64,31 +65,34 @@ def registry_gaps(readings: DataFrame, machines: DataFrame, key: str = "machine_
 
 
 def label_by_alarms(readings: DataFrame, alarms: DataFrame, *, key: str, ts: str, alarm_ts: str,
-                    horizon_hours: float, reading_id: str, alarm_id: str | None = None) -> DataFrame:
+                    horizon_hours: float, reading_id: str, alarm_id: str | None = None, **ordered_kw) -> DataFrame:
     """label = 1 when the machine has an alarm in [ts, ts + h] (another event).
 
-    Range join made equi: both sides get a bucket of width h; an alarm in
-    bucket b can only match readings of buckets b and b-1, so each alarm is
-    copied twice and the join runs on (machine, bucket).  A hot machine is
-    spread over its buckets; no nested loop inside a machine."""
-    h_us = int(horizon_hours * 3600 * 1_000_000)
+    Readings and alarms are put in one ordered frame per machine, latest first, and each reading
+    takes the next alarm at or after it, so there is no join on time and no join back: repeated
+    reading ids stay as they are.  A reading that is itself the only alarm of its time
+    (``alarm_id``) takes the alarm after that."""
     def us(c):
         return F.unix_micros(F.col(c).cast("timestamp"))
-    r = readings.withColumn("_b", F.floor(us(ts) / F.lit(h_us)))
-    a = alarms.select(F.col(key).alias("_ak"), F.col(alarm_ts).alias("_ats"),
-                      *( [F.col(alarm_id).alias("_aid")] if alarm_id else []),
-                      F.explode(F.array(F.floor(us(alarm_ts) / F.lit(h_us)),
-                                        F.floor(us(alarm_ts) / F.lit(h_us)) - 1)).alias("_b"))
-    cond = [r[key] == a["_ak"], r["_b"] == a["_b"],
-            a["_ats"] >= r[ts], us_col(a["_ats"]) <= us_col(r[ts]) + F.lit(h_us)]
-    if alarm_id:
-        cond.append(a["_aid"] != r[reading_id])
-    hits = r.join(a, cond, "left_semi").select(reading_id).withColumn("label", F.lit(1))
-    return readings.join(hits, reading_id, "left").fillna(0, ["label"])
-
-
-def us_col(c):
-    return F.unix_micros(c.cast("timestamp"))
+
+    own = F.col(alarm_id) if alarm_id else F.lit(None)
+    # Per machine and time, the least and largest alarm id tell whether any is another event.
+    al = alarms.filter(F.col(alarm_ts).isNotNull()).groupBy(F.col(key).alias("_k"), us(alarm_ts).alias("_at")).agg(
+        F.min(own.cast("string")).alias("_lo"), F.max(own.cast("string")).alias("_hi")).withColumn("_t", -F.col("_at"))
+    o = ordered(al, "_k", ["_t"], 1, **ordered_kw)
+    al = o.body(o.df.withColumn("_after", F.lag("_at", 1).over(o.w)))
+    rd = readings.select(F.col(key).alias("_k"), (-us(ts)).alias("_t"), F.lit(1).alias("_side"),
+                         F.col(reading_id).cast("string").alias("_id"), F.struct(*readings.columns).alias("_row"))
+    al = al.select("_k", "_t", F.lit(0).alias("_side"), F.lit(None).cast("string").alias("_id"),
+                   F.lit(None).cast(rd.schema["_row"].dataType).alias("_row"),
+                   F.struct(F.col("_at").alias("at"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_after").alias("after")).alias("_a"))
+    frame = al.unionByName(rd.withColumn("_a", F.lit(None).cast(al.schema["_a"].dataType)))
+    out = ordered_features(frame, "_k", ["_t", "_side", "_id"], [], groups=(), ffill_columns=["_a"], **ordered_kw)
+    n = F.col("_a_ffill")
+    itself = F.coalesce((n["lo"] == F.col("_id")) & (n["hi"] == F.col("_id")), F.lit(False))
+    at = F.when(itself, n["after"]).otherwise(n["at"])
+    hit = F.col("_k").isNotNull() & (at <= -F.col("_t") + F.lit(int(horizon_hours * 3600 * 1_000_000)))
+    return out.filter(F.col("_side") == 1).select("_row.*", F.coalesce(hit, F.lit(False)).cast("int").alias("label"))
 
 
 def asof_last_reading(readings: DataFrame, alarms: DataFrame, *, key: str, ts: str, value: str,

@@ -84,10 +84,10 @@ def alarm_log_scan_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts per class from the ';' file, checked equal to the ',' file."""
     al = Tables(spark, sf_dir).alarm.select("DateTime", "Instance", "CLASS", "TxtCame")
     semi, comma = _scratch(spark, "alarm_semi"), _scratch(spark, "alarm_comma")
-    al.coalesce(1).write.mode("overwrite").option("header", True).option("sep", ";").csv(semi)
-    al.coalesce(1).write.mode("overwrite").option("header", True).option("sep", ",").csv(comma)
-    a = RD.read_alarm_log(spark, f"{semi}/*.csv")
-    b = RD.read_alarm_log(spark, f"{comma}/*.csv")
+    al.write.mode("overwrite").option("header", True).option("sep", ";").csv(semi)
+    al.write.mode("overwrite").option("header", True).option("sep", ",").csv(comma)
+    a = RD.read_alarm_log(spark, semi)
+    b = RD.read_alarm_log(spark, comma)
     labelled = RD.fault_labels(a)
     ca = a.groupBy("CLASS").agg(F.count(F.lit(1)).alias("n"))
     cb = b.groupBy("CLASS").agg(F.count(F.lit(1)).alias("n_comma"))

@@ -96,7 +96,7 @@ def _prediction_records(t: Tables) -> DataFrame:
     return SC.prediction_records(f, F.col("p"), keep=KEYS[1:])
 
 
-@register("diagnostic_report", None, ids=("R1", "M20", "F28", "P18", "S11"))
+@register("diagnostic_report", None, ids=("R1", "M20", "F28", "P18"))
 def diagnostic_report_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """French diagnostic report lines of each machine's latest prediction (key, line_no, line).
 
@@ -128,6 +128,35 @@ def maintenance_schedule_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("readings"))
 
 
+REPORT_FILES_SQL = with_views(SENSOR) + f"""
+, r AS (SELECT machine_id, arg_max(CASE WHEN p >= 8e-1 THEN 'CRITIQUE' WHEN p >= 6e-1 THEN 'URGENT' WHEN p >= 4e-1 THEN 'ATTENTION'
+                    WHEN p >= 2e-1 THEN 'SURVEILLER' ELSE 'NORMAL' END, (ts, l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS risk_level
+        FROM (SELECT *, {FLEET_PROB} AS p FROM sensor) GROUP BY machine_id)
+, s AS (SELECT * FROM (VALUES {', '.join(f"('{lv}', {i + 1}, '{_q(line)}')" for lv, lines in fv.MAINTENANCE_SCHEDULES.items() for i, line in enumerate(lines))}) v(risk_level, line_no, line))
+SELECT machine_id, count(*) AS lines, string_agg(line, '|' ORDER BY line_no) AS text FROM r JOIN s ON r.risk_level = s.risk_level GROUP BY machine_id
+"""
+
+
+@register("text_report_files", REPORT_FILES_SQL, ids=("S11", "R2"))
+def text_report_files_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maintenance schedule of each machine's latest risk written as text files, one folder per
+    machine, and read back."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import readers as RD
+    f = fleet_scored(Tables(spark, sf_dir))
+    order = F.struct(*[F.col(c) for c in ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]])
+    last = f.groupBy("machine_id").agg(F.max_by("risk_level", order).alias("risk_level"))
+    path = scratch_path(spark, f"reports/{uuid.uuid4().hex}")
+    RD.write_text_reports(last.select("machine_id", F.posexplode(RP.schedule_lines(last)).alias("line_no", "line")), path)
+    # A report is one file, read whole: its lines stay in order.
+    back = spark.read.text(path, wholetext=True).withColumn("value", F.rtrim("value", F.lit("\n")))
+    lines = F.split("value", "\n")
+    return back.select(F.col("machine_id").cast("long").alias("machine_id"), F.size(lines).cast("long").alias("lines"),
+                       F.array_join(lines, "|").alias("text"))
+
+
 def _alert_sql() -> str:
     def msg(lang):
         return f"""concat(chr(10), CASE WHEN p >= 8e-1 THEN '🔴' WHEN p >= 5e-1 THEN '🟡' ELSE '🟢' END,
@@ -240,14 +269,16 @@ SUMMARY_FIELDS_SQL = with_views(SENSOR) + """
 , imp AS (SELECT last.*, abs(2e-4 * (Power_W - m1)) AS i1, abs(3.5e-4 * (Wear_Torque - m2)) AS i2, abs(1e-2 * (wear - m3)) AS i3 FROM last, mu)
 SELECT machine_id, round(torque, 6) AS last_torque, round(rpm, 6) AS last_rpm, round(wear, 6) AS last_wear,
   CASE WHEN i1 >= i2 AND i1 >= i3 THEN 'Power_W' WHEN i2 >= i3 THEN 'Wear_Torque' ELSE 'wear' END AS top_cause,
-  round(greatest(i1, i2, i3), 6) AS top_importance
+  round(greatest(i1, i2, i3), 6) AS top_importance,
+  (SELECT string_agg(f, ',' ORDER BY i DESC, o)
+   FROM (VALUES ('Power_W', i1, 1), ('Wear_Torque', i2, 2), ('wear', i3, 3)) v(f, i, o)) AS causes
 FROM imp
 """
 
 
 @register("prediction_summary", SUMMARY_FIELDS_SQL, ids=("R7", "M15", "W19"))
 def prediction_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per machine: last sensor values and the top root cause of the latest reading."""
+    """Per machine: last sensor values, the top root cause and all (at most five) causes of the latest reading."""
     from ..models.explain import root_causes
     f = fleet_scored(Tables(spark, sf_dir))
     means = f.agg(*[F.avg(c).alias(c) for c in R.FLEET_COEFS]).first().asDict()
@@ -258,7 +289,8 @@ def prediction_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.element_at("root_causes", 1)
     return rc.select("machine_id", round6(F.col("torque")).alias("last_torque"), round6(F.col("rpm")).alias("last_rpm"),
                      round6(F.col("wear")).alias("last_wear"), top["feature"].alias("top_cause"),
-                     round6(top["importance"]).alias("top_importance"))
+                     round6(top["importance"]).alias("top_importance"),
+                     F.array_join("root_causes.feature", ",").alias("causes"))
 
 
 PAIR_BASE = ph.FEATURE_COLUMNS[:10]

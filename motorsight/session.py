@@ -74,7 +74,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current is not None:
         return current
-    # Unset: tests and local runs only.
+    # Unset: tests and local runs only; on a cluster each machine would write to its own disk.
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
     local = tempfile.mkdtemp(prefix="motorsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)

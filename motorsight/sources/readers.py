@@ -58,10 +58,16 @@ def cached_source(spark: SparkSession, raw_path: str, bronze_path: str, schema:
     return spark.read.schema(schema).parquet(bronze_path)
 
 
-def detect_separator(spark: SparkSession, path: str, candidates=(";", ",")) -> str:
-    """Separator from the header line (the first line only is read)."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file that has one (all files of an export share their header).
+
+    Only the start of a file counts, and the scan ends at the first line found."""
+    first = spark.read.text(path).filter(F.input_file_block_start() == 0).limit(1).collect()
+    return first[0]["value"] if first else ""
+
+
+def detect_separator(line: str, candidates=(";", ",")) -> str:
+    """Separator of a header line: the candidate that it holds most often."""
     counts = {c: line.count(c) for c in candidates}
     return max(counts, key=counts.get) if any(counts.values()) else candidates[0]
 
@@ -81,9 +87,9 @@ def require_columns(df: DataFrame, required) -> DataFrame:
 def read_alarm_log(spark: SparkSession, path: str) -> DataFrame:
     """Alarm export; ';' or ',' detected from the header (D18), bad lines dropped,
     required columns checked."""
-    sep = detect_separator(spark, path)
-    header = spark.read.text(path).limit(1).collect()
-    names = [n.strip() for n in header[0][0].split(sep)] if header else []
+    line = header_line(spark, path)
+    sep = detect_separator(line)
+    names = [n.strip() for n in line.split(sep)]
     missing = [c for c in fv.ALARM_REQUIRED_COLUMNS if c not in names]
     if missing:
         raise MissingColumns(f"missing required columns: {missing}")
