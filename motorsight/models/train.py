@@ -95,7 +95,8 @@ def kfold_f1(df: DataFrame, features: list[str], kind: str, params: dict | None
     f1s = []
     for i in range(k):
         m = train(f.filter(F.col("fold") != i), features, kind, params)
-        f1s.append(evaluate(score(m, f.filter(F.col("fold") == i)), threshold=threshold)["f1"])
+        pred = score(m, f.filter(F.col("fold") == i)).withColumn("pred", (F.col("score") >= threshold).cast("int"))
+        f1s.append(float(MT.classification_metrics(pred, "label", "pred").first()["f1"]))
     mean = sum(f1s) / k
     std = (sum((x - mean) ** 2 for x in f1s) / k) ** 0.5
     return {"f1_mean": mean, "f1_std": std, "folds": f1s}

@@ -6,6 +6,8 @@ floors (rows-only at the driver)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions.numeric import round6
 from ..models import isolation as ISO
 from ..models import train as TR
 from ..operators import sampling as SP
+from ..session import scratch_path
 from ..sources.tables import Tables
 from .registry import register
 from .sql_views import SENSOR, with_views
@@ -79,12 +82,15 @@ def undersample_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- models (checked by tests with quality floors) ---------------------------------------
 def training_frame(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    """Split sensor readings with the 36 physics features (rpm mean fitted on train)."""
+    """Split sensor readings with the 36 physics features (rpm mean fitted on train), written once:
+    folds, trials and metrics all read the same table."""
     d = _split(spark, sf_dir).withColumn("type_enc", F.when(F.col("mtype") == "L", 0)
                                          .when(F.col("mtype") == "M", 1).otherwise(2))
     rpm_mean = float(d.filter(F.col("split") == "train").agg(F.avg("rpm")).first()[0])
     feats = ph.physics_features(d, rpm_mean, keep=SPLIT_KEYS + ["label", "split"])
-    return TR.with_class_weights(feats), list(ph.FEATURE_COLUMNS)
+    path = scratch_path(spark, f"models/features-{uuid.uuid4().hex}")
+    TR.with_class_weights(feats).write.parquet(path)
+    return spark.read.parquet(path), list(ph.FEATURE_COLUMNS)
 
 
 def _metrics_row(spark, name: str, ev: dict) -> DataFrame:
@@ -212,8 +218,6 @@ def outlier_filter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("model_registry", None, ids=("M19",))
 def model_registry_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save a model with its config under the shared checkpoint folder, load it, rescore."""
-    import uuid
-    from ..session import scratch_path
     m, ev, df, feats = _fit_eval(spark, sf_dir, "logistic", {"maxIter": 30})
     path = scratch_path(spark, f"models/{uuid.uuid4().hex}")
     rpm = df.filter(F.col("split") == "train").agg(F.avg("Rotational_speed__rpm")).first()[0]

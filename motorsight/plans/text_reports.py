@@ -382,7 +382,7 @@ SANITIZE_SQL = with_views(SENSOR) + "SELECT " + ", ".join(
     ", CAST(mtype = 'L' AS INTEGER) AS Type_L, CAST(mtype = 'M' AS INTEGER) AS Type_M FROM sensor"
 
 
-@register("encode_and_sanitize", SANITIZE_SQL, ids=("P4", "P16", "P17", "P14"))
+@register("encode_and_sanitize", SANITIZE_SQL, ids=("P4", "P16", "P17"))
 def encode_and_sanitize_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AI4I column labels sanitised, alphabetical label code, one-hot with the first level dropped."""
     from ..operators.preprocess import alphabetical_codes, one_hot_drop_first
