@@ -1,6 +1,5 @@
 """Streams equal batch on closed windows; a late row is dropped; state carries across batches."""
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
