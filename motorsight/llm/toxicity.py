@@ -18,10 +18,10 @@ hash of the id, fit the logistic function (two numbers).
 
 Scale: the texts of labelled rows are shuffled once, to meet their labels; grams are counted
 in each task before the shuffle.  Characters are folded to 12 bits, so a gram of five is a
-60-bit number and its context and suffix are shifts of it.  For scoring, the grams of an order
-go to 2**SLOT_BITS slots; of several grams in one slot the most frequent stays, and the others are
-scored by their next lower order, as unseen ones are.  This bounds the broadcast at 59 MB at
-any input size.  Scoring needs no shuffle.
+60-bit number and its context and suffix are shifts of it.  For scoring, every gram of every
+order is kept under its whole number in hash tables sized by the number of grams, so the
+broadcast grows with the distinct grams of the labelled texts: 16 bytes a slot, one to two slots a
+gram and fewer for those whose slot was taken.  Scoring needs no shuffle.
 
 Defined results: null and empty texts have x = 0; documents with a null id train nothing and
 are not held out; several labels of one id count as the largest; documents repeated under
@@ -46,8 +46,6 @@ from .common import free_name, stage
 ORDER = 5
 SHARED = 2
 CHAR_BITS = 12
-#: log2 of the slots of each order's table, from order 1; order 1 is exact.
-SLOT_BITS = (12, 16, 18, 20, 21)
 PRIOR_CHARS = 300
 CALIBRATION_ROWS = 20_000
 #: Slope and middle of the logistic function when there is nothing to fit it on.
@@ -56,7 +54,7 @@ THRESHOLD = 0.7
 BATCH_CHARS = 1 << 20
 _PLAIN = 3072
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_MIX_TAG = np.uint64(0xC2B2AE3D27D4EB4F)
+_MIX_NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 # --- characters and grams ---------------------------------------------------------------
@@ -94,11 +92,48 @@ def grams(c: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, inside
 
 
-def slot(key: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of each gram, and 32 more bits of its hash to know it by."""
-    bits = np.uint64(64 - SLOT_BITS[order - 1])
-    at = key if order == 1 else (key * _MIX) >> bits
-    return at.astype(np.int64), (((key ^ (key >> np.uint64(29))) * _MIX_TAG) >> np.uint64(32)).astype(np.uint32)
+def slots(key: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    """The slot of each gram in the table at ``depth``, one of 2**bits."""
+    with np.errstate(over="ignore"):
+        mixed = key * _MIX
+        for _ in range(depth):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX_NEXT
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def hash_tables(key: np.ndarray, pairs: np.ndarray) -> list[np.ndarray]:
+    """Tables of rows (gram + 1, pair of floats) that hold every gram: those whose slot is taken go on to
+    the next table, sized by their number.  A slot of 0 is empty."""
+    value = np.ascontiguousarray(pairs, np.float32).view(np.uint64).ravel()
+    out = []
+    while len(key):
+        bits = max(1, (len(key) - 1).bit_length())
+        at = slots(key, bits, len(out))
+        owner = np.empty(1 << bits, np.int64)
+        owner[at] = np.arange(len(key))
+        stays = owner[at] == np.arange(len(key))
+        table = np.zeros((1 << bits, 2), np.uint64)
+        table[at[stays], 0] = key[stays] + np.uint64(1)
+        table[at[stays], 1] = value[stays]
+        out.append(table)
+        key, value = key[~stays], value[~stays]
+    return out
+
+
+def look_up(default: float, tables: list[np.ndarray], key: np.ndarray) -> np.ndarray:
+    """The pair of each gram, ``default`` twice for those that no table holds."""
+    found = np.full((len(key), 2), default, np.float32)
+    out, rest, wanted = found.view(np.uint64).ravel(), None, key + np.uint64(1)
+    for depth, table in enumerate(tables):
+        row = np.take(table, slots(wanted - np.uint64(1), len(table).bit_length() - 1, depth), axis=0)
+        hit = row[:, 0] == wanted
+        at = np.flatnonzero(hit)
+        out[at if rest is None else rest[at]] = row[at, 1]
+        on = np.flatnonzero(~hit & (row[:, 0] != 0))
+        if not len(on):
+            break
+        rest, wanted = on if rest is None else rest[on], wanted[on]
+    return found
 
 
 def _cut(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -139,7 +174,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
 
 def model_rows(top: DataFrame) -> DataFrame:
-    """The smoothed model as rows (tab, slot, tag, v0, v1): tab 2j holds the discounted probabilities of
+    """The smoothed model as rows (tab, key, v0, v1): tab 2j holds the discounted probabilities of
     order j, tab 2j + 1 the weights that contexts of order j give to the next lower order."""
     parts, rows = [], top
     for order in range(ORDER, 0, -1):
@@ -156,8 +191,8 @@ def model_rows(top: DataFrame) -> DataFrame:
                  for k in (0, 1)]
         weight = [F.when(F.col(f"total{k}") > 0, F.col(f"types{k}") * cut[k] / F.col(f"total{k}")).otherwise(1.0) for k in (0, 1)]
         parts.append(rows.withColumn("context", F.shiftright("key", CHAR_BITS)).join(total, "context").select(
-            F.lit(2 * order).alias("tab"), "key", (F.col("c0") + F.col("c1")).cast("double").alias("n"), share[0].alias("v0"), share[1].alias("v1")))
-        parts.append(total.select(F.lit(2 * order + 1).alias("tab"), F.col("context").alias("key"), (F.col("total0") + F.col("total1")).alias("n"),
+            F.lit(2 * order).alias("tab"), "key", share[0].alias("v0"), share[1].alias("v1")))
+        parts.append(total.select(F.lit(2 * order + 1).alias("tab"), F.col("context").alias("key"),
                                   weight[0].alias("v0"), weight[1].alias("v1")))
         if order > 1:  # continuations: how many different characters stand before the suffix
             suffix = F.col("key").bitwiseAND(F.lit((1 << (CHAR_BITS * (order - 1))) - 1))
@@ -165,51 +200,26 @@ def model_rows(top: DataFrame) -> DataFrame:
                 F.sum((F.col("c0") > 0).cast("int")).alias("c0"), F.sum((F.col("c1") > 0).cast("int")).alias("c1"),
                 F.count("*").alias("n")), "grams")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tab, key = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.uint64)
-            at, tag = np.zeros(len(key), np.int64), np.zeros(len(key), np.uint32)
-            for t in np.unique(tab):
-                own, order = tab == t, max(int(t) // 2 - int(t) % 2, 1)  # contexts of order j are grams of order j - 1
-                at[own], tag[own] = slot(key[own], order)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *batch.columns[2:], pa.array(at), pa.array(tag.view(np.int32))],
-                ["tab", "key", "n", "v0", "v1", "slot", "tag"])
-
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    placed = every.mapInArrow(place, "tab int, key long, n double, v0 double, v1 double, slot long, tag int")
-    best = placed.groupBy("tab", "slot").agg(F.max(F.struct("n", "key", "tag", "v0", "v1")).alias("best"))
-    return best.select("tab", F.col("slot").cast("int").alias("slot"), "best.tag",
-                       F.col("best.v0").cast("float").alias("v0"), F.col("best.v1").cast("float").alias("v1"))
+    return every.select("tab", "key", F.col("v0").cast("float").alias("v0"), F.col("v1").cast("float").alias("v1"))
 
 
 def load(rows: DataFrame) -> list[tuple]:
-    """Per order, shares and weights, each as tags and pairs of floats by slot."""
+    """Per order, shares and weights, each as what an unseen gram has and the hash tables of the others."""
     got = rows.toArrow()
-    tab, at, tag, v0, v1 = (got.column(c).to_numpy() for c in ("tab", "slot", "tag", "v0", "v1"))
+    tab, key, v0, v1 = (got.column(c).to_numpy() for c in ("tab", "key", "v0", "v1"))
     out = []
     for order in range(1, ORDER + 1):
-        for t, of, default in ((2 * order, order, 0.0), (2 * order + 1, max(order - 1, 1), 1.0)):
-            tags = np.zeros(1 << SLOT_BITS[of - 1], np.uint32)
-            pairs = np.full((len(tags), 2), default, np.float32)  # an empty slot says what an unseen gram does
+        for t, default in ((2 * order, 0.0), (2 * order + 1, 1.0)):
             own = tab == t
-            tags[at[own]] = tag[own].view(np.uint32)
-            pairs[at[own], 0], pairs[at[own], 1] = v0[own], v1[own]
-            out.append((of, default, tags, pairs))
+            out.append((default, hash_tables(key[own].astype(np.uint64), np.stack([v0[own], v1[own]], axis=1))))
     return out
 
 
 def ratios(model: list[tuple], texts: list[str]) -> np.ndarray:
     """x of each text."""
-    def pick(table: tuple, key: np.ndarray) -> np.ndarray:
-        order, default, tags, pairs = table
-        at, tag = slot(key, order)
-        found = pairs.view(np.int64).ravel()[at].view(np.float32).reshape(-1, 2)  # both classes in one look
-        found[tags[at] != tag] = default
-        return found
-
     out = np.zeros(len(texts))
     for a, b in _cut(texts):
         c, ends = codes(texts[a:b])
@@ -219,8 +229,8 @@ def ratios(model: list[tuple], texts: list[str]) -> np.ndarray:
         p = np.full((len(key), 2), 1.0 / (1 << CHAR_BITS), np.float32)
         for order in range(1, ORDER + 1):
             gram = key & np.uint64((1 << (CHAR_BITS * order)) - 1)
-            p *= pick(model[2 * order - 1], gram >> np.uint64(CHAR_BITS))
-            p += pick(model[2 * order - 2], gram)
+            p *= look_up(*model[2 * order - 1], gram >> np.uint64(CHAR_BITS))
+            p += look_up(*model[2 * order - 2], gram)
         with np.errstate(divide="ignore", invalid="ignore"):
             step = np.log(p[:, 1] / p[:, 0])
         step[~inside | ~np.isfinite(step)] = 0

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motorsight.llm import queries, toxicity
 
@@ -129,3 +130,28 @@ def test_logistic_fit():
     assert slope > 50 and 0.02 < middle < 0.07
     assert toxicity.fit(x, np.zeros(1000)) == toxicity.DEFAULT_FIT
     assert toxicity.fit(-x, y) == toxicity.DEFAULT_FIT
+
+
+def test_tables_hold_every_gram():
+    """More grams than the 2^21 slots that were kept: none is lost, and none is found that is not there."""
+    rnd = np.random.default_rng(3)
+    key = np.unique(rnd.integers(0, 1 << 60, 2_500_000).astype(np.uint64))
+    pairs = rnd.random((len(key), 2)).astype(np.float32)
+    tables = toxicity.hash_tables(key, pairs)
+    assert np.array_equal(toxicity.look_up(0.5, tables, key), pairs)
+    other = np.setdiff1d(rnd.integers(0, 1 << 60, 100_000).astype(np.uint64), key)
+    assert (toxicity.look_up(0.5, tables, other) == 0.5).all()
+    assert sum(t.nbytes for t in tables) < 3 * 16 * len(key)
+    assert (toxicity.look_up(1.0, [], other[:3]) == 1.0).all()
+
+
+def test_model_keeps_grams_that_shared_a_slot(spark):
+    """All grams of the labelled texts are in the model, as many as were counted."""
+    rnd = random.Random(8)
+    docs = [(i % 2, "".join(chr(rnd.randrange(97, 1000)) for _ in range(1500))) for i in range(200)]
+    counted = toxicity.count_grams(spark.createDataFrame(docs, "label int, text string")).cache()
+    tables = toxicity.load(toxicity.model_rows(counted))
+    kept = [sum(int((t[:, 0] != 0).sum()) for t in one) for _, one in tables]
+    want = [counted.select((counted.key.bitwiseAND((1 << 12 * n) - 1)).alias("k")).distinct().count() for n in range(1, 6)]
+    assert kept[0::2] == want
+    assert kept[9] == counted.select(F.shiftright("key", 12)).distinct().count()
