@@ -10,13 +10,15 @@ A text's value is the log-likelihood ratio of the two models per character,
 
     x = sum(log P_toxic - log P_ordinary) / (characters + PRIOR_CHARS)
 
-and its score is a logistic function of x, fitted on labelled rows kept out of the counts.
+and its score is a logistic function of x, fitted on labelled rows kept out of the counts of its x.
 
-Labels come only from rows that ``held_out`` leaves: seven eighths of them are counted, all
-of them at every size; of the last eighth at most ``CALIBRATION_ROWS`` rows, in order of a
-hash of the id, fit the logistic function (two numbers).
+Labels come only from rows that ``held_out`` leaves, and the model that scores counts all of them
+at every size.  The logistic function (two numbers) is fitted before, on at most
+``CALIBRATION_ROWS`` rows of one eighth of them, in order of a hash of the id, with a model that counts
+the other seven eighths.
 
-Scale: the texts of labelled rows are shuffled once, to meet their labels; grams are counted
+Scale: the texts of labelled rows are shuffled once, to meet their labels, and those of the
+eighth are written; grams are counted
 in each task before the shuffle.  Characters are folded to 12 bits, so a gram of five is a
 60-bit number and its context and suffix are shifts of it.  For scoring, every gram of every
 order is kept under its whole number in hash tables sized by the number of grams, so the
@@ -226,13 +228,14 @@ def ratios(model: list[tuple], texts: list[str]) -> np.ndarray:
         key, inside = grams(c, ends)
         if not len(key):
             continue
-        p = np.full((len(key), 2), 1.0 / (1 << CHAR_BITS), np.float32)
+        each, place = np.unique(key, return_inverse=True)
+        p = np.full((len(each), 2), 1.0 / (1 << CHAR_BITS), np.float32)
         for order in range(1, ORDER + 1):
-            gram = key & np.uint64((1 << (CHAR_BITS * order)) - 1)
+            gram = each & np.uint64((1 << (CHAR_BITS * order)) - 1)
             p *= look_up(*model[2 * order - 1], gram >> np.uint64(CHAR_BITS))
             p += look_up(*model[2 * order - 2], gram)
         with np.errstate(divide="ignore", invalid="ignore"):
-            step = np.log(p[:, 1] / p[:, 0])
+            step = np.log(p[:, 1] / p[:, 0])[place]
         step[~inside | ~np.isfinite(step)] = 0
         total = np.concatenate(([0.0], np.cumsum(step, dtype=np.float64)))
         starts = ends - np.diff(ends, prepend=0)
@@ -302,12 +305,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(~held_out("id"))
     known = known.hint("merge")  # neither side is bounded, so neither is broadcast at any size
     counted = stage(count_grams(known.filter(~aside).join(texts.filter(~aside), "id").select("label", "text")), "grams")
-    model = Model(spark.sparkContext.broadcast(load(model_rows(counted))), *DEFAULT_FIT)
-    sample = known.filter(aside).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).hint("merge")
-    rows = sample.join(texts.filter(aside), "id").select("label", model.value("text").alias("x")).collect()
-    if rows:
-        model.slope, model.middle = fit(np.array([r.x for r in rows]), np.array([r.label for r in rows], float))
-    return model
+    rest = stage(known.filter(aside).join(texts.filter(aside), "id").select("id", "label", "text"), "aside")
+    first = spark.sparkContext.broadcast(load(model_rows(counted)))
+    sample = known.filter(aside).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("id").hint("merge")
+    rows = sample.join(rest, "id").select("label", Model(first, *DEFAULT_FIT).value("text").alias("x")).collect()
+    first.unpersist()
+    fitted = fit(np.array([r.x for r in rows]), np.array([r.label for r in rows], float)) if rows else DEFAULT_FIT
+    every = counted.unionByName(count_grams(rest)).groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return Model(spark.sparkContext.broadcast(load(model_rows(stage(every, "grams")))), *fitted)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -155,3 +155,20 @@ def test_model_keeps_grams_that_shared_a_slot(spark):
     want = [counted.select((counted.key.bitwiseAND((1 << 12 * n) - 1)).alias("k")).distinct().count() for n in range(1, 6)]
     assert kept[0::2] == want
     assert kept[9] == counted.select(F.shiftright("key", 12)).distinct().count()
+
+
+def test_model_counts_the_rows_that_fit_the_logistic_function(spark):
+    """An expression found only in texts of the calibration eighth is learned as well."""
+    rnd = random.Random(6)
+    rows, labels = [], []
+    for i in range(1500):
+        code = zlib.crc32(str(i).encode())
+        aside, toxic = code % 3 != 1 and code // 3 % 8 == 0, int(i % 4 == 0)
+        words = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8))) for _ in range(60)]
+        if toxic:
+            words[::6] = ["wyzquv" if aside else "zubble"] * 10
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    learned, unseen = toxicity.ratios(model.tables.value, ["wyzquv " * 20, "kxjpgd " * 20])
+    assert learned > unseen + 0.1
