@@ -1,7 +1,9 @@
 """Compression bands (op7) and three-line windows (op9) against plain versions."""
 
+import base64
 import random
 import re
+import string
 
 import zstandard
 from hypothesis import given, settings
@@ -69,6 +71,35 @@ def test_bands_reject_repetition_and_noise_and_keep_prose():
     assert not quality.judge(mixed, PRESS)[9]
 
 
+def test_bands_reject_encoded_text_of_any_length():
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+
+    def encoded(n, width=76):
+        text = base64.b64encode(rnd.randbytes(n)).decode()
+        return "\n".join(text[i: i + width] for i in range(0, n, width))[:n]
+
+    def random_words(n):
+        return " ".join("".join(rnd.choices(string.ascii_letters + string.digits, k=8)) for _ in range(n // 9 + 1))[:n]
+
+    def prose(n):
+        return " ".join(rnd.choice(words) for _ in range(n // 4))[:n]
+
+    assert not any(quality.judge(encoded(n, 20), PRESS)[9] for n in (500, 1000))
+    for n in (1600, 3000, 4096, 12000, 50000):
+        row = quality.judge(encoded(n), PRESS)
+        assert not row[8] and not row[9], n
+    for n in (250, 500, 1000, 2000, 6000, 12000):
+        row = quality.judge(random_words(n), PRESS)
+        assert not row[8] and not row[9], n
+    # Long documents that are partly base64: found in the chunks.
+    for share in (0.3, 0.5):
+        n = int(48000 * share)
+        row = quality.judge(prose(48000 - n) + "\n" + encoded(n), PRESS)
+        assert not row[8] and not row[9], share
+    assert quality.judge(prose(48000), PRESS)[9]
+
+
 def test_quality_edge_rows(spark):
     rows = [(None, None), (1, ""), (1, ""), (2, "x"), (3, "word " * 60000)]
     df = spark.createDataFrame([(*r, 1, "q") for r in rows], "doc_id long, text string, n_words int, q string")
