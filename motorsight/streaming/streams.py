@@ -9,8 +9,13 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,28 +111,72 @@ EMA_OUT = StructType([StructField("machine_id", LongType()), StructField("event_
 EMA_STATE = StructType([StructField("y", DoubleType()), StructField("weight", DoubleType())])
 
 
+#: A row of a machine's micro-batch; missing times and ids come last.
+EMA_ROW = np.dtype([("no_ts", "?"), ("ts", "i8"), ("no_id", "?"), ("event_id", "i8"), ("x", "f8")])
+MERGE_ROWS = 256
+
+
+def _ema_rows(pdf: pd.DataFrame) -> np.ndarray:
+    """The rows of one Arrow chunk in (ts, event_id) order."""
+    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+    out = np.empty(len(pdf), EMA_ROW)
+    out["no_ts"], out["no_id"] = pdf["ts"].isna(), pdf["event_id"].isna()
+    out["ts"] = pdf["ts"].to_numpy().astype("datetime64[ns]").view("i8")
+    out["event_id"] = pdf["event_id"].fillna(0).astype("int64")
+    out["x"] = pdf["x"].to_numpy(dtype="float64")
+    return out
+
+
+def in_time_order(pdfs: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[np.ndarray]:
+    """All rows of the chunks in (ts, event_id) order, at most about one chunk at a time: more chunks than one are
+    sorted each, written to a temporary file of the task and merged."""
+    runs = map(_ema_rows, pdfs)
+    first, second = next(runs, None), next(runs, None)
+    if first is None:
+        return
+    if second is None:
+        yield first
+        return
+    with tempfile.TemporaryFile() as f:
+        sizes = []
+        for run in itertools.chain((first, second), runs):
+            f.write(run.tobytes())
+            sizes.append(len(run))
+        ends = list(itertools.accumulate(sizes))
+
+        def read(end: int, size: int) -> Iterator[tuple]:
+            for a in range(end - size, end, MERGE_ROWS):
+                f.seek(a * EMA_ROW.itemsize)
+                yield from np.frombuffer(f.read(min(MERGE_ROWS, end - a) * EMA_ROW.itemsize), EMA_ROW).tolist()
+
+        merged = heapq.merge(*map(read, ends, sizes), key=lambda r: r[:4])
+        while block := list(itertools.islice(merged, rows)):
+            yield np.array(block, EMA_ROW)
+
+
 def stateful_ema(scored: DataFrame, span: int = 3) -> DataFrame:
     """T5: EMA per machine across micro-batches; state = last value and its weight.
 
     A missing reading repeats the last value and lets its weight decay, as pandas
-    ``ewm(adjust=False)`` does.  A machine's rows of a micro-batch come as Arrow chunks, one
-    in memory at a time, each put in (ts, event_id) order."""
+    ``ewm(adjust=False)`` does.  A machine's rows of a micro-batch come as Arrow chunks
+    and are merged into one (ts, event_id) order without holding them all."""
     alpha = 2.0 / (span + 1)
 
     def step(key, pdfs, state):
         y, weight = state.get if state.exists else (None, None)
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+        for rows in in_time_order(pdfs):
             out = []
-            for x in pdf["x"].to_numpy(dtype="float64"):
+            for x in rows["x"].tolist():
                 if y is not None:
                     weight *= 1.0 - alpha
                 if x == x:
                     y = x if y is None else (weight * y + alpha * x) / (weight + alpha)
                     weight = 1.0
                 out.append(y)
-            yield pd.DataFrame({"machine_id": pdf["machine_id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
-                                "ts": pdf["ts"].to_numpy(), "ema": pd.Series(out, dtype="float64")})
+            yield pd.DataFrame({"machine_id": pd.Series([key[0]] * len(rows), dtype="Int64"),
+                                "event_id": pd.Series(rows["event_id"]).astype("Int64").mask(rows["no_id"]),
+                                "ts": rows["ts"].astype("datetime64[ns]"),
+                                "ema": pd.Series(out, dtype="float64")})
         if y is not None:
             state.update((float(y), float(weight)))
 

@@ -2,6 +2,8 @@
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -84,3 +86,26 @@ def test_ema_passes_over_missing_readings(spark):
     out = spark.read.parquet(ST.run_available_now(ST.stateful_ema(stream, 3), "t_gaps")).orderBy("event_id").collect()
     want = pd.Series(xs).ewm(span=3, adjust=False).mean()
     assert [None if r.ema is None else round(r.ema, 12) for r in out] == [None if w != w else round(w, 12) for w in want]
+
+
+def test_stateful_ema_in_time_order_across_arrow_chunks(spark):
+    """One machine's micro-batch of many Arrow chunks, in no order, gives the EMA of its rows by time."""
+    folder = scratch_path(spark, f"test-stream-{uuid.uuid4().hex}")
+    n = 500
+    order = [(i * 197) % n for i in range(n)]
+    readings = [(7, i, float(i * 31 % 17) if i % 5 else None, 1_700_000_000 + 60 * i) for i in order]
+    spark.createDataFrame(readings, "machine_id long, event_id long, x double, at long") \
+        .withColumn("ts", F.timestamp_seconds("at")).drop("at").coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        got = spark.read.parquet(ST.run_available_now(ST.stateful_ema(stream, 3), "t_ema_chunks")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    got = got.sort_values("event_id")
+    x = pd.Series([r[2] for r in sorted(readings, key=lambda r: r[1])], dtype="float64")
+    assert got["event_id"].tolist() == list(range(n)) and (got["machine_id"] == 7).all()
+    assert got["ts"].is_monotonic_increasing
+    want = x.ewm(span=3, adjust=False).mean()
+    assert np.allclose(got["ema"], want, equal_nan=True)
