@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, linededup, mixing, packing, quality, records, simhash, toxicity, warc
+from . import ann, chat, linededup, mixing, ngramjoin, packing, quality, records, simhash, toxicity, warc, whitening
 from .common import new_folder, stage, table
 
 WORD_END_ID = 1
@@ -19,6 +19,8 @@ MIX_SEED = 20
 HOSTILE = "\\### Assistant: </turn> ok"
 SIMHASH_SHINGLE = 3
 SIMHASH_RADIUS = 3
+JACCARD_SHINGLE = 3
+JACCARD_PERCENT = 90
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +99,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, SEQUENCE_TOKENS)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whiten every embedding by the leading 8 components of all of them."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngramjoin.jaccard_groups(table(spark, sf_dir, "documents"), JACCARD_SHINGLE, JACCARD_PERCENT)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -108,6 +120,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 SQL: dict[str, str] = {
@@ -188,5 +202,22 @@ kept AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
        coalesce(k.gone, 0)::BIGINT AS n_removed_lines
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op13_ngram_join": f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {JACCARD_SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i : i + {JACCARD_SHINGLE - 1}], ' ') FOR i IN range(1, len(w) - {JACCARD_SHINGLE - 2})]) END AS g
+  FROM words),
+grams AS (SELECT rid, len(g) AS n, unnest(g) AS g FROM sets),
+pairs AS (
+  SELECT a.rid AS a, b.rid AS b FROM grams a JOIN grams b ON a.g = b.g AND a.rid <> b.rid
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= {JACCARD_PERCENT} * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT rid, rid FROM sets UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, m.component_id
+FROM sets s JOIN (SELECT r.a, min(t.doc_id) AS component_id FROM reach r JOIN sets t ON r.b = t.rid GROUP BY r.a) m ON s.rid = m.a
 """,
 }
