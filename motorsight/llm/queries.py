@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, linededup, mixing, ngramjoin, packing, quality, records, simhash, toxicity, warc, whitening
+from . import ann, chat, linededup, mixing, ngramjoin, packing, prefixtrie, quality, records, simhash, toxicity, warc, whitening
 from .common import new_folder, stage, table
 
 WORD_END_ID = 1
@@ -104,6 +104,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations, one row per distinct prefix."""
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return ngramjoin.jaccard_groups(table(spark, sf_dir, "documents"), JACCARD_SHINGLE, JACCARD_PERCENT)
@@ -121,6 +126,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
     "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_ngram_join": op13_ngram_join,
 }
 
@@ -202,6 +208,41 @@ kept AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
        coalesce(k.gone, 0)::BIGINT AS n_removed_lines
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+""",
+    "op12_prefix_trie": """
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (
+  SELECT conv_id, flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(conv_id::VARCHAR, '')]) AS b
+  FROM (SELECT DISTINCT conv_id FROM t)),
+crc AS (
+  SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], b::BIGINT[]),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT) % 6 AS h
+  FROM bits),
+b AS (
+  SELECT crc.conv_id, t.pos, t.role, t.text FROM crc JOIN t ON t.conv_id = crc.conv_id - crc.conv_id % 100 AND t.pos <= h
+  UNION ALL SELECT t.conv_id, t.pos, t.role, t.text FROM t JOIN crc ON t.conv_id = crc.conv_id AND t.pos > h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars,
+         sha256(string_agg(octet_length(encode(role)) || ':' || role || octet_length(encode(text)) || ':' || text, '') OVER w) AS path
+  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM crc),
+ends AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+n AS (
+  SELECT depth, path, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(e.conv_id::VARCHAR, ',' ORDER BY e.conv_id), '')) AS ends_sha256
+  FROM p LEFT JOIN ends e USING (conv_id, depth) GROUP BY depth, path),
+kids AS (
+  SELECT u.path, u.depth, count(*) AS n_children FROM n c JOIN p u ON u.conv_id = c.conv_id AND u.depth = c.depth - 1 GROUP BY u.path, u.depth),
+nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path, depth)),
+below AS (
+  SELECT a.path, a.depth, count_if(x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved_tokens
+  FROM nodes x JOIN p a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY a.path, a.depth)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (path, depth) LEFT JOIN p up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1
+LEFT JOIN n u ON u.path = up.path AND u.depth = up.depth
 """,
     "op13_ngram_join": f"""
 WITH RECURSIVE words AS (

@@ -70,11 +70,12 @@ def pivoted_cholesky(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = len(v)
     a, order = v.astype(float).copy(), np.arange(d)
     low = np.zeros((d, d))
-    least = d * np.finfo(float).eps * max(a.diagonal().max(initial=0.0), 0.0)
+    least = 8 * d * np.finfo(float).eps * a.diagonal()  # what is left below this share of a variance is rounding
     rank = 0
     for k in range(d):
-        p = k + int(np.argmax(a.diagonal()[k:]))
-        if not a[p, p] > least:
+        left = a.diagonal()[k:]
+        p = k + int(np.argmax(np.where(left > least[order[k:]], left, 0.0)))
+        if not a[p, p] > least[order[p]]:
             break
         swap = [p, k]
         a[[k, p]], order[[k, p]], low[[k, p]] = a[swap], order[swap], low[swap]
