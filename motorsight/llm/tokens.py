@@ -5,12 +5,14 @@ object per text.  Both vocabularies used here cut a text at white space before a
 ids of a text are the ids of its words, one after the other.  ``WordEncoder`` splits the
 texts of a batch with Arrow, hands each distinct word to the library once, many words a
 call, and puts the ids together with numpy.  Texts with uneven or rare white space go to the
-library whole, and so do words with digits, inner punctuation or letters beyond Latin-1.
+library whole, and so do texts that hold one of its added tokens (it cuts there before it looks at
+white space) and words with digits, inner punctuation or letters beyond Latin-1.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,8 @@ class WordEncoder:
         self.merges = Tokenizer(self.tok.model)
         self.merges.pre_tokenizer = pre_tokenizers.Split("\0", "removed")
         self.mode = mode
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_WHOLE.get(mode, ""), *added])
         vocabulary = self.tok.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.letters = _byte_letters()
@@ -119,7 +123,7 @@ class WordEncoder:
     def _batch(self, texts: pa.Array) -> Ragged:
         if self.mode == "whole" or not len(texts):
             return self.whole(texts.to_pylist())
-        odd = pc.match_substring_regex(texts, _WHOLE[self.mode])
+        odd = pc.match_substring_regex(texts, self.odd)
         odd = pc.or_(odd, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         whole = self.whole(texts.filter(pa.array(odd)).to_pylist())
         even = texts.filter(pa.array(~odd))

@@ -39,6 +39,21 @@ def test_word_encoder_gives_the_librarys_ids(texts, mode):
     assert [got.flat[b - n: b].tolist() for b, n in zip(ends, got.size)] == expected
 
 
+PARTS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "\n", "\n\n", " ", "  ", "\t", "hello", "World.", "é", "'s", "7", "<|endof"]
+
+
+@pytest.mark.parametrize("mode", ["word", "byte"])
+def test_word_encoder_around_added_tokens(mode):
+    """Texts of added tokens, white space and words: the library cuts at an added token first."""
+    rnd, own = random.Random(9), encoder(mode)
+    texts = ["hello world.\n\n<|endoftext|>\n\nnext text"]
+    texts += ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(1, 9))) for _ in range(4000)]
+    expected = [e.ids for e in own.tok.encode_batch(texts, add_special_tokens=False)]
+    got = own.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(got.size)
+    assert [got.flat[b - n: b].tolist() for b, n in zip(ends, got.size)] == expected
+
+
 def test_word_encoder_on_the_fixture_texts(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     for mode in ("word", "byte"):
