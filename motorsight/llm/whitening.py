@@ -8,7 +8,8 @@ product of L with itself is formed again, so small eigenvalues keep their relati
 
 The scatter is exact.  z = x - floor(mean) is a long, and the remaining shift r / n (r the
 remainder of the sum) is taken off in whole numbers: n^2 V = n * sum(z z') - r r'.  So sums don't
-depend on the order of rows or on retries, and nothing cancels that wasn't centred first.
+depend on the order of rows or on retries, and nothing cancels that wasn't centred first.  The
+factorisation runs in numpy's long double, so that one far outlier doesn't drown the rest.
 
 Scale: two narrow passes for sums and scatter; a task gives d (d + 1) / 2 numbers per
 Arrow batch, added up by Spark.  The driver holds one d x d matrix (d: the dimension of the
@@ -66,11 +67,11 @@ class Whitening:
 # --- factorisation -------------------------------------------------------------------
 
 def pivoted_cholesky(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, L): v[order][:, order] = L L' with falling pivots; L has as many columns as the rank."""
+    """(order, L), in long double: v[order][:, order] = L L' with falling pivots; L has as many columns as the rank."""
     d = len(v)
-    a, order = v.astype(float).copy(), np.arange(d)
-    low = np.zeros((d, d))
-    least = 8 * d * np.finfo(float).eps * a.diagonal()  # what is left below this share of a variance is rounding
+    a, order = v.astype(np.longdouble), np.arange(d)
+    low = np.zeros_like(a)
+    least = 8 * d * np.finfo(v.dtype).eps * a.diagonal()  # what is left below this share of a variance is rounding
     rank = 0
     for k in range(d):
         left = a.diagonal()[k:]
@@ -90,7 +91,7 @@ def pivoted_cholesky(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def one_sided_jacobi(low: np.ndarray) -> np.ndarray:
     """The columns of ``low`` rotated in pairs until all are orthogonal.  A round rotates disjoint
     pairs together (round-robin order), so each is a few array operations."""
-    u = np.array(low, float, order="F")
+    u = np.array(low, order="F")
     m = u.shape[1]
     if m < 2:
         return u
@@ -106,14 +107,14 @@ def one_sided_jacobi(low: np.ndarray) -> np.ndarray:
             size = np.sqrt(xx * yy)
             off = np.divide(np.abs(xy), size, out=np.zeros_like(size), where=size > 0)
             worst = max(worst, float(off.max(initial=0.0)))
-            turn = off > 1e-17
+            turn = off > 0
             zeta = np.divide(yy - xx, 2 * xy, out=np.zeros_like(xy), where=turn)
-            t = np.where(turn, np.copysign(1.0, zeta) / (np.abs(zeta) + np.hypot(1.0, zeta)), 0.0)
-            c = 1 / np.hypot(1.0, t)
+            t = np.where(turn, np.copysign(1, zeta) / (np.abs(zeta) + np.hypot(1, zeta)), 0)
+            c = 1 / np.hypot(1, t)
             s = c * t
             u[:, i], u[:, j] = c * x - s * y, s * x + c * y
             players = [players[0], players[-1], *players[1:-1]]
-        if worst <= 4 * np.finfo(float).eps:
+        if worst <= 4 * np.finfo(u.dtype).eps:
             break
     return u
 
@@ -126,7 +127,7 @@ def eigen(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     fall = np.argsort(-norms, kind="stable")
     rows = np.empty_like(u)
     rows[order] = u
-    return norms[fall] ** 2, (rows / norms)[:, fall].T
+    return (norms[fall] ** 2).astype(float), (rows / norms)[:, fall].T.astype(float)
 
 
 # --- passes over the vectors ------------------------------------------------------------
@@ -189,6 +190,11 @@ def common_length(rows: DataFrame) -> int:
     return top.d if top else 0
 
 
+def _long_double(x: int) -> np.longdouble:
+    high = float(x)
+    return np.longdouble(high) + np.longdouble(float(x - int(high)))
+
+
 def fit(rows: DataFrame, d: int) -> Whitening | None:
     """The whitening of the vectors ``v``, all of length ``d``; None without any."""
     n, sums = _sums(rows, d)
@@ -196,8 +202,8 @@ def fit(rows: DataFrame, d: int) -> Whitening | None:
         return None
     z = _scatter(rows, d, np.array([s // n for s in sums], np.int64))
     r = [s % n for s in sums]
-    # Whole numbers up to the one division, so each entry is the double nearest to the true covariance.
-    v = np.array([[(n * z[i][j] - r[i] * r[j]) / (n * n) for j in range(d)] for i in range(d)])
+    # Whole numbers up to the one division.
+    v = np.array([[_long_double(n * z[i][j] - r[i] * r[j]) / _long_double(n * n) for j in range(d)] for i in range(d)])
     values, vectors = eigen(v)
     return Whitening(n, sums, values, vectors, float(v.trace()))
 
