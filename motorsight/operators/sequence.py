@@ -4,10 +4,11 @@ A ``Window.partitionBy(machine)`` keeps each machine in one task, so a machine
 holding a third of all rows would become a third of the job in one task.  The
 plan here splits such hot keys into contiguous sub-ranges of the order column:
 
-1. An exact count per key finds the keys above ``chunk_rows``; approximate quantiles of
-   the first order column give the boundaries of their sub-ranges.  Both are
-   aggregations with map-side combine.  Keys that are not hot keep a single
-   sub-range (0).
+1. An exact count per key finds the keys above ``chunk_rows``; quantiles of the whole order
+   tuple (so that equal times are split by the columns after it) give the boundaries of
+   their sub-ranges.  They come from rows picked by a hash of the tuple, ``PICKS`` a
+   sub-range: boundaries decide the split alone, never a result.  Keys that are not hot keep a
+   single sub-range (0).
 2. Keys and boundaries are a written table that is joined (null-safe: rows without a key
    are a key of their own), so the assignment is the same in every retry and no key
    becomes a literal of the plan.
@@ -31,11 +32,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from ..session import scratch_path
 
 DEFAULT_CHUNK_ROWS = 2_000_000
+#: Rows of a hot key that are looked at for each of its sub-ranges.
+PICKS = 64
 #: A split table up to this many boundaries is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BOUNDS = 1_000_000
 
@@ -50,27 +52,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def split_value(df: DataFrame, col: str) -> Column:
-    """Numeric image of the first order column (timestamps -> epoch microseconds)."""
-    dt = df.schema[col].dataType
-    if isinstance(dt, NumericType):
-        return F.col(col).cast("double")
-    return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-
-
-def plan_splits(df: DataFrame, key: str, first_order: str, chunk_rows: int) -> DataFrame | None:
-    """The split table (key, _bounds) of the keys above ``chunk_rows``: ascending
-    sub-range boundaries of the first order column.  None when no key is hot."""
+def plan_splits(df: DataFrame, key: str, order: list[str] | str, chunk_rows: int) -> DataFrame | None:
+    """The split table (key, _bounds) of the keys above ``chunk_rows``: ascending first tuples of the
+    order columns of their sub-ranges.  None when no key is hot."""
+    order = [order] if isinstance(order, str) else order
     hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows)
     top = hot.agg(F.max("_n").alias("most"), F.count(F.lit(1)).alias("keys")).first()
     if not top["keys"]:
         return None
     parts = int(math.ceil(top["most"] / chunk_rows))
-    values = null_safe_join(df.select(key, split_value(df, first_order).alias("_v")), hot.select(key), [key], "left_semi")
-    # One grid of quantiles for all hot keys, fine enough for the largest of them.
-    grid = [i / parts for i in range(1, parts)]
-    bounds = values.groupBy(key).agg(F.percentile_approx("_v", grid, max(10_000, 10 * parts)).alias("_bounds"))
-    bounds = bounds.select(key, F.array_sort(F.array_distinct("_bounds")).alias("_bounds")).filter(F.size("_bounds") > 0)
+    every = max(1, chunk_rows // PICKS)
+    picked = df.select(key, F.struct(*order).alias("_v")).filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
+    picked = null_safe_join(picked, hot.select(key), [key], "left_semi")
+    # About ``PICKS`` tuples for each sub-range of the key; each sub-range takes as many.
+    many = max(1, chunk_rows // every)
+    taken = F.filter(F.array_sort(F.array_agg("_v")), lambda v, i: (i > 0) & (i % many == 0))
+    bounds = picked.groupBy(key).agg(F.array_distinct(taken).alias("_bounds")).filter(F.size("_bounds") > 0)
     path = scratch_path(df.sparkSession, f"splits/{uuid.uuid4().hex}")
     bounds.write.parquet(path)
     table = df.sparkSession.read.schema(bounds.schema).parquet(path)
@@ -102,7 +99,7 @@ class Ordered:
 def ordered(df: DataFrame, key: str, order: list[str], halo: int = 0,
             chunk_rows: int = DEFAULT_CHUNK_ROWS) -> Ordered:
     """Attach exact positions inside ``key`` (1-based ``_rn``) and halo copies."""
-    splits = plan_splits(df, key, order[0], chunk_rows)
+    splits = plan_splits(df, key, order, chunk_rows)
     order_cols = [F.col(c).asc_nulls_first() for c in order]
     if splits is None:
         w = Window.partitionBy(key).orderBy(*order_cols)
@@ -110,8 +107,8 @@ def ordered(df: DataFrame, key: str, order: list[str], halo: int = 0,
             .withColumn("_halo", F.lit(False))
         return Ordered(out, key, order, halo, False)
 
-    sv = split_value(df, order[0])
-    reached = F.size(F.filter("_bounds", lambda b: b <= sv))
+    here = F.struct(*order)
+    reached = F.size(F.filter("_bounds", lambda b: b <= here))
     d = null_safe_join(df, splits, [key], "left")
     d = d.withColumn("_sub", F.when(F.col("_bounds").isNull(), 0).otherwise(reached).cast("int"))
     d = d.withColumn("_hot", F.col("_bounds").isNotNull()).drop("_bounds")

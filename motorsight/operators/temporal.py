@@ -10,11 +10,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from .. import fixed_values as fv
 from .sequence import DEFAULT_CHUNK_ROWS, Ordered, carry, null_safe_join, ordered
@@ -29,110 +26,63 @@ def ema_frame(span: int, tol: float = 1e-16) -> int:
     return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
 
 
-def _ewm(x, span: int):
-    return x.ewm(span=span, adjust=False).mean()
-
-
-def _from_state(x, rn, span: int, y0, p0):
-    """pandas ``ewm(adjust=False)`` of ``x`` at positions ``rn``, carried on from value ``y0`` last
-    reached at position ``p0`` (None: nothing before).  A gap lets the old value's weight decay."""
-    if y0 is None or np.isnan(y0):
-        return _ewm(x, span)
-    valid = np.flatnonzero(x.notna().to_numpy())
-    if not len(valid):
-        return x.where(x.notna(), y0)
-    alpha, first = 2.0 / (span + 1), valid[0]
-    old = (1 - alpha) ** (rn.iloc[first] - p0)
-    x = x.copy()
-    x.iloc[first] = (old * y0 + alpha * x.iloc[first]) / (old + alpha)
-    out = _ewm(x, span)
-    out.iloc[:first] = y0
-    return out
-
-
-def _ema_summary(d: DataFrame, key: str, columns: list[str], spans: list[int]) -> DataFrame:
-    """Per (key, _sub) and column: the first and last valid positions, the first value, and per
-    span the map y_last = a * y_first + b that the recursion makes between them."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn", kind="stable")
-        rows = []
-        for i, c in enumerate(columns):
-            x = pdf[c].astype("float64")
-            ok = x.notna()
-            if not ok.any():  # what came before goes on to the next sub-range
-                rows += [(pdf[key].iloc[0], pdf["_sub"].iloc[0], i, n, None, None, None, None, None) for n in spans]
-                continue
-            rn, v = pdf["_rn"][ok].to_numpy(), x[ok].to_numpy()
-            gaps = np.diff(rn)
-            for n in spans:
-                alpha = 2.0 / (n + 1)
-                old = (1 - alpha) ** gaps
-                a = float(np.prod(old / (old + alpha)))
-                y = float(_ewm(x, n)[ok].iloc[-1])
-                rows.append((pdf[key].iloc[0], pdf["_sub"].iloc[0], i, n, rn[0], rn[-1], v[0], a, y - a * v[0]))
-        names = [key, "_sub", "col", "span", "p1", "p2", "x1", "a", "b"]
-        return pd.DataFrame(rows, columns=names).astype({key: pdf[key].dtype, "p1": "Int64", "p2": "Int64"})
-
-    kind = d.schema[key].dataType
-    schema = StructType([StructField(key, kind), StructField("_sub", IntegerType()), StructField("col", IntegerType()),
-                         StructField("span", IntegerType()), StructField("p1", LongType()), StructField("p2", LongType()),
-                         StructField("x1", DoubleType()), StructField("a", DoubleType()), StructField("b", DoubleType())])
-    return d.filter(~F.col("_halo") & F.col("_hot")).select(key, "_sub", "_rn", *columns).groupBy(key, "_sub").applyInPandas(run, schema)
-
-
-def _ema_states(summary: DataFrame, key: str) -> DataFrame:
-    """Per (key, _sub), as an array over columns and spans: the value that earlier sub-ranges hand on,
-    and its position.  One row per sub-range goes through the fold, in order."""
-    each = F.struct("_sub", "p1", "p2", "x1", "a", "b")
-    subs = summary.groupBy(key, "col", "span").agg(F.array_sort(F.collect_list(each)).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(None).cast("long").alias("p"),
-                     F.array().cast("array<struct<_sub:int,y:double,p:bigint>>").alias("out"))
-    alpha = 2.0 / (F.col("span") + 1)
-
-    def step(t, x):
-        old = F.pow(1 - alpha, (x["p1"] - t["p"]).cast("double"))
-        y1 = F.when(t["y"].isNull(), x["x1"]).otherwise((old * t["y"] + alpha * x["x1"]) / (old + alpha))
-        before = F.struct(x["_sub"].alias("_sub"), t["y"].alias("y"), t["p"].alias("p"))
-        return F.struct(F.when(x["p1"].isNull(), t["y"]).otherwise(x["a"] * y1 + x["b"]).alias("y"),
-                        F.when(x["p1"].isNull(), t["p"]).otherwise(x["p2"]).alias("p"),
-                        F.concat(t["out"], F.array(before)).alias("out"))
-
-    folded = subs.select(key, "col", "span", F.explode(F.aggregate("s", start, step)["out"]).alias("o"))
-    return folded.groupBy(key, F.col("o._sub").alias("_sub")).agg(
-        F.collect_list(F.struct("col", "span", "o.y", "o.p")).alias("_ema_states"))
-
-
-def ema_by_group(o: Ordered, d: DataFrame, columns: list[str], spans: list[int]) -> DataFrame:
-    """W5 in linear time: pandas ``ewm(span, adjust=False)`` inside each (key, _sub).
-
-    The recursion has no built-in Spark form cheaper than an O(n*frame) fold, so this is the
-    one Arrow-batched Python step of the ordered features.  It is affine in its
-    starting value, so a sub-range of a split key starts from the exact state of the rows
-    before it, however long a gap is: one summary row per sub-range is folded in order.
-    """
-    key = o.key
-    names = [f"{c}_ema_{n}" for c in columns for n in spans]
-    states = "_ema_states"
-    if o.split:
-        d = null_safe_join(d, _ema_states(_ema_summary(d, key, columns, spans), key), [key, "_sub"], "left")
-    else:
-        d = d.withColumn(states, F.lit(None).cast("array<struct<col:int,span:int,y:double,p:bigint>>"))
-    fields = [f for f in d.schema.fields if f.name != states]
-    schema = StructType(fields + [StructField(n, DoubleType(), True) for n in names])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn", kind="stable")
-        given = pdf[states].iloc[0]
-        state = {(s["col"], s["span"]): (s["y"], s["p"]) for s in (given if given is not None else [])}
-        own = ~pdf["_halo"].astype(bool)
-        for i, c in enumerate(columns):
-            x, rn = pdf.loc[own, c].astype("float64"), pdf.loc[own, "_rn"]
-            for n in spans:
-                y0, p0 = state.get((i, n), (None, None))
-                pdf[f"{c}_ema_{n}"] = _from_state(x, rn, n, y0, p0)  # copies of other sub-ranges stay empty
-        return pdf.drop(columns=states)
-
-    return d.groupBy(key, "_sub").applyInPandas(run, schema)
+def ema_reach(span: int, tol: float = 1e-13) -> int:
+    """Rows of history after which any earlier value weighs below ``tol``, whichever of them have a reading.
+
+    A reading g rows after the last one keeps (1 - alpha)^g / ((1 - alpha)^g + alpha) of the old value; the
+    gap at which that decays least per row decides."""
+    alpha = 2.0 / (span + 1)
+
+    def decay(g: int) -> float:
+        old = (1 - alpha) ** g
+        return -math.log(old / (old + alpha)) / g
+
+    return int(math.ceil(-math.log(tol) / min(map(decay, range(1, 4 * span + 2)))))
+
+
+def ema(d: DataFrame, w, columns: list[str], spans: list[int]) -> DataFrame:
+    """Add ``_e_<column>_<span>``, pandas ``ewm(span, adjust=False)`` at rows with a reading (null elsewhere).
+
+    A row maps the value before it to a * y + b (no reading: to y itself; the first reading: to x, whatever
+    was before).  Maps of runs of rows are composed through ``lag`` in the window ``w``, each run four times as
+    long as the last, until what came before a run weighs nothing; so all columns and spans together
+    take a few window steps over the one sort there is."""
+    rn, valid = F.col("_rn"), {c: F.col(c).isNotNull() for c in columns}
+    before = w.rowsBetween(UNB_P, -1)
+    d = d.select("*", *[(rn - F.last(F.when(valid[c], rn), ignorenulls=True).over(before)).cast("double").alias(f"_g_{c}") for c in columns])
+    pairs = [(c, n) for c in columns for n in spans]
+    size, reach = 1, {n: ema_reach(n) for n in spans}
+
+    def named(kind: str, c: str, n: int) -> str:
+        return f"_{kind}_{c}_{n}"
+
+    first = []
+    for c, n in pairs:
+        x, g, alpha = F.col(c).cast("double"), F.col(f"_g_{c}"), 2.0 / (n + 1)
+        old = F.when(g == 1, F.lit(1.0 - alpha)).otherwise(F.pow(F.lit(1.0 - alpha), g))
+        first.append(F.when(~valid[c], 1.0).when(g.isNull(), 0.0).otherwise(old / (old + alpha)).alias(named("a", c, n)))
+        first.append(F.when(~valid[c], 0.0).when(g.isNull(), x).otherwise(alpha * x / (old + alpha)).alias(named("e", c, n)))
+    d = d.select("*", *first).drop(*[f"_g_{c}" for c in columns])
+    while size < max(reach.values()):
+        open_pairs = [(c, n) for c, n in pairs if size < reach[n]]
+        lags = {}
+        for c, n in open_pairs:
+            for j in (1, 2, 3):
+                lags[f"_l{j}{named('a', c, n)}"] = F.lag(named("a", c, n), j * size, 1.0).over(w)
+                lags[f"_l{j}{named('e', c, n)}"] = F.lag(named("e", c, n), j * size, 0.0).over(w)
+        d = d.select("*", *[v.alias(k) for k, v in lags.items()])
+        done = {}
+        for c, n in open_pairs:
+            a, b = F.col(named("a", c, n)), F.col(named("e", c, n))
+            a1, a2, a3 = (F.col(f"_l{j}{named('a', c, n)}") for j in (1, 2, 3))
+            b1, b2, b3 = (F.col(f"_l{j}{named('e', c, n)}") for j in (1, 2, 3))
+            done[named("e", c, n)] = b + a * (b1 + a1 * (b2 + a2 * b3))
+            if 4 * size < reach[n]:
+                done[named("a", c, n)] = a * a1 * a2 * a3
+        size *= 4
+        gone = [named("a", c, n) for c, n in pairs if size >= reach[n]]
+        d = d.withColumns(done).drop(*lags, *gone)
+    return d.withColumns({named("e", c, n): F.when(valid[c], F.col(named("e", c, n))) for c, n in pairs})
 
 
 def _merge(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
@@ -194,6 +144,8 @@ def rolling_moments(d: DataFrame, w, columns: list[str], windows: list[int]) ->
 
 def required_halo(groups, windows, lags) -> int:
     h = 0
+    if "ema" in groups:
+        h = max(h, *map(ema_reach, windows))
     if "rolling" in groups:
         h = max(h, max(windows) - 1)
     if "lag" in groups:
@@ -242,9 +194,11 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
                 finals[f"{c}_rolling_mean_{n}"] = m["mean"]
                 finals[f"{c}_rolling_std_{n}"] = F.when(m["n"] > 1, F.sqrt(m["m2"] / (m["n"] - 1)))
                 finals[f"{c}_rolling_min_{n}"], finals[f"{c}_rolling_max_{n}"] = m["min"], m["max"]
-        if "ema" in groups:
+        if "ema" in groups:  # rows without a reading repeat the last value
             for n in windows:
-                finals[f"{c}_ema_{n}"] = F.col(f"{c}_ema_{n}")
+                y = F.col(f"_e_{c}_{n}")
+                finals[f"{c}_ema_{n}"] = F.last(y, ignorenulls=True).over(o.frame(UNB_P, 0))
+                specs[f"{c}_ema_{n}"] = (F.max_by(y, F.when(y.isNotNull(), rn)), "last_before", None)
         if "lag" in groups:
             # Back-fill of lag k at row r = first non-null x at position >= r - k,
             # i.e. lag(nn, k) with nn = next non-null at or after a row (from the
@@ -313,9 +267,8 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
                     .otherwise(F.first(F.col(f"_{c}_nnpos")).over(o.frame(UNB_P, 0)))
     for c in fill_columns:
         phase_a[f"_{c}_bfill"] = F.col(f"_{c}_nn")
-    # EMA (Arrow-batched pandas recursion) on the same (key, _sub) partitioning.
     if "ema" in groups and columns:
-        d = ema_by_group(o, d, list(columns), windows)
+        d = ema(d, w, list(columns), windows)
     if "rolling" in groups:
         d = rolling_moments(d, w, list(columns), windows)
     # ONE forward pass: every frame of spec w in a single Window operator.
@@ -350,6 +303,9 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
             here, before = F.col(f"_{c}_cumdev"), F.col(f"_c_{c}__dev")
             out[f"{c}_cumulative_deviation"] = F.when(
                 here.isNotNull() | before.isNotNull(), F.coalesce(here, F.lit(0.0)) + F.coalesce(before, F.lit(0.0)))
+        if "ema" in groups:
+            for n in windows:
+                out[f"{c}_ema_{n}"] = F.coalesce(finals[f"{c}_ema_{n}"], F.col(f"_c_{c}_ema_{n}"))
     for c in fill_columns:
         out[f"{c}_filled"] = F.coalesce(F.col(c), F.col(f"_{c}_ffill"), F.col(f"_c_{c}__last"),
                                         F.col(f"_{c}_bfill"), F.col(f"_c_{c}__first"))

@@ -125,3 +125,44 @@ def test_machine_with_a_third_of_all_rows(spark):
     b = T.ordered_features(hot, "machine_id", SENSOR_ORDER, ["torque"], **kw)
     feats = [c for c in a.columns if c not in hot.columns]
     assert rounded(a, feats, "machine_id", *SENSOR_ORDER) == rounded(b, feats, "machine_id", *SENSOR_ORDER)
+
+
+def test_ema_gaps_longer_than_the_reach(spark):
+    """Sparse readings and gaps beyond the longest composed run, plain and split, equal pandas."""
+    import pandas as pd
+
+    reach = T.ema_reach(30)
+    assert 552 < reach < 4096 and T.ema_reach(3) <= 64
+    xs = [float(i * 37 % 101) for i in range(300)] + [None] * (reach + 500) + [5.0, None, 7.0] \
+        + [float(i) if i % 10 == 0 else None for i in range(2000)] + [None] * 700 + [1.0, 2.0]
+    df = _series(spark, xs)
+    want = {n: pd.Series(xs).ewm(span=n, adjust=False).mean() for n in (3, 7, 14, 30)}
+    for chunk in (10**6, 900):
+        got = T.ordered_features(df, "m", ["t"], ["x"], groups=("ema",), chunk_rows=chunk).orderBy("t").toPandas()
+        for n, w in want.items():
+            assert abs(got[f"x_ema_{n}"] - w).max() < 1e-9, (chunk, n)
+    empty = T.ordered_features(_series(spark, [None, None]), "m", ["t"], ["x"], groups=("ema",)).toPandas()
+    assert empty["x_ema_3"].isna().all()
+
+
+def test_ema_runs_in_the_jvm_with_one_exchange(spark):
+    s = Tables(spark, SF_SMALL).sensor.select("machine_id", *SENSOR_ORDER, "torque", "wear", "label")
+    out = T.ordered_features(s, "machine_id", SENSOR_ORDER, ["torque", "wear"], failure_col="label")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Python" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_one_timestamp_for_all_rows_of_a_hot_key(spark):
+    """Rows that share their time are split by the columns after it, and equal the plain windows."""
+    values = [(1, 5, i, float(i * 7 % 31), int(i % 50 == 0)) for i in range(900)] + [(2, i, i, float(i), 0) for i in range(40)]
+    df = spark.createDataFrame(values, "m long, t long, id long, x double, f int").repartition(4)
+    table = S.plan_splits(df, "m", ["t", "id"], 300).collect()
+    assert [r.m for r in table] == [1] and 2 <= len(table[0]["_bounds"]) <= 4
+    o = S.ordered(df, "m", ["t", "id"], 0, 300)
+    sizes = [r["count"] for r in o.df.filter("m = 1").groupBy("_sub").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 600 and sum(sizes) == 900
+    kw = dict(failure_col="f", fill_columns=["x"])
+    plain = T.ordered_features(df, "m", ["t", "id"], ["x"], **kw)
+    split = T.ordered_features(df, "m", ["t", "id"], ["x"], chunk_rows=300, **kw)
+    feats = [c for c in plain.columns if c not in df.columns]
+    assert rounded(plain, feats, "m", "id") == rounded(split, feats, "m", "id")
