@@ -200,6 +200,9 @@ def drift_verdict(ks: DataFrame) -> DataFrame:
 
 
 # --- per-machine trend window (A22-A25, M21) ------------------------------------------
+DAILY_ENTRIES = 14
+
+
 def seven_day_window(scored: DataFrame, key: str, order: list[str], pct: str = "pct",
                      risk: str = "risk_level", **ordered_kw) -> DataFrame:
     """M21 over every machine: trend slope of the probability (percent) over row
@@ -207,29 +210,28 @@ def seven_day_window(scored: DataFrame, key: str, order: list[str], pct: str = "
 
     ``scored`` holds one row per reading with ``pct`` (0 and NORMAL for
     readings that failed validation, as the reference does, D12).  The row
-    index is the skew-safe one; slope/intercept/count are partial aggregates;
-    the daily list has at most 14 entries (bucket = max(1, n // 7))."""
+    index is the skew-safe one; trend, latest risk and the daily maxima are partial aggregates
+    of one grouping (bucket = max(1, n // 7), so there are at most DAILY_ENTRIES of them).
+    Readings without a machine are a machine of their own."""
     idx = row_index(scored.select(key, *order, pct, risk), key, order, with_count=True, **ordered_kw)
     x = (F.col("rn") - 1).cast("double")
     y = F.col(pct)
     bucket = F.greatest(F.lit(1), F.floor(F.col("n") / 7)).cast("long")
-    daily = idx.groupBy(key, F.floor((F.col("rn") - 1) / bucket).alias("b")).agg(
-        F.max(R.risk_rank_fr(F.col(risk))).alias("rank"))
-    daily = daily.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", "rank"))).alias("_d"))
-    daily = daily.select(key, F.array_join(F.transform("_d", lambda s: R.risk_from_rank_fr(s["rank"])), ",")
-                         .alias("daily_risk"))
+    idx = idx.withColumn("_b", F.floor((F.col("rn") - 1) / bucket)).withColumn("_rank", R.risk_rank_fr(F.col(risk)))
     agg = idx.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("_m"), F.regr_intercept(y, x).alias("_b"),
-        F.max_by(y, F.col("rn")).alias("_last"), F.max_by(F.col(risk), F.col("rn")).alias("summary_risk"))
+        F.max_by(y, F.col("rn")).alias("_last"), F.max_by(F.col(risk), F.col("rn")).alias("summary_risk"),
+        *[F.max(F.when(F.col("_b") == i, F.col("_rank"))).alias(f"_d{i}") for i in range(DAILY_ENTRIES)])
+    daily = F.array_join(F.array(*[F.when(F.col(f"_d{i}").isNotNull(), R.risk_from_rank_fr(F.col(f"_d{i}")))
+                                   for i in range(DAILY_ENTRIES)]), ",")  # entries that the machine hasn't are left out
     n = F.col("n")
     slope = F.when(n >= 2, F.coalesce(F.col("_m"), F.lit(0.0))).otherwise(F.lit(0.0))
     intercept = F.when(n >= 2, F.col("_b")).otherwise(F.col("_last"))
     rpd = F.when(n >= 7, F.greatest(F.lit(1.0), F.bround(n / 7.0, 0))).otherwise(F.lit(1.0))
     rows_to = (F.lit(fv.URGENT_PCT) - (intercept + slope * (n - 1))) / slope
     days = F.when(slope > 0, F.bround(F.greatest(F.lit(0.0), rows_to / rpd), 1))
-    out = agg.select(key, "n", F.bround(slope, 4).alias("trend_slope_pct"), days.alias("days_to_failure"),
-                     "summary_risk")
-    return out.join(daily, key)
+    return agg.select(key, "n", F.bround(slope, 4).alias("trend_slope_pct"), days.alias("days_to_failure"),
+                      "summary_risk", daily.alias("daily_risk"))
 
 
 def fleet_by_day(scored: DataFrame, key: str, ts: str, p: str = "p", label: str = "label") -> DataFrame:

@@ -82,6 +82,15 @@ def test_seven_day_buckets(spark):
     assert ST.seven_day_window(above, "machine_id", ["t"], "pct", "risk_level").first().days_to_failure == 0.0
 
 
+def test_seven_day_window_keeps_readings_without_a_machine(spark):
+    rows = [(m, i, float(i), "URGENT" if i > 6 else "NORMAL") for m in ("A", None) for i in range(10)]
+    df = spark.createDataFrame(rows, "machine_id string, t int, pct double, risk_level string")
+    for chunk in (10**6, 4):
+        out = {r.machine_id: r for r in ST.seven_day_window(df, "machine_id", ["t"], "pct", "risk_level", chunk_rows=chunk).collect()}
+        assert set(out) == {"A", None} and out[None].n == 10
+        assert out[None].daily_risk == out["A"].daily_risk == ",".join(["NORMAL"] * 7 + ["URGENT"] * 3)
+
+
 def test_report_matches_stored_text(spark):
     path = os.path.join(os.path.dirname(__file__), "golden", "report_m01.txt")
     want = open(path, encoding="utf-8").read().split("\n")
