@@ -21,6 +21,12 @@ def _round(c: Column, d: int) -> Column:
     return round_half_away(c, d)
 
 
+def validation_status() -> tuple[Column, Column]:
+    """The list of warnings, and INPUT_VALIDATION_ERROR or OK."""
+    warn = R.validation_warnings()
+    return warn, F.when(F.size(warn) > 0, F.lit("INPUT_VALIDATION_ERROR")).otherwise(F.lit("OK"))
+
+
 def prediction_records(df: DataFrame, p: Column, *, machine="machine_id", stamp="ts",
                        motor_type: Column | None = None, model_name: str = "Ensemble",
                        threshold: float = fv.PRODUCTION_THRESHOLD, anomaly_score: Column | None = None,

@@ -4,15 +4,18 @@ Windowed queries end with a flush row, so the oracle SQL is the batch result ove
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round6
-from ..sources.tables import sensor_view
+from ..session import scratch_path
+from ..sources.tables import Tables, sensor_view
 from ..streaming import streams as ST
 from .registry import register
 from .rowwise import KEYS
-from .sql_views import FLEET_PROB, RISK_FR
+from .sql_views import FLEET_PROB, RISK_FR, SENSOR, with_views
 
 RANK_SQL = """CASE WHEN p >= 8e-1 THEN 4 WHEN p >= 6e-1 THEN 3 WHEN p >= 4e-1 THEN 2 WHEN p >= 2e-1 THEN 1 ELSE 0 END"""
 SCORED_SQL = f"""s AS (SELECT user_id AS machine_id, ts, event_id, event_type, value AS x, p, {RANK_SQL} AS rank
@@ -56,6 +59,61 @@ def stream_scoring_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, ST.run_available_now(sc, "scoring"))
 
 
+#: The linear scorer of the whole stream, on standard-scaled features.
+SCADA_COEFS = {"Power_W": 0.6, "Wear_Torque": 1.1, "Tool_wear__min": 0.4}
+SCADA_INTERCEPT = -1.5
+SCADA_MODEL = "fleet"
+
+
+def scada_readings(sensor: DataFrame) -> DataFrame:
+    """Tagged readings with faults: a sensor 500 degrees high on line 7, no speed on every 97th
+    part, five times the torque on every 101st order.  Such rows must be rejected, not scored."""
+    torque = F.when(F.col("l_orderkey") % 101 == 0, F.col("torque") * 5.0).otherwise(F.col("torque"))
+    return sensor.select(*KEYS, F.lit(SCADA_MODEL).alias("model"),
+                         (F.col("air_k") - 273.15 + F.when(F.col("l_linenumber") == 7, 500.0).otherwise(0.0)).alias("AmbientTemp"),
+                         (F.col("proc_k") - 273.15).alias("MotorTemp"),
+                         F.when(F.col("l_partkey") % 97 != 0, F.col("rpm")).alias("Speed_RPM"),
+                         torque.alias("Torque_Nm"), (F.col("wear") / 60.0).alias("RunHours"))
+
+
+SCADA_SQL = with_views(SENSOR) + f"""
+, fit AS (SELECT avg(pw) AS m1, stddev_pop(pw) AS s1, avg(wear*torque) AS m2, stddev_pop(wear*torque) AS s2,
+                 avg(wear) AS m3, stddev_pop(wear) AS s3
+          FROM (SELECT *, torque*rpm*1.0471975511965977e-1 AS pw FROM sensor))
+, sc AS (SELECT machine_id, l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+           (air_k - 273.15e0 + CASE WHEN l_linenumber = 7 THEN 500e0 ELSE 0e0 END) + 273.15e0 AS a,
+           (proc_k - 273.15e0) + 273.15e0 AS pk, CASE WHEN l_partkey % 97 <> 0 THEN rpm END AS r,
+           CASE WHEN l_orderkey % 101 = 0 THEN torque*5e0 ELSE torque END AS tq, (wear / 60e0)*60e0 AS w FROM sensor)
+, ck AS (SELECT *, CAST(coalesce(NOT (a BETWEEN 270e0 AND 380e0), true) AS INTEGER) + CAST(coalesce(NOT (pk BETWEEN 270e0 AND 420e0), true) AS INTEGER)
+           + CAST(coalesce(NOT (r BETWEEN 100e0 AND 3000e0), true) AS INTEGER) + CAST(coalesce(NOT (tq BETWEEN 0e0 AND 200e0), true) AS INTEGER)
+           + CAST(coalesce(NOT (w BETWEEN 0e0 AND 300e0), true) AS INTEGER) AS n_warnings FROM sc)
+, st AS (SELECT ck.*, (tq*r*1.0471975511965977e-1 - m1) / s1 AS z1, (w*tq - m2) / s2 AS z2, (w - m3) / s3 AS z3 FROM ck, fit)
+, pr AS (SELECT *, 1e0/(1e0+exp(-(-1.5e0 + 6e-1*z1 + 1.1e0*z2 + 4e-1*z3))) AS p FROM st)
+SELECT {', '.join(KEYS)}, CASE WHEN n_warnings = 0 THEN 'OK' ELSE 'INPUT_VALIDATION_ERROR' END AS status, n_warnings,
+  CASE WHEN n_warnings = 0 THEN round(z1, 6) END AS power_std, CASE WHEN n_warnings = 0 THEN round(z2, 6) END AS wear_torque_std,
+  CASE WHEN n_warnings = 0 THEN round(z3, 6) END AS wear_std, CASE WHEN n_warnings = 0 THEN round(p, 6) END AS p,
+  CASE WHEN n_warnings = 0 THEN {RISK_FR.format(p='p')} END AS risk_level FROM pr
+"""
+
+
+@register("stream_scada_scoring", SCADA_SQL, ids=("T1", "P3", "P6", "F11", "P18", "A9"))
+def stream_scada_scoring_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole stream scoring: tags, validation, features, scaling with the fitted table, score, band; valid and
+    rejected readings go to two sinks and are read back together."""
+    fitted = ST.fitted_parameters(Tables(spark, sf_dir).sensor, list(SCADA_COEFS), SCADA_MODEL)
+    path = scratch_path(spark, f"streams/parameters-{uuid.uuid4().hex}")
+    fitted.write.parquet(path)
+    parameters = spark.read.schema(fitted.schema).parquet(path)
+    readings = scada_readings(sensor_view(ST.lineitem_stream(spark, sf_dir.rstrip('/'))))
+    scored = ST.score_readings(readings, parameters, SCADA_COEFS, SCADA_INTERCEPT, KEYS)
+    good, bad = ST.run_two_sinks(scored, "scada")
+    both = spark.read.parquet(good).withColumn("n_warnings", F.lit(0)).unionByName(
+        spark.read.parquet(bad).withColumn("n_warnings", F.size("warnings")).drop("warnings"))
+    names = dict(zip(SCADA_COEFS, ("power_std", "wear_torque_std", "wear_std")))
+    return both.select(*KEYS, "status", "n_warnings", *[round6(F.col(f"{c}_std")).alias(n) for c, n in names.items()],
+                       round6(F.col("p")).alias("p"), "risk_level")
+
+
 DAILY_SQL = f"""WITH {SCORED_SQL}
 SELECT machine_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
        max(rank) AS max_rank, round(avg(p), 6) AS mean_p, count(*) AS n
@@ -117,8 +175,9 @@ SELECT machine_id, event_id, round(list_reduce(list(x) OVER (PARTITION BY machin
 
 @register("stream_ema", EMA_SQL, ids=("T5",))
 def stream_ema_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stateful EMA (span 3) per machine across micro-batches."""
-    out = _read(spark, ST.run_available_now(ST.stateful_ema(_events(spark, sf_dir), 3), "ema"))
+    """Stateful EMA (span 3) per machine by event time; the flush row closes the last readings."""
+    events, flush = _flushed(spark, sf_dir)
+    out = _read(spark, ST.run_available_now(ST.stateful_ema(events, 3), "ema", flush=flush))
     return out.select("machine_id", "event_id", round6(F.col("ema") + F.lit(1e-9)).alias("ema"))
 
 

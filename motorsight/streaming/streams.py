@@ -9,21 +9,18 @@
 
 from __future__ import annotations
 
-import heapq
-import itertools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas
+from ..functions import physics as ph
 from ..functions import rules as R
+from ..operators.scoring import validation_status
 from ..session import scratch_path
 
 
@@ -76,6 +73,54 @@ def telemetry_scores(ev: DataFrame) -> DataFrame:
                      F.col("value").alias("x"), p.alias("p"), R.risk_rank_fr(R.risk_level_fr(p)).alias("rank"))
 
 
+# --- T1: scoring against the fitted parameters ----------------------------------------
+def fitted_parameters(train: DataFrame, columns: list[str], model: str) -> DataFrame:
+    """A9 as a table for stream-static joins: one row (model, rpm_mean, scale: feature -> {mu, sd}).
+
+    ``train`` holds canonical sensors; ``columns`` are names of the physics features.  A zero deviation is 1."""
+    rpm_mean = train.agg(F.avg("rpm")).first()[0]
+    f = ph.physics_features(train, rpm_mean, keep=[])
+    sd = {c: F.stddev_pop(c) for c in columns}
+    entries = [F.struct(F.lit(c), F.struct(F.avg(c).alias("mu"), F.when(sd[c] == 0, 1.0).otherwise(sd[c]).alias("sd"))) for c in columns]
+    return f.agg(F.map_from_entries(F.array(*entries)).alias("scale")).select(
+        F.lit(model).alias("model"), F.lit(float(rpm_mean)).alias("rpm_mean"), "scale")
+
+
+def score_readings(tagged: DataFrame, parameters: DataFrame, coefficients: dict[str, float], intercept: float,
+                   keep: list[str]) -> DataFrame:
+    """Tag conversion (P3), validation (P6), physics features (F1-F9), standard scaling with the fitted
+    parameters (F11), linear score and band (F14), for batch or stream.  ``tagged`` has a column ``model`` that
+    names its row of ``parameters``; invalid readings keep their warnings and get no score."""
+    canonical = ph.convert_tags(tagged)
+    warnings, status = validation_status()
+    checked = canonical.select(*keep, "model", *ph.SENSORS, warnings.alias("warnings"), status.alias("status"))
+    joined = checked.join(parameters, "model")
+    e = ph.physics_exprs(joined, 0.0)
+    e["Speed_Deviation"] = F.abs(F.col("rpm").cast("double") - F.col("rpm_mean"))
+    scale = {c: F.col("scale")[c] for c in coefficients}
+    scaled = {c: (ph.finite_or_zero(e[c]) - scale[c]["mu"]) / scale[c]["sd"] for c in coefficients}
+    ok = F.col("status") == "OK"
+    out = joined.select(*keep, "status", "warnings", *[F.when(ok, v).alias(f"{c}_std") for c, v in scaled.items()])
+    p = R.sigmoid(R.linear_logit({f"{c}_std": w for c, w in coefficients.items()}, intercept))
+    return out.withColumn("p", F.when(ok, p)).withColumn("risk_level", F.when(ok, R.risk_level_fr("p")))
+
+
+def run_two_sinks(scored: DataFrame, name: str) -> tuple[str, str]:
+    """Drain a stream of ``score_readings`` rows into two Parquet tables, scored and rejected; return their paths.
+    A micro-batch overwrites its own folder, so one that is repeated after a failure counts once."""
+    base = scratch_path(scored.sparkSession, f"streams/{name}-{uuid.uuid4().hex}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.filter("status = 'OK'").drop("warnings").write.mode("overwrite").parquet(f"{base}/scored/batch={number}")
+        batch.filter("status <> 'OK'").write.mode("overwrite").parquet(f"{base}/rejected/batch={number}")
+        batch.unpersist()
+
+    scored.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/_checkpoint") \
+        .trigger(availableNow=True).start().awaitTermination()
+    return f"{base}/scored", f"{base}/rejected"
+
+
 # --- T2 / T3 / T4: windows with a watermark ------------------------------------------
 def daily_risk(scored: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Per machine and day, max risk rank and mean probability."""
@@ -106,82 +151,85 @@ def fault_sessions(scored: DataFrame, gap: str = "6 hours", delay: str = "1 hour
 
 
 # --- T5: stateful EMA ---------------------------------------------------------------------
-EMA_OUT = StructType([StructField("machine_id", LongType()), StructField("event_id", LongType()),
-                      StructField("ts", TimestampType()), StructField("ema", DoubleType())])
-EMA_STATE = StructType([StructField("y", DoubleType()), StructField("weight", DoubleType())])
-
-
-#: A row of a machine's micro-batch; missing times and ids come last.
-EMA_ROW = np.dtype([("no_ts", "?"), ("ts", "i8"), ("no_id", "?"), ("event_id", "i8"), ("x", "f8")])
-MERGE_ROWS = 256
-
-
-def _ema_rows(pdf: pd.DataFrame) -> np.ndarray:
-    """The rows of one Arrow chunk in (ts, event_id) order."""
-    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-    out = np.empty(len(pdf), EMA_ROW)
-    out["no_ts"], out["no_id"] = pdf["ts"].isna(), pdf["event_id"].isna()
-    out["ts"] = pdf["ts"].to_numpy().astype("datetime64[ns]").view("i8")
-    out["event_id"] = pdf["event_id"].fillna(0).astype("int64")
-    out["x"] = pdf["x"].to_numpy(dtype="float64")
-    return out
-
-
-def in_time_order(pdfs: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[np.ndarray]:
-    """All rows of the chunks in (ts, event_id) order, at most about one chunk at a time: more chunks than one are
-    sorted each, written to a temporary file of the task and merged."""
-    runs = map(_ema_rows, pdfs)
-    first, second = next(runs, None), next(runs, None)
-    if first is None:
-        return
-    if second is None:
-        yield first
-        return
-    with tempfile.TemporaryFile() as f:
-        sizes = []
-        for run in itertools.chain((first, second), runs):
-            f.write(run.tobytes())
-            sizes.append(len(run))
-        ends = list(itertools.accumulate(sizes))
-
-        def read(end: int, size: int) -> Iterator[tuple]:
-            for a in range(end - size, end, MERGE_ROWS):
-                f.seek(a * EMA_ROW.itemsize)
-                yield from np.frombuffer(f.read(min(MERGE_ROWS, end - a) * EMA_ROW.itemsize), EMA_ROW).tolist()
-
-        merged = heapq.merge(*map(read, ends, sizes), key=lambda r: r[:4])
-        while block := list(itertools.islice(merged, rows)):
-            yield np.array(block, EMA_ROW)
-
-
-def stateful_ema(scored: DataFrame, span: int = 3) -> DataFrame:
-    """T5: EMA per machine across micro-batches; state = last value and its weight.
-
-    A missing reading repeats the last value and lets its weight decay, as pandas
-    ``ewm(adjust=False)`` does.  A machine's rows of a micro-batch come as Arrow chunks
-    and are merged into one (ts, event_id) order without holding them all."""
-    alpha = 2.0 / (span + 1)
-
-    def step(key, pdfs, state):
-        y, weight = state.get if state.exists else (None, None)
-        for rows in in_time_order(pdfs):
+class EventTimeEma(StatefulProcessor):
+    """EMA of one machine's readings in (ts, event_id) order, whichever micro-batches they come in.
+
+    Readings wait in list state until the watermark has passed them; then no earlier one can come, and they
+    are taken in order.  Value state holds the last value, its weight and its time.  A missing reading
+    repeats the last value and lets its weight decay, as pandas ``ewm(adjust=False)`` does.  After a gap of more
+    than ``idle_ms`` between readings a machine starts anew, so its state can go when the watermark has passed that."""
+
+    def __init__(self, span: int, idle_ms: int):
+        self.alpha, self.idle_ms = 2.0 / (span + 1), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long, x double")
+        self.last = handle.getValueState("last", "y double, weight double, at long")
+
+    def _ready(self, key, waiting: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
+        """Take the rows that the watermark has passed, and put the others back."""
+        ms = waiting["ts"].astype("datetime64[us]").astype("int64") // 1000
+        done = waiting[ms < watermark].sort_values(["ts", "event_id"], kind="stable")
+        rest = waiting[ms >= watermark]
+        if len(done):
+            if len(rest):
+                self.waiting.put([*rest[["ts", "event_id", "x"]].itertuples(index=False, name=None)])
+            else:
+                self.waiting.clear()
+            y, weight, at = self.last.get() if self.last.exists() else (None, None, None)
             out = []
-            for x in rows["x"].tolist():
-                if y is not None:
-                    weight *= 1.0 - alpha
-                if x == x:
-                    y = x if y is None else (weight * y + alpha * x) / (weight + alpha)
+            for x, now in zip(done["x"].tolist(), ms.loc[done.index].tolist(), strict=True):
+                if y is not None and now - at > self.idle_ms:
+                    y = None
+                elif y is not None:
+                    weight *= 1.0 - self.alpha
+                at = now
+                if x is not None and x == x:
+                    y = x if y is None else (weight * y + self.alpha * x) / (weight + self.alpha)
                     weight = 1.0
                 out.append(y)
-            yield pd.DataFrame({"machine_id": pd.Series([key[0]] * len(rows), dtype="Int64"),
-                                "event_id": pd.Series(rows["event_id"]).astype("Int64").mask(rows["no_id"]),
-                                "ts": rows["ts"].astype("datetime64[ns]"),
-                                "ema": pd.Series(out, dtype="float64")})
-        if y is not None:
-            state.update((float(y), float(weight)))
-
-    return scored.select("machine_id", "event_id", "ts", "x").groupBy("machine_id").applyInPandasWithState(
-        step, EMA_OUT, EMA_STATE, "append", GroupStateTimeout.NoTimeout)
+            if y is not None:
+                self.last.update((float(y), float(weight), at))
+                self.handle.registerTimer(at + self.idle_ms)
+            yield pd.DataFrame({"machine_id": pd.Series([key[0]] * len(done), dtype="Int64"),
+                                "event_id": pd.Series(done["event_id"].tolist(), dtype="Int64"),
+                                "ts": done["ts"].to_numpy(), "ema": pd.Series(out, dtype="float64")})
+
+    def _held(self) -> pd.DataFrame:
+        rows = [*self.waiting.get()] if self.waiting.exists() else []
+        frame = pd.DataFrame(rows, columns=["ts", "event_id", "x"])
+        return frame.astype({"ts": "datetime64[us]", "event_id": "Int64", "x": "float64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            new = pdf[["ts", "event_id", "x"]].astype({"ts": "datetime64[us]", "event_id": "Int64", "x": "float64"})
+            ms = new["ts"].astype("int64") // 1000
+            new, ms = new[ms >= watermark], ms[ms >= watermark]  # later rows than the watermark allows are dropped
+            if len(new):
+                self.waiting.appendList([(t.to_pydatetime(), None if i is pd.NA else int(i), None if x != x else x)
+                                         for t, i, x in new.itertuples(index=False, name=None)])
+                self.handle.registerTimer(int(ms.max()) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = self._held()
+        if len(held):
+            yield from self._ready(key, held, watermark)
+        if self.last.exists() and self.last.get()[2] + self.idle_ms < watermark:
+            self.last.clear()  # whatever comes now comes after the gap
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_ema(scored: DataFrame, span: int = 3, delay: str = "1 hour", idle_days: float = 3650) -> DataFrame:
+    """T5: EMA per machine by event time, across micro-batches and out-of-order rows (up to ``delay`` late)."""
+    rows = scored.select("machine_id", "event_id", "ts", "x").withWatermark("ts", delay)
+    return rows.groupBy("machine_id").transformWithStateInPandas(
+        EventTimeEma(span, int(idle_days * 86_400_000)), "machine_id long, event_id long, ts timestamp, ema double", "Append", "EventTime")
 
 
 # --- T6 / T7 ------------------------------------------------------------------------------------
@@ -196,12 +244,18 @@ def dedup_alerts(scored: DataFrame, delay: str = "2 days") -> DataFrame:
 def alarm_context(readings: DataFrame, alarms: DataFrame, before: str = "1 hour",
                   delay: str = "2 hours") -> DataFrame:
     """Each alarm with the readings of its machine in the hour before (inclusive),
-    as a watermarked stream-stream interval join."""
+    as a watermarked stream-stream interval join.
+
+    Rows meet by machine and time bucket of the length of ``before``; an alarm looks into its own bucket and the
+    one before, a reading lies in one.  So the state and the work of a hot machine spread over partitions."""
+    length = F.unix_micros(F.expr(f"timestamp_seconds(0) + INTERVAL {before}"))
+    r_bucket, a_bucket = (F.floor(F.unix_micros(c) / length) for c in ("r_ts", "a_ts"))
     r = readings.select(F.col("machine_id").alias("r_machine"), F.col("ts").alias("r_ts"),
-                        F.col("event_id").alias("reading_id")).withWatermark("r_ts", delay)
+                        F.col("event_id").alias("reading_id")).withWatermark("r_ts", delay).withColumn("r_bucket", r_bucket)
     a = alarms.select(F.col("machine_id").alias("a_machine"), F.col("ts").alias("a_ts"),
                       F.col("event_id").alias("alarm_id")).withWatermark("a_ts", delay)
-    cond = (F.col("r_machine") == F.col("a_machine")) & \
+    a = a.withColumn("a_bucket", F.explode(F.array(a_bucket, a_bucket - 1)))
+    cond = (F.col("r_machine") == F.col("a_machine")) & (F.col("r_bucket") == F.col("a_bucket")) & \
         (F.col("r_ts") >= F.col("a_ts") - F.expr(f"INTERVAL {before}")) & (F.col("r_ts") <= F.col("a_ts"))
     return a.join(r, cond, "inner").select(F.col("a_machine").alias("machine_id"), "alarm_id", "reading_id")
 
