@@ -12,6 +12,7 @@ value is -s - offset, offset = the contamination quantile of -s.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StructField,
                                StructType)
 
+from ..operators.quantiles import profile
 from ..operators.sampling import key_string
+from ..session import scratch_path
 
 NODE_SCHEMA = StructType([
     StructField("tree", IntegerType()), StructField("feature", ArrayType(IntegerType())),
@@ -128,10 +131,32 @@ def score(df: DataFrame, forest_df: DataFrame, features: list[str], psi: int = 2
     return df.mapInPandas(run, out_schema)
 
 
-def decision(scored: DataFrame, contamination: float = 0.05) -> tuple[DataFrame, float]:
-    """Decision value = anomaly_raw - offset; offset = contamination quantile of anomaly_raw."""
-    offset = scored.agg(F.percentile_approx("anomaly_raw", contamination, 10_000)).first()[0]
-    return scored.withColumn("anomaly_score", F.col("anomaly_raw") - F.lit(offset)), float(offset)
+def decision(scored: DataFrame, contamination: float = 0.05, offset: float | None = None) -> tuple[DataFrame, float]:
+    """Decision value = anomaly_raw - offset; without a given one, the offset is the exact contamination quantile of
+    anomaly_raw.  Scores are written once; quantile and decisions read the written table."""
+    path = scratch_path(scored.sparkSession, f"isolation/{uuid.uuid4().hex}")
+    scored.write.parquet(path)
+    scored = scored.sparkSession.read.schema(scored.schema).parquet(path)
+    if offset is None:
+        offset = float(profile(scored, ["anomaly_raw"], [contamination]).first()["q"][0] or 0.0)
+    return scored.withColumn("anomaly_score", F.col("anomaly_raw") - F.lit(offset)), offset
+
+
+def anomaly_guard(train: DataFrame, rows: DataFrame, features: list[str], keys: list[str], contamination: float = 0.05,
+                  trees: int = 200) -> tuple[DataFrame, float]:
+    """M5: ``rows`` with ``anomaly_score``, from a forest and an offset fitted on ``train`` alone, both on features
+    scaled by the mean and population deviation of ``train``."""
+    ends = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
+
+    def scaled(d: DataFrame) -> DataFrame:
+        return d.withColumns({f"_z{i}": (F.col(c) - F.lit(ends[f"m{i}"] or 0.0)) / F.lit(ends[f"s{i}"] or 1.0) for i, c in enumerate(features)})
+
+    names = [f"_z{i}" for i in range(len(features))]
+    z = scaled(train)
+    forest = fit(z, names, keys, trees=trees)
+    _, offset = decision(score(z.select(*names), forest, names), contamination)
+    out, _ = decision(score(scaled(rows), forest, names), offset=offset)
+    return out.drop(*names), offset
 
 
 def outlier_filter(df: DataFrame, features: list[str], keys: list[str], contamination: float = 0.1,

@@ -14,12 +14,16 @@ import json
 import math
 import random
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,17 @@ from .. import fixed_values as fv
 from ..operators import metrics as MT
 from ..operators.sampling import fold_column, key_string
 from ..session import scratch_path
+from . import isotonic as ISO
+
+#: Fits that the driver keeps running beside each other; each is a Spark job of its own.
+PARALLEL_FITS = 4
+
+
+def in_parallel(function, items, parallelism: int = PARALLEL_FITS) -> list:
+    """``function`` of every item, in their order, ``parallelism`` Spark jobs at a time."""
+    bound = inheritable_thread_target(SparkSession.getActiveSession())(function)  # job groups and local properties go along
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(bound, items))
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -86,30 +101,54 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return positive_probability(model.transform(df))
 
 
+def cross_validate(df: DataFrame, features: list[str], kind: str, maps: list[dict], k: int = 5,
+                   keys: list[str] = ("row_id",), parallelism: int = PARALLEL_FITS) -> list[dict]:
+    """F1 of the positive class (mean, population std over the folds) of every parameter map, on the same
+    folds from md5 of the key, ``parallelism`` fits at a time."""
+    # CrossValidator's folds are those of ``fold`` and the fits of one fold run beside each other on its cached rows.
+    data = assembler(features).transform(fold_column(df, list(keys), k)).select("features", "label", "weight", "fold")
+    est = make_estimator(kind)
+    grid = [{est.getParam(name): value for name, value in m.items()} for m in maps]
+    metric = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
+    found = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=metric, numFolds=k, foldCol="fold",
+                           parallelism=parallelism).fit(data)
+    return [{"params": m, "f1_mean": float(a), "f1_std": float(b)} for m, a, b in zip(maps, found.avgMetrics, found.stdMetrics)]
+
+
 def kfold_f1(df: DataFrame, features: list[str], kind: str, params: dict | None = None, k: int = 5,
-             keys: list[str] = ("row_id",), threshold: float = 0.5) -> dict:
-    """Stratified-by-hash k-fold F1 (mean, std) with one fold column.
+             keys: list[str] = ("row_id",)) -> dict:
+    """K-fold F1 (mean, std) of one parameter map, the folds beside each other."""
+    f = assembler(features).transform(fold_column(df, list(keys), k)).select("features", "label", "weight", "fold")
 
-    Folds come from md5 of the key; each fold trains on the others."""
-    f = fold_column(df, list(keys), k)
-    f1s = []
-    for i in range(k):
-        m = train(f.filter(F.col("fold") != i), features, kind, params)
-        pred = score(m, f.filter(F.col("fold") == i)).withColumn("pred", (F.col("score") >= threshold).cast("int"))
-        f1s.append(float(MT.classification_metrics(pred, "label", "pred").first()["f1"]))
+    def one(i: int) -> float:
+        m = make_estimator(kind, params).fit(f.filter(F.col("fold") != i))
+        pred = m.transform(f.filter(F.col("fold") == i)).withColumn("pred", F.col("prediction").cast("int"))
+        return float(MT.classification_metrics(pred, "label", "pred").first()["f1"])
+
+    f1s = in_parallel(one, range(k))
     mean = sum(f1s) / k
-    std = (sum((x - mean) ** 2 for x in f1s) / k) ** 0.5
-    return {"f1_mean": mean, "f1_std": std, "folds": f1s}
+    return {"f1_mean": mean, "f1_std": (sum((x - mean) ** 2 for x in f1s) / k) ** 0.5, "folds": f1s}
+
+
+#: The logistic grid: inverse strengths and penalties (elasticNetParam 1 is l1, 0 is l2).
+LOGISTIC_C, LOGISTIC_PENALTY = [0.001, 0.01, 0.1, 1, 10, 100], [1.0, 0.0]
+#: The forest grid; unlimited depth is Spark's limit of 30, and only leaf sizes bound a split.
+FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4]}
+
+
+def logistic_grid(rows: int, max_iter: int = 100) -> dict[str, list]:
+    """C weighs the summed loss, regParam the penalty beside the mean loss: regParam = 1 / (C * rows)."""
+    return {"regParam": [1.0 / (c * max(rows, 1)) for c in LOGISTIC_C], "elasticNetParam": LOGISTIC_PENALTY, "maxIter": [max_iter]}
+
+
+def grid_maps(grid: dict[str, list]) -> list[dict]:
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
 def grid_search(df: DataFrame, features: list[str], kind: str, grid: dict[str, list], k: int = 5,
-                keys: list[str] = ("row_id",), threshold: float = 0.5) -> list[dict]:
+                keys: list[str] = ("row_id",), parallelism: int = PARALLEL_FITS) -> list[dict]:
     """M9: k-fold F1 of every combination of ``grid`` on the same folds, best first (ties in grid order)."""
-    out = []
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(grid, values))
-        out.append({"params": params, **kfold_f1(df, features, kind, params, k, keys, threshold)})
-    return sorted(out, key=lambda r: -r["f1_mean"])
+    return sorted(cross_validate(df, features, kind, grid_maps(grid), k, keys, parallelism), key=lambda r: -r["f1_mean"])
 
 
 def sample_space(space: dict, n: int, seed: int = 42) -> list[dict]:
@@ -130,45 +169,41 @@ def sample_space(space: dict, n: int, seed: int = 42) -> list[dict]:
 
 
 def random_search(train_df: DataFrame, val_df: DataFrame, features: list[str], kind: str, space: dict,
-                  n_trials: int = 200, threshold: float = 0.40, beta: float = 1.0, seed: int = 42) -> list[dict]:
-    """Train every sampled map on train, F-beta at the threshold on validation."""
-    results = []
-    for p in sample_space(space, n_trials, seed):
-        m = train(train_df, features, kind, p)
+                  n_trials: int = 200, threshold: float = 0.40, beta: float = 1.0, seed: int = 42,
+                  parallelism: int = PARALLEL_FITS) -> list[dict]:
+    """Train every sampled map on train, F-beta at the threshold on validation; ``parallelism`` trials at a
+    time.  Boosted trees stop early once the validation rows no longer improve."""
+    early = kind == "gbt"
+    rows = train_df.withColumn("is_val", F.lit(False)).unionByName(val_df.withColumn("is_val", F.lit(True))) if early else train_df
+
+    def trial(p: dict) -> dict:
+        m = train(rows, features, kind, p, validation="is_val" if early else None)
         ev = evaluate(score(m, val_df), threshold=threshold, beta=beta)
-        results.append({"params": p, "score": ev["f_beta"], "roc_auc": ev["roc_auc"]})
-    return sorted(results, key=lambda r: -r["score"])
+        return {"params": p, "score": ev["f_beta"], "roc_auc": ev["roc_auc"], "rounds": m.stages[-1].getNumTrees if early else None}
 
+    return sorted(in_parallel(trial, sample_space(space, n_trials, seed), parallelism), key=lambda r: -r["score"])
 
-def isotonic_calibrate(df: DataFrame, features: list[str], kind: str, params: dict | None = None, k: int = 5,
-                       keys: list[str] = ("row_id",)):
-    """Out-of-fold scores -> one isotonic model per fold; calibrated p = mean of them.
 
-    Returns (base model on all rows, list of isotonic models)."""
+def calibrate_folds(df: DataFrame, features: list[str], kind: str, params: dict | None = None, k: int = 5,
+                    keys: list[str] = ("row_id",), parallelism: int = PARALLEL_FITS) -> list[tuple[PipelineModel, ISO.StepMap]]:
+    """Per fold a classifier fitted on the other folds and the isotonic map of its scores on this one."""
     f = fold_column(df, list(keys), k)
-    isos = []
-    for i in range(k):
+
+    def one(i: int):
         m = train(f.filter(F.col("fold") != i), features, kind, params)
-        oof = score(m, f.filter(F.col("fold") == i)).select(F.col("score").alias("features_s"), "label")
-        iso = IsotonicRegression(featuresCol="features_s", labelCol="label", predictionCol="cal").fit(
-            oof.withColumn("features_s", F.col("features_s")))
-        isos.append(iso)
-    base = train(df, features, kind, params)
-    return base, isos
-
-
-def apply_calibration(scored: DataFrame, isos) -> DataFrame:
-    """Mean of the fold isotonic maps at each score (each map is a piecewise-linear
-    function; applied as a projection through its own transform)."""
-    out = scored.withColumn("features_s", F.col("score"))
-    cols = []
-    for i, iso in enumerate(isos):
-        out = iso.setPredictionCol(f"_cal{i}").transform(out)
-        cols.append(F.col(f"_cal{i}"))
-    total = cols[0]
-    for c in cols[1:]:
-        total = total + c
-    return out.withColumn("calibrated", total / len(cols)).drop("features_s", *[f"_cal{i}" for i in range(len(isos))])
+        return m, ISO.isotonic_map(score(m, f.filter(F.col("fold") == i)), "score", "label")
+
+    return in_parallel(one, range(k), parallelism)
+
+
+def calibrated_probability(pairs: list[tuple[PipelineModel, ISO.StepMap]], df: DataFrame, out: str = "calibrated") -> DataFrame:
+    """``df`` with the mean of the folds' calibrated probabilities, each classifier through its own map."""
+    d = df
+    for i, (m, step) in enumerate(pairs):
+        d = score(m, d).drop("features", "rawPrediction", "probability", "prediction")
+        d = d.withColumn(f"_cal{i}", step.apply("score")).drop("score")
+    mean = functools.reduce(lambda a, b: a + b, [F.col(f"_cal{i}") for i in range(len(pairs))]) / len(pairs)
+    return d.withColumn(out, mean).drop(*[f"_cal{i}" for i in range(len(pairs))])
 
 
 def feature_importance(model: PipelineModel, features: list[str], spark: SparkSession) -> DataFrame:
@@ -194,34 +229,71 @@ def permuted(df: DataFrame, features: list[str], keys: list[str], seed: int = 11
                            for c in features]).drop("_draw", "_bucket")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], keys: list[str],
-                           metric: str = "roc_auc", seed: int = 11) -> list[tuple[str, float]]:
-    """Drop in a metric when one column is permuted.  The permuted columns of all
-    features are made and written once."""
+def permuted_long(df: DataFrame, features: list[str], keys: list[str], label: str = "label", seed: int = 11,
+                  bucket_rows: int = 10_000) -> DataFrame:
+    """Every row once as it is (feature '') and once for each feature, with that feature's value permuted; so one
+    scoring pass serves all features.  The permuted columns are written once."""
     path = scratch_path(df.sparkSession, f"models/permuted-{uuid.uuid4().hex}")
-    permuted(df, features, keys, seed).write.parquet(path)
-    d = df.sparkSession.read.parquet(path)
-    base = evaluate(score(model, d))[metric]
-    out = [(c, base - evaluate(score(model, d.drop(c).withColumnRenamed(f"_p_{c}", c)))[metric]) for c in features]
-    return sorted(out, key=lambda t: -t[1])
+    permuted(df.select(*dict.fromkeys([*keys, *features, label])), features, keys, seed, bucket_rows).write.parquet(path)
+    d = df.sparkSession.read.parquet(path).withColumn("feature", F.explode(F.array(F.lit(""), *map(F.lit, features))))
+    return d.select("feature", label, *[F.when(F.col("feature") == c, F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) for c in features])
 
 
-def versions(spark: SparkSession, base: str) -> list[int]:
-    """The saved versions under ``base``, ascending; a version counts once its config is written."""
+def permutation_importance(scorer, df: DataFrame, features: list[str], keys: list[str], label: str = "label",
+                           seed: int = 11, bucket_rows: int = 10_000) -> DataFrame:
+    """Rows (feature, auc_drop): the fall in ROC-AUC when one column is permuted, for all features in one pass.
+    ``scorer`` adds the column ``score`` to a table of the features."""
+    scored = scorer(permuted_long(df, features, keys, label, seed, bucket_rows)).select("feature", label, "score")
+    auc = MT.auc_by_group(scored, "feature", label).collect()  # one row a feature
+    base = next((r["roc_auc"] for r in auc if r["feature"] == ""), 0.0)
+    rows = sorted(((r["feature"], float(base - r["roc_auc"])) for r in auc if r["feature"]), key=lambda t: (-t[1], t[0]))
+    return df.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
+
+
+def _version_folders(spark: SparkSession, base: str):
+    """The file system of ``base`` and its version folders, finished or only claimed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath() for s in fs.listStatus(path)]
-    return sorted(int(p.getName()[1:]) for p in names if p.getName()[:1] == "v" and p.getName()[1:].isdigit()
-                  and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "config/_SUCCESS")))
+    names = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return fs, {int(p.getName()[1:]): p for p in names if p.getName()[:1] == "v" and p.getName()[1:].isdigit()}
+
+
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """The saved versions under ``base``, ascending; a version counts once its config is written."""
+    fs, found = _version_folders(spark, base)
+    return sorted(n for n, p in found.items() if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "config/_SUCCESS")))
+
+
+def claim_version(spark: SparkSession, base: str) -> int:
+    """Take the next free version number: its folder's claim is created exclusively, so of two writers one goes on
+    to the next number.  (HDFS creates a file exclusively, a local disk a folder.)"""
+    jvm = spark._jvm
+    fs, found = _version_folders(spark, base)
+    version = max(found, default=0) + 1
+    while True:
+        claim = jvm.org.apache.hadoop.fs.Path(f"{base}/v{version:06d}/_claim")
+        fs.mkdirs(claim.getParent())
+        try:
+            if fs.getUri().getScheme() == "file":
+                jvm.java.nio.file.Files.createDirectory(jvm.java.io.File(claim.toUri().getPath()).toPath(), _no_attributes(spark))
+            else:
+                fs.create(claim, False).close()
+            return version
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            version += 1
+
+
+def _no_attributes(spark: SparkSession):
+    return spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.attribute.FileAttribute, 0)
 
 
 def save_model(model: PipelineModel, base: str, config: dict) -> int:
     """Save as the next version under ``base``: the Spark ML model, then a JSON config
     (threshold, rpm mean, feature list).  Returns the version."""
     spark = SparkSession.getActiveSession()
-    version = max(versions(spark, base), default=0) + 1
+    version = claim_version(spark, base)
     path = f"{base}/v{version:06d}"
     model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(json.dumps(config | {"version": version}),)], "config string").coalesce(1) \
@@ -264,7 +336,8 @@ def train_with_gates(train_df: DataFrame, val_df: DataFrame, test_df: DataFrame,
         if attempts:
             space = RETRY_SPACE | {"maxIter": [rounds]}
             boosted = [random_search(train_df, val_df, features, "gbt", space, trials, 0.35, 2.0, seed + i)[0]["params"] for i in range(2)]
-        models = [train(train_df, features, "forest"), *[train(train_df, features, "gbt", p) for p in boosted]]
+        learners = [("forest", None), *[("gbt", p) for p in boosted]]
+        models = in_parallel(lambda kp: train(train_df, features, *kp), learners)
         sweep = MT.threshold_sweep(spark, ensemble_score(models, weights, val_df), "label", "score", beta=beta)
         thr = MT.best_threshold(sweep).first()["threshold"]
         ev = evaluate(ensemble_score(models, weights, test_df), threshold=thr)

@@ -73,6 +73,13 @@ def score_counts(df: DataFrame, label="label", score="score", by: list[str] = ()
                                       F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("neg"))
 
 
+def auc_by_group(df: DataFrame, group: str, label="label", score="score") -> DataFrame:
+    """A15 for many score columns in long form: ROC-AUC with ties (half a pair each) of every ``group``, in one pass."""
+    cum = running_sums(score_counts(df, label, score, [group]), score, ["neg"], group=group, inclusive=False)
+    won = F.sum(F.col("pos") * (F.col("cum_neg") + F.col("neg") / 2))
+    return cum.groupBy(group).agg(_div(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
+
+
 def curve_points(df: DataFrame, label="label", score="score") -> DataFrame:
     """A16/A17 points per distinct threshold (descending): cumulative TP/FP,
     TPR, FPR, precision, recall, and the previous point's precision/recall."""

@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import physics as ph
-from ..functions.numeric import round6
+from ..functions.numeric import round6, round_half_away
 from ..models import isolation as ISO
 from ..models import train as TR
 from ..operators import sampling as SP
 from ..session import scratch_path
 from ..sources.tables import Tables
 from .registry import register
-from .sql_views import SENSOR, with_views
+from .sql_views import FLEET_PROB, SENSOR, with_views
 
 SPLIT_KEYS = ["machine_id", "l_orderkey", "l_linenumber", "l_partkey"]
-RAW = ["air_k", "proc_k", "rpm", "torque", "wear"]
 
 
 def _u_sql(keys: list[str], seed) -> str:
@@ -128,16 +127,16 @@ def forest_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("gbt_model", None, ids=("M8",))
 def gbt_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient-boosted trees, positive weight, early stop on the validation split."""
-    _, ev, _, _ = _fit_eval(spark, sf_dir, "gbt", {"maxIter": 20, "maxDepth": 5}, validation=True)
+    """Gradient-boosted trees (up to 200 rounds), positive weight, early stop on the validation split."""
+    _, ev, _, _ = _fit_eval(spark, sf_dir, "gbt", {"maxIter": 200, "maxDepth": 5}, validation=True)
     return _metrics_row(spark, "gbt", ev)
 
 
 @register("grid_search", None, ids=("M9",))
 def grid_search_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """5-fold F1 of a grid of balanced logistic models, best first."""
+    """5-fold F1 of the whole grid of balanced logistic models (6 strengths, l1 and l2), best first."""
     df, feats = training_frame(spark, sf_dir)
-    res = TR.grid_search(df, feats, "logistic", {"regParam": [0.0, 0.01], "elasticNetParam": [0.0, 1.0], "maxIter": [30]}, keys=SPLIT_KEYS)
+    res = TR.grid_search(df, feats, "logistic", TR.logistic_grid(df.count(), 30), keys=SPLIT_KEYS)
     return spark.createDataFrame([(str(r["params"]), float(r["f1_mean"]), float(r["f1_std"])) for r in res],
                                  "params string, f1_mean double, f1_std double")
 
@@ -154,7 +153,7 @@ def cv_f1_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_search_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded random search over boosted trees and forests; F1 at 0.40 on validation.
 
-    Three trials a learner here; the function's default is 200."""
+    Three trials a learner here, side by side; the function's default is 200 (README: time of a trial)."""
     df, feats = training_frame(spark, sf_dir)
     tr, val = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val")
     spaces = {"gbt": {"maxDepth": (3, 6), "stepSize": (0.05, 0.3), "maxIter": [10, 20]},
@@ -166,15 +165,34 @@ def random_search_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("calibration", None, ids=("M12",))
 def calibration_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isotonic calibration from 5 out-of-fold maps, averaged; quality of calibrated scores."""
+    """Isotonic calibration: 5 folds' classifiers, each through its own map, averaged; quality of calibrated scores."""
     df, feats = training_frame(spark, sf_dir)
-    tr = df.filter(F.col("split") == "train")
-    base, isos = TR.isotonic_calibrate(tr, feats, "logistic", {"maxIter": 50}, k=5, keys=SPLIT_KEYS)
-    test = TR.score(base, df.filter(F.col("split") == "test"))
-    cal = TR.apply_calibration(test, isos).withColumn("score", F.col("calibrated"))
+    pairs = TR.calibrate_folds(df.filter(F.col("split") == "train"), feats, "logistic", {"maxIter": 50}, k=5, keys=SPLIT_KEYS)
+    cal = TR.calibrated_probability(pairs, df.filter(F.col("split") == "test"), "score")
     return _metrics_row(spark, "calibrated_logistic", TR.evaluate(cal))
 
 
+ISO_SQL = with_views(SENSOR) + f"""
+, s AS (SELECT round({FLEET_PROB}, 2) AS score, label FROM sensor)
+, g AS (SELECT score, count(*) AS n, sum(label) AS pos, row_number() OVER (ORDER BY score) AS i FROM s GROUP BY score)
+, c AS (SELECT *, sum(n) OVER (ORDER BY i) AS cn, sum(pos) OVER (ORDER BY i) AS cp FROM g)
+, lowest AS (SELECT j.i AS j, k.i AS k, (k.cp - j.cp + j.pos) * 1e0 / (k.cn - j.cn + j.n) AS mean FROM c j JOIN c k ON k.i >= j.i)
+, m AS (SELECT c.i, l.j, min(l.mean) AS least FROM c JOIN lowest l ON l.j <= c.i AND l.k >= c.i GROUP BY c.i, l.j)
+SELECT c.score, c.n, CAST(c.pos AS BIGINT) AS pos, round(max(m.least), 6) AS calibrated
+FROM c JOIN m ON m.i = c.i GROUP BY c.score, c.n, c.pos
+"""
+
+
+@register("isotonic_fit", ISO_SQL, ids=("M12",))
+def isotonic_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The isotonic map of the fleet score (two decimals) on the label: rows, failures and fitted value by score."""
+    from ..models.isotonic import isotonic_map
+    from .rowwise import fleet_scored
+    s = fleet_scored(Tables(spark, sf_dir)).select(round_half_away(F.col("p"), 2).alias("score"), "label")
+    by = s.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    return by.withColumn("calibrated", round6(isotonic_map(s).apply("score")))
+
+
 @register("feature_importance", None, ids=("M14", "L4"))
 def feature_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-15 random-forest feature importances."""
@@ -184,24 +202,56 @@ def feature_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("permutation_importance", None, ids=("M16",))
 def permutation_importance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drop in test ROC-AUC when one raw sensor is permuted (keyed permutation)."""
-    feats = ["Air_temperature__K", "Process_temperature__K", "Rotational_speed__rpm", "Torque__Nm", "Tool_wear__min"]
-    m, _, df, _ = _fit_eval(spark, sf_dir, "logistic")
-    res = TR.permutation_importance(m, df.filter(F.col("split") == "test"), feats, SPLIT_KEYS)
-    return spark.createDataFrame([(f, float(v)) for f, v in res], "feature string, auc_drop double")
+    """Drop in test ROC-AUC when one of the 36 features is permuted (keyed permutation), all in one scoring pass."""
+    m, _, df, feats = _fit_eval(spark, sf_dir, "logistic")
+    return TR.permutation_importance(lambda d: TR.score(m, d), df.filter(F.col("split") == "test"), feats, SPLIT_KEYS)
+
+
+#: A fixed linear score of the raw sensors, for the importance that SQL can follow.
+LINEAR = {"air_k": -0.05, "proc_k": 0.07, "rpm": -0.004, "torque": 0.09, "wear": 0.02}
+PERM_KEYS = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in SPLIT_KEYS)
+
+
+def _linear_sql(permuted: str) -> str:
+    terms = [f"{w!r}e0 * {'_p_' + c if c == permuted else c}" for c, w in LINEAR.items()]
+    return f"SELECT '{permuted}' AS feature, label, 0e0 + {' + '.join(terms)} AS score FROM p"
+
+
+PERM_SQL = with_views(SENSOR) + f"""
+, d AS (SELECT *, md5({PERM_KEYS} || '|11') AS draw,
+          CAST(greatest(1, ceil(ln(greatest((SELECT count(*) FROM sensor) / 10000e0, 1e0)) / ln(16e0))) AS INTEGER) AS digits FROM sensor)
+, o AS (SELECT *, substr(draw, 1, digits) AS bucket FROM d)
+, p AS (SELECT *, {', '.join(f"CASE WHEN row_number() OVER w > 1 THEN lag({c}) OVER w ELSE last_value({c}) OVER z END AS _p_{c}" for c in LINEAR)}
+        FROM o WINDOW w AS (PARTITION BY bucket ORDER BY draw, {', '.join(SPLIT_KEYS)}),
+                      z AS (PARTITION BY bucket ORDER BY draw, {', '.join(SPLIT_KEYS)} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+, l AS ({' UNION ALL '.join(_linear_sql(c) for c in ["", *LINEAR])})
+, rk AS (SELECT feature, label, rank() OVER (PARTITION BY feature ORDER BY score) + (count(*) OVER (PARTITION BY feature, score) - 1) / 2e0 AS r FROM l)
+, a AS (SELECT feature, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2e0) / (sum(label) * (count(*) - sum(label))) AS auc
+        FROM rk GROUP BY feature)
+SELECT feature, round((SELECT auc FROM a WHERE feature = '') - auc, 6) AS auc_drop FROM a WHERE feature <> ''
+"""
+
+
+@register("permutation_linear", PERM_SQL, ids=("M16",))
+def permutation_linear_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop in ROC-AUC of a fixed linear score of the raw sensors when one of them is permuted."""
+    from ..functions import rules as R
+    s = Tables(spark, sf_dir).sensor
+    out = TR.permutation_importance(lambda d: d.withColumn("score", R.linear_logit(LINEAR, 0.0)), s, list(LINEAR), SPLIT_KEYS)
+    return out.select("feature", round6(F.col("auc_drop")).alias("auc_drop"))
 
 
 @register("isolation_forest", None, ids=("M5", "P18"))
 def isolation_forest_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isolation forest (200 trees, 256 rows each) on raw sensors, offset at contamination 0.05,
-    and every reading routed by status (validation error / sensor anomaly / scored)."""
+    """Isolation forest (200 trees, 256 rows each) on the 36 scaled features of the train split, exact offset at
+    contamination 0.05, and every reading routed by status (validation error / sensor anomaly / scored)."""
+    from ..functions import rules as R
     from ..operators.scoring import prediction_records
-    from .rowwise import fleet_scored
-    s = fleet_scored(Tables(spark, sf_dir))
-    forest = ISO.fit(s, RAW, SPLIT_KEYS)
-    d, offset = ISO.decision(ISO.score(s, forest, RAW), 0.05)
-    # P18 routing with the anomaly guard: validation error, sensor anomaly, or scored.
-    rec = prediction_records(d, F.col("p"), anomaly_score=F.col("anomaly_score"), keep=["anomaly_score"])
+    df, feats = training_frame(spark, sf_dir)
+    guarded, offset = ISO.anomaly_guard(df.filter(F.col("split") == "train"), df, feats, SPLIT_KEYS, 0.05)
+    s = guarded.withColumns({n: F.col(f) for n, f in ph.FEATURE_NAME.items()} | {"ts": F.lit(None).cast("timestamp")})
+    p = R.sigmoid(R.linear_logit(R.FLEET_COEFS, R.FLEET_INTERCEPT))
+    rec = prediction_records(s, p, anomaly_score=F.col("anomaly_score"), keep=["anomaly_score"])
     return rec.groupBy("status").agg(F.count(F.lit(1)).alias("rows"),
                                      F.count_if(F.col("anomaly_score") < 0).alias("outliers"),
                                      F.lit(offset).alias("offset"))
@@ -209,9 +259,9 @@ def isolation_forest_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("outlier_filter", None, ids=("M5",))
 def outlier_filter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isolation forest as a preprocessing filter (contamination 0.1): rows kept per class."""
-    s = Tables(spark, sf_dir).sensor
-    kept = ISO.outlier_filter(s, RAW, SPLIT_KEYS).groupBy("label").agg(F.count(F.lit(1)).alias("kept"))
+    """Isolation forest over the 36 features as a preprocessing filter (contamination 0.1): rows kept per class."""
+    s, feats = training_frame(spark, sf_dir)
+    kept = ISO.outlier_filter(s, feats, SPLIT_KEYS).groupBy("label").agg(F.count(F.lit(1)).alias("kept"))
     return s.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).join(kept, "label", "left").fillna(0, ["kept"])
 
 

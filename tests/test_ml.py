@@ -43,14 +43,102 @@ def test_gbt_quality_floor_and_registry(spark, tmp_path):
     assert TR.evaluate(TR.score(m2, te))["roc_auc"] == ev["roc_auc"]
 
 
-def test_isotonic_is_monotone(spark):
+def _pav(scores, labels):
+    """Pool adjacent violators, one block after the other."""
+    import itertools
+    pairs = sorted(zip(scores, labels))
+    blocks = []
+    for x, g in itertools.groupby(pairs, key=lambda p: p[0]):
+        ys = [y for _, y in g]
+        blocks.append([sum(ys), len(ys), [x]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            s, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
+    return {x: s / n for s, n, xs in blocks for x in xs}
+
+
+def test_isotonic_equals_pool_adjacent_violators(spark, monkeypatch):
+    """Hulls of ranges, merged, give the blocks of the plain algorithm, monotone, for any number of ranges."""
+    import random
+    from motorsight.models import isotonic
+    rnd = random.Random(4)
+    xs = [round(rnd.random(), 3) for _ in range(3000)]
+    ys = [int(rnd.random() < x * x) for x in xs]
+    df = spark.createDataFrame(list(zip(xs, ys)), "score double, label int")
+    want = _pav(xs, ys)
+    for points, fan in ((1 << 16, 16), (40, 3), (7, 2)):
+        monkeypatch.setattr(isotonic, "PART_POINTS", points)
+        monkeypatch.setattr(isotonic, "FAN_IN", fan)
+        step = isotonic.isotonic_map(df)
+        got = {r.score: r.v for r in df.select("score", step.apply("score").alias("v")).distinct().collect()}
+        assert set(got) == set(want) and max(abs(got[x] - want[x]) for x in want) < 1e-12
+        values = [got[x] for x in sorted(got)]
+        assert all(b >= a for a, b in zip(values, values[1:])) and 0 <= values[0] and values[-1] <= 1
+    blocks = isotonic.isotonic_blocks(df).collect()
+    assert sum(b.n for b in blocks) == 3000 and all(b.lo <= b.hi for b in blocks)
+    outside = spark.createDataFrame([(-1.0,), (2.0,)], "score double").select(step.apply("score").alias("v")).collect()
+    assert [r.v for r in outside] == [values[0], values[-1]]
+    one = spark.createDataFrame([(0.5, 1)], "score double, label int")
+    assert isotonic.isotonic_map(one).values.tolist() == [1.0]
+
+
+def test_calibration_uses_each_folds_own_classifier(spark):
     df, feats = training_frame(spark, SF_SMALL)
+    df = df.dropDuplicates(SPLIT_KEYS).cache()
     tr = df.filter(F.col("split") == "train")
-    base, isos = TR.isotonic_calibrate(tr, feats[:6], "logistic", {"maxIter": 30}, k=3, keys=SPLIT_KEYS)
-    cal = TR.apply_calibration(TR.score(base, df), isos).select("score", "calibrated").orderBy("score").collect()
-    vals = [r.calibrated for r in cal]
-    assert all(b >= a - 1e-12 for a, b in zip(vals, vals[1:]))
-    assert all(0.0 <= v <= 1.0 for v in vals)
+    pairs = TR.calibrate_folds(tr, feats[:6], "logistic", {"maxIter": 30}, k=3, keys=SPLIT_KEYS)
+    assert len({str(m.stages[-1].coefficients) for m, _ in pairs}) == 3
+    out = TR.calibrated_probability(pairs, df)
+    each = [step.apply("score") for _, step in pairs]
+    byhand = [TR.score(m, df).select(*SPLIT_KEYS, c.alias(f"c{i}")) for i, ((m, _), c) in enumerate(zip(pairs, each))]
+    both = out.select(*SPLIT_KEYS, "calibrated")
+    for b in byhand:
+        both = both.join(b, SPLIT_KEYS)
+    worst = both.select(F.max(F.abs(F.col("calibrated") - (F.col("c0") + F.col("c1") + F.col("c2")) / 3))).first()[0]
+    assert worst < 1e-12 and out.columns == [*df.columns, "calibrated"]
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    base = str(tmp_path / "registry")
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: TR.claim_version(spark, base), range(24)))
+    assert sorted(got) == list(range(1, 25))
+    assert TR.versions(spark, base) == []  # claimed, not written
+
+
+def test_importance_in_one_pass_equals_feature_by_feature(spark):
+    df, feats = training_frame(spark, SF_SMALL)
+    feats = feats[:5]
+    m = TR.train(df.filter(F.col("split") == "train"), feats, "logistic", {"maxIter": 20})
+    test = df.filter(F.col("split") == "test")
+    got = {r.feature: r.auc_drop for r in TR.permutation_importance(lambda d: TR.score(m, d), test, feats, SPLIT_KEYS).collect()}
+    d = TR.permuted(test, feats, SPLIT_KEYS).cache()
+    base = TR.evaluate(TR.score(m, d))["roc_auc"]
+    for c in feats:
+        assert abs(got[c] - (base - TR.evaluate(TR.score(m, d.drop(c).withColumnRenamed(f"_p_{c}", c)))["roc_auc"])) < 1e-9
+    assert set(got) == set(feats)
+
+
+def test_cross_validation_folds_beside_each_other(spark):
+    df, feats = training_frame(spark, SF_SMALL)
+    one = TR.kfold_f1(df, feats[:5], "logistic", {"maxIter": 10, "regParam": 0.01}, k=3, keys=SPLIT_KEYS)
+    cv = TR.cross_validate(df, feats[:5], "logistic", [{"maxIter": 10, "regParam": 0.01}], k=3, keys=SPLIT_KEYS)[0]
+    assert abs(one["f1_mean"] - cv["f1_mean"]) < 1e-6 and abs(one["f1_std"] - cv["f1_std"]) < 1e-6
+    assert len(TR.grid_maps(TR.logistic_grid(1000))) == 12 and len(TR.grid_maps(TR.FOREST_GRID)) == 27
+
+
+def test_anomaly_guard_is_fitted_on_the_train_split_alone(spark):
+    df, feats = training_frame(spark, SF_SMALL)
+    tr = df.filter(F.col("split") == "train")
+    a, offset = ISO.anomaly_guard(tr, df, feats, SPLIT_KEYS, 0.05, trees=30)
+    changed = df.withColumns({c: F.when(F.col("split") == "test", F.col(c) * 50).otherwise(F.col(c)) for c in feats})
+    b, same = ISO.anomaly_guard(changed.filter(F.col("split") == "train"), changed, feats, SPLIT_KEYS, 0.05, trees=30)
+    assert offset == same and a.columns == [*df.columns, "anomaly_raw", "anomaly_score"]
+    share = a.filter("split = 'train' and anomaly_score < 0").count() / tr.count()
+    assert abs(share - 0.05) < 0.002  # the exact quantile
+    flagged = [d.filter("split = 'test' and anomaly_score < 0").count() for d in (a, b)]
+    assert flagged[1] > 2 * flagged[0]
 
 
 def test_isolation_forest_share(spark):
@@ -87,15 +175,44 @@ def test_neighbours_in_one_leaf_are_exact(spark):
     assert _neighbours(spark, pts) == _brute(pts)
 
 
+def _recall(spark, pts):
+    got = _neighbours(spark, pts)
+    want = []
+    for a in range(0, len(pts), 500):
+        d = ((pts[a: a + 500, None, :] - pts[None, :, :]) ** 2).sum(-1) if len(pts) <= 4000 else \
+            (pts[a: a + 500] ** 2).sum(1)[:, None] + (pts ** 2).sum(1)[None, :] - 2 * pts[a: a + 500] @ pts.T
+        d[range(len(d)), range(a, a + len(d))] = float("inf")
+        want += d.argsort(axis=1)[:, :5].tolist()
+    assert all(len(g) == 5 for g in got)
+    return sum(len(set(g) & set(w)) for g, w in zip(got, want)) / (5 * len(pts))
+
+
 def test_neighbours_over_many_leaves_and_36_features(spark, monkeypatch):
+    """Recall against brute force, on points of latent dimension 4 and on independent ones; leaves of 128."""
     import numpy as np
     from motorsight.models import smote
     monkeypatch.setattr(smote, "LEAF_ROWS", 128)
     rng = np.random.default_rng(5)
-    pts = rng.normal(size=(900, 4)) @ rng.normal(size=(4, 36)) + 0.05 * rng.normal(size=(900, 36))
-    got, want = _neighbours(spark, pts), _brute(pts)
-    assert all(len(g) == 5 for g in got)
-    assert sum(len(set(g) & set(w)) for g, w in zip(got, want)) > 0.6 * 5 * 900
+    latent = rng.normal(size=(2000, 4)) @ rng.normal(size=(4, 36)) + 0.05 * rng.normal(size=(2000, 36))
+    assert _recall(spark, latent) >= 0.95
+    assert _recall(spark, rng.normal(size=(2000, 36))) >= 0.95
+
+
+def test_leaves_are_bounded_at_any_size(spark, monkeypatch):
+    """A sample too small to place the cuts leaves large leaves, which slabs cut on."""
+    import numpy as np
+    from motorsight.models import smote
+    seen = []
+    monkeypatch.setattr(smote, "LEAF_ROWS", 100)
+    monkeypatch.setattr(smote, "SAMPLE_ROWS", 40)
+    pts = np.random.default_rng(8).normal(size=(900, 3))
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame([(int(i), *map(float, p)) for i, p in enumerate(pts)], "pid long, a double, b double, c double")
+    rng = np.random.default_rng(1)
+    tree = smote.grow_tree(pts[:40], 1, rng)
+    edges = smote._leaf_edges(df, [tree], 1, np.ones(3), names, 99, 100).groupBy("pid").count().collect()
+    seen = [r["count"] for r in edges]
+    assert len(seen) == 900 and max(seen) <= 99 and sum(s == 99 for s in seen) >= 600
 
 
 def test_smote_counts_at_every_ratio(spark):
