@@ -8,10 +8,11 @@ Neighbours without an all-pairs join, for any number of features:
    hash order).  Leaves that are larger than ``LEAF_ROWS`` (the sample places only so many cuts) are cut
    on in slabs along one more direction, so a task compares at most ``LEAF_ROWS`` points, in blocks, at any
    size.  One leaf is the exact answer.
-3. Over many leaves, ``ROUNDS`` rounds refine the neighbour graph: the points around each pivot (its
+3. Over many leaves, rounds refine the neighbour graph: the points around each pivot (its
    neighbours and those it is a neighbour of) are compared with each other, since a neighbour's
    neighbour is likely one too.  ``GRAPH`` neighbours a point are kept meanwhile.  A pivot that very many points
-   have as neighbour is dealt into groups of about ``GROUP_ROWS``.
+   have as neighbour is dealt into groups of about ``GROUP_ROWS``.  Rounds end when one changes less than the share
+   ``SETTLED`` of the answer.
 4. Each minority row then yields floor(r) or floor(r)+1 synthetic rows
    (r = (majority - minority) / minority), neighbour and gap drawn from md5.
 
@@ -34,7 +35,8 @@ from ..session import scratch_path
 TREES = 4
 LEAF_ROWS = 1024
 SAMPLE_ROWS = 65_536
-ROUNDS = 3
+ROUNDS = 10
+SETTLED = 0.01
 GRAPH = 20
 GROUP_ROWS = 256
 _BLOCK = 256
@@ -143,9 +145,16 @@ def nearest_points(points: DataFrame, features: list[str], k: int = 5, seed: int
     trees = [grow_tree(x / scale, depth, rng) for _ in range(1 if one else TREES)]
     keep = k if one else max(k, GRAPH)
     edges = _best(_leaf_edges(points, trees, depth, scale, features, keep, LEAF_ROWS), keep)
-    for _ in range(0 if one else ROUNDS):
-        edges = _written(edges)
-        edges = _best(edges.drop("rank").union(_refined(points, edges, features, keep)), keep)
+    if one:
+        return edges
+    edges = _written(edges)
+    for _ in range(ROUNDS):
+        after = _written(_best(edges.drop("rank").union(_refined(points, edges, features, keep)), keep))
+        answer = F.col("rank") <= k
+        new = after.filter(answer).join(edges.filter(answer), ["pid", "nid"], "left_anti").count()
+        edges = after
+        if new < SETTLED * k * n:
+            break
     return edges.filter(F.col("rank") <= k)
 
 
