@@ -317,6 +317,44 @@ REPORT_RULE = "=" * 68
 REPORT_SUBRULE = "─" * 68
 REPORT_MODEL_NAME = "XGBoost + LightGBM Ensemble (Optuna tuned)"
 
+# The texts of the French diagnostic report, in its order
+REPORT_TEXTS = {
+    "title": "  RAPPORT DE MAINTENANCE PRÉDICTIVE — MOTEUR ASYNCHRONE",
+    "system": "  Système  : Prédiction de défaillance (IA / Machine Learning)",
+    "maker": "  Fabriquant: {} (Algérie)",
+    "machine": "  Machine ID    : ",
+    "stamp": "  Date / Heure  : ",
+    "model": "  Modèle IA     : ",
+    "result": "  RÉSULTAT DU DIAGNOSTIC",
+    "probability": "  Probabilité de défaillance : ",
+    "risk": "  Niveau de risque           : ",
+    "delay": "  Délai estimé avant panne   : ",
+    "confidence": "  Confiance du modèle        : ",
+    "meaning": "  → ",
+    "sensors": "  DONNÉES CAPTEURS (snapshot)",
+    "air": "  Température ambiante  : ",
+    "motor": "  Température moteur    : ",
+    "rpm": "  Vitesse de rotation   : ",
+    "torque": "  Couple                : ",
+    "wear": "  Usure / Heures marche : ",
+    "power": "  Puissance mécanique   : ",
+    "difference": "  ΔT (process − ambiant): ",
+    "low": "⚠️ FAIBLE",
+    "modes": "  MODES DE DÉFAILLANCE IDENTIFIÉS",
+    "mode": "  ▶ ",
+    "cause": "    Cause : ",
+    "actions": "    Actions correctives :",
+    "planning": "  RECOMMANDATION DE PLANIFICATION",
+}
+REPORT_VENDOR = {"SIEMENS": "    Siemens : ", "SCHNEIDER": "    Schneider: "}
+REPORT_NO_MODE = ["  Aucun mode de défaillance spécifique détecté.", "  Surveillance générale recommandée."]
+REPORT_CLOSING = [
+    "  Ce rapport est généré automatiquement par le système IA de",
+    "  maintenance prédictive. Il ne remplace pas le jugement d'un",
+    "  technicien qualifié. Conserver ce document dans le registre",
+    "  de maintenance de l'installation.",
+]
+
 # Alert message pieces, French and Arabic
 ALERT_TITLE = {"fr": "*Alerte Maintenance Urgente*", "ar": "*تحذير صيانة عاجلة*"}
 ALERT_MACHINE = {"fr": "🔧 Machine: ", "ar": "🔧 الآلة: "}
@@ -372,3 +410,24 @@ OCR_NUMBER_PATTERN = r"[-+]?\d*\.?\d+"
 SPEECH_NUMBER_PATTERN = r"\d+\.?\d*"
 ARABIC_INDIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 EASTERN_ARABIC_INDIC_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
+
+# The model's features, in its order
+FEATURE_COLUMNS = [
+    "Air_temperature__K", "Process_temperature__K", "Rotational_speed__rpm", "Torque__Nm",
+    "Tool_wear__min", "Type_enc", "Power_W", "Temp_Diff_K", "Wear_Torque", "Mechanical_Stress",
+    "Thermal_Ratio", "Speed_Deviation", "HDF_signal", "TWF_signal", "OSF_signal", "PWF_low",
+    "PWF_high", "log_Rotational_speed__rpm", "sqrt_Rotational_speed__rpm", "log_Torque__Nm",
+    "sqrt_Torque__Nm", "log_Tool_wear__min", "sqrt_Tool_wear__min", "log_Power_W",
+    "sqrt_Power_W", "log_Wear_Torque", "sqrt_Wear_Torque", "RPM_x_Temp", "Torque_x_TempDiff",
+    "Wear_x_Power", "Wear_x_Torque_sq", "Torque_sq", "RPM_sq", "TempDiff_sq", "RPM_x_Wear",
+    "Temp_x_Wear",
+]
+
+# Map keys accepted for each canonical sensor: SCADA tag (with its unit change) or label.
+SENSOR_MAP_KEYS = {
+    "air_k": [("AmbientTemp", 273.15, 1.0), ("Air temperature [K]", 0.0, 1.0)],
+    "proc_k": [("MotorTemp", 273.15, 1.0), ("Process temperature [K]", 0.0, 1.0)],
+    "rpm": [("Speed_RPM", 0.0, 1.0), ("Rotational speed [rpm]", 0.0, 1.0)],
+    "torque": [("Torque_Nm", 0.0, 1.0), ("Torque [Nm]", 0.0, 1.0)],
+    "wear": [("RunHours", 0.0, 60.0), ("Tool wear [min]", 0.0, 1.0)],
+}

@@ -26,16 +26,7 @@ FEATURE_NAME = {
     "type_enc": "Type_enc",
 }
 
-FEATURE_COLUMNS = [
-    "Air_temperature__K", "Process_temperature__K", "Rotational_speed__rpm", "Torque__Nm",
-    "Tool_wear__min", "Type_enc", "Power_W", "Temp_Diff_K", "Wear_Torque", "Mechanical_Stress",
-    "Thermal_Ratio", "Speed_Deviation", "HDF_signal", "TWF_signal", "OSF_signal", "PWF_low",
-    "PWF_high", "log_Rotational_speed__rpm", "sqrt_Rotational_speed__rpm", "log_Torque__Nm",
-    "sqrt_Torque__Nm", "log_Tool_wear__min", "sqrt_Tool_wear__min", "log_Power_W",
-    "sqrt_Power_W", "log_Wear_Torque", "sqrt_Wear_Torque", "RPM_x_Temp", "Torque_x_TempDiff",
-    "Wear_x_Power", "Wear_x_Torque_sq", "Torque_sq", "RPM_sq", "TempDiff_sq", "RPM_x_Wear",
-    "Temp_x_Wear",
-]
+FEATURE_COLUMNS = fv.FEATURE_COLUMNS
 
 INF = float("inf")
 
@@ -175,23 +166,13 @@ def canonical_from_ai4i(df: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
-# Map keys accepted for each canonical sensor: SCADA tag (with its unit change) or label.
-_MAP_KEYS = {
-    "air_k": [("AmbientTemp", 273.15, 1.0), ("Air temperature [K]", 0.0, 1.0)],
-    "proc_k": [("MotorTemp", 273.15, 1.0), ("Process temperature [K]", 0.0, 1.0)],
-    "rpm": [("Speed_RPM", 0.0, 1.0), ("Rotational speed [rpm]", 0.0, 1.0)],
-    "torque": [("Torque_Nm", 0.0, 1.0), ("Torque [Nm]", 0.0, 1.0)],
-    "wear": [("RunHours", 0.0, 60.0), ("Tool wear [min]", 0.0, 1.0)],
-}
-
-
 def sensors_from_map(df: DataFrame, map_col: str, keep: list[str] = ()) -> DataFrame:
     """F28 (input side): an open sensor map (API record) -> canonical sensor columns.
 
     ``try_element_at`` returns NULL for absent keys; tag keys win over labels (P3)."""
     m = F.col(map_col)
     cols = []
-    for canon, keys in _MAP_KEYS.items():
+    for canon, keys in fv.SENSOR_MAP_KEYS.items():
         vals = [(F.try_element_at(m, F.lit(k)) * F.lit(mul) + F.lit(add)) for k, add, mul in keys]
         cols.append(F.coalesce(*vals).alias(canon))
     return df.select(*keep, *cols)

@@ -41,7 +41,7 @@ def diagnostic_report_lines(pred: DataFrame, *, machine="machine_id", stamp="ts"
                             manufacturer: str = "Siemens") -> Column:
     """The French diagnostic report of one prediction as an array of lines."""
     manuf = manufacturer.upper()
-    sep, sub = fv.REPORT_RULE, fv.REPORT_SUBRULE
+    sep, sub, t = fv.REPORT_RULE, fv.REPORT_SUBRULE, fv.REPORT_TEXTS
     rk = normalize_risk(_c(risk))
     snap = F.col(snapshot)
     air, mot = snap["air_temp_K"], snap["motor_temp_K"]
@@ -50,61 +50,62 @@ def diagnostic_report_lines(pred: DataFrame, *, machine="machine_id", stamp="ts"
     actions = _arr_map({k: d["actions"] for k, d in fv.FAILURE_DETAILS.items()})
     vendor_key = "siemens_param" if manuf == "SIEMENS" else "schneider_param"
     vendor = _lit_map({k: d[vendor_key] for k, d in fv.FAILURE_DETAILS.items()})
-    vendor_label = "    Siemens : " if manuf == "SIEMENS" else "    Schneider: "
+    vendor_label = fv.REPORT_VENDOR.get(manuf)
     active = F.filter(F.coalesce(_c(modes), F.array().cast("array<string>")), lambda m: m != fv.NO_MODE)
 
     def mode_block(m):
         acts = F.transform(F.coalesce(F.element_at(actions, m), F.array().cast("array<string>")),
                            lambda a: F.concat(F.lit("      "), a))
-        head = F.array(F.lit(""), F.concat(F.lit("  ▶ "), F.coalesce(F.element_at(names, m), m)),
-                       F.concat(F.lit("    Cause : "), F.coalesce(F.element_at(causes, m), F.lit("N/A"))),
-                       F.lit(""), F.lit("    Actions correctives :"))
+        head = F.array(F.lit(""), F.concat(F.lit(t["mode"]), F.coalesce(F.element_at(names, m), m)),
+                       F.concat(F.lit(t["cause"]), F.coalesce(F.element_at(causes, m), F.lit("N/A"))),
+                       F.lit(""), F.lit(t["actions"]))
         tail = F.array(F.lit(""), F.concat(F.lit(vendor_label), F.coalesce(F.element_at(vendor, m), F.lit("—")))) \
-            if manuf in ("SIEMENS", "SCHNEIDER") else F.array(F.lit(""))
+            if vendor_label else F.array(F.lit(""))
         return F.concat(head, acts, tail)
 
-    mode_lines = F.when(F.size(active) == 0,
-                        F.array(F.lit("  Aucun mode de défaillance spécifique détecté."),
-                                F.lit("  Surveillance générale recommandée."))) \
+    mode_lines = F.when(F.size(active) == 0, F.array(*[F.lit(x) for x in fv.REPORT_NO_MODE])) \
         .otherwise(F.flatten(F.transform(active, mode_block)))
     tdiff = mot - air
     dt_line = F.when(air.isNotNull() & mot.isNotNull() & (air != 0) & (mot != 0), F.array(F.concat(
-        F.lit("  ΔT (process − ambiant): "), F.format_string("%.1f", tdiff), F.lit(" K  "),
-        F.when(tdiff < fv.FEATURE_HDF_DT, F.lit("⚠️ FAIBLE")).otherwise(F.lit("OK"))))) \
+        F.lit(t["difference"]), F.format_string("%.1f", tdiff), F.lit(" K  "),
+        F.when(tdiff < fv.FEATURE_HDF_DT, F.lit(t["low"])).otherwise(F.lit("OK"))))) \
         .otherwise(F.array().cast("array<string>"))
     sched = F.coalesce(F.element_at(_arr_map(fv.MAINTENANCE_SCHEDULES), rk),
                        F.array(F.lit(fv.SCHEDULE_FALLBACK)))
+    def percent(c):
+        return F.concat(F.format_string("%.1f", c), F.lit(" %"))
     return F.concat(
-        F.array(F.lit(sep), F.lit("  RAPPORT DE MAINTENANCE PRÉDICTIVE — MOTEUR ASYNCHRONE"),
-                F.lit("  Système  : Prédiction de défaillance (IA / Machine Learning)"),
-                F.lit(f"  Fabriquant: {manuf} (Algérie)"), F.lit(sep),
-                F.concat(F.lit("  Machine ID    : "), _c(machine).cast("string")),
-                F.concat(F.lit("  Date / Heure  : "), F.date_format(_c(stamp), "dd/MM/yyyy  HH:mm:ss")),
-                F.lit(f"  Modèle IA     : {fv.REPORT_MODEL_NAME}"), F.lit(""),
-                F.lit(sub), F.lit("  RÉSULTAT DU DIAGNOSTIC"), F.lit(sub),
-                F.concat(F.lit("  Probabilité de défaillance : "), F.format_string("%.1f", _c(prob_pct)), F.lit(" %")),
-                F.concat(F.lit("  Niveau de risque           : "), _c(icon), F.lit(" "), rk),
-                F.concat(F.lit("  Délai estimé avant panne   : "), _c(ttf)),
-                F.concat(F.lit("  Confiance du modèle        : "), F.format_string("%.1f", _c(conf) * 100), F.lit(" %")),
+        F.array(F.lit(sep), F.lit(t["title"]), F.lit(t["system"]), F.lit(t["maker"].format(manuf)), F.lit(sep),
+                F.concat(F.lit(t["machine"]), _c(machine).cast("string")),
+                F.concat(F.lit(t["stamp"]), F.date_format(_c(stamp), "dd/MM/yyyy  HH:mm:ss")),
+                F.lit(t["model"] + fv.REPORT_MODEL_NAME), F.lit(""),
+                F.lit(sub), F.lit(t["result"]), F.lit(sub),
+                F.concat(F.lit(t["probability"]), percent(_c(prob_pct))),
+                F.concat(F.lit(t["risk"]), _c(icon), F.lit(" "), rk),
+                F.concat(F.lit(t["delay"]), _c(ttf)),
+                F.concat(F.lit(t["confidence"]), percent(_c(conf) * 100)),
                 F.lit(""),
-                F.concat(F.lit("  → "), F.coalesce(F.element_at(_lit_map(fv.RISK_DESCRIPTIONS), rk), F.lit(""))),
-                F.lit(""), F.lit(sub), F.lit("  DONNÉES CAPTEURS (snapshot)"), F.lit(sub),
-                F.concat(F.lit("  Température ambiante  : "), _num_text(air), F.lit(" K  ("), _k_to_c(air), F.lit(" °C)")),
-                F.concat(F.lit("  Température moteur    : "), _num_text(mot), F.lit(" K  ("), _k_to_c(mot), F.lit(" °C)")),
-                F.concat(F.lit("  Vitesse de rotation   : "), _num_text(snap["rpm"]), F.lit(" tr/min")),
-                F.concat(F.lit("  Couple                : "), _num_text(snap["torque_Nm"]), F.lit(" Nm")),
-                F.concat(F.lit("  Usure / Heures marche : "), _num_text(snap["wear_min"]), F.lit(" min")),
-                F.concat(F.lit("  Puissance mécanique   : "), _num_text(snap["power_W"]), F.lit(" W"))),
+                F.concat(F.lit(t["meaning"]), F.coalesce(F.element_at(_lit_map(fv.RISK_DESCRIPTIONS), rk), F.lit(""))),
+                F.lit(""), F.lit(sub), F.lit(t["sensors"]), F.lit(sub),
+                F.concat(F.lit(t["air"]), _num_text(air), F.lit(" K  ("), _k_to_c(air), F.lit(" °C)")),
+                F.concat(F.lit(t["motor"]), _num_text(mot), F.lit(" K  ("), _k_to_c(mot), F.lit(" °C)")),
+                F.concat(F.lit(t["rpm"]), _num_text(snap["rpm"]), F.lit(" tr/min")),
+                F.concat(F.lit(t["torque"]), _num_text(snap["torque_Nm"]), F.lit(" Nm")),
+                F.concat(F.lit(t["wear"]), _num_text(snap["wear_min"]), F.lit(" min")),
+                F.concat(F.lit(t["power"]), _num_text(snap["power_W"]), F.lit(" W"))),
         dt_line,
-        F.array(F.lit(""), F.lit(sub), F.lit("  MODES DE DÉFAILLANCE IDENTIFIÉS"), F.lit(sub)),
+        F.array(F.lit(""), F.lit(sub), F.lit(t["modes"]), F.lit(sub)),
         mode_lines,
-        F.array(F.lit(""), F.lit(sub), F.lit("  RECOMMANDATION DE PLANIFICATION"), F.lit(sub)),
+        F.array(F.lit(""), F.lit(sub), F.lit(t["planning"]), F.lit(sub)),
         F.transform(sched, lambda s: F.concat(F.lit("  "), s)),
-        F.array(F.lit(""), F.lit(sep),
-                F.lit("  Ce rapport est généré automatiquement par le système IA de"),
-                F.lit("  maintenance prédictive. Il ne remplace pas le jugement d'un"),
-                F.lit("  technicien qualifié. Conserver ce document dans le registre"),
-                F.lit("  de maintenance de l'installation."), F.lit(sep)))
+        F.array(F.lit(""), F.lit(sep), *[F.lit(x) for x in fv.REPORT_CLOSING], F.lit(sep)))
+
+
+def report_texts(pred: DataFrame, keys: list[str], **names) -> DataFrame:
+    """R1 for every prediction: (keys..., n_lines, report), the whole report as one text."""
+    lines = diagnostic_report_lines(pred, **names)
+    return pred.select(*keys, lines.alias("_lines")).select(
+        *keys, F.size("_lines").alias("n_lines"), F.array_join("_lines", "\n").alias("report"))
 
 
 def explode_lines(df: DataFrame, lines: Column, keys: list[str]) -> DataFrame:

@@ -199,6 +199,25 @@ def drift_verdict(ks: DataFrame) -> DataFrame:
                    .when(k > 0, F.lit("WARNING")).otherwise(F.lit("OK")).alias("verdict"))
 
 
+# --- distinct counts from sketches (A8) ----------------------------------------------
+SKETCH_LG_K = 12
+#: One standard error of a merged sketch of 2^SKETCH_LG_K registers.
+SKETCH_ERROR = 1.04 / math.sqrt(1 << SKETCH_LG_K)
+
+
+def daily_sketches(df: DataFrame, ts: str, measures: dict[str, str]) -> DataFrame:
+    """Rows (day, one sketch per measure): distinct values of a column that day, in at most 2^SKETCH_LG_K registers."""
+    return df.groupBy(F.to_date(ts).alias("day")).agg(*[
+        F.hll_sketch_agg(F.col(c).cast("long"), SKETCH_LG_K).alias(m) for m, c in measures.items()])
+
+
+def rolled_up(sketches: DataFrame, measures) -> DataFrame:
+    """A8 over all days of a sketch table, without the raw rows: (measure, estimate)."""
+    names = list(measures)
+    one = sketches.agg(*[F.hll_sketch_estimate(F.hll_union_agg(m)).alias(m) for m in names])
+    return one.unpivot([], names, "measure", "estimate")
+
+
 # --- per-machine trend window (A22-A25, M21) ------------------------------------------
 DAILY_ENTRIES = 14
 

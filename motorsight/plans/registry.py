@@ -39,5 +39,5 @@ def register(name: str, sql: str | None = None, ids: tuple[str, ...] = ()):
 
 def load_all() -> dict[str, Entry]:
     # Importing the plan modules fills the registry.
-    from . import rowwise, ordered, stats, joins_sets, text_reports, ml_plans, streaming_plans, sources_plans  # noqa: F401
+    from . import rowwise, ordered, stats, joins_sets, text_reports, ml_plans, streaming_plans, sources_plans, report_plans  # noqa: F401
     return REGISTRY

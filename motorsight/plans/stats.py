@@ -480,15 +480,17 @@ def retrain_decision_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- A22-A26, M21 -------------------------------------------------------------------------------
-def _scored_pct(spark, sf_dir) -> DataFrame:
+def scored_pct_raw(spark, sf_dir) -> DataFrame:
     """Scored readings, those of every 40th part with a broken torque sensor (invalid)."""
-    from ..operators.scoring import invalid_as_normal
-
     class _T:
         sensor = Tables(spark, sf_dir).sensor.withColumn(
             "torque", F.when(F.col("l_partkey") % 40 == 0, 500.0).otherwise(F.col("torque")))
-    f = fleet_scored(_T())
-    return invalid_as_normal(f.withColumn("pct", round_half_away(F.col("p") * 100, 2)))
+    return fleet_scored(_T()).withColumn("pct", round_half_away(F.col("p") * 100, 2))
+
+
+def _scored_pct(spark, sf_dir) -> DataFrame:
+    from ..operators.scoring import invalid_as_normal
+    return invalid_as_normal(scored_pct_raw(spark, sf_dir))
 
 
 SEVEN_SQL = with_views(SENSOR, FLEET) + f"""

@@ -296,14 +296,17 @@ def prediction_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIR_BASE = ph.FEATURE_COLUMNS[:10]
 
 
+#: The base features over the sensor view, in DuckDB SQL.
+PAIR_SQL = {
+    "Air_temperature__K": "air_k", "Process_temperature__K": "proc_k", "Rotational_speed__rpm": "rpm",
+    "Torque__Nm": "torque", "Tool_wear__min": "wear",
+    "Type_enc": "CAST(CASE mtype WHEN 'L' THEN 0 WHEN 'M' THEN 1 ELSE 2 END AS DOUBLE)",
+    "Power_W": "(torque*rpm*1.0471975511965977e-1)", "Temp_Diff_K": "(proc_k - air_k)",
+    "Wear_Torque": "(wear*torque)", "Mechanical_Stress": "(torque / greatest(rpm, 1e0))"}
+
+
 def _pairs_sql() -> str:
-    exprs = {
-        "Air_temperature__K": "air_k", "Process_temperature__K": "proc_k", "Rotational_speed__rpm": "rpm",
-        "Torque__Nm": "torque", "Tool_wear__min": "wear",
-        "Type_enc": "CAST(CASE mtype WHEN 'L' THEN 0 WHEN 'M' THEN 1 ELSE 2 END AS DOUBLE)",
-        "Power_W": "(torque*rpm*1.0471975511965977e-1)", "Temp_Diff_K": "(proc_k - air_k)",
-        "Wear_Torque": "(wear*torque)", "Mechanical_Stress": "(torque / greatest(rpm, 1e0))"}
-    sel = [f"round({exprs[a]} * {exprs[b]}, 6) AS \"{a}_x_{b}\"" for a, b in combinations(PAIR_BASE, 2)]
+    sel = [f"round({PAIR_SQL[a]} * {PAIR_SQL[b]}, 6) AS \"{a}_x_{b}\"" for a, b in combinations(PAIR_BASE, 2)]
     return with_views(SENSOR) + f"SELECT {', '.join(KEYS)}, {', '.join(sel)} FROM sensor"
 
 

@@ -134,6 +134,18 @@ def write_text_reports(lines: DataFrame, path: str, key: str = "machine_id") ->
      .write.mode("overwrite").partitionBy(key).text(path))
 
 
+def write_report_files(reports: DataFrame, path: str, keys: list[str], text: str = "report") -> None:
+    """One text file for each combination of ``keys``, which is a row of ``reports``, under a folder for each key."""
+    reports.select(*keys, text).repartition(*keys).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def read_report_files(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
+    """Rows (keys..., report) of :func:`write_report_files`, each file whole; ``keys`` names the types."""
+    schema = ", ".join(["value string", *(f"{k} {kind}" for k, kind in keys.items())])
+    back = spark.read.schema(schema).text(path, wholetext=True)
+    return back.select(*keys, F.rtrim("value", F.lit("\n")).alias("report"))
+
+
 def profile(tables: dict[str, DataFrame], targets=("failure", "target", "label"),
             case_fold: bool = True) -> DataFrame:
     """Rows, columns and has-target per table, as one union (one count job per table
