@@ -41,48 +41,37 @@ def ema_reach(span: int, tol: float = 1e-13) -> int:
 
 
 def ema(d: DataFrame, w, columns: list[str], spans: list[int]) -> DataFrame:
-    """Add ``_e_<column>_<span>``, pandas ``ewm(span, adjust=False)`` at rows with a reading (null elsewhere).
+    """Add ``_e_<column>``, an array over ``spans`` of pandas ``ewm(span, adjust=False)``, null at rows without a reading.
 
     A row maps the value before it to a * y + b (no reading: to y itself; the first reading: to x, whatever
     was before).  Maps of runs of rows are composed through ``lag`` in the window ``w``, each run four times as
-    long as the last, until what came before a run weighs nothing; so all columns and spans together
-    take a few window steps over the one sort there is."""
+    long as the last, until what came before a run weighs nothing.  The maps of all columns and spans are
+    two arrays, so a step lags six columns, whatever their number, over the one sort there is."""
     rn, valid = F.col("_rn"), {c: F.col(c).isNotNull() for c in columns}
     before = w.rowsBetween(UNB_P, -1)
     d = d.select("*", *[(rn - F.last(F.when(valid[c], rn), ignorenulls=True).over(before)).cast("double").alias(f"_g_{c}") for c in columns])
-    pairs = [(c, n) for c in columns for n in spans]
-    size, reach = 1, {n: ema_reach(n) for n in spans}
-
-    def named(kind: str, c: str, n: int) -> str:
-        return f"_{kind}_{c}_{n}"
-
-    first = []
-    for c, n in pairs:
-        x, g, alpha = F.col(c).cast("double"), F.col(f"_g_{c}"), 2.0 / (n + 1)
-        old = F.when(g == 1, F.lit(1.0 - alpha)).otherwise(F.pow(F.lit(1.0 - alpha), g))
-        first.append(F.when(~valid[c], 1.0).when(g.isNull(), 0.0).otherwise(old / (old + alpha)).alias(named("a", c, n)))
-        first.append(F.when(~valid[c], 0.0).when(g.isNull(), x).otherwise(alpha * x / (old + alpha)).alias(named("e", c, n)))
-    d = d.select("*", *first).drop(*[f"_g_{c}" for c in columns])
-    while size < max(reach.values()):
-        open_pairs = [(c, n) for c, n in pairs if size < reach[n]]
-        lags = {}
-        for c, n in open_pairs:
-            for j in (1, 2, 3):
-                lags[f"_l{j}{named('a', c, n)}"] = F.lag(named("a", c, n), j * size, 1.0).over(w)
-                lags[f"_l{j}{named('e', c, n)}"] = F.lag(named("e", c, n), j * size, 0.0).over(w)
-        d = d.select("*", *[v.alias(k) for k, v in lags.items()])
-        done = {}
-        for c, n in open_pairs:
-            a, b = F.col(named("a", c, n)), F.col(named("e", c, n))
-            a1, a2, a3 = (F.col(f"_l{j}{named('a', c, n)}") for j in (1, 2, 3))
-            b1, b2, b3 = (F.col(f"_l{j}{named('e', c, n)}") for j in (1, 2, 3))
-            done[named("e", c, n)] = b + a * (b1 + a1 * (b2 + a2 * b3))
-            if 4 * size < reach[n]:
-                done[named("a", c, n)] = a * a1 * a2 * a3
+    a, b = [], []
+    for c in columns:
+        x, g = F.col(c).cast("double"), F.col(f"_g_{c}")
+        for n in spans:
+            alpha = 2.0 / (n + 1)
+            old = F.when(g == 1, F.lit(1.0 - alpha)).otherwise(F.pow(F.lit(1.0 - alpha), g))
+            a.append(F.when(~valid[c], 1.0).when(g.isNull(), 0.0).otherwise(old / (old + alpha)))
+            b.append(F.when(~valid[c], 0.0).when(g.isNull(), x).otherwise(alpha * x / (old + alpha)))
+    d = d.select("*", F.array(*a).alias("_ema_a"), F.array(*b).alias("_ema_b")).drop(*[f"_g_{c}" for c in columns])
+    many, base = range(len(a)), [c for c in d.columns if c not in ("_ema_a", "_ema_b")]
+    same = {"_ema_a": F.array(*[F.lit(1.0)] * len(a)), "_ema_b": F.array(*[F.lit(0.0)] * len(a))}
+    size, reach = 1, max(map(ema_reach, spans))
+    while size < reach:
+        lags = {m: [F.lag(m, j * size).over(w).alias(f"{m}{j}") for j in (1, 2, 3)] for m in same}
+        d = d.select("*", *lags["_ema_a"], *lags["_ema_b"])
+        d = d.select(*base, *same, *[F.coalesce(f"{m}{j}", none).alias(f"{m}{j}") for m, none in same.items() for j in (1, 2, 3)])
+        (a0, a1, a2, a3), (b0, b1, b2, b3) = ([F.col(f"{m}{j}") for j in ("", 1, 2, 3)] for m in same)
+        d = d.select(*base, F.array(*[a0[i] * a1[i] * a2[i] * a3[i] for i in many]).alias("_ema_a"),
+                     F.array(*[b0[i] + a0[i] * (b1[i] + a1[i] * (b2[i] + a2[i] * b3[i])) for i in many]).alias("_ema_b"))
         size *= 4
-        gone = [named("a", c, n) for c, n in pairs if size >= reach[n]]
-        d = d.withColumns(done).drop(*lags, *gone)
-    return d.withColumns({named("e", c, n): F.when(valid[c], F.col(named("e", c, n))) for c, n in pairs})
+    k = len(spans)
+    return d.select("*", *[F.when(valid[c], F.slice("_ema_b", i * k + 1, k)).alias(f"_e_{c}") for i, c in enumerate(columns)]).drop("_ema_a", "_ema_b")
 
 
 def _merge(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
@@ -195,10 +184,9 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
                 finals[f"{c}_rolling_std_{n}"] = F.when(m["n"] > 1, F.sqrt(m["m2"] / (m["n"] - 1)))
                 finals[f"{c}_rolling_min_{n}"], finals[f"{c}_rolling_max_{n}"] = m["min"], m["max"]
         if "ema" in groups:  # rows without a reading repeat the last value
-            for n in windows:
-                y = F.col(f"_e_{c}_{n}")
-                finals[f"{c}_ema_{n}"] = F.last(y, ignorenulls=True).over(o.frame(UNB_P, 0))
-                specs[f"{c}_ema_{n}"] = (F.max_by(y, F.when(y.isNotNull(), rn)), "last_before", None)
+            y = F.col(f"_e_{c}")
+            phase_a[f"_y_{c}"] = F.last(y, ignorenulls=True).over(o.frame(UNB_P, 0))
+            specs[f"{c}_ema"] = (F.max_by(y, F.when(y.isNotNull(), rn)), "last_before", None)
         if "lag" in groups:
             # Back-fill of lag k at row r = first non-null x at position >= r - k,
             # i.e. lag(nn, k) with nn = next non-null at or after a row (from the
@@ -304,8 +292,9 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
             out[f"{c}_cumulative_deviation"] = F.when(
                 here.isNotNull() | before.isNotNull(), F.coalesce(here, F.lit(0.0)) + F.coalesce(before, F.lit(0.0)))
         if "ema" in groups:
-            for n in windows:
-                out[f"{c}_ema_{n}"] = F.coalesce(finals[f"{c}_ema_{n}"], F.col(f"_c_{c}_ema_{n}"))
+            y = F.coalesce(F.col(f"_y_{c}"), F.col(f"_c_{c}_ema").cast("array<double>"))
+            for i, n in enumerate(windows):
+                out[f"{c}_ema_{n}"] = y[i]
     for c in fill_columns:
         out[f"{c}_filled"] = F.coalesce(F.col(c), F.col(f"_{c}_ffill"), F.col(f"_c_{c}__last"),
                                         F.col(f"_{c}_bfill"), F.col(f"_c_{c}__first"))
