@@ -42,7 +42,7 @@ def plain_model(docs):
                 kinds[order, k][g[:-1]] += 1
 
     def p(k, gram):
-        out = 1 / (1 << toxicity.CHAR_BITS)
+        out = 1 / toxicity.ALPHABET
         for order in range(1, n + 1):
             g = gram[n - order:]
             t, d = total[order, k].get(g[:-1], 0), cuts[order, k]
@@ -53,12 +53,15 @@ def plain_model(docs):
     return p
 
 
-def test_model_equals_the_plain_one(spark):
+def test_model_equals_the_plain_one(spark, monkeypatch):
     rnd = random.Random(5)
-    words = "the a of cat dog Σ 中 run fast\tslow idiot scum".split()
+    words = "the a of cat dog Σ 中文 𝒳 run fast\tslow idiot scum".split()
     docs = [(int(i % 4 == 0), " ".join(rnd.choice(words[: 9 if i % 4 else 12]) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
     df = spark.createDataFrame(docs, "label int, text string")
-    tables = toxicity.load(toxicity.model_rows(toxicity.count_grams(df)))
+    monkeypatch.setattr(toxicity, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(toxicity, "HELD_BYTES", 20_000)  # buckets come and go
+    tables = toxicity.write_model(toxicity.count_grams(df))
+    assert tables.buckets > 2
     p = plain_model(docs)
     texts = [t for _, t in docs[:20]] + ["", "x", "an unseen line 123", "idiot scum", "the cat"]
     got = toxicity.ratios(tables, texts)
@@ -71,7 +74,7 @@ def test_model_equals_the_plain_one(spark):
 
 def test_cuts_of_a_batch_do_not_change_a_value(spark, monkeypatch):
     docs = [(i % 2, f"some words {i} here " * (i % 7)) for i in range(30)]
-    tables = toxicity.load(toxicity.model_rows(toxicity.count_grams(spark.createDataFrame(docs, "label int, text string"))))
+    tables = toxicity.write_model(toxicity.count_grams(spark.createDataFrame(docs, "label int, text string")))
     whole = toxicity.ratios(tables, [t for _, t in docs])
     monkeypatch.setattr(toxicity, "BATCH_CHARS", 50)
     assert np.allclose(whole, toxicity.ratios(tables, [t for _, t in docs]), atol=1e-6)
@@ -145,16 +148,34 @@ def test_tables_hold_every_gram():
     assert (toxicity.look_up(1.0, [], other[:3]) == 1.0).all()
 
 
-def test_model_keeps_grams_that_shared_a_slot(spark):
-    """All grams of the labelled texts are in the model, as many as were counted."""
+def test_model_keeps_every_gram(spark, monkeypatch):
+    """All grams of the labelled texts are in the written model, as many as were counted, in any bucket."""
+    monkeypatch.setattr(toxicity, "BUCKET_ROWS", 40_000)
     rnd = random.Random(8)
-    docs = [(i % 2, "".join(chr(rnd.randrange(97, 1000)) for _ in range(1500))) for i in range(200)]
+    docs = [(i % 2, "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(500))) for i in range(200)]
     counted = toxicity.count_grams(spark.createDataFrame(docs, "label int, text string")).cache()
-    tables = toxicity.load(toxicity.model_rows(counted))
-    kept = [sum(int((t[:, 0] != 0).sum()) for t in one) for _, one in tables]
-    want = [counted.select((counted.key.bitwiseAND((1 << 12 * n) - 1)).alias("k")).distinct().count() for n in range(1, 6)]
-    assert kept[0::2] == want
-    assert kept[9] == counted.select(F.shiftright("key", 12)).distinct().count()
+    store = toxicity.write_model(counted)
+    kept = {tab: sum(int((t[:, 0] != 0).sum()) for b in range(store.buckets) for t in store.tables(tab, b)) for tab in range(2, 12)}
+    for n in range(1, 6):
+        hi, lo = toxicity._last(n)
+        assert kept[2 * n] == counted.select(hi.alias("hi"), lo.alias("lo")).distinct().count()
+    chi, clo = toxicity._without_last()
+    assert kept[11] == counted.select(chi.alias("a"), clo.alias("b")).distinct().count()
+    grams = {tuple(t[i: i + 5]) for _, t in docs for i in range(len(t) - 4)}
+    got = {tuple(chr(int(x)) for x in (r.hi >> 21, r.hi & 0x1FFFFF, r.lo >> 42, r.lo >> 21 & 0x1FFFFF, r.lo & 0x1FFFFF)) for r in counted.collect()}
+    assert grams <= got and len(got - grams) == len({tuple(f" {t} "[i: i + 5]) for _, t in docs for i in (0, len(t) - 3)})
+
+
+def test_characters_of_any_script_are_told_apart(spark):
+    """Two expressions that the old 1,024 codes could confuse: each keeps its own score."""
+    rnd = random.Random(2)
+    wide = [chr(x) for x in range(0x4E00, 0x4E00 + 4000)]
+    toxic, plain = wide[100:104], [w for w in wide if w not in wide[100:104]]
+    docs = [(i % 2, "".join(rnd.choice(plain) for _ in range(80)) + ("".join(toxic) * 4 if i % 2 else "")) for i in range(120)]
+    store = toxicity.write_model(toxicity.count_grams(spark.createDataFrame(docs, "label int, text string")))
+    hit = toxicity.ratios(store, ["".join(toxic) * 4])[0]
+    others = [toxicity.ratios(store, ["".join(rnd.choice(plain) for _ in range(4)) * 4])[0] for _ in range(300)]
+    assert hit > 0.05 and max(others) < hit / 2
 
 
 def test_model_counts_the_rows_that_fit_the_logistic_function(spark):
@@ -170,5 +191,5 @@ def test_model_counts_the_rows_that_fit_the_logistic_function(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, toxic))
     model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    learned, unseen = toxicity.ratios(model.tables.value, ["wyzquv " * 20, "kxjpgd " * 20])
+    learned, unseen = toxicity.ratios(model.store, ["wyzquv " * 20, "kxjpgd " * 20])
     assert learned > unseen + 0.1
