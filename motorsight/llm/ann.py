@@ -19,8 +19,8 @@ query, never pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take
 no part, nor do rows without an id or of a length other than the most common one (the longer
-of equally common ones); rows of one id are one candidate (the nearest of its vectors); an empty
-table gives no rows.
+of equally common ones); rows of one id are one candidate (the nearest of its vectors), and rows repeated whole
+are one; an empty table gives no rows.  Only the id and vector columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -182,7 +182,8 @@ def search(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_
     (query_id, rank, vec_id, score)."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    ranked = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    # Repeated rows go first, so that a vector's window holds k + 1 rows of each task at most.
+    ranked = rows.distinct().withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
     distinct = stage(ranked.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "vectors")
     n = distinct.count()
     queries = rows.filter(is_query).distinct()

@@ -17,7 +17,8 @@ take little more room than the conversation.
 
 Defined results: null texts and null roles are empty; turns are ordered by (turn, role, text), null
 turns first, repeated turns stay; a row without a conversation id is a conversation of its
-own; an empty table gives no rows.
+own; an empty table gives no rows.  Only the id, turn, role and text columns are read, so other columns can't
+clash.
 """
 
 from __future__ import annotations

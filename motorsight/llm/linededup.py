@@ -15,7 +15,8 @@ are shuffled once, on the document.
 Defined results: null texts stay null; texts of fewer than three non-blank lines have no
 window and stay; a text all of whose lines go becomes empty, its row stays; null doc_ids come
 after all others; rows with equal doc_id and text are one document and are treated alike;
-an empty table gives no rows.
+very long texts are split whole (their lines must fit in a row); an empty table gives no rows.  Helper columns
+and the removed count get free names: underscores in front where an input column has the name.
 """
 
 from __future__ import annotations
@@ -64,6 +65,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` with later occurrences cut out of ``text_col``; ``removed_col``, if named, gets the
     number of removed lines."""
+    removed_col = removed_col and free_name(docs, removed_col)
     th, cut_id, cut_th, spans = (free_name(docs, n) for n in ("th", "cut_id", "cut_th", "spans"))
     cuts = repeated_spans(docs, id_col, text_col).select(
         F.col("id").alias(cut_id), F.col("th").alias(cut_th), F.col("spans").alias(spans))

@@ -22,7 +22,9 @@ Defined results: sources without a given weight have the weight ``default``; a n
 source of its own, named by ``None`` in the weights; a weight of 0 drops a source; null texts have
 size 0; a source of size 0 keeps one copy of each row (its rate is undefined); a null id
 is hashed as the text "null"; rows repeated under one id get the same number of copies
-each; an empty table gives no rows.
+each; texts count by their whole length, whatever it is; an empty table gives no rows.  Where an input column
+has the name of a result column (``copy``, ``shuffle_key``) or of a helper, the new one gets underscores
+in front.
 """
 
 from __future__ import annotations
@@ -82,7 +84,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float], default: float = 1.
 def mix(docs: DataFrame, weights: dict[str | None, float], seed: int, default: float = 1.0, epochs: float = 1.0,
         id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None,
         copy_col: str = "copy", key_col: str = "shuffle_key") -> DataFrame:
-    """The mixed ``docs``, shuffled, with ``copy`` (from 0) and ``shuffle_key``."""
+    """The mixed ``docs``, shuffled, with ``copy`` (from 0) and ``shuffle_key``, under free names."""
+    copy_col, key_col = free_name(docs, copy_col), free_name(docs, key_col)
     table = rates(docs, weights, default, epochs, source_col, size, text_col)
     source, steps, chances, n = (free_name(docs, x) for x in ("mix_source", "mix_steps", "mix_chances", "mix_n"))
     table = table.withColumn(steps, F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int"))

@@ -16,8 +16,10 @@ length or shrinks the gap of a whole run below the current length, so there are
 about 3 x capacity runs of sequences and, per run, as many steps as distinct lengths
 that add up to one gap (under 2 x sqrt(capacity)).  It is broadcast as arrays.
 
-Defined results: null text is an empty document (one id, the end id); repeated rows
-and equal doc_ids are packed row by row; an empty table gives no sequences.
+Defined results: null and empty text is an empty document (one id, the end id); repeated rows
+and equal doc_ids are packed row by row; very long texts are tokenized whole and only their ids cut; an
+empty table gives no sequences.  All columns of ``pieces`` go along in a struct, so none can clash with a helper;
+one named ``sequence_id`` or ``offset`` raises an error, since its result would be hidden.
 """
 
 from __future__ import annotations
@@ -131,6 +133,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """
     spark = pieces.sparkSession
     names = pieces.columns
+    if {"sequence_id", "offset"} & {n.lower() for n in names}:
+        raise ValueError("the pieces have a column named sequence_id or offset already")
     rows = stage(pieces.select(F.struct(*names).alias("row"), F.col("length"),
                                F.monotonically_increasing_id().alias("rid")), "pieces")
     counts = {int(n): int(c) for n, c in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
@@ -139,6 +143,10 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     steps = plan(counts, capacity)
     array = np.array(steps or [(0, 0, 0, 1, 0, 0)], np.int64)
     array = array[np.lexsort((array[:, 1], array[:, 0]))]
+    # (length, rank) in one ordered number: as many bits for ranks as the most common length needs.
+    bits = max(counts.values(), default=0).bit_length()
+    if capacity.bit_length() + bits > 63:
+        raise ValueError("lengths and ranks don't fit one long")
     shared = spark.sparkContext.broadcast(array)
 
     # Row numbers are (task << 33) + place, so a chunk of them never mixes tasks.
@@ -154,8 +162,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     def look_up(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         p = shared.value
         n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
-        # (length, rank) in one ordered number: ranks are below 2**50, lengths below 2**13.
-        at = np.searchsorted((p[:, 0] << 50) + p[:, 1], (n << 50) + r, "right") - 1
+        at = np.searchsorted((p[:, 0] << bits) + p[:, 1], (n << bits) + r, "right") - 1
         step, i = p[at], r - p[at, 1]
         return pd.DataFrame({"sequence_id": step[:, 4] + i // step[:, 3], "offset": step[:, 5] + i % step[:, 3] * n})
 

@@ -18,7 +18,9 @@ hands its name on in index rows, which Spark commits; files of lost or repeated
 attempts are in no index row and are never read.
 
 Defined results: null text is empty (only the end id); null doc_ids come first; equal
-doc_ids keep one record each, ordered by text; an empty table gives an index without rows.
+doc_ids keep one record each, ordered by text; very long texts are encoded and framed whole (a frame
+holds one document's ids, so they must fit in memory); an empty table gives an index without rows.  Only the id
+and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations

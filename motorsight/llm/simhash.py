@@ -20,7 +20,8 @@ Components are found by ``graph.components`` over links between fingerprints.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint 0 and
 link like any other; repeated rows and equal doc_ids stay rows of their own; a component of
-rows without any doc_id has id null; an empty table gives no rows.
+rows without any doc_id has id null; very long texts are read whole, their shingles counted in blocks; an
+empty table gives no rows.  Helper columns get free names, so other columns can't clash.
 """
 
 from __future__ import annotations

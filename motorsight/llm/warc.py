@@ -17,8 +17,9 @@ shuffle joins, whose hot digests adaptive execution splits.
 Defined results: a null html is an empty payload; payloads shorter than ``least_bytes`` are never
 revisited; null page ids come after all others, among equal page ids the least url is
 first (null last), and of rows repeated whole one is first; control characters and
-spaces in a url are percent-encoded in its header, a null url is ``urn:page:<id>``; an empty table
-gives an empty archive.
+spaces in a url are percent-encoded in its header, a null url is ``urn:page:<id>``; payloads of any length
+are stored whole; an empty table gives an empty archive.  Only the id, url and html columns are read, so other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import stage
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = b"\r\n\r\n"
+#: Records of one repeated row that are numbered in one task.
+REPEATS = 1 << 16
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -79,7 +82,11 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str
     first = narrow.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min(key).alias("first"))
     # Rows repeated whole are told apart by their number.
     each = narrow.groupBy("page_id", "url", "digest", "bytes", "sha1").agg(F.count("*").alias("n"))
-    each = each.join(first, "digest", "left").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    # A row repeated very often is numbered in runs of REPEATS, which are dealt to many tasks.
+    each = each.join(first, "digest", "left")
+    each = each.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))))
+    each = each.repartition("digest", "page_id", "url", "run")
+    each = each.withColumn("i", F.explode(F.sequence(F.col("run") * REPEATS + 1, F.least(F.col("n"), (F.col("run") + 1) * REPEATS))))
     revisit = F.coalesce(~((F.col("i") == 1) & key.eqNullSafe(F.col("first"))) & F.col("first").isNotNull(), F.lit(False))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), _line("Content-Type", "text/html; charset=utf-8"),
                     _line("Content-Length", F.col("bytes").cast("string")), F.lit("\r\n"))

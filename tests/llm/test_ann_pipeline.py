@@ -166,3 +166,14 @@ def test_stages_on_odd_rows(spark):
     empty = docs.limit(0)
     for _, function in corpus_pipeline.STAGES:
         assert function(spark, empty, SF).count() == 0
+
+
+def test_a_row_repeated_very_often_is_one_candidate(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
+    rows += [rows[7]] * 300 + [(1000 + i, rows[8][1]) for i in range(30)] + [(1000, rows[8][1])] * 50
+    df = spark.createDataFrame([(*r, "x", 3) for r in rows], "vec_id long, embedding array<double>, score string, rank int").repartition(6)
+    from pyspark.sql import functions as F
+    got = answers(ann.search(df, 5, F.col("vec_id") % 50 == 0, parts=1))
+    want = brute(list({i: (i, v) for i, v in rows}.values()), lambda i: i % 50 == 0, 5)
+    assert {q: [i for i, _ in a] for q, a in got.items()} == {q: [i for i, _ in a] for q, a in want.items()}

@@ -177,3 +177,23 @@ def test_chat_edge_rows(spark):
     assert sorted((r.conv_id or 0, r.n, r.target is not None, r.complete) for r in out) == [
         (0, 1, False, True), (0, 1, False, True), (1, 3, True, False), (1, 4, True, True), (2, 2, True, True)]
     assert chat.examples(df.limit(0)).count() == 0
+
+
+def test_mix_with_clashing_columns(spark):
+    rows = [(i, "src0" if i % 2 else "b", "some text", 7, "k", 1.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, copy int, shuffle_key string, mix_n double")
+    out = mixing.mix(df, {"src0": 3.0}, 5)
+    assert out.columns == [*df.columns, "_copy", "_shuffle_key"]
+    plain = mixing.mix(df.drop("copy", "shuffle_key", "mix_n"), {"src0": 3.0}, 5)
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in plain.collect())
+    assert all(r["copy"] == 7 and r.shuffle_key == "k" and r.mix_n == 1.5 for r in out.collect())
+
+
+def test_a_row_repeated_very_often_is_numbered_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(warc, "REPEATS", 3)
+    rows = [(1, "u", "same")] * 20 + [(2, "u", "same"), (3, "v", "other")]
+    folder = archive(spark, rows)
+    got = [parse_warc(r.record)[0] for r in warc.records(spark, folder).collect()]
+    assert len(got) == 22 and len({f["WARC-Record-ID"] for f in got}) == 22
+    assert Counter(f["WARC-Type"] for f in got) == {"response": 2, "revisit": 20}
+    assert Counter(r.page_id for r in warc.originals(spark, folder).collect()) == {1: 20, 2: 1, 3: 1}

@@ -193,3 +193,23 @@ def test_packing_edge_rows(spark, monkeypatch):
     assert sum(len(r.ids) for r in joined) == 4 * sum(r.length for r in got)
     assert all(len(r.ids) == 4 * sum(p.length for p in r.pieces) for r in joined)
     assert packing.pack(packing.token_pieces(df.limit(0), BYTE, "byte", 0, 64), 64).count() == 0
+
+
+def test_packing_of_a_large_capacity_and_taken_names(spark):
+    """Lengths beyond 13 bits find their places; a column that the result would hide is refused."""
+    rnd = random.Random(3)
+    sizes = [rnd.randint(1, 40_000) for _ in range(300)] + [20_000] * 40
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    placed = packing.pack(df, 40_000).collect()
+    ends = defaultdict(list)
+    for r in placed:
+        ends[r.sequence_id].append((r.offset, r.length))
+    for parts in ends.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 40_000
+    assert sorted(r.length for r in placed) == sorted(sizes)
+    with pytest.raises(ValueError):
+        packing.pack(df.withColumnRenamed("piece", "Offset"), 40_000)
