@@ -8,8 +8,13 @@ to tell a vector's part, with its neighbours' parts as soft targets (Dong et al.
 looks into is the least that finds ``TARGET_RECALL`` of true neighbours among sample
 vectors kept out of the training.
 
-Indexing: the network gives every vector its part.  Searching: a query goes to its most probable
-parts, and to further ones until they hold enough vectors; exact cosines rerank what is there.
+Two levels: the number of parts grows with the square root of the number of vectors.  Beyond ``MOST_PARTS``
+every part is divided by a network of its own, fitted the same way in a task on at most ``PART_SAMPLE``
+of its vectors, so no fit sees more than a bounded sample and a query's work grows with that square root.
+
+Indexing: the networks give every vector its part.  Searching: a query goes to its most probable
+parts (and within each to its most probable divisions), and to further ones until they hold enough
+vectors; exact cosines rerank what is there.
 
 Scale: parts are searched in blocks of ``BLOCK_ROWS`` vectors against blocks of
 ``BLOCK_QUERIES`` queries, one matrix product a group, so a part that grew large or
@@ -26,6 +31,7 @@ are one; an empty table gives no rows.  Only the id and vector columns are read,
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import stage
 
 SAMPLE_ROWS = 16_384
+MOST_PARTS = 256
+PART_SAMPLE = 4_096
 VALIDATION_ROWS = 1_024
 TARGET_RECALL = 0.97
 GRAPH_NEIGHBOURS = 10
@@ -172,6 +180,19 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("v") == (sizes.d if sizes else 0))
 
 
+def _divisions(placed: DataFrame, divisions: int, k: int) -> dict[int, Router]:
+    """A router for each part over ``divisions`` divisions, fitted in a task on at most PART_SAMPLE of its vectors."""
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("v"), "v"))
+    some = placed.select("part", "v").withColumn("place", place).filter(F.col("place") <= PART_SAMPLE)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        router = fit(_stack(pdf["v"]), divisions, k)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "router": [pickle.dumps(router)]})
+
+    found = some.select("part", "v").groupBy("part").applyInPandas(run, "part int, router binary")
+    return {r["part"]: pickle.loads(r["router"]) for r in found.collect()}  # at most MOST_PARTS, of a fixed size
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy())
 
@@ -189,37 +210,67 @@ def search(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_
     queries = rows.filter(is_query).distinct()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    parts = parts or min(256, max(1, 2 ** round(math.log2(max(math.sqrt(n) / 2, 1)))))
+    parts = parts or max(1, 2 ** round(math.log2(max(math.sqrt(n) / 2, 1))))
+    first = min(parts, MOST_PARTS)
     sample = distinct.orderBy(F.xxhash64("v"), "v").limit(SAMPLE_ROWS).select("v").toArrow()
     sample = np.asarray(sample.column("v").combine_chunks().flatten()).reshape(sample.num_rows, -1)
-    shared = spark.sparkContext.broadcast(fit(sample, parts, k))
+    shared = spark.sparkContext.broadcast(fit(sample, first, k))
 
     @F.pandas_udf("int")
     def part_of(v: pd.Series) -> pd.Series:
         return pd.Series(shared.value.logits(unit(_stack(v))).argmax(axis=1).astype(np.int32))
 
-    indexed = stage(distinct.withColumn("part", part_of("v")), "index")
-    size = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}  # a row per part
-    held = np.array([size.get(p, 0) for p in range(shared.value.parts)])
+    placed = distinct.withColumn("part", part_of("v"))
+    if parts > first:
+        placed = stage(placed, "placed")
+        inner = spark.sparkContext.broadcast(_divisions(placed, min(parts // first, MOST_PARTS), k))
+    else:
+        inner = spark.sparkContext.broadcast({})
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("int")
+    def division_of(v: pd.Series, part: pd.Series) -> pd.Series:
+        out = np.zeros(len(v), np.int32)
+        for p, at in part.groupby(part).indices.items():
+            if p in inner.value:
+                out[at] = inner.value[p].logits(unit(_stack(v.iloc[at]))).argmax(axis=1)
+        return pd.Series(out)
+
+    division = division_of("v", "part") if parts > first else F.lit(0)
+    indexed = stage(placed.withColumn("division", division), "index")
+    sizes = stage(indexed.groupBy("part", "division").agg(F.count("*").alias("held")), "sizes")  # a row per part and division
+    found = {(r["part"], r["division"]): r["held"] for r in sizes.collect()}
+    held = np.array([sum(found.get((p, d), 0) for d in range(MOST_PARTS if inner.value else 1)) for p in range(shared.value.parts)])
+
+    @F.pandas_udf("array<struct<part:int,division:int>>")
     def parts_of(v: pd.Series) -> pd.Series:
-        r = shared.value
-        order = np.argsort(-r.logits(unit(_stack(v))), axis=1, kind="stable")
+        x, r = unit(_stack(v)), shared.value
+        order = np.argsort(-r.logits(x), axis=1, kind="stable")
         enough = np.cumsum(held[order], axis=1) >= k + 1  # one of them is the query itself
         last = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, r.parts)
-        return pd.Series([list(o[: max(r.probes, m)].astype(np.int32)) for o, m in zip(order, last, strict=True)])
-
-    routed = stage(queries.select("vec_id", "v", F.explode(parts_of("v")).alias("part")).filter(
-        F.col("part").isin([int(p) for p in np.flatnonzero(held)])), "routed")
-    asked = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
-    blocks = F.create_map(*[F.lit(x) for p in size for x in (p, -(-size[p] // BLOCK_ROWS))])
-    turns = F.create_map(*[F.lit(x) for p in size for x in (p, max(1, -(-asked.get(p, 0) // BLOCK_QUERIES)))])
+        wanted = [o[: max(r.probes, m)].tolist() for o, m in zip(order, last, strict=True)]
+        out = [[] for _ in wanted]
+        for p in sorted({p for ps in wanted for p in ps}):
+            at = [i for i, ps in enumerate(wanted) if p in ps]
+            own = inner.value.get(p)
+            near = np.argsort(-own.logits(x[at]), axis=1, kind="stable") if own else np.zeros((len(at), 1), np.int64)
+            inside = np.cumsum(np.array([found.get((p, d), 0) for d in range(own.parts if own else 1)])[near], axis=1)
+            for i, ds, have in zip(at, near, inside, strict=True):
+                full = int(np.searchsorted(have, min(k + 1, have[-1]))) + 1
+                out[i] += [{"part": p, "division": int(d)} for d in ds[: max(own.probes if own else 1, full)]]
+        return pd.Series(out)
+
+    routed = queries.select("vec_id", "v", F.explode(parts_of("v")).alias("at")).select("vec_id", "v", "at.part", "at.division")
+    routed = stage(routed, "routed")
+    asked = routed.groupBy("part", "division").agg(F.count("*").alias("asked"))
+    groups = sizes.join(asked, ["part", "division"]).select(
+        "part", "division", F.ceil(F.col("held") / BLOCK_ROWS).cast("int").alias("blocks"),
+        F.ceil(F.col("asked") / BLOCK_QUERIES).cast("int").alias("turns"))
+    groups = stage(groups, "groups")
     least = F.element_at("ids", 1)
-    left = indexed.withColumn("block", F.pmod(F.xxhash64(least), blocks[F.col("part")]).cast("int")).withColumn(
-        "turn", F.explode(F.sequence(F.lit(0), turns[F.col("part")] - 1)))
-    right = routed.withColumn("turn", F.pmod(F.xxhash64("vec_id", "v"), turns[F.col("part")]).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)))
+    left = indexed.join(groups, ["part", "division"]).withColumn("block", F.pmod(F.xxhash64(least), F.col("blocks")).cast("int")).withColumn(
+        "turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    right = routed.join(groups, ["part", "division"]).withColumn("turn", F.pmod(F.xxhash64("vec_id", "v"), F.col("turns")).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def rerank(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
@@ -239,7 +290,7 @@ def search(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_
                     found += [(qids[i], int(y), score[j]) for j in order for y in ids[c[j]] if y != qids[i]]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    group = ["part", "block", "turn"]
+    group = ["part", "division", "block", "turn"]
     pairs = left.select(*group, "v", "ids").groupBy(*group).cogroup(right.select(*group, "v", "vec_id").groupBy(*group)).applyInPandas(
         rerank, "query_id long, vec_id long, score double")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

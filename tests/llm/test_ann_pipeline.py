@@ -177,3 +177,20 @@ def test_a_row_repeated_very_often_is_one_candidate(spark):
     got = answers(ann.search(df, 5, F.col("vec_id") % 50 == 0, parts=1))
     want = brute(list({i: (i, v) for i, v in rows}.values()), lambda i: i % 50 == 0, 5)
     assert {q: [i for i, _ in a] for q, a in got.items()} == {q: [i for i, _ in a] for q, a in want.items()}
+
+
+def test_two_levels_keep_the_recall(spark, monkeypatch):
+    """Parts divided again by networks of their own, as beyond MOST_PARTS: recall and work a query."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(ann, "MOST_PARTS", 4)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = answers(ann.search(df, 5, F.col("vec_id") % 50 == 0, parts=16))
+    want = brute([(i, v) for i, v in enumerate(x)], lambda i: i % 50 == 0, 5)
+    assert set(got) == set(want) and all(len(a) == 5 for a in got.values())
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hit >= 0.9 * 5 * len(want)
+    exact = {i: dict(a) for i, a in want.items()}
+    assert all(abs(s - exact[q][i]) < 1e-12 for q, a in got.items() for i, s in a if i in exact[q])
