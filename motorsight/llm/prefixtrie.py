@@ -18,10 +18,11 @@ All other nodes are complete in their block.  Sums over subtrees are sums over m
 node counts at its first row, so pieces add up too.
 
 Defined results: null roles and texts are empty; turns of one number are ordered by role, then by the
-first ``HEAD`` characters of the text, then by digest; rows without conv_id take no part; repeated rows are turns of their own; a conversation
-may be empty and is then a member of the root alone; an empty table gives no rows.  Texts are
-digested whole, whatever their length; a conversation's digests (16 bytes and a length a turn) must fit in
-a row.  Other columns are not read, so their names can't clash.
+first ``HEAD`` characters of the text, then by digest; rows without conv_id take no part; repeated
+rows are turns of their own; a conversation may be empty and is then a member of the root alone; an
+empty table gives no rows.  Texts are digested whole, whatever their length; a conversation's
+digests (16 bytes and a length a turn) must fit in a row.  Other columns are not read, so their
+names can't clash.
 """
 
 from __future__ import annotations
