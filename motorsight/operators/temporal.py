@@ -292,9 +292,10 @@ def ordered_features(df: DataFrame, key: str, order: list[str], columns: list[st
             out[f"{c}_cumulative_deviation"] = F.when(
                 here.isNotNull() | before.isNotNull(), F.coalesce(here, F.lit(0.0)) + F.coalesce(before, F.lit(0.0)))
         if "ema" in groups:
-            y = F.coalesce(F.col(f"_y_{c}"), F.col(f"_c_{c}_ema").cast("array<double>"))
+            # Without split keys nothing is carried, so that the plan needs no choice for every value.
+            y = F.coalesce(F.col(f"_y_{c}"), F.col(f"_c_{c}_ema").cast("array<double>")) if o.split else F.col(f"_y_{c}")
             for i, n in enumerate(windows):
-                out[f"{c}_ema_{n}"] = y[i]
+                out[f"{c}_ema_{n}"] = F.get(y, F.lit(i))
     for c in fill_columns:
         out[f"{c}_filled"] = F.coalesce(F.col(c), F.col(f"_{c}_ffill"), F.col(f"_c_{c}__last"),
                                         F.col(f"_{c}_bfill"), F.col(f"_c_{c}__first"))
