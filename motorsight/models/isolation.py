@@ -1,5 +1,5 @@
 """Isolation forest (M5): trees grown per group with ``applyInPandas``, rows
-scored with ``mapInPandas`` against the broadcast forest.
+scored by a pandas function against the broadcast forest.
 
 Sub-sampling: every row is dealt to ``k = ceil(psi * trees / n)`` trees by a
 keyed hash, and each tree keeps at most ``psi`` (256) of its rows in md5 order,
@@ -25,6 +25,9 @@ from ..operators.quantiles import profile
 from ..operators.sampling import key_string
 from ..session import scratch_path
 
+#: Rows that are led through all trees together.
+BLOCK_ROWS = 4096
+
 NODE_SCHEMA = StructType([
     StructField("tree", IntegerType()), StructField("feature", ArrayType(IntegerType())),
     StructField("threshold", ArrayType(DoubleType())), StructField("left", ArrayType(IntegerType())),
@@ -95,21 +98,43 @@ def fit(df: DataFrame, features: list[str], keys: list[str], trees: int = 200, p
     return sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
-def _path_lengths(x: np.ndarray, forest: list) -> np.ndarray:
-    total = np.zeros(len(x))
+def _heaps(forest: list) -> list:
+    """Every tree as a full binary tree in heap order: (feature, threshold) of the inner nodes, path length of the last
+    level.  A leaf above that level passes rows on to its right, and all below it has its path length."""
+    out = []
     for f, th, lf, rt, sz in forest:
-        f, th, lf, rt, sz = (np.asarray(a) for a in (f, th, lf, rt, sz))
-        node = np.zeros(len(x), dtype=np.int64)
-        depth = np.zeros(len(x))
-        active = f[node] >= 0
-        while active.any():
-            go_left = x[np.arange(len(x)), np.maximum(f[node], 0)] < th[node]
-            nxt = np.where(go_left, lf[node], rt[node])
-            node = np.where(active, nxt, node)
-            depth = depth + active
-            active = f[node] >= 0
-        total += depth + np.array([c_factor(s) for s in sz[node]])
-    return total / len(forest)
+        at, leaves = [(0, 0, 0)], []  # (node, depth, place in its level)
+        for node, depth, place in at:
+            if f[node] < 0:
+                leaves.append((depth, place, depth + c_factor(sz[node])))
+            else:
+                at += [(lf[node], depth + 1, 2 * place), (rt[node], depth + 1, 2 * place + 1)]
+        levels = at[-1][1]
+        feature, threshold, length = np.zeros((1 << levels) - 1, np.int64), np.full((1 << levels) - 1, -np.inf), np.zeros(1 << levels)
+        for node, depth, place in at:
+            if f[node] >= 0:
+                feature[(1 << depth) - 1 + place], threshold[(1 << depth) - 1 + place] = f[node], th[node]
+        for depth, place, h in leaves:
+            below = levels - depth
+            length[place << below:(place + 1) << below] = h
+        out.append((levels, feature, threshold, length))
+    return out
+
+
+def _path_lengths(x: np.ndarray, heaps: list) -> np.ndarray:
+    """Mean path length of every row, in blocks of rows that stay in a core's cache."""
+    total = np.zeros(len(x))
+    for a in range(0, len(x), BLOCK_ROWS):
+        block = x[a:a + BLOCK_ROWS]
+        n, sums = len(block), total[a:a + BLOCK_ROWS]
+        flat, row = np.ascontiguousarray(block.T).ravel(), np.arange(n)
+        for levels, feature, threshold, length in heaps:
+            start, node = feature * n, np.zeros(n, np.int64)
+            for _ in range(levels):
+                left = flat.take(start.take(node) + row) < threshold.take(node)
+                node = 2 * node + 2 - left
+            sums += length.take(node - (len(length) - 1))
+    return total / len(heaps)
 
 
 def score(df: DataFrame, forest_df: DataFrame, features: list[str], psi: int = 256) -> DataFrame:
@@ -117,18 +142,14 @@ def score(df: DataFrame, forest_df: DataFrame, features: list[str], psi: int = 2
     forest = [(r["feature"], r["threshold"], r["left"], r["right"], r["size"]) for r in forest_df.collect()]
     n_sub = max(min(psi, max(s[0] for *_, s in forest)), 2)
     cn = c_factor(n_sub)
-    bc = df.sparkSession.sparkContext.broadcast(forest)
-    out_schema = StructType(df.schema.fields + [StructField("anomaly_raw", DoubleType())])
+    bc = df.sparkSession.sparkContext.broadcast(_heaps(forest))
 
-    def run(batches):
-        fr = bc.value
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype="float64")
-            h = _path_lengths(x, fr)
-            pdf["anomaly_raw"] = -np.power(2.0, -h / cn)
-            yield pdf
+    @F.pandas_udf("double")
+    def raw(*cols: pd.Series) -> pd.Series:  # only the features go to Python
+        h = _path_lengths(np.stack([c.to_numpy("float64") for c in cols], axis=1), bc.value)
+        return pd.Series(-np.power(2.0, -h / cn))
 
-    return df.mapInPandas(run, out_schema)
+    return df.withColumn("anomaly_raw", raw(*features))
 
 
 def decision(scored: DataFrame, contamination: float = 0.05, offset: float | None = None) -> tuple[DataFrame, float]:
@@ -154,9 +175,9 @@ def anomaly_guard(train: DataFrame, rows: DataFrame, features: list[str], keys:
     names = [f"_z{i}" for i in range(len(features))]
     z = scaled(train)
     forest = fit(z, names, keys, trees=trees)
-    _, offset = decision(score(z.select(*names), forest, names), contamination)
-    out, _ = decision(score(scaled(rows), forest, names), offset=offset)
-    return out.drop(*names), offset
+    _, offset = decision(score(z, forest, names).select("anomaly_raw"), contamination)
+    out, _ = decision(score(scaled(rows), forest, names).drop(*names), offset=offset)
+    return out, offset
 
 
 def outlier_filter(df: DataFrame, features: list[str], keys: list[str], contamination: float = 0.1,
