@@ -151,6 +151,31 @@ def test_isolation_forest_share(spark):
     assert 0.02 < share < 0.08
 
 
+def test_path_lengths_equal_a_plain_walk():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)).round(1)
+    x[7, 2] = np.nan
+    grown = np.nan_to_num(x)
+    forest = [ISO._grow(grown[rng.choice(300, 64, replace=False)], rng, 6) for _ in range(9)] + [ISO._grow(grown[:1], rng, 6)]
+
+    def walk(row, tree):
+        f, th, lf, rt, sz = tree
+        node = depth = 0
+        while f[node] >= 0:
+            node, depth = (lf if row[f[node]] < th[node] else rt)[node], depth + 1
+        return depth + ISO.c_factor(sz[node])
+
+    want = [sum(walk(r, t) for t in forest) / len(forest) for r in x]
+    assert np.allclose(ISO._path_lengths(x, ISO._heaps(forest)), want, rtol=1e-12, atol=0)
+
+
+def test_training_table_is_dealt_over_all_cores(spark):
+    df, _ = training_frame(spark, SF_SMALL)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert df.count() == Tables(spark, SF_SMALL).lineitem.count()
+
+
 def _brute(pts, k=5):
     import numpy as np
     d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
