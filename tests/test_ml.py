@@ -128,6 +128,16 @@ def test_cross_validation_folds_beside_each_other(spark):
     assert len(TR.grid_maps(TR.logistic_grid(1000))) == 12 and len(TR.grid_maps(TR.FOREST_GRID)) == 27
 
 
+def test_large_fits_run_alone_and_folds_are_not_cached(spark, monkeypatch):
+    assert TR.side_by_side(1000, 36) == TR.PARALLEL_FITS and TR.side_by_side(36_000_000, 36) == 1
+    assert 1 < TR.side_by_side(3_600_000, 36) <= TR.PARALLEL_FITS
+    df, feats = training_frame(spark, SF_SMALL)
+    cached = []
+    monkeypatch.setattr(type(df), "cache", lambda self: cached.append(self) or self)
+    got = TR.cross_validate(df, feats[:3], "logistic", [{"maxIter": 3}, {"maxIter": 6}], k=2, keys=SPLIT_KEYS)
+    assert [r["params"]["maxIter"] for r in got] == [3, 6] and not cached
+
+
 def test_anomaly_guard_is_fitted_on_the_train_split_alone(spark):
     df, feats = training_frame(spark, SF_SMALL)
     tr = df.filter(F.col("split") == "train")
