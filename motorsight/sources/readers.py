@@ -8,6 +8,11 @@ partition pruning applies on read.
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,6 +20,9 @@ from pyspark.sql.types import StructType
 from .. import fixed_values as fv
 from .. import schemas
 
+#: Tasks for each core that write report files.
+FILE_TASKS = 4
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv",
                header: bool = True, sep: str = ",") -> DataFrame:
@@ -135,8 +143,40 @@ def write_text_reports(lines: DataFrame, path: str, key: str = "machine_id") ->
 
 
 def write_report_files(reports: DataFrame, path: str, keys: list[str], text: str = "report") -> None:
-    """One text file for each combination of ``keys``, which is a row of ``reports``, under a folder for each key."""
-    reports.select(*keys, text).repartition(*keys).write.mode("overwrite").partitionBy(*keys).text(path)
+    """One text file for each combination of ``keys``, which is a row of ``reports``, under a folder for each key.
+
+    On a mounted folder the tasks create the files: Hadoop's local file system starts a ``chmod`` process for every
+    file and every checksum, one after the other in each JVM, which takes far longer than the file.  A retried task
+    writes the same files again, each put in place whole.  Other stores take Spark's own writer; the folders are
+    the same."""
+    spark = reports.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    dealt = reports.select(*keys, text).repartition(FILE_TASKS * spark.sparkContext.defaultParallelism, *keys)
+    if fs.getUri().getScheme() != "file":
+        dealt.write.mode("overwrite").partitionBy(*keys).text(path)
+        return
+    fs.delete(folder, True)
+    root = folder.toUri().getPath()
+
+    def folder_name(key: str, value: str | None) -> str:
+        """As Spark names the folder of a partition."""
+        escaped = re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value or "")
+        return f"{key}={escaped or '__HIVE_DEFAULT_PARTITION__'}"
+
+    def put(batches):
+        for batch in batches:
+            for *values, report in zip(*(c.to_pylist() for c in batch.columns)):
+                here = os.path.join(root, *map(folder_name, keys, values))
+                os.makedirs(here, exist_ok=True)
+                part = os.path.join(here, f"_{uuid.uuid4().hex}")
+                with open(part, "w", encoding="utf-8", newline="") as f:
+                    f.write((report or "") + "\n")
+                os.replace(part, os.path.join(here, "report.txt"))
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    os.makedirs(root, exist_ok=True)
+    dealt.select(*[F.col(k).cast("string") for k in keys], text).mapInArrow(put, "files long").agg(F.sum("files")).collect()  # one row
 
 
 def read_report_files(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:

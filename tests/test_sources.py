@@ -38,6 +38,16 @@ def test_alarm_log_either_separator(spark, tmp_path, sep):
     assert labels[1].DateTime is None and all(r.Failure_Label == 1 for r in labels)
 
 
+def test_report_files_without_a_process_a_file(spark, tmp_path):
+    rows = [(m, day, f"début {m}\nfin {day}") for m in ("M 1/a", "é=2%", None) for day in ("2024-01-01", "2024-01-02")]
+    RD.write_report_files(spark.createDataFrame(rows, "machine_id string, day string, report string"), str(tmp_path / "r"), ["machine_id", "day"])
+    files = [p for p in (tmp_path / "r").rglob("*") if p.is_file()]
+    assert len(files) == len(rows)  # no checksum files, each of which costs a process on a local disk
+    assert {p.parent.parent.name for p in files} == {"machine_id=M 1%2Fa", "machine_id=é%3D2%25", "machine_id=__HIVE_DEFAULT_PARTITION__"}
+    back = RD.read_report_files(spark, str(tmp_path / "r"), {"machine_id": "string", "day": "string"})
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_alarm_log_missing_columns(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("DateTime;Instance\n2024-01-01 10:00:00;M1\n")
     with pytest.raises(RD.MissingColumns):
