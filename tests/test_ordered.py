@@ -166,3 +166,14 @@ def test_one_timestamp_for_all_rows_of_a_hot_key(spark):
     split = T.ordered_features(df, "m", ["t", "id"], ["x"], chunk_rows=300, **kw)
     feats = [c for c in plain.columns if c not in df.columns]
     assert rounded(plain, feats, "m", "id") == rounded(split, feats, "m", "id")
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Many small machines go to as many tasks as the rows need, whatever the shuffle setting; plain and split."""
+    monkeypatch.setattr(S, "TASK_ROWS", 100)
+    df = spark.range(5000).selectExpr("if(id < 600, 1000, id div 10) as m", "id as t", "cast(id % 7 as double) as x")
+    for chunk in (10**6, 200):
+        o = S.ordered(df, "m", ["t"], 5, chunk)
+        assert o.df.rdd.getNumPartitions() == 50
+        sizes = [r["count"] for r in o.df.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < (900 if chunk > 200 else 500)
