@@ -288,3 +288,23 @@ def test_outlier_filter_and_grid(spark):
     df, feats = training_frame(spark, SF_SMALL)
     res = TR.grid_search(df, feats[:5], "logistic", {"regParam": [0.0, 0.5], "maxIter": [10]}, k=2, keys=SPLIT_KEYS)
     assert len(res) == 2 and res[0]["f1_mean"] >= res[1]["f1_mean"] and {r["params"]["regParam"] for r in res} == {0.0, 0.5}
+
+
+def test_smote_groups_searched_together(spark):
+    """Groups of many sizes in one call give what a call for each gives, and a round takes few calls."""
+    import numpy as np
+    import pandas as pd
+
+    from motorsight.models import smote as SM
+
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 3, 40, 7, 300, 1, 21, 22, 64]
+    starts = np.r_[0, np.cumsum(sizes)]
+    v = rng.integers(0, 9, (starts[-1], 4)) + np.array([0.0, 1e5, 0, 0])
+    pid = rng.permutation(starts[-1])
+    bound = np.where(rng.random(starts[-1]) < 0.5, np.inf, rng.uniform(0, 6, starts[-1]))
+    want = pd.concat([SM.nearest_in(v[a:b], pid[a:b], 5, bound[a:b]) for a, b in zip(starts, starts[1:])])
+    got = SM.nearest_in_groups(v, pid, starts, 5, bound)
+    by = ["pid", "dist", "nid"]
+    assert len(want) > 1000
+    pd.testing.assert_frame_equal(got.sort_values(by, ignore_index=True), want.sort_values(by, ignore_index=True), check_dtype=False)
