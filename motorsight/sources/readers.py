@@ -146,7 +146,7 @@ def write_report_files(reports: DataFrame, path: str, keys: list[str], text: str
     """One text file for each combination of ``keys``, which is a row of ``reports``, under a folder for each key.
 
     On a mounted folder the tasks create the files: Hadoop's local file system starts a ``chmod`` process for every
-    file and every checksum, one after the other in each JVM, which takes far longer than the file.  A retried task
+    file and every checksum, which takes far longer than the file itself.  A retried task
     writes the same files again, each put in place whole.  Other stores take Spark's own writer; the folders are
     the same."""
     spark = reports.sparkSession
