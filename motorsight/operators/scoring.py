@@ -34,19 +34,21 @@ def prediction_records(df: DataFrame, p: Column, *, machine="machine_id", stamp=
     """Readings with canonical sensors (air_k, proc_k, rpm, torque, wear) ->
     prediction records.  Invalid readings (P6) get status INPUT_VALIDATION_ERROR
     and no probability; an anomaly score below -0.3 gives SENSOR_ANOMALY."""
-    warn = R.validation_warnings()
+    # Probability, warnings and modes are columns first: as expressions they would be worked out again for every field.
+    df = df.withColumns({"_p": p, "_warn": R.validation_warnings(), "_modes": R.likely_failure_modes(empty_marker=False)})
+    p, warn, modes = F.col("_p"), F.col("_warn"), F.col("_modes")
     power = R.power_w("torque", "rpm")
     status = F.when(F.size(warn) > 0, F.lit("INPUT_VALIDATION_ERROR"))
     if anomaly_score is not None:
         status = status.when(anomaly_score < fv.ANOMALY_SCORE_LIMIT, F.lit("SENSOR_ANOMALY"))
     status = status.otherwise(F.lit("OK"))
-    ok = status == "OK"
+    df = df.withColumns({"_status": status, "_level": R.risk_level_fr(p)})
+    status, level, ok = F.col("_status"), F.col("_level"), F.col("_status") == "OK"
     snapshot = F.struct(
         _round(F.col("air_k"), 1).alias("air_temp_K"), _round(F.col("proc_k"), 1).alias("motor_temp_K"),
         _round(F.col("proc_k") - F.col("air_k"), 2).alias("temp_diff_K"), _round(F.col("rpm"), 1).alias("rpm"),
         _round(F.col("torque"), 1).alias("torque_Nm"), _round(F.col("wear"), 1).alias("wear_min"),
         _round(power, 1).alias("power_W"))
-    level = R.risk_level_fr(p)
     return df.select(
         *keep,
         F.col(machine).alias("machine_id"),
@@ -62,7 +64,7 @@ def prediction_records(df: DataFrame, p: Column, *, machine="machine_id", stamp=
         F.when(ok, R.risk_icon_fr(p)).alias("risk_icon"),
         F.when(ok, R.risk_action_fr(p)).otherwise(F.lit("Vérifier les capteurs — valeurs hors limites physiques."))
         .alias("action"),
-        F.when(ok, R.likely_failure_modes()).alias("likely_failure_modes"),
+        F.when(ok, F.when(F.size(modes) == 0, F.array(F.lit(fv.NO_MODE))).otherwise(modes)).alias("likely_failure_modes"),
         F.when(ok, _round(R.confidence(p), 4)).alias("confidence"),
         F.lit(float(threshold)).alias("threshold_used"),
         F.when(ok, R.ttf_text_fr(level)).alias("time_to_failure_estimate"),
