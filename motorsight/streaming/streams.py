@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,8 +155,8 @@ def fault_sessions(scored: DataFrame, gap: str = "6 hours", delay: str = "1 hour
 class EventTimeEma(StatefulProcessor):
     """EMA of one machine's readings in (ts, event_id) order, whichever micro-batches they come in.
 
-    Readings wait in list state until the watermark has passed them; then no earlier one can come, and they
-    are taken in order.  Value state holds the last value, its weight and its time.  A missing reading
+    Readings wait in list state, one entry for the rows of a call, until the watermark has passed them; then no
+    earlier one can come, and they are taken in order.  Value state holds the last value, its weight and its time.  A missing reading
     repeats the last value and lets its weight decay, as pandas ``ewm(adjust=False)`` does.  After a gap of more
     than ``idle_ms`` between readings a machine starts anew, so its state can go when the watermark has passed that."""
 
@@ -164,61 +165,69 @@ class EventTimeEma(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long, x double")
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.last = handle.getValueState("last", "y double, weight double, at long")
 
-    def _ready(self, key, waiting: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
-        """Take the rows that the watermark has passed, and put the others back."""
-        ms = waiting["ts"].astype("datetime64[us]").astype("int64") // 1000
-        done = waiting[ms < watermark].sort_values(["ts", "event_id"], kind="stable")
-        rest = waiting[ms >= watermark]
+    @staticmethod
+    def _rows(pdf: pd.DataFrame) -> np.ndarray:
+        """The readings as an array of records; a missing reading is NaN, a missing id is marked."""
+        ids, out = pdf["event_id"], np.empty(len(pdf), "i8,i8,f8,?")
+        missing = ids.isna().to_numpy()
+        out["f0"] = pdf["ts"].to_numpy().astype("datetime64[us]").astype("i8")
+        out["f1"] = (ids.astype("Int64").fillna(0) if missing.any() else ids).to_numpy("i8")
+        out["f2"], out["f3"] = pdf["x"].to_numpy("f8"), missing
+        return out
+
+    def _ready(self, key, waiting: np.ndarray, watermark: int, last: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        """Take the rows that the watermark has passed, and put the others back.  Returns the former and the new value state."""
+        passed = waiting["f0"] // 1000 < watermark
+        done, rest = waiting[passed], waiting[~passed]
+        done = done[np.lexsort((done["f1"], done["f3"], done["f0"]))]
         if len(done):
             if len(rest):
-                self.waiting.put([*rest[["ts", "event_id", "x"]].itertuples(index=False, name=None)])
+                self.waiting.put([(rest.tobytes(),)])
             else:
                 self.waiting.clear()
-            y, weight, at = self.last.get() if self.last.exists() else (None, None, None)
-            out = []
-            for x, now in zip(done["x"].tolist(), ms.loc[done.index].tolist(), strict=True):
-                if y is not None and now - at > self.idle_ms:
-                    y = None
-                elif y is not None:
-                    weight *= 1.0 - self.alpha
-                at = now
-                if x is not None and x == x:
-                    y = x if y is None else (weight * y + self.alpha * x) / (weight + self.alpha)
-                    weight = 1.0
-                out.append(y)
-            if y is not None:
-                self.last.update((float(y), float(weight), at))
-                self.handle.registerTimer(at + self.idle_ms)
-            yield pd.DataFrame({"machine_id": pd.Series([key[0]] * len(done), dtype="Int64"),
-                                "event_id": pd.Series(done["event_id"].tolist(), dtype="Int64"),
-                                "ts": done["ts"].to_numpy(), "ema": pd.Series(out, dtype="float64")})
-
-    def _held(self) -> pd.DataFrame:
-        rows = [*self.waiting.get()] if self.waiting.exists() else []
-        frame = pd.DataFrame(rows, columns=["ts", "event_id", "x"])
-        return frame.astype({"ts": "datetime64[us]", "event_id": "Int64", "x": "float64"})
+        y, weight, at = last or (None, None, None)
+        out, keep, alpha = [], 1.0 - self.alpha, self.alpha
+        for x, now in zip(done["f2"].tolist(), (done["f0"] // 1000).tolist(), strict=True):
+            if y is not None and now - at > self.idle_ms:
+                y = None
+            elif y is not None:
+                weight *= keep
+            at = now
+            if x == x:
+                y = x if y is None else (weight * y + alpha * x) / (weight + alpha)
+                weight = 1.0
+            out.append(y)
+        if len(done) and y is not None:
+            last = (float(y), float(weight), at)
+            self.last.update(last)
+            self.handle.registerTimer(at + self.idle_ms)
+        ids = pd.arrays.IntegerArray(done["f1"].copy(), done["f3"].copy())
+        machine = pd.array([key[0]], dtype="Int64").repeat(len(done))
+        return pd.DataFrame({"machine_id": machine, "event_id": ids, "ts": done["f0"].astype("datetime64[us]"),
+                             "ema": np.array(out, "f8")}), last
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         for pdf in rows:
-            new = pdf[["ts", "event_id", "x"]].astype({"ts": "datetime64[us]", "event_id": "Int64", "x": "float64"})
-            ms = new["ts"].astype("int64") // 1000
-            new, ms = new[ms >= watermark], ms[ms >= watermark]  # later rows than the watermark allows are dropped
+            new = self._rows(pdf)
+            new = new[new["f0"] // 1000 >= watermark]  # later rows than the watermark allows are dropped
             if len(new):
-                self.waiting.appendList([(t.to_pydatetime(), None if i is pd.NA else int(i), None if x != x else x)
-                                         for t, i, x in new.itertuples(index=False, name=None)])
-                self.handle.registerTimer(int(ms.max()) + 1)
+                self.waiting.appendValue((new.tobytes(),))
+                self.handle.registerTimer(int(new["f0"].max()) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = self._held()
-        if len(held):
-            yield from self._ready(key, held, watermark)
-        if self.last.exists() and self.last.get()[2] + self.idle_ms < watermark:
+        held = [np.frombuffer(r[0], "i8,i8,f8,?") for r in self.waiting.get()]
+        last = self.last.get()
+        if held:
+            out, last = self._ready(key, np.concatenate(held), watermark, last)
+            if len(out):
+                yield out
+        if last is not None and last[2] + self.idle_ms < watermark:
             self.last.clear()  # whatever comes now comes after the gap
 
     def close(self) -> None:
