@@ -177,3 +177,50 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
         assert o.df.rdd.getNumPartitions() == 50
         sizes = [r["count"] for r in o.df.groupBy(F.spark_partition_id()).count().collect()]
         assert max(sizes) < (900 if chunk > 200 else 500)
+
+
+def test_steps_copy_short_rows(spark):
+    """A row is copied field by field at each window step: few steps, and arrays instead of hundreds of fields."""
+    from motorsight.plans.ordered import PIPE_COLS
+
+    s = Tables(spark, SF_SMALL).sensor.select("machine_id", *SENSOR_ORDER, *PIPE_COLS)
+    todo, widths = [T.ordered_features(s, "machine_id", SENSOR_ORDER, PIPE_COLS)._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Window":
+            widths.append(node.output().size())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(widths) <= 14 and max(widths) <= 100, widths
+
+
+def test_features_of_gappy_columns_over_many_blocks(spark):
+    """Several columns with gaps, longer than several EMA blocks, plain and split, equal pandas and least squares."""
+    import numpy as np
+    import pandas as pd
+
+    n = 4 * T.ema_block([3])
+    cols = {"x": [1e6 + math.sin(i) if i % 5 not in (1, 2) else None for i in range(n)],
+            "z": [7.1 if i % 3 else None for i in range(n)],
+            "q": [None] * 40 + [float(i * i % 17) for i in range(n - 40)]}
+    df = spark.createDataFrame([(1, i, *(cols[c][i] for c in cols)) for i in range(n)], "m long, t long, x double, z double, q double")
+    for chunk in (10**6, 500):
+        got = T.ordered_features(df, "m", ["t"], list(cols), chunk_rows=chunk).orderBy("t").toPandas()
+        for c, v in cols.items():
+            s = pd.Series(v, dtype=float)
+            for k in (3, 7, 14, 30):
+                roll = s.rolling(k, min_periods=1)
+                for name, want, tol in (("ema", s.ewm(span=k, adjust=False).mean(), 1e-8), ("rolling_mean", roll.mean(), 1e-8),
+                                        ("rolling_min", roll.min(), 0), ("rolling_max", roll.max(), 0)):
+                    have = got[f"{c}_{name}_{k}"]
+                    assert (have.isna() == want.isna()).all() and ((have - want).abs().fillna(0) <= tol).all(), (chunk, c, name, k)
+                for i in (*range(60), *range(60, n, 97)):
+                    w = [a for a in v[max(0, i - k + 1):i + 1] if a is not None]
+                    have = got[f"{c}_rolling_std_{k}"][i]
+                    assert math.isnan(have) if len(w) < 2 else abs(have - np.std(w, ddof=1)) < 1e-8, (chunk, c, k, i)
+            for i in (*range(60), *range(60, n, 97)):
+                w = [(j, v[j]) for j in range(max(0, i - 6), i + 1) if v[j] is not None]
+                want = 0.0
+                if len(w) > 1:
+                    t, y = (np.array(a) - np.mean(a) for a in zip(*w))
+                    want = (t * y).sum() / (t * t).sum()
+                assert abs(got[f"{c}_trend_7"][i] - want) < 1e-8, (chunk, c, i)
