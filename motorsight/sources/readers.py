@@ -8,9 +8,11 @@ partition pruning applies on read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,8 @@ from pyspark.sql.types import StructType
 from .. import fixed_values as fv
 from .. import schemas
 
-#: Tasks for each core that write report files.
-FILE_TASKS = 4
+#: Tasks for each core that write or read report files, and files that are handed on at once.
+FILE_TASKS, READ_FILES = 4, 256
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv",
@@ -180,10 +182,38 @@ def write_report_files(reports: DataFrame, path: str, keys: list[str], text: str
 
 
 def read_report_files(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
-    """Rows (keys..., report) of :func:`write_report_files`, each file whole; ``keys`` names the types."""
-    schema = ", ".join(["value string", *(f"{k} {kind}" for k, kind in keys.items())])
-    back = spark.read.schema(schema).text(path, wholetext=True)
-    return back.select(*keys, F.rtrim("value", F.lit("\n")).alias("report"))
+    """Rows (keys..., report) of :func:`write_report_files`, each file whole; ``keys`` names the types.
+
+    On a mounted folder the tasks list the files, each those under its share of the first key's folders: Spark's reader
+    keeps an entry for every file and folder on the driver, and a report is a file.  Other stores take Spark's reader."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        schema = ", ".join(["value string", *(f"{k} {kind}" for k, kind in keys.items())])
+        back = spark.read.schema(schema).text(path, wholetext=True)
+        return back.select(*keys, F.rtrim("value", F.lit("\n")).alias("report"))
+    root, tasks = folder.toUri().getPath(), FILE_TASKS * spark.sparkContext.defaultParallelism
+
+    def value(name: str) -> str | None:
+        text = name.partition("=")[2]
+        return None if text == "__HIVE_DEFAULT_PARTITION__" else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), text)
+
+    def files(here: str, depth: int, values: tuple):
+        for e in os.scandir(here):
+            if depth and e.is_dir():
+                yield from files(e.path, depth - 1, (*values, value(e.name)))
+            elif not depth and not e.name.startswith(("_", ".")):
+                with open(e.path, encoding="utf-8", newline="") as f:
+                    yield *values, f.read()
+
+    def read(batches):
+        mine = {i for b in batches for i in b.column(0).to_pylist()}
+        own = [e for e in os.scandir(root) if e.is_dir() and zlib.crc32(os.fsencode(e.name)) % tasks in mine]
+        rows = (row for e in own for row in files(e.path, len(keys) - 1, (value(e.name),)))
+        while some := list(itertools.islice(rows, READ_FILES)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some)], names=[*keys, "value"])
+
+    back = spark.range(0, tasks, 1, tasks).mapInArrow(read, ", ".join(f"{k} string" for k in [*keys, "value"]))
+    return back.select(*[F.col(k).cast(kind).alias(k) for k, kind in keys.items()], F.rtrim("value", F.lit("\n")).alias("report"))
 
 
 def profile(tables: dict[str, DataFrame], targets=("failure", "target", "label"),
